@@ -1,0 +1,27 @@
+"""Scratch tables in the folder that all executors share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; only where that is unset (tests) one of this machine is set."""
+    conf = spark.sparkContext.getConf()
+    where = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        where = "file://" + tempfile.mkdtemp(prefix="claimloom-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where.rstrip("/")
+
+
+def materialize(df: DataFrame, name: str = "t") -> DataFrame:
+    """Write ``df`` once as Parquet to the shared folder and read it again: lineage ends here, and a lost executor
+    costs no more than a re-read."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/claimloom-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
