@@ -1,0 +1,33 @@
+"""Connected components of an edge table, without gathering a component anywhere."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from claimloom.llm.scratch import materialize
+
+
+def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(node, component): edges has longs a, b; component is the smallest node that edges connect to node.
+
+    Alternates two steps that keep the components until nothing changes (a logarithm of the longest chain, about):
+    large-star links each node's larger neighbours to its smallest neighbour, small-star its smaller ones. Groups meet
+    only in aggregations with map-side combine and equi-joins. Edges with a null end and loops are left out. Each
+    round is written to the shared folder, so lineage stays short.
+    """
+    e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    e = materialize(e, "edges")
+    for _ in range(most_rounds):
+        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = large.where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        new = materialize(small.where("u <> v").distinct(), "edges")
+        same = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() == new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        e = new
+        if same:
+            break
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
