@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from claimloom.llm import jaccard_join, language_id, packing, quality_nbsvm, secret_scan, suffix_dedup
+from claimloom.llm import jaccard_join, language_id, packing, quality_nbsvm, quality_rules, secret_scan, suffix_dedup, url_filter
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -36,9 +36,17 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_jaccard_join, op4_quality_classifier, op6_secret_scan, op9_best_fit_packing)}
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_jaccard_join, op4_quality_classifier, op6_secret_scan, op7_quality_rules, op9_best_fit_packing, op10_url_filter)}
 ORACLE_SQL: dict[str, str] = {}
