@@ -6,8 +6,8 @@ sets is at least the threshold.
 
 1. Texts with equal word sequences form one class; its smallest doc_id represents it. Classes, not documents, go on.
 2. ``BANDS`` x ``ROWS`` MinHash values give each class a key for each band. A pair is a candidate if a band agrees; at
-   similarity 0.8 it agrees in none with probability (1 - 0.8**4)**32 < 1e-7. Keys that occur once are dropped by a
-   count with map-side combine.
+   similarity 0.8 it agrees in none with probability (1 - 0.8**4)**24 < 4e-6. Keys of one class only are dropped by
+   an aggregation with map-side combine, and a bitmap of fixed size keeps them out of later shuffles.
 3. A band's bucket is dealt in blocks of ``SIDE`` classes; a task compares two blocks at most. A pair is looked at in
    the first band in which it agrees only. Its MinHash values are compared ``STEP`` at a time: with a uniform prior the
    posterior of its similarity after m agreements of n is Beta(m + 1, n - m + 1), and the pair is dropped as soon as the
@@ -27,18 +27,20 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.llm.components import components
+from claimloom.llm.groups import whole_groups
+from claimloom.llm.prefilter import may_match
 from claimloom.llm.scratch import materialize
 from claimloom.llm.textbuf import U, Block, blocks, mix, sequence_hash, sequence_sums, signed
 
 SHINGLE, THRESHOLD = 5, 0.8
-BANDS, ROWS, STEP, TOLERANCE, SIDE = 32, 4, 16, 1e-6, 512
+BANDS, ROWS, STEP, TOLERANCE, SIDE = 24, 4, 16, 1e-6, 512
 N_HASH = BANDS * ROWS
+PAIRS = 300_000  # pairs at a time in a task
 _MULTIPLY = np.random.default_rng(7).integers(1, 2**63, N_HASH, dtype=np.uint64) * U(2) + U(1)
 
 
@@ -100,30 +102,17 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, N_HASH)
         for i in range(0, len(sig), 2048):
             k = _band_keys(sig[i : i + 2048])
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column(0))[i : i + 2048], BANDS)), pa.array(signed(k.ravel()))], ["cls", "band"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column(0))[i : i + 2048], BANDS)), pa.array(signed(k.ravel()))], ["seq", "band"])
 
 
 def _candidates(threshold: float):
-    """One group: the classes of one or two blocks of a bucket. Gives a row for each class in a surviving pair, the
-    first with all the pairs (places in the sorted list of those classes)."""
+    """Rows (band, bi, bj, block, seq, sig) in that order. Gives a row for each class in a surviving pair, the first of
+    a job with all its pairs (places among the job's rows given)."""
     bounds = least_agreements(threshold)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["block", "cls"])
-        block, band = pdf["block"].to_numpy(), np.uint64(int(pdf["band"].iloc[0]) & (2**64 - 1))
-        bi, bj = int(pdf["bi"].iloc[0]), int(pdf["bj"].iloc[0])
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(-1, N_HASH)
-        keys = _band_keys(sig)
-        mine = int(np.flatnonzero((keys == band).all(0))[0])
-        left = np.flatnonzero(block == bi)
-        if bi == bj:
-            a, b = np.triu_indices(len(left), 1)
-            a, b = left[a], left[b]
-        else:
-            right = np.flatnonzero(block == bj)
-            a, b = np.repeat(left, len(right)), np.tile(right, len(left))
-        for earlier in range(mine):
-            keep = keys[a, earlier] != keys[b, earlier]
+    def surviving(a: np.ndarray, b: np.ndarray, mine: np.ndarray, keys: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        for earlier in range(BANDS):
+            keep = (mine[a] <= earlier) | (keys[a, earlier] != keys[b, earlier])
             a, b = a[keep], b[keep]
         agree, last = np.zeros(len(a), np.int16), 0
         for n, m in bounds:
@@ -132,26 +121,60 @@ def _candidates(threshold: float):
                 agree += column[a] == column[b]
             last, keep = n, agree >= m
             a, b, agree = a[keep], b[keep], agree[keep]
-        used, place = np.unique(np.concatenate([a, b]), return_inverse=True)
-        out = pd.DataFrame({"cls": pdf["cls"].to_numpy()[used]})
-        out["job"] = f"{pdf['band'].iloc[0]}:{bi}:{bj}"
-        out["pairs"] = None
-        if len(out):
-            out.loc[0, "pairs"] = [place.astype(np.int32).tobytes()]
-            out["pairs"] = out["pairs"].map(lambda x: x[0] if isinstance(x, list) else x)
-        out["at"] = np.arange(len(out), dtype=np.int32)
-        return out[["job", "cls", "at", "pairs"]]
+        return a, b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts in whole_groups(batches, 3):
+            band, bi, bj, block, seq = (t.column(c).to_numpy() for c in range(5))
+            n, size = t.num_rows, np.diff(starts)
+            sig = np.frombuffer(b"".join(t.column(5).to_pylist()), np.uint32).reshape(n, N_HASH)
+            keys = np.concatenate([_band_keys(sig[i : i + 4096]) for i in range(0, n, 4096)])
+            mine = (keys == band.view(np.uint64)[:, None]).argmax(1)
+            row, end = np.arange(n), np.repeat(starts[1:], size)
+            left = np.add.reduceat((block == bi).astype(np.int64), starts[:-1])
+            border = np.repeat(starts[:-1] + left, size)  # the first row of the other block
+            partner = np.where(bi == bj, row + 1, border)
+            count = np.where((bi == bj) | (row < border), end - partner, 0)
+            total, i = np.cumsum(count), 0
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            while i < n:
+                j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + PAIRS, "right")))
+                a = np.repeat(row[i:j], count[i:j])
+                b = np.arange(len(a)) - np.repeat(total[i:j] - count[i:j] - (total[i - 1] if i else 0), count[i:j]) + partner[a]
+                found.append(surviving(a, b, mine, keys, sig))
+                i = j
+            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+            if not len(a):
+                continue
+            group = np.searchsorted(starts, a, "right") - 1
+            order = np.argsort(group, kind="stable")
+            a, b, group = a[order], b[order], group[order]
+            used = np.unique(np.concatenate([a, b]))
+            at = np.arange(len(used))
+            first_used = np.searchsorted(used, starts[:-1])
+            at = at - first_used[np.searchsorted(starts, used, "right") - 1]
+            place = np.zeros(n, np.int32)
+            place[used] = at
+            pairs: list[bytes | None] = [None] * len(used)
+            for g in np.unique(group).tolist():
+                s, e = np.searchsorted(group, [g, g + 1])
+                pairs[first_used[g]] = np.concatenate([place[a[s:e]], place[b[s:e]]]).astype(np.int32).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array(band[used]), pa.array(bi[used]), pa.array(bj[used]), pa.array(at.astype(np.int32)), pa.array(seq[used]), pa.array(pairs, pa.binary())], ["band", "bi", "bj", "at", "seq", "pairs"])
 
     return run
 
 
 def _shingle_sets(size: int):
+    """(seq, shingles) of texts: the classes and their sets of shingle hashes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, b in blocks(batch):
+            for _, _, b in blocks(batch):
                 x, ptr = shingle_hashes(b, size)
+                h = b.word_hashes(lower=True)
+                seq = sequence_hash(sequence_sums(h), b.wptr[:-1], b.wptr[1:])
                 sets = [np.unique(x[ptr[d] : ptr[d + 1]]).tobytes() for d in range(b.n)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sets, pa.binary())], ["cls", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(seq)), pa.array(sets, pa.binary())], ["seq", "shingles"])
 
     return run
 
@@ -175,15 +198,13 @@ def overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray
 
 
 def _verify(threshold: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("at")
-        place = np.frombuffer(pdf["pairs"].iloc[0], np.int32)
+    """Rows (band, bi, bj, at, seq, pairs, copies, shingles) in that order to (seq, root, links)."""
+
+    def job(place: np.ndarray, sets: list[np.ndarray], weight: np.ndarray, seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a, b = place[: len(place) // 2], place[len(place) // 2 :]
-        sets = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
         n, common = np.array([len(x) for x in sets]), overlaps(sets, a, b)
         linked = common >= threshold * (n[a] + n[b] - common) - 1e-9
         a, b = a[linked], b[linked]
-        weight = pdf["copies"].to_numpy()
         links = np.bincount(a, weight[b], len(n)) + np.bincount(b, weight[a], len(n))
         root = list(range(len(n)))
 
@@ -196,45 +217,55 @@ def _verify(threshold: float):
             x, y = find(x), find(y)
             if x != y:
                 root[max(x, y)] = min(x, y)
-        cls = pdf["cls"].to_numpy()
-        out = pd.DataFrame({"cls": cls, "root": cls[[find(x) for x in range(len(n))]], "links": links.astype(np.int64)})
-        return out[links > 0]
+        return links.astype(np.int64), seq[[find(x) for x in range(len(n))]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts in whole_groups(batches, 3):
+            seq, copies = t.column(4).to_numpy(), t.column(6).to_numpy()
+            links, roots = np.zeros(len(seq), np.int64), np.empty(len(seq), np.int64)
+            pairs, sets = t.column(5), t.column(7)
+            for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                own = [np.frombuffer(x, np.uint64) for x in sets.slice(s, e - s).to_pylist()]
+                links[s:e], roots[s:e] = job(np.frombuffer(pairs[s].as_py(), np.int32), own, copies[s:e], seq[s:e])
+            some = links > 0
+            yield pa.RecordBatch.from_arrays([pa.array(seq[some]), pa.array(roots[some]), pa.array(links[some])], ["seq", "root", "links"])
 
     return run
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE) -> DataFrame:
-    """One row per document (and per distinct row of a doc_id): doc_id, copy_id (smallest doc_id with the same word
+    """One row per document (and per distinct text of a doc_id): doc_id, copy_id (smallest doc_id with the same word
     sequence), class_id (smallest doc_id of the group that links join), n_links (long: other documents whose
     similarity is at least the threshold, copies among them), n_class (documents in the group)."""
-    texts = docs.select("doc_id", "text")
-    signed_docs = materialize(texts.mapInArrow(_signatures(size), "doc_id long, seq long, sig binary"), "signatures")
-    members = signed_docs.select("doc_id", "seq").distinct()
-    copies = members.groupBy("seq").agg(F.min("doc_id").alias("cls"), F.count("*").alias("copies"))
-    classes = materialize(copies, "classes")
-    first = signed_docs.join(classes, "seq").where("doc_id = cls").dropDuplicates(["cls"]).select("cls", "sig")
-    first = materialize(first, "firsts")
-    bands = materialize(first.mapInArrow(_bands, "cls long, band long"), "bands")
-    shared = bands.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
-    n_blocks = F.ceil(F.col("members") / SIDE).cast("int")
-    met = bands.join(shared, "band").withColumn("n_blocks", n_blocks)
-    met = met.withColumn("block", F.expr("cast(pmod(xxhash64(cls), n_blocks) as int)"))
-    jobs = met.select("cls", "band", "block", F.explode(F.expr("sequence(0, n_blocks - 1)")).alias("other"))
-    jobs = jobs.select("cls", "band", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
-    survivors = jobs.join(first, "cls").groupBy("band", "bi", "bj").applyInPandas(_candidates(threshold), "job string, cls long, at int, pairs binary")
-    survivors = materialize(survivors, "survivors")
-    wanted = survivors.select("cls").distinct()
-    sets = docs.select(F.col("doc_id").alias("cls"), "text").join(wanted, "cls").dropDuplicates(["cls"]).select("cls", "text")
-    sets = sets.mapInArrow(_shingle_sets(size), "cls long, shingles binary")
-    verified = survivors.join(sets.join(classes.select("cls", "copies"), "cls"), "cls").groupBy("job").applyInPandas(_verify(threshold), "cls long, root long, links long")
-    verified = materialize(verified, "verified")
-    links = verified.groupBy("cls").agg(F.sum("links").alias("links"))
-    groups = components(verified.where("cls <> root").select(F.col("cls").alias("a"), F.col("root").alias("b")))
-    groups = groups.withColumnRenamed("node", "cls").withColumnRenamed("component", "class_id")
-    by_class = classes.join(links, "cls", "left").join(groups, "cls", "left").select("seq", F.col("cls").alias("copy_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("class_id", "cls").alias("class_id"))
-    sizes = by_class.groupBy("class_id").agg(F.sum("copies").alias("n_class"))
-    by_class = by_class.join(sizes, "class_id")
-    found = members.join(by_class, "seq").select("doc_id", "copy_id", "class_id", (F.col("copies") - 1 + F.col("links")).alias("n_links"), "n_class")
+    signatures = materialize(docs.select("doc_id", "text").mapInArrow(_signatures(size), "doc_id long, seq long, sig binary"), "signatures")
+    members = signatures.select("doc_id", "seq").distinct()
+    classes = materialize(members.groupBy("seq").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies")), "classes")
+    bands = materialize(signatures.select("seq", "sig").mapInArrow(_bands, "seq long, band long"), "bands")
+    shared = materialize(bands.groupBy("band").agg(F.min("seq").alias("a"), F.max("seq").alias("b")).where("a <> b").select("band"), "shared")
+    met = materialize(may_match(bands, "band", shared).distinct().join(shared, "band"), "met")
+    n_blocks = materialize(met.groupBy("band").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("n_blocks")), "buckets")
+    jobs = met.join(n_blocks, "band").withColumn("block", F.expr("cast(pmod(xxhash64(seq), n_blocks) as int)"))
+    jobs = jobs.select("seq", "band", "block", F.explode(F.expr("sequence(0, n_blocks - 1)")).alias("other"))
+    jobs = jobs.select("band", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "seq")
+    needed = materialize(met.select("seq").distinct(), "needed")
+    sigs = may_match(signatures.select("seq", "sig"), "seq", needed).dropDuplicates(["seq"])
+    key = ["band", "bi", "bj"]
+    schema = "band long, bi int, bj int, at int, seq long, pairs binary"
+    dealt = jobs.join(sigs, "seq").select(*key, "block", "seq", "sig").repartition(*key).sortWithinPartitions(*key, "block", "seq")
+    survivors = materialize(dealt.mapInArrow(_candidates(threshold), schema), "survivors")
+    wanted = materialize(survivors.select("seq").distinct().join(classes, "seq"), "wanted")
+    texts = may_match(docs.select("doc_id", "text"), "doc_id", wanted.select("copy_id")).select("text")
+    sets = texts.mapInArrow(_shingle_sets(size), "seq long, shingles binary").join(wanted.select("seq", "copies"), "seq").dropDuplicates(["seq"])
+    dealt = survivors.join(sets, "seq").select(*schema.replace(" long", "").replace(" int", "").replace(" binary", "").split(", "), "copies", "shingles")
+    dealt = dealt.repartition(*key).sortWithinPartitions(*key, "at")
+    verified = materialize(dealt.mapInArrow(_verify(threshold), "seq long, root long, links long"), "verified")
+    links = verified.groupBy("seq").agg(F.sum("links").alias("links"))
+    joined = components(verified.where("seq <> root").select(F.col("seq").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "seq")
+    linked = classes.join(links, "seq").join(joined, "seq")
+    groups = linked.groupBy("component").agg(F.min("copy_id").alias("class_id"), F.sum("copies").alias("n_class"))
+    linked = linked.join(groups, "component").select("seq", "links", "class_id", "n_class")
+    by_class = classes.join(linked, "seq", "left").select("seq", "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("n_class", "copies").alias("n_class"))
+    found = members.join(by_class, "seq").select("doc_id", "copy_id", "class_id", "n_links", "n_class")
     alone = docs.select("doc_id", "text").where(r"text is null or not text rlike '[^ \t-\r]'").select("doc_id").distinct()
     alone = alone.select("doc_id", F.col("doc_id").alias("copy_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_class"))
     return found.unionByName(alone)
