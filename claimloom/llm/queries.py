@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from claimloom.llm import jaccard_join, language_id, packing, quality_nbsvm, quality_rules, secret_scan, suffix_dedup, url_filter
+from claimloom.llm import ann, jaccard_join, language_id, packing, piece_nbest, quality_nbsvm, quality_rules, secret_scan, suffix_dedup, url_filter
 
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -32,6 +33,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_nbsvm.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_piece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_nbest.digest(table(spark, sf_dir, "documents"), PIECES)
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
 
@@ -40,6 +45,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -48,5 +57,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_jaccard_join, op4_quality_classifier, op6_secret_scan, op7_quality_rules, op9_best_fit_packing, op10_url_filter)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_jaccard_join, op4_quality_classifier, op5_piece_nbest, op6_secret_scan, op7_quality_rules, op8_nearest_neighbours, op9_best_fit_packing, op10_url_filter)}
 ORACLE_SQL: dict[str, str] = {}
