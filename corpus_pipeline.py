@@ -8,36 +8,54 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimloom.llm import jaccard_join, packing, queries, suffix_dedup
+from claimloom.llm import jaccard_join, language_id, packing, queries, secret_scan, suffix_dedup
 from claimloom.llm.scratch import materialize
 from claimloom.sources.shipping import ship
 
 
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or in none of the learned languages, go (operator 2)."""
+    ship(spark)
+    return language_id.keep_identified(docs)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays (operator 3)."""
+    ship(spark)
     return jaccard_join.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 words and more stay where they occur first and are cut elsewhere."""
+    """Passages of 50 words and more stay where they occur first and are cut elsewhere (operator 1)."""
     ship(spark)
     return suffix_dedup.remove_copies(docs)
 
 
+def masked_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked in the texts (operator 6)."""
+    ship(spark)
+    return secret_scan.mask_secrets(docs)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences."""
+    """Token sequences of at most 2048 tokens (operator 9)."""
     ship(spark)
     return packing.pack_documents(docs, queries.WORD_BPE)
 
 
-STAGES = [("near duplicates", near_duplicates), ("repeated passages", repeated_passages), ("packing", packed)]
-ORACLE_SQL = None  # trained and iterative stages are beyond SQL; tests hold the stages against plain Python
+STAGES = [
+    ("language ID", known_language),
+    ("n-gram Jaccard join", near_duplicates),
+    ("suffix-array dedup", repeated_passages),
+    ("secret scans", masked_secrets),
+    ("best-fit packing", packed),
+]
+ORACLE_SQL = None  # trained and iterative stages are beyond SQL; tests/llm/test_pipeline.py holds them against plain Python
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
-    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    for _, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), "stage")
     return docs
