@@ -20,10 +20,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.llm.language_id import held_out
+from claimloom.llm.prefilter import may_match
+from claimloom.llm.sample import smallest_hashes
+from claimloom.sources.scratch import materialize
 from claimloom.llm.textbuf import U, Block, blocks, mix, sequence_hash, sequence_sums
 
 BITS, TRAIN_ROWS, BETA, COST, EPOCHS, SMOOTH = 18, 3000, 0.25, 1.0, 8, 1.0
@@ -140,9 +143,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = TRA
     """Learned from the labelled rows of docs where ``usable`` holds."""
     named = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most").select("doc_id", "quality")
     named = named.where(usable)
-    rank = F.row_number().over(Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = named.withColumn("place", rank).where(F.col("place") <= per_class).select("doc_id", "quality")
-    rows = docs.where("text is not null").select("doc_id", "text").join(chosen, "doc_id").select(F.xxhash64("doc_id").alias("o"), "text", "quality")
+    chosen = materialize(smallest_hashes(named, "quality", per_class), "sample")
+    rows = may_match(docs.where("text is not null").select("doc_id", "text"), "doc_id", chosen.select("doc_id")).join(chosen, "doc_id").select(F.xxhash64("doc_id").alias("o"), "text", "quality")
     got = sorted({(r.o, r.text, r.quality) for r in rows.collect()})  # at most two classes x per_class texts (and their copies by id)
     return train([g[1] for g in got], np.array([1 if g[2] else -1 for g in got]))
 
