@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from claimloom.llm.textbuf import tidy
+
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """From batches of a partition sorted by its first ``keys`` columns (longs or ints): tables of whole groups, and
@@ -20,6 +22,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple
             cut = int(starts[-2])
             yield rest.slice(0, cut).combine_chunks(), starts[:-1]
             rest = rest.slice(cut)
+            tidy()
     if rest is not None and rest.num_rows:
         yield rest.combine_chunks(), _starts(rest, keys)
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.scratch import materialize
+from claimloom.sources.scratch import materialize
 from claimloom.llm.textbuf import Block, U, blocks, sequence_hash, sequence_sums, signed
 
 MIN_WORDS, KGRAM = 50, 8
@@ -112,14 +112,19 @@ def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS, k: int = KGRAM
     texts = docs.select("doc_id", "text")
     suffixes = materialize(texts.mapInArrow(_suffixes(min_words, k), "doc_id long, pos int, n int, kgram long, context long"), "suffixes")
     shared = suffixes.groupBy("kgram").agg(F.count("*").alias("c")).where("c > 1").select("kgram")
+    shared = materialize(shared, "kgrams")  # a table, so that the join below has no aggregate beside it and can be split where a k-gram is hot
     near = materialize(suffixes.join(shared, "kgram"), "shared")  # order by k-gram: those with a neighbour
     merged = near.groupBy("kgram", "context").agg(F.count("*").alias("copies"), F.min("n").alias("n"), F.min(F.struct("doc_id", "pos")).alias("first"))
     merged = materialize(merged, "merged")
     several = merged.groupBy("kgram").agg(F.count("*").alias("contexts"), F.min("copies").alias("least")).where("contexts > 1 and least = 1").select("kgram")
+    several = materialize(several, "several")
     asked = merged.join(several, "kgram").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("first.pos", "n", "context")).alias("asked"))
     # a document's requests are no more than its own suffixes
-    windows = materialize(texts.dropDuplicates(["doc_id"]).join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_windows(min_words), "context long, step int, window long, doc_id long, pos int"), "windows")
+    twins = materialize(docs.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"), "twins")
+    once = texts.join(twins, "doc_id", "left_anti").unionByName(texts.join(twins, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    windows = materialize(once.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_windows(min_words), "context long, step int, window long, doc_id long, pos int"), "windows")
     twice = windows.groupBy("window").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "pos")).alias("source")).where("c > 1").select("window", "source")
+    twice = materialize(twice, "twice")
     extended = windows.join(twice, "window").select("context", "step", "source").groupBy("context").agg(F.sort_array(F.collect_list(F.struct("step", F.col("source.doc_id").alias("first_doc"), F.col("source.pos").alias("first_pos")))).alias("steps"))
     found = (
         merged.join(extended, "context", "left")
@@ -143,6 +148,7 @@ def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS, k: int = KGRAM
     found = found.select("context", F.when((F.col("copies") > 1) & F.col("seen"), F.expr(
         "concat(runs, transform(filter(sequence(0, n), s -> not exists(runs, r -> s between r.a and r.b)),"
         " s -> named_struct('a', s, 'b', s, 'doc', first.doc_id, 'pos', first.pos + s)))")).otherwise(F.col("runs")).alias("runs"))
+    found = materialize(found, "found")
     return (
         near.join(found, "context").select("doc_id", "pos", F.explode("runs").alias("r"))
         .select("doc_id", (F.col("pos") + F.col("r.a")).alias("pos"), (F.col("pos") + F.col("r.b")).alias("until"), F.col("r.doc").alias("first_doc"), F.col("r.pos").alias("first_pos"))

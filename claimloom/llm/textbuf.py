@@ -8,6 +8,8 @@ executor gets the same ones.
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +25,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 ASCII_LOWER = np.arange(256, dtype=np.uint8)
 ASCII_LOWER[65:91] += 32
+_LIBC = ctypes.CDLL("libc.so.6") if sys.platform == "linux" else None
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -50,6 +53,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def tidy() -> None:
+    """Give memory that this process has freed back to the system: workers live on and share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 class Block:
     """Some documents end to end in ``buf``, each followed by a newline byte.
 
@@ -110,6 +120,7 @@ def blocks(batch: pa.RecordBatch, column: str = "text", size: int = BLOCK) -> It
         j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + size, "right")))
         yield i, j, Block(texts.slice(i, j - i))
         i = j
+    tidy()
 
 
 def signed(x: np.ndarray) -> np.ndarray:
