@@ -22,9 +22,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.llm.prefilter import may_match
+from claimloom.llm.sample import smallest_hashes
+from claimloom.sources.scratch import materialize
 from claimloom.llm.textbuf import Block, blocks
 
 WINDOW, EMBED, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 12
@@ -150,9 +153,9 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, usable: Column, per_language: int = TRAIN_DOCS) -> ByteNet | None:
     """A network learned from the texts and langs of rows where ``usable`` holds; None without any."""
     ids = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = ids.withColumn("place", rank).where(F.col("place") <= per_language).select("doc_id", "lang").distinct()
-    rows = docs.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"]).select("doc_id", "lang", "text").mapInArrow(_sample, "doc_id long, lang string, bytes binary")
+    chosen = smallest_hashes(ids, "lang", per_language)
+    chosen = materialize(chosen, "sample")
+    rows = may_match(docs.select("doc_id", "lang", "text"), "doc_id", chosen.select("doc_id")).join(chosen, ["doc_id", "lang"]).select("doc_id", "lang", "text").mapInArrow(_sample, "doc_id long, lang string, bytes binary")
     got = sorted((r.lang, r.doc_id, bytes(r.bytes)) for r in rows.collect())  # at most languages x per_language x TRAIN_WINDOWS short windows
     if not got:
         return None
