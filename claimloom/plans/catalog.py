@@ -1,11 +1,382 @@
-"""Registered queries and their SQL."""
+"""Registered queries: each operator of the engine over the driver's tables, and the same in DuckDB's SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from claimloom import schemas as S
+from claimloom.functions import grading as G
+from claimloom.functions import text as X
+from claimloom.operators import links as L
+from claimloom.operators import memo as M
+from claimloom.operators import pairs as P
+from claimloom.operators import paths as H
+from claimloom.operators import report as R
+from claimloom.operators import resolve as E
+from claimloom.operators import telemetry as T
+from claimloom.plans import derive
+from claimloom.plans.derive import CLAIMS_SQL, LINKS_SQL, table
+from claimloom.sources import corpus as C
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "build_links"
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _long(*names: str) -> list:
+    return [F.col(n).cast("long").alias(n) for n in names]
+
+
+# ── edges ─────────────────────────────────────────────────────────────────────────────────────────────────────────
+_LINKS = f"""WITH {CLAIMS_SQL},
+sup AS (SELECT s, r, o, count(DISTINCT CASE WHEN study <> 'review' THEN pmid END) AS n, count(DISTINCT id) AS n_support, max(CASE WHEN study <> 'review' THEN tier END) AS best0 FROM claims GROUP BY s, r, o),
+edge AS (SELECT s, r, o, n, n_support, coalesce(CASE WHEN r = 'associated_with' THEN least(best0, 1) ELSE best0 END, 0) AS best FROM sup),
+opp AS (SELECT e.s, e.r, e.o, e.best, c.id, c.pmid, c.tier, c.study, c.r AS cr, c.control FROM edge e JOIN claims c ON c.s = e.s AND c.o = e.o
+  WHERE (e.r = 'increases' AND c.r IN ('decreases', 'no_effect')) OR (e.r = 'decreases' AND c.r IN ('increases', 'no_effect')) OR (e.r = 'associated_with' AND c.r = 'no_effect') OR (e.r = 'no_effect' AND c.r IN ('increases', 'decreases'))),
+con AS (SELECT * FROM opp WHERE study <> 'review' AND NOT (cr = 'no_effect' AND NOT (control AND tier >= best))),
+k AS (SELECT c.s, c.r, c.o, max(c.tier) AS ctier, count(DISTINCT c.id) AS n_opposing, count(DISTINCT CASE WHEN x.pmid IS NULL THEN c.pmid END) AS k FROM con c
+  LEFT JOIN (SELECT DISTINCT s, r, o, pmid FROM claims) x ON x.s = c.s AND x.r = c.r AND x.o = c.o AND x.pmid = c.pmid GROUP BY c.s, c.r, c.o),
+unc AS (SELECT s, r, o, count(DISTINCT id) AS n_uncounted FROM (SELECT s, r, o, id FROM claims WHERE study = 'review' UNION
+  SELECT s, r, o, id FROM opp WHERE study = 'review' OR (cr = 'no_effect' AND NOT (control AND tier >= best))) GROUP BY s, r, o),
+f AS (SELECT e.*, coalesce(k.k, 0) AS k, coalesce(k.ctier, 0) AS ctier, coalesce(k.n_opposing, 0) AS n_opposing, coalesce(u.n_uncounted, 0) AS n_uncounted FROM edge e
+  LEFT JOIN k ON k.s = e.s AND k.r = e.r AND k.o = e.o LEFT JOIN unc u ON u.s = e.s AND u.r = e.r AND u.o = e.o),
+g AS (SELECT *, CASE WHEN n + k > 0 THEN k / (n + k) ELSE 0 END AS share FROM f)
+SELECT s || '|' || r || '|' || o AS key, n AS n_studies, k AS n_contra_studies, n_support, n_opposing, n_uncounted, list_extract(['ungraded', 'weak', 'moderate', 'strong'], best + 1) AS grade,
+  CASE WHEN k > 0 AND share >= 0.5 AND ctier >= 2 THEN 'contradicted' WHEN n >= 2 AND share < 0.5 AND best >= 2 THEN 'supported' ELSE 'insufficient' END AS status FROM g"""
+
+
+@query(_LINKS)
+def build_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = L.build_links(derive.claims(spark, sf_dir))
+    return out.select("key", *_long("n_studies", "n_contra_studies"), F.size("support_ids").cast("long").alias("n_support"), F.size("contradicting_ids").cast("long").alias("n_opposing"), F.size("uncounted").cast("long").alias("n_uncounted"), "grade", "status")
+
+
+@query(f"WITH {CLAIMS_SQL} SELECT id, pmid, s AS subject_concept, o AS object_concept, r AS relation_norm, control AS comparator_present, study AS study_type, list_extract(['weak', 'moderate', 'strong'], tier) AS grade FROM claims")
+def claim_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive.claims(spark, sf_dir).select("id", "pmid", "subject_concept", "object_concept", "relation_norm", "comparator_present", "study_type", "grade")
+
+
+@query(f"WITH {CLAIMS_SQL} SELECT CASE r WHEN 'no_effect' THEN 'null' WHEN 'increases' THEN 'up' WHEN 'decreases' THEN 'down' ELSE 'effect' END AS stance, count(*) AS n FROM claims GROUP BY 1")
+def claim_stance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive.claims(spark, sf_dir).groupBy(G.stance().alias("stance")).agg(F.count("*").alias("n"))
+
+
+def _case(values: dict, key: str, default) -> str:
+    return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in values.items()) + f" ELSE {default!r} END"
+
+
+_GRADE = f"""WITH {CLAIMS_SQL},
+a AS (SELECT *, greatest(1, {_case(S.DIRECTNESS, 'claim_type', 1)} - CAST(inferred AS INTEGER)) AS directness, {_case(S.DESIGN, 'study', 1)} AS design,
+  CASE WHEN r = 'no_effect' AND NOT control THEN 1 END AS nullc, {_case(S.CAUSAL_BASE, 'perturbation', 0)} AS base FROM claims),
+b AS (SELECT *, (rescue OR orthogonal OR (base >= 2 AND control AND study IN ('human_rct', 'meta_analysis'))) AS checked FROM a),
+c AS (SELECT *, CASE WHEN r IN ('increases', 'decreases') THEN CASE WHEN NOT control THEN least(1, CASE WHEN base >= 2 AND checked THEN 3 ELSE base END)
+  ELSE CASE WHEN base >= 2 AND checked THEN 3 WHEN perturbation = 'pharmacological' AND NOT checked THEN least(base, 2) ELSE base END END END AS causal FROM b),
+d AS (SELECT *, least(directness, design, coalesce(nullc, 9), coalesce(causal, 9)) AS low FROM c), e AS (SELECT *, greatest(1, low) AS t0 FROM d),
+f AS (SELECT *, least(t0, CASE WHEN r = 'associated_with' AND study <> 'meta_analysis' THEN 2 ELSE 3 END, CASE WHEN r = 'no_effect' THEN 2 ELSE 3 END, CASE WHEN study = 'review' THEN 1 ELSE 3 END,
+  CASE WHEN access = 'abstract_only' THEN 2 ELSE 3 END, CASE WHEN {_case({k: S.SYSTEM_RANK[v] for k, v in S.SYSTEM_GROUP.items()}, 'system', 0)} BETWEEN 1 AND 2 THEN 2 ELSE 3 END) AS tier1 FROM e)
+SELECT list_extract(['weak', 'moderate', 'strong'], tier1) AS grade, CAST(t0 AS BIGINT) AS uncapped_tier,
+  CASE WHEN directness = low THEN 'directness' WHEN design = low THEN 'design' WHEN nullc = low THEN 'null_comparison' ELSE 'causal' END AS limiting_axis, count(*) AS n FROM f GROUP BY 1, 2, 3"""
+
+
+@query(_GRADE)
+def grade_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = G.graded(derive.claims(spark, sf_dir), "human")
+    return g.groupBy("grade", F.col("grade_detail.uncapped_tier").cast("long").alias("uncapped_tier"), F.col("grade_detail.limiting_axis").alias("limiting_axis")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT CAST(d.doc_id AS VARCHAR) AS pmid, CASE WHEN d.source = 'src3' THEN 'excluded' WHEN l.doc_id IS NULL THEN 'unscreened' WHEN l.quality = 1 AND d.n_chars % 100 >= 50 THEN 'included' ELSE 'excluded' END AS screen_status
+FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""")
+def screening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    papers = docs.select(F.col("doc_id").cast("string").alias("pmid"), F.lit("unscreened").alias("screen_status"), (F.col("source") == "src3").alias("retracted"), F.lit(0).alias("relevance_score"), F.lit("").alias("relevance_reason"), F.lit(None).cast("string").alias("study_type"), F.lit(None).cast("string").alias("pubtype_study_type"))
+    verdicts = labels.join(docs.select("doc_id", "n_chars"), "doc_id").select(F.col("doc_id").cast("string").alias("pmid"), (F.col("quality") == 1).alias("relevant"), (F.col("n_chars") % 100).cast("int").alias("relevance_score"), F.lit("r").alias("reason"), F.lit("animal").alias("study_type"))
+    return G.screened(papers, verdicts).select("pmid", "screen_status")
+
+
+# ── keyed state ───────────────────────────────────────────────────────────────────────────────────────────────────
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'NEW' ELSE o_orderstatus END AS o_orderstatus FROM orders")
+def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    return M.upsert(old, old.where("o_orderkey % 3 = 0").withColumn("o_orderstatus", F.lit("NEW")), "o_orderkey")
+
+
+@query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
+def last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.last_wins(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id")
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 7 = 0)")
+def unseen_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.unseen(table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+@query("SELECT CAST(l_orderkey AS VARCHAR) AS pmid, string_agg(DISTINCT 'S' || l_suppkey, ',' ORDER BY 'S' || l_suppkey) AS retrieved_for FROM lineitem GROUP BY l_orderkey")
+def retrieved_for(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    papers = li.select(F.col("l_orderkey").cast("string").alias("pmid")).distinct().withColumn("retrieved_for", F.expr("cast(array() as array<string>)"))
+    hits = li.select(F.col("l_orderkey").cast("string").alias("pmid"), F.concat(F.lit("S"), "l_suppkey").alias("target"))
+    return M.retrieved_for(papers, hits).select("pmid", F.array_join("retrieved_for", ",").alias("retrieved_for"))
+
+
+@query("""SELECT CAST(row_number() OVER (ORDER BY late, rel DESC, pmid) AS BIGINT) AS place, pmid FROM (
+SELECT CAST(doc_id AS VARCHAR) AS pmid, n_chars % 101 AS rel, CASE WHEN doc_id % 7 = 0 THEN 0 ELSE 1 END AS late FROM documents WHERE doc_id % 7 = 0 OR doc_id % 2 = 1 ORDER BY late, rel DESC, pmid LIMIT 20)""")
+def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    papers = docs.select(F.col("doc_id").cast("string").alias("pmid"), F.lit("included").alias("screen_status"), (F.col("n_chars") % 101).cast("int").alias("relevance_score"), F.when(F.col("doc_id") % 7 == 0, F.array(F.lit("k"))).otherwise(F.expr("cast(array() as array<string>)")).alias("retrieved_for"), F.expr("cast(array() as array<string>)").alias("read_for"))
+    return M.reading_order(papers, docs.where("doc_id % 2 = 0").select(F.col("doc_id").cast("string").alias("pmid"))).select(F.col("place").cast("long").alias("place"), "pmid")
+
+
+@query("""WITH r AS (SELECT CAST(l_orderkey AS VARCHAR) AS pmid, l_suppkey, l_partkey % 4 AS p, min(l_linenumber * 1000000 + l_partkey) AS n FROM lineitem WHERE l_linenumber > 1 GROUP BY l_orderkey, l_suppkey, l_partkey % 4),
+k AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS pmid, l_suppkey, l_partkey % 4 AS p FROM lineitem WHERE l_linenumber = 1), h AS (SELECT CAST(l_orderkey AS VARCHAR) AS pmid, count(*) AS have FROM lineitem WHERE l_linenumber = 1 GROUP BY l_orderkey),
+f AS (SELECT r.* FROM r LEFT JOIN k ON k.pmid = r.pmid AND k.l_suppkey = r.l_suppkey AND k.p = r.p WHERE k.pmid IS NULL)
+SELECT 'C' || f.pmid || '_' || (coalesce(have, 0) + row_number() OVER (PARTITION BY f.pmid ORDER BY n, f.l_suppkey) - 1) AS id, 'S' || f.l_suppkey AS subject, 'P' || f.p AS object FROM f LEFT JOIN h ON h.pmid = f.pmid""")
+def fresh_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("pmid"), "l_linenumber", F.struct((F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("a"), F.col("l_suppkey").alias("b")).alias("n"), F.lit("span").alias("span"), F.concat(F.lit("S"), "l_suppkey").alias("subject"), F.lit("increases").alias("relation"), F.concat(F.lit("P"), F.col("l_partkey") % 4).alias("object"))
+    return M.fresh_claims(li.where("l_linenumber > 1"), li.where("l_linenumber = 1")).select("id", "subject", "object")
+
+
+@query("""WITH p AS (SELECT DISTINCT least(l_suppkey, l_partkey) AS lo, greatest(l_suppkey, l_partkey) AS hi FROM lineitem WHERE l_linenumber = 1), j AS (SELECT DISTINCT least(l_suppkey, l_partkey) AS lo, greatest(l_suppkey, l_partkey) AS hi FROM lineitem WHERE l_linenumber = 2),
+t AS (SELECT p.lo, p.hi FROM p LEFT JOIN j ON j.lo = p.lo AND j.hi = p.hi WHERE j.lo IS NULL)
+SELECT CAST((row_number() OVER (ORDER BY lo, hi) - 1) // 30 AS BIGINT) AS batch, CAST((row_number() OVER (ORDER BY lo, hi) - 1) % 30 + 1 AS BIGINT) AS pair, lo, hi FROM t""")
+def pair_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    of = lambda n: li.where(f"l_linenumber = {n}").select(*M.unordered("l_suppkey", "l_partkey")).distinct()
+    return M.pair_batches(of(1), of(2)).select(*_long("batch", "pair"), "lo", "hi")
+
+
+# ── pairs, aliases, hierarchies ───────────────────────────────────────────────────────────────────────────────────
+@query("SELECT count(*) AS n_pairs, count(DISTINCT a.p_partkey) AS n_left FROM part a JOIN part b ON a.p_partkey < b.p_partkey AND a.p_brand = b.p_brand AND a.p_type = b.p_type")
+def blocked_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.expr("cast(array() as array<string>)")
+    c = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("subject_concept"), F.col("p_type").alias("object_concept"), none.alias("subject_parents"), none.alias("object_parents"), F.lit("").alias("subject_label"), F.lit("").alias("object_label"))
+    return P.blocked_pairs(c).agg(F.count("*").alias("n_pairs"), F.count_distinct("lo").alias("n_left"))
+
+
+@query("""SELECT a.vec_id AS lo, b.vec_id AS hi FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id
+WHERE list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.3""")
+def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    pairs = e.select(F.col("vec_id").alias("lo"), "label").join(e.select(F.col("vec_id").alias("hi"), "label"), "label").where("lo < hi").select("lo", "hi")
+    return P.similar_pairs(pairs, e.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("vector")), 0.3).select("lo", "hi")
+
+
+@query()
+def mutual_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    pairs = e.select(F.col("vec_id").cast("string").alias("lo"), "label").join(e.select(F.col("vec_id").cast("string").alias("hi"), "label"), "label").where("lo < hi").select("lo", "hi")
+    return P.mutual_top_k(P.similar_pairs(pairs, e.select(F.col("vec_id").cast("string").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("vector")), 0.3), 8)
+
+
+@query()
+def claim_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = derive.claims(spark, sf_dir)
+    v = c.select("pmid", "id", "object_concept").join(c.select("pmid", F.col("id").alias("hi"), F.col("object_concept").alias("o2")), "pmid").where("id < hi").select(F.col("id").alias("lo"), "hi", F.lit(True).alias("same_finding"), (F.substring("object_concept", 2, 1) == F.substring("o2", 2, 1)).alias("same_context")).distinct()
+    return P.families(c, v).select("key", F.size("claim_ids").cast("long").alias("n_claims"), F.col("discordant").cast("long").alias("discordant"))
+
+
+@query("""WITH f AS (SELECT item_id, unnest(list_concat(regexp_extract_all(lower(text), '[a-z0-9+]+'), list_transform(range(1, greatest(length(text) - 1, 1)), lambda i: substring(lower(text), i, 3)))) AS f FROM benchmark),
+b AS (SELECT item_id, ('0x' || right(md5(f), 3))::INTEGER % 512 AS b, count(*) AS n FROM f GROUP BY 1, 2) SELECT item_id, count(*) AS n_buckets, sum(n)::BIGINT AS n_features, round(sqrt(sum(n * n)), 6) AS norm FROM b GROUP BY 1""")
+def hashing_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = P.hashing_vectors(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text"))
+    low = F.array_min(F.filter("vector", lambda x: x > 0))  # one or more counts at unit length
+    raw = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), (F.size(F.filter(F.split(F.lower("text"), "[^a-z0-9+]+"), lambda w: w != "")) + F.greatest(F.length("text") - 2, F.lit(0))).cast("long").alias("n_features"))
+    total = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x)
+    return v.join(raw, "id").select(F.col("id").alias("item_id"), F.size(F.filter("vector", lambda x: x > 0)).cast("long").alias("n_buckets"), "n_features", F.round(F.col("n_features") / total, 6).alias("norm")).where(low > 0)
+
+
+_CHAIN = "chain AS (SELECT c_custkey AS c, c_custkey // 3 AS p FROM customer)"
+
+
+@query(f"WITH RECURSIVE {_CHAIN}, up AS (SELECT c, p FROM chain WHERE c <> p UNION ALL SELECT up.c, chain.p FROM up JOIN chain ON chain.c = up.p WHERE chain.c <> chain.p) SELECT c AS child, min(p) AS root FROM up GROUP BY c")
+def canonical_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.canonical(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("child"), F.expr("c_custkey div 3").alias("parent")))
+
+
+@query(f"WITH RECURSIVE {_CHAIN}, up AS (SELECT c, p FROM chain WHERE c <> p UNION SELECT up.c, chain.p FROM up JOIN chain ON chain.c = up.p WHERE chain.c <> chain.p) SELECT c AS id, string_agg(CAST(p AS VARCHAR), ',' ORDER BY p) AS ancestors FROM up GROUP BY c")
+def ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.expr("c_custkey div 3").alias("parent"))
+    return E.ancestors_of(edges).select("id", F.array_join(F.transform("ancestors", lambda x: x.cast("string")), ",").alias("ancestors"))
+
+
+@query()
+def alias_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = table(spark, sf_dir, "nation").select(F.concat(F.lit("N"), "n_nationkey").alias("id"), F.col("n_name").alias("label"), F.lit("place").alias("category"))
+    regions = table(spark, sf_dir, "region").select(F.concat(F.lit("R"), "r_regionkey").alias("id"), F.col("r_name").alias("label"), F.lit("unknown").alias("category"))
+    return E.alias_candidates(nations.union(regions))
+
+
+@query("""WITH v AS (SELECT l_orderkey, 'V' || l_suppkey AS id FROM lineitem WHERE l_linenumber <= 3 AND l_orderkey % 10 = 0), a AS (SELECT DISTINCT l_orderkey, id FROM v)
+SELECT DISTINCT x.id AS lo, y.id AS hi FROM a x JOIN a y ON x.l_orderkey = y.l_orderkey AND x.id < y.id""")
+def discounted_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3 and l_orderkey % 10 = 0").groupBy("l_orderkey").agg(F.collect_set(F.concat(F.lit("V"), "l_suppkey")).alias("claim_ids"))
+    return L.discounted_pairs(c.withColumn("verdict", F.lit("context_dependent")))
+
+
+# ── paths ─────────────────────────────────────────────────────────────────────────────────────────────────────────
+_PATHS = f"""WITH RECURSIVE {LINKS_SQL}, walk AS (
+  SELECT o AS node, [key] AS path, ['N0', o] AS seen, c AS least FROM links WHERE s = 'N0' AND o <> 'N0'
+  UNION ALL SELECT l.o, list_append(w.path, l.key), list_append(w.seen, l.o), least(w.least, l.c) FROM walk w JOIN links l ON l.s = w.node WHERE w.node NOT IN ('N3', 'N7', 'N11') AND len(w.path) < 4 AND NOT list_contains(w.seen, l.o)),
+paths AS (SELECT path, least FROM walk WHERE node IN ('N3', 'N7', 'N11'))"""
+
+
+def _paths(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    links = derive.links(spark, sf_dir)
+    outcomes = table(spark, sf_dir, "nation").where("n_nationkey in (3, 7, 11)").select(F.concat(F.lit("N"), "n_nationkey").alias("id"))
+    return links, H.ledger_paths(links, "N0", outcomes)
+
+
+@query(_PATHS + " SELECT array_to_string(path, ' ') AS path, least FROM paths")
+def ledger_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _paths(spark, sf_dir)[1].select(F.array_join("links", " ").alias("path"), "least")
+
+
+@query(_PATHS + ", f AS (SELECT path, len(list_filter(path, lambda k: k LIKE '%decreases%')) % 2 AS odd FROM paths) SELECT array_to_string(path, ' ') AS path, CASE WHEN odd = 1 THEN 'sign_mismatch' ELSE '' END AS flags, CASE WHEN odd = 1 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS factor FROM f")
+def logic_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _paths(spark, sf_dir)[1].withColumn("f", H.logic_flags(F.col("links"), F.expr("cast(array() as array<array<string>>)"), F.create_map().cast("map<string,string>"), F.lit("up")))
+    return p.select(F.array_join("links", " ").alias("path"), F.array_join("f", ",").alias("flags"), H.logic_factor(F.col("f")).alias("factor"))
+
+
+_SCORED = _PATHS + """, scored AS (SELECT array_to_string(path, ' ') AS path, path AS ks, round(CASE WHEN len(list_filter(path, lambda k: k LIKE '%decreases%')) % 2 = 1 THEN 0.5 ELSE 1.0 END * least, 3) AS score FROM paths),
+steps AS (SELECT path, score, unnest(ks) AS key FROM scored), st AS (SELECT s.path, s.score, max(l.c < 0.1) AS bad, min(l.c >= 0.7) AS good FROM steps s JOIN links l ON l.key = s.key GROUP BY 1, 2),
+v AS (SELECT path, score, CASE WHEN bad THEN 'contradicted' WHEN good THEN 'supported' ELSE 'insufficient' END AS status FROM st),
+r AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN status = 'supported' THEN 0 ELSE 1 END, score DESC, path) AS n FROM v)"""
+
+
+@query(_SCORED + " SELECT path AS id, CAST(score AS DOUBLE) AS score, status, n AS rank FROM r WHERE status = 'supported' OR n <= 6")
+def ranked_pathways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links, paths = _paths(spark, sf_dir)
+    hyps = paths.select(F.array_join("links", " ").alias("id"), F.lit("n").alias("name"), F.lit("ledger_path").alias("origin"), "links", F.lit("").alias("rationale"))
+    cats = links.select(F.col("subject").alias("id"), F.lit("process").alias("category")).distinct()
+    return H.evaluate(hyps, links, cats, "up").select("id", "score", "status", F.col("rank").cast("long").alias("rank"))
+
+
+@query()
+def search_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links, paths = _paths(spark, sf_dir)
+    hyps = paths.select(F.array_join("links", " ").alias("id"), F.lit("n").alias("name"), F.lit("ledger_path").alias("origin"), "links", F.lit("").alias("rationale"))
+    cats = links.select(F.col("subject").alias("id"), F.lit("process").alias("category")).distinct()
+    return H.allocate(H.evaluate(hyps, links, cats, "up"), links, 1)
+
+
+@query(f"""WITH {LINKS_SQL}, u AS (SELECT * FROM (VALUES ('N0'), ('N3'), ('N5')) t(id)), both_ AS (SELECT s AS a, o AS b FROM links WHERE c >= 0.7 UNION SELECT o, s FROM links WHERE c >= 0.7)
+SELECT DISTINCT a AS id FROM both_ WHERE b IN (SELECT id FROM u) AND a NOT IN (SELECT id FROM u)""")
+def novel_intermediates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    used = table(spark, sf_dir, "nation").where("n_nationkey in (0, 3, 5)").select(F.concat(F.lit("N"), "n_nationkey").alias("id"))
+    return H.novel_intermediates(derive.links(spark, sf_dir), used)
+
+
+# ── names ─────────────────────────────────────────────────────────────────────────────────────────────────────────
+@query(r"""SELECT DISTINCT name, trim(regexp_replace(lower(trim(regexp_replace(name, '\s+', ' ', 'g'), ' .,;:[]{}')), '[^a-z0-9+]+', ' ', 'g')) AS key FROM (SELECT p_name AS name FROM part UNION ALL SELECT n_name FROM nation UNION ALL SELECT c_name FROM customer)""")
+def lookup_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).union(table(spark, sf_dir, "nation").select("n_name")).union(table(spark, sf_dir, "customer").select("c_name")).distinct()
+    return names.select("name", X.lookup_key(F.col("name")).alias("key"))
+
+
+@query("""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark)
+SELECT w AS name, CASE WHEN length(w) < 5 OR w IN ('diabetes', 'herpes', 'series', 'species', 'lupus', 'status', 'mumps', 'measles', 'sepsis') THEN w WHEN w LIKE '%ies' THEN left(w, length(w) - 3) || 'y'
+  WHEN w LIKE '%s' AND NOT regexp_matches(w, '(ss|us|is)$') THEN left(w, length(w) - 1) ELSE w END AS singular FROM w""")
+def singular_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("name")).where("name <> ''").distinct()
+    return w.select("name", X.singular(F.col("name")).alias("singular"))
+
+
+@query("""SELECT p_type AS surface, count(*) AS n, CASE WHEN p_size % 5 = 0 THEN 'increases' WHEN p_size % 5 = 1 THEN 'no_effect' WHEN p_size % 5 = 2 THEN 'required_for' WHEN p_size % 5 = 3 THEN 'sufficient_for' ELSE '' END AS relation FROM part GROUP BY 1, 3""")
+def lexical_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.element_at(F.array(*map(F.lit, ("Elevated", "does not-affect", "is  required for", "sufficient_for", "unresolved"))), F.col("p_size") % 5 + 1)
+    return table(spark, sf_dir, "part").select(F.col("p_type").alias("surface"), X.lexical_relation(words).alias("relation")).groupBy("surface", "relation").agg(F.count("*").alias("n"))
+
+
+@query()
+def entity_parses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("colonic "), "p_name", F.lit(" expression")).alias("s"))
+    return c.select("p_partkey", X.entity_of(F.col("s")).alias("e")).select("p_partkey", "e.entity", "e.attribute", "e.tissue")
+
+
+# ── measures ──────────────────────────────────────────────────────────────────────────────────────────────────────
+@query("SELECT event_type AS value, count(*) AS n FROM events GROUP BY 1")
+def histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.histogram(table(spark, sf_dir, "events"), "event_type")
+
+
+@query(f"WITH {CLAIMS_SQL}, e AS (SELECT s AS x FROM claims UNION ALL SELECT o FROM claims) SELECT count(DISTINCT x) AS concepts, CAST(count(*) / 2 AS BIGINT) AS claims, round(count(DISTINCT x) / CAST(count(*) AS DOUBLE), 3) AS fragmentation FROM e")
+def fragmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.fragmentation(derive.claims(spark, sf_dir))
+
+
+@query("""SELECT event_type AS task, count(*) AS calls, CAST(count(*) AS BIGINT) AS items, count(*) FILTER (value < 5) AS failures, sum(user_id)::BIGINT AS tokens_in, sum(event_id)::BIGINT AS tokens_out, round((sum(user_id) * 2.0 + sum(event_id) * 8.0) / 1e6, 2) AS cost FROM events GROUP BY 1
+UNION ALL SELECT NULL, count(*), count(*), count(*) FILTER (value < 5), sum(user_id)::BIGINT, sum(event_id)::BIGINT, round((sum(user_id) * 2.0 + sum(event_id) * 8.0) / 1e6, 2) FROM events""")
+def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    calls = e.select(F.col("event_type").alias("task"), F.lit("m").alias("model"), F.lit(1).alias("items"), (F.col("value") < 5).alias("failed"), F.col("user_id").alias("tokens_in"), F.col("event_id").alias("tokens_out"), F.lit(0).alias("tokens_reasoning"), F.lit(0.5).alias("seconds"))
+    prices = spark.createDataFrame([("m", 2.0, 8.0)], "model string, price_in double, price_out double")
+    return T.usage(calls, prices).select("task", "calls", "items", "failures", "tokens_in", "tokens_out", F.round("cost", 2).alias("cost"))
+
+
+@query("SELECT left(CAST(year(o_orderdate) AS VARCHAR), 3) || '0s' AS decade, count(*) AS n FROM orders GROUP BY 1")
+def decades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").groupBy(T.decade(F.year("o_orderdate").cast("string")).alias("decade")).agg(F.count("*").alias("n"))
+
+
+@query(r"SELECT regexp_replace(p_brand || ' ' || p_size, '\d+', 'N', 'g') AS reason, count(*) AS n FROM part GROUP BY 1")
+def masked_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").groupBy(T.masked_digits(F.concat_ws(" ", "p_brand", "p_size")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT CASE WHEN k < 3 THEN CAST(k AS VARCHAR) ELSE '3+' END AS papers, count(*) AS n FROM (SELECT l_orderkey, count(*) AS k FROM lineitem GROUP BY 1) GROUP BY 1")
+def bucketed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("k")).groupBy(T.bucketed(F.col("k")).alias("papers")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH h AS (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM events) SELECT user_id, count(*) AS rounds, count(*) FILTER (prev IS NOT NULL AND prev <> event_type) AS changes FROM h GROUP BY 1""")
+def leader_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("round"), F.col("event_type").alias("leader"))
+    return T.leader_changes(h, "user_id").select("user_id", "rounds", "changes")
+
+
+@query("""SELECT conv_id, turn, role, substring(text, 1, 1500) AS text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 6""")
+def last_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.last_messages(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "role", "text")
+
+
+@query("""SELECT source, doc_id, CAST(before AS BIGINT) AS used_before FROM (SELECT source, doc_id, coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents) WHERE before < 20000""")
+def char_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.within_budget(table(spark, sf_dir, "documents"), ["source"], ["doc_id"], "n_chars", 20_000).where("fits").select("source", "doc_id", F.col("used_before").cast("long").alias("used_before"))
+
+
+@query("""WITH u AS (SELECT user_id AS run, event_id AS at, event_type AS node, event_id - coalesce(lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id), event_id) AS d FROM events) SELECT run, node, round(sum(d)::DOUBLE, 1) AS seconds FROM u GROUP BY 1, 2""")
+def step_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), F.col("event_id").cast("double").alias("at"), F.array("event_type").alias("nodes"))
+    return T.step_seconds(u)
+
+
+@query("SELECT p_type AS key, string_agg(DISTINCT CAST(p_size AS VARCHAR), ',' ORDER BY CAST(p_size AS VARCHAR)) AS ids FROM part GROUP BY p_type HAVING count(DISTINCT p_size) > 1")
+def duplicate_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select(F.col("p_size").cast("string").alias("id"), F.col("p_type").alias("label"))
+    return T.duplicate_labels(p).join(p.select("label", X.lookup_key(F.col("label")).alias("key")).distinct(), "key").select(F.col("label").alias("key"), F.array_join("ids", ",").alias("ids"))
+
+
+# ── texts ─────────────────────────────────────────────────────────────────────────────────────────────────────────
+@query()
+def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("pmid"), F.lit("").alias("abstract"), F.regexp_replace(F.regexp_replace("html", "<article", "<sec"), "</article>", "</sec>").alias("body"))
+    return C.sectioned_text(pages.select("pmid", "abstract"), C.sections_of(pages), 5000)
+
+
+@query()
+def verified_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("doc"), "text")
+    claims = derive.claims(spark, sf_dir).select("id", "grade", "relation_norm")
+    return R.verify_text(texts, claims).select("doc", "n_sentences", F.size("uncited").alias("n_uncited"), F.size("overclaims").alias("n_overclaims"), "passed")
