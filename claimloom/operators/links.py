@@ -12,27 +12,43 @@ from pyspark.sql import functions as F
 from claimloom import schemas as S
 from claimloom.functions.grading import stance, system_rank
 from claimloom.functions.text import key_part, link_key
+from claimloom.sources.scratch import materialize
 
 REVIEW = "secondary source (review)"
 OTHER_CONTEXT = "different context (triaged as context-dependent)"
 WEAKER_NULL = "null result weaker than the support"
 
 
+def _stance(r: str) -> str:
+    return "null" if r in S.NULL_RELATIONS else S.DIRECTION.get(r) or ("physical" if r in S.PHYSICAL else "effect")
+
+
+def _opposes(edge: str, claim: str) -> bool:
+    if edge in S.DIRECTION:
+        return _stance(claim) in {"null", "up", "down"} - {S.DIRECTION[edge]}
+    if edge in S.NULL_RELATIONS:
+        return _stance(claim) in ("up", "down")
+    if edge in S.ASSOCIATIVE:
+        return claim in S.NULL_RELATIONS
+    return edge in S.CAUSAL and _stance(claim) == "null"
+
+
+def _agrees(edge: str, claim: str) -> bool:
+    return claim == edge if edge in S.ASSOCIATIVE else edge in S.DIRECTION and _stance(claim) == S.DIRECTION[edge]
+
+
+def _pairs(rule) -> list[str]:
+    """The pairs of relations (edge's, claim's) for which a rule holds: a small fixed set, looked up as one key, so that
+    the join above it stays within compiled code."""
+    return [f"{e}|{c}" for e in S.RELATIONS[:-1] for c in S.RELATIONS[:-1] if rule(e, c)]
+
+
 def contradicts(link_relation: Column, relation: Column) -> Column:
-    s = stance(relation)
-    directional = F.when(link_relation == "increases", s.isin("null", "down")).when(link_relation == "decreases", s.isin("null", "up"))
-    return F.coalesce(
-        directional,
-        F.when(link_relation.isin("associated_with", "predicts"), relation.isin(*S.NULL_RELATIONS)),
-        F.when(link_relation.isin(*S.NULL_RELATIONS), s.isin("up", "down")),
-        F.when(link_relation.isin("required_for", "sufficient_for", "modulates"), s == "null"),
-        F.lit(False),
-    )
+    return F.concat_ws("|", link_relation, relation).isin(*_pairs(_opposes))
 
 
 def corroborates(link_relation: Column, relation: Column) -> Column:
-    same = F.when(link_relation == "increases", stance(relation) == "up").when(link_relation == "decreases", stance(relation) == "down")
-    return F.coalesce(same, F.when(link_relation.isin(*S.ASSOCIATIVE), relation == link_relation), F.lit(False))
+    return F.concat_ws("|", link_relation, relation).isin(*_pairs(_agrees))
 
 
 def context_of(prefix: str = "") -> Column:
@@ -66,12 +82,15 @@ def _grade_of(tier: Column) -> Column:
 
 def build_links(
     claims: DataFrame, prior: DataFrame | None = None, verdicts: DataFrame | None = None, discounted: DataFrame | None = None, ancestors: DataFrame | None = None,
-    labels: DataFrame | None = None, extra: DataFrame | None = None, settings: S.Settings = S.Settings(),
+    labels: DataFrame | None = None, extra: DataFrame | None = None, settings: S.Settings = S.Settings(), with_ids: bool = True,
 ) -> DataFrame:
     """One row of ``schemas.LINK`` for each key that a claim, ``prior`` (LINK_STATE columns) or ``extra`` (key) names.
 
     claims: schemas.CLAIM columns; verdicts: lo, hi, same_finding; discounted: lo, hi; ancestors: concept, ancestors;
-    labels: id, label. Ties between claims never matter: ids are sets, grades maxima, papers distinct counts."""
+    labels: id, label. Ties between claims never matter: ids are sets, grades maxima, papers distinct counts.
+
+    with_ids false: n_support, n_opposing and n_uncounted in place of the lists of ids, contexts and reasons, so that the
+    size of a row does not grow with the claims of an edge."""
     c = claims.where(~F.coalesce(F.col("relation_norm"), F.lit("")).isin("", "unresolved")).select(
         "id", "pmid", F.col("subject_concept").alias("s"), F.col("object_concept").alias("o"), F.col("relation_norm").alias("r"),
         S.tier(F.col("grade")).alias("tier"), (F.col("study_type") == "review").alias("review"), F.coalesce("comparator_present", F.lit(False)).alias("control"),
@@ -82,49 +101,62 @@ def build_links(
         if more is not None:
             keys = keys.union(more.select(*(key_part(F.col("key"), p) for p in ("subject", "relation", "object"))))
     keys = keys.distinct().withColumn("key", link_key(F.col("s"), F.col("r"), F.col("o")))
-    edge = keys.select("key", F.col("s"), F.col("o"), F.col("r").alias("lr"))
+    edge = keys.select("key", "s", "o", F.col("r").alias("lr"))
     pair = c.withColumn("exact", F.lit(True))
     if ancestors is not None:  # a finding on a subtype supports the edge to its ancestor, where that is a node of an edge
         nodes = keys.select(F.col("s").alias("up")).union(keys.select("o")).distinct()
         above = ancestors.select(F.col("concept").alias("o"), F.explode("ancestors").alias("up")).where("up <> o").distinct().join(nodes, "up", "left_semi")
         rolled = c.where(F.col("r").isin(*S.DIRECTION)).join(above, "o").withColumn("o", F.col("up")).drop("up").withColumn("exact", F.lit(False))
         pair = pair.unionByName(rolled)
-    same = pair.join(edge, ["s", "o"])  # claims on an edge's pair of ends
     role = F.when(F.col("r") == F.col("lr"), "support").when(corroborates(F.col("lr"), F.col("r")), "corro")
-    on_edge = same.withColumn("role", role)
-    support = on_edge.where("role = 'support'")
-    corro = on_edge.where("role = 'corro'").select("key", "id", "pmid", "review")
+    against = F.col("exact") & contradicts(F.col("lr"), F.col("r"))
+    met = pair.join(edge, ["s", "o"]).withColumn("role", role).withColumn("against", against).where("role is not null or against")
+    met = materialize(met.drop("s", "o"), "edge-claims")  # read several times below
+    support = met.where("role = 'support'")
+    corro = met.where("role = 'corro'").select("key", "id", "pmid", "review")
     if verdicts is not None:  # findings judged the same as a supporting one
         other = c.select(F.col("id").alias("partner"), F.col("pmid").alias("ppmid"), F.col("review").alias("preview"), F.col("r").alias("pr"))
         by_partner = support.select("key", "lr", "id").join(partners(verdicts), "id").join(other, "partner").where(corroborates(F.col("lr"), F.col("pr")))
         by_partner = by_partner.select("key", F.col("partner").alias("id"), F.col("ppmid").alias("pmid"), F.col("preview").alias("review"))
         corro = corro.union(by_partner).distinct().join(support.select("key", "id"), ["key", "id"], "left_anti")
-    corro = corro.distinct()
-    primary = F.when(~F.col("review"), F.col("pmid"))
-    supported = support.groupBy("key").agg(
-        F.sort_array(F.collect_set("id")).alias("support_ids"), F.max(F.when(~F.col("review"), F.col("tier"))).alias("best"),
-        F.collect_set("pmid").alias("support_pmids"), F.collect_set(primary).alias("papers1"), F.sort_array(F.collect_set(F.when(~F.col("review"), F.col("context.cell")))).alias("contexts"),
-    )
-    capped = F.when(key_part(F.col("key"), "relation").isin(*S.ASSOCIATIVE), F.least("best", F.lit(1))).otherwise(F.col("best"))
-    supported = supported.withColumn("best", F.coalesce(capped, F.lit(0)))
-    corroborated = corro.groupBy("key").agg(F.sort_array(F.collect_set("id")).alias("corroborating_ids"), F.collect_set(primary).alias("papers2"))
-    against = same.where(F.col("exact") & contradicts(F.col("lr"), F.col("r"))).join(supported.select("key", "best"), "key", "left")
-    if discounted is not None:  # opposing findings set aside: a discounted pair with a support of other context, no closer to humans
+    best = support.where("not review").groupBy("key", "lr").agg(F.max("tier").alias("best"))
+    best = best.select("key", F.when(F.col("lr").isin(*S.ASSOCIATIVE), F.least("best", F.lit(1))).otherwise(F.col("best")).alias("best"))
+    opposing = met.where("against").join(best, "key", "left")
+    if discounted is not None:  # set aside: a discounted pair with a support of other context, no closer to humans
         both = discounted.select("lo", "hi").union(discounted.select("hi", "lo")).toDF("id", "x").distinct()
         x = support.select("key", F.col("id").alias("x"), F.col("context").alias("xc"), F.col("rank").alias("xr"))
-        aside = against.select("key", "id", "context", "rank").join(both, "id").join(x, ["key", "x"])
+        aside = opposing.select("key", "id", "context", "rank").join(both, "id").join(x, ["key", "x"])
         aside = aside.where((F.col("context") != F.col("xc")) & (F.col("rank") <= F.col("xr"))).select("key", "id").distinct().withColumn("aside", F.lit(True))
-        against = against.join(aside, ["key", "id"], "left")
+        opposing = opposing.join(aside, ["key", "id"], "left")
     else:
-        against = against.withColumn("aside", F.lit(None).cast("boolean"))
+        opposing = opposing.withColumn("aside", F.lit(False))
     weak_null = (stance("r") == "null") & ~(F.col("control") & (F.col("tier") >= F.coalesce("best", F.lit(0))))
     why = F.when(F.col("review"), REVIEW).when(F.col("aside"), OTHER_CONTEXT).when(weak_null, WEAKER_NULL)
-    against = against.withColumn("why", why)
-    opposing = against.where("why is null").groupBy("key").agg(F.sort_array(F.collect_set("id")).alias("contradicting_ids"), F.collect_set("pmid").alias("contra_pmids"), F.max("tier").alias("contra_best"))
-    reviews = lambda df: df.where("review").select("key", "id", F.lit(REVIEW).alias("why"))
-    uncounted = reviews(support.select("key", "id", "review")).union(reviews(corro)).union(against.where("why is not null").select("key", "id", "why"))
-    uncounted = uncounted.groupBy("key", "id").agg(F.max("why").alias("why")).groupBy("key").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("id", "why")))).alias("uncounted"))
-    out = edge.join(supported, "key", "left").join(corroborated, "key", "left").join(opposing, "key", "left").join(uncounted, "key", "left")
+    votes = (  # a claim's part in an edge: whether it counts for or against it, or why not
+        support.select("key", "id", "pmid", F.lit("support").alias("role"), F.when(F.col("review"), REVIEW).alias("why"), "tier", F.col("context.cell").alias("cell"))
+        .unionByName(corro.select("key", "id", "pmid", F.lit("corro").alias("role"), F.when(F.col("review"), REVIEW).alias("why"), F.lit(0).alias("tier"), F.lit(None).cast("string").alias("cell")))
+        .unionByName(opposing.select("key", "id", "pmid", F.lit("contra").alias("role"), why.alias("why"), "tier", F.lit(None).cast("string").alias("cell")))
+    )
+    votes = materialize(votes, "votes")
+    counts = F.col("why").isNull()
+    pro, con = counts & F.col("role").isin("support", "corro"), counts & (F.col("role") == "contra")
+    # papers are counted from one row for each edge and paper, so that no edge gathers its papers
+    by_paper = votes.groupBy("key", "pmid").agg(F.bool_or(pro).alias("pro"), F.bool_or(con).alias("con"), F.bool_or(F.col("role") == "support").alias("sup"), F.max(F.when(con, F.col("tier"))).alias("ctier"))
+    counted = by_paper.groupBy("key").agg(F.count_if("pro").alias("n"), F.count_if(F.col("con") & ~F.col("sup")).alias("k"), F.max("ctier").alias("contra_best"), F.bool_or("sup").alias("any_support"))
+    out = edge.join(counted, "key", "left").join(best, "key", "left")
+    ids = votes.where("why is null or role = 'support'").groupBy("key").agg(
+        *[F.sort_array(F.collect_set(F.when(F.col("role") == r, F.col("id")))).alias(n) for r, n in (("support", "support_ids"), ("corro", "corroborating_ids"), ("contra", "contradicting_ids"))],
+        F.sort_array(F.collect_set(F.when(counts & (F.col("role") == "support"), F.col("cell")))).alias("contexts"),
+    )
+    corro_reviews = votes.where("role = 'corro' and why is not null").groupBy("key").agg(F.collect_set("id").alias("corro_reviews"))
+    uncounted = votes.where("why is not null").groupBy("key", "id").agg(F.max("why").alias("why")).groupBy("key").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("id", "why")))).alias("uncounted"))
+    if with_ids:
+        out = out.join(ids, "key", "left").join(uncounted, "key", "left").join(corro_reviews, "key", "left")
+        none = F.array().cast("array<string>")
+        out = out.withColumn("corroborating_ids", F.array_sort(F.array_union(F.coalesce("corroborating_ids", none), F.coalesce("corro_reviews", none))))
+    else:
+        tallies = votes.groupBy("key", "id").agg(*[F.bool_or(x).alias(n) for n, x in (("s", F.col("role") == "support"), ("c", con), ("u", ~counts))]).groupBy("key").agg(*[F.count_if(x).alias(n) for n, x in (("n_support", "s"), ("n_opposing", "c"), ("n_uncounted", "u"))])
+        out = out.join(tallies, "key", "left")
     state = ("times_targeted", "zero_yield_count", "exhausted")
     if prior is not None:
         out = out.join(prior.select("key", *state, *(x for x in ("subject_label", "object_label") if x in prior.columns)), "key", "left")
@@ -137,17 +169,14 @@ def build_links(
             out = out.withColumn(f"{side}_label", F.coalesce(F.col(f"__{end}"), old, F.col(end)))
         else:
             out = out.withColumn(f"{side}_label", F.coalesce(old, F.col(end)))
-    return with_status(out, settings)
+    return with_status(out, settings, with_ids)
 
 
-def with_status(df: DataFrame, settings: S.Settings = S.Settings()) -> DataFrame:
-    """Counts, shares, status, reason and completeness from the sets gathered for each edge."""
+def with_status(df: DataFrame, settings: S.Settings = S.Settings(), with_ids: bool = True) -> DataFrame:
+    """Shares, status, reason and completeness from the counts n and k, the best tiers, and the state of each edge."""
     none = F.array().cast("array<string>")
     some = lambda n: F.coalesce(F.col(n), none)
-    df = df.withColumns({
-        "n": F.size(F.array_union(some("papers1"), some("papers2"))), "k": F.size(F.array_except(some("contra_pmids"), some("support_pmids"))),
-        "grade": _grade_of(F.col("best")), "contra_grade": _grade_of(F.col("contra_best")),
-    })
+    df = df.withColumns({"n": F.coalesce("n", F.lit(0)).cast("int"), "k": F.coalesce("k", F.lit(0)).cast("int"), "grade": _grade_of(F.col("best")), "contra_grade": _grade_of(F.col("contra_best"))})
     n, k, m, threshold = F.col("n"), F.col("k"), settings.min_studies_per_link, settings.contradiction_threshold
     df = df.withColumn("share", F.when(n + k > 0, k / (n + k)).otherwise(F.lit(0.0)))
     share, best, searches = F.col("share"), F.coalesce("best", F.lit(0)), F.col("zero_yield_count")
@@ -156,7 +185,7 @@ def with_status(df: DataFrame, settings: S.Settings = S.Settings()) -> DataFrame
         ((k > 0) & (share >= threshold) & (F.coalesce("contra_best", F.lit(0)) >= 2), "contradicted", F.format_string("%d opposing vs %d supporting papers", k, n)),
         ((n > 0) & (n >= m) & (share < threshold) & (best >= 2), "supported", F.format_string("%d papers, best grade %s", n, F.col("grade"))),
         ((n > 0) & (n >= m) & (share < threshold), "insufficient", F.format_string("only weak evidence (%d papers)", n)),
-        ((n == 0) & (F.size(some("support_ids")) > 0), "insufficient", F.lit("only secondary sources (reviews)")),
+        ((n == 0) & F.coalesce("any_support", F.lit(False)), "insufficient", F.lit("only secondary sources (reviews)")),
         ((n == 0) & F.col("exhausted"), "insufficient", F.format_string("no study found in %d targeted searches", searches)),
         ((n == 0) & (searches > 0), "insufficient", F.format_string("not found in %d targeted search%s", searches, times)),
         (n == 0, "insufficient", F.lit("not found yet")),
@@ -165,12 +194,11 @@ def with_status(df: DataFrame, settings: S.Settings = S.Settings()) -> DataFrame
     ]
     verdict = F.coalesce(*[F.when(h, F.struct(F.lit(s).alias("status"), r.alias("reason"))) for h, s, r in rules])
     complete = F.when(n > 0, F.least(F.lit(1.0), n / m) * S.mapped(S.QUALITY, F.col("grade")) * (1 - share)).otherwise(F.lit(0.0))
+    lists = [some(c).alias(c) for c in ("support_ids", "corroborating_ids", "contradicting_ids")] + [F.coalesce("uncounted", F.create_map().cast("map<string,string>")).alias("uncounted")] if with_ids else [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_support", "n_opposing", "n_uncounted")]
     return df.withColumn("v", verdict).select(
-        "key", F.col("s").alias("subject"), F.col("lr").alias("relation"), F.col("o").alias("object"), "subject_label", "object_label",
-        some("support_ids").alias("support_ids"), some("corroborating_ids").alias("corroborating_ids"), some("contradicting_ids").alias("contradicting_ids"),
-        F.coalesce("uncounted", F.create_map().cast("map<string,string>")).alias("uncounted"), n.cast("int").alias("n_studies"), k.cast("int").alias("n_contra_studies"),
-        "grade", "contra_grade", F.round(share, 3).alias("contradiction_share"), F.round(complete, 3).alias("completeness"), F.col("v.status").alias("status"),
-        F.col("v.reason").alias("reason"), some("contexts").alias("contexts"), "times_targeted", "zero_yield_count", "exhausted",
+        "key", F.col("s").alias("subject"), F.col("lr").alias("relation"), F.col("o").alias("object"), "subject_label", "object_label", *lists,
+        n.alias("n_studies"), k.alias("n_contra_studies"), "grade", "contra_grade", F.round(share, 3).alias("contradiction_share"), F.round(complete, 3).alias("completeness"),
+        F.col("v.status").alias("status"), F.col("v.reason").alias("reason"), *([some("contexts").alias("contexts")] if with_ids else []), "times_targeted", "zero_yield_count", "exhausted",
     )
 
 

@@ -43,7 +43,7 @@ def _long(*names: str) -> list:
 # ── edges ─────────────────────────────────────────────────────────────────────────────────────────────────────────
 _LINKS = f"""WITH {CLAIMS_SQL},
 sup AS (SELECT s, r, o, count(DISTINCT CASE WHEN study <> 'review' THEN pmid END) AS n, count(DISTINCT id) AS n_support, max(CASE WHEN study <> 'review' THEN tier END) AS best0 FROM claims GROUP BY s, r, o),
-edge AS (SELECT s, r, o, n, n_support, coalesce(CASE WHEN r = 'associated_with' THEN least(best0, 1) ELSE best0 END, 0) AS best FROM sup),
+edge AS (SELECT s, r, o, n, n_support, CASE WHEN best0 IS NULL THEN 0 WHEN r = 'associated_with' THEN least(best0, 1) ELSE best0 END AS best FROM sup),
 opp AS (SELECT e.s, e.r, e.o, e.best, c.id, c.pmid, c.tier, c.study, c.r AS cr, c.control FROM edge e JOIN claims c ON c.s = e.s AND c.o = e.o
   WHERE (e.r = 'increases' AND c.r IN ('decreases', 'no_effect')) OR (e.r = 'decreases' AND c.r IN ('increases', 'no_effect')) OR (e.r = 'associated_with' AND c.r = 'no_effect') OR (e.r = 'no_effect' AND c.r IN ('increases', 'decreases'))),
 con AS (SELECT * FROM opp WHERE study <> 'review' AND NOT (cr = 'no_effect' AND NOT (control AND tier >= best))),
@@ -60,8 +60,19 @@ SELECT s || '|' || r || '|' || o AS key, n AS n_studies, k AS n_contra_studies,
 
 @query(_LINKS)
 def build_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = L.build_links(derive.claims(spark, sf_dir), with_ids=False)
+    return out.select("key", *_long("n_studies", "n_contra_studies", "n_support", "n_opposing", "n_uncounted"), "grade", "status")
+
+
+_RECORDS = _LINKS[: _LINKS.rindex("SELECT s || '|'")] + """, ids AS (SELECT s, r, o, string_agg(DISTINCT id, ',' ORDER BY id) AS support_ids FROM claims GROUP BY s, r, o),
+cids AS (SELECT s, r, o, string_agg(DISTINCT id, ',' ORDER BY id) AS contradicting_ids FROM con GROUP BY s, r, o)
+SELECT g.s || '|' || g.r || '|' || g.o AS key, i.support_ids, coalesce(c.contradicting_ids, '') AS contradicting_ids FROM g JOIN ids i ON i.s = g.s AND i.r = g.r AND i.o = g.o LEFT JOIN cids c ON c.s = g.s AND c.r = g.r AND c.o = g.o"""
+
+
+@query(_RECORDS)
+def link_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = L.build_links(derive.claims(spark, sf_dir))
-    return out.select("key", *_long("n_studies", "n_contra_studies"), F.size("support_ids").cast("long").alias("n_support"), F.size("contradicting_ids").cast("long").alias("n_opposing"), F.size("uncounted").cast("long").alias("n_uncounted"), "grade", "status")
+    return out.select("key", F.array_join("support_ids", ",").alias("support_ids"), F.array_join("contradicting_ids", ",").alias("contradicting_ids"))
 
 
 @query(f"WITH {CLAIMS_SQL} SELECT id, pmid, s AS subject_concept, o AS object_concept, r AS relation_norm, control AS comparator_present, study AS study_type, list_extract(['weak', 'moderate', 'strong'], tier) AS grade FROM claims")
