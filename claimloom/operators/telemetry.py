@@ -96,9 +96,16 @@ def problem_lines(log: DataFrame, most: int = 30, tail: int = 40) -> tuple[DataF
     return log.where(F.col("line").rlike("(?i)fail|WARN|error")).orderBy("n").limit(most), log.orderBy(F.desc("n")).limit(tail)
 
 
+# Wording of provider errors that no retry mends.
+FATAL = (
+    r"(?i)insufficient_quota|credit_balance|credit balance|billing|invalid_api_key|incorrect api key|authentication|permission_error|model_not_found|"
+    r"not_found_error|does not exist|unsupported_value|unsupported_parameter|unrecognized request argument"
+)
+
+
 def is_fatal(status: Column, message: Column) -> Column:
     """Errors that no retry mends: missing rights, unknown model, no credit."""
-    return F.coalesce(status.isin(401, 403, 404), F.lit(False)) | F.coalesce(message.rlike("(?i)api key|authenticat|permission|not found|quota|billing|credit"), F.lit(False))
+    return F.coalesce(status.isin(401, 403, 404), F.lit(False)) | F.coalesce(message.rlike(FATAL), F.lit(False))
 
 
 def masked_setting(c: Column) -> Column:
