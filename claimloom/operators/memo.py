@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from claimloom import schemas as S
 from claimloom.functions.text import lookup_key
+from claimloom.sources.scratch import numbered
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -127,8 +128,7 @@ def typed_relations(claims: DataFrame, verdicts: DataFrame) -> DataFrame:
 def pair_batches(pairs: DataFrame, judged: DataFrame, size: int = 30) -> DataFrame:
     """(batch, pair, lo, hi): unjudged pairs in order, numbered from 1 within batches of ``size``."""
     todo = unseen(pairs.select("lo", "hi").distinct(), judged, "lo", "hi")
-    n = F.row_number().over(Window.orderBy("lo", "hi")) - 1  # what goes out to a judge is a small table
-    return todo.select("lo", "hi", n.alias("n")).select(F.expr(f"n div {size}").cast("int").alias("batch"), (F.col("n") % size + 1).alias("pair"), "lo", "hi")
+    return numbered(todo.select("lo", "hi"), "lo", "hi").select(F.expr(f"n div {size}").cast("int").alias("batch"), (F.col("n") % size + 1).cast("int").alias("pair"), "lo", "hi")
 
 
 def positional_verdicts(asked: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from claimloom.functions.text import clean, entity_of, local_id, lookup_key, maybe_alias, singular, species, trigrams
 from claimloom.operators.pairs import complete_linkage
+from claimloom.sources.scratch import materialize
 
 # Ontologies in order of preference, and what their prefixes name.
 ONTOLOGIES = ("chebi", "pr", "go", "cl", "hp", "mp", "efo", "mondo", "uberon", "ncit")
@@ -27,9 +28,9 @@ def keyed(surfaces: DataFrame, column: str = "surface") -> DataFrame:
 def ancestors_of(edges: DataFrame, most: int = 64) -> DataFrame:
     """(id, ancestors): all that parent edges (id, parent) lead to. Paths double in length each round, so a hierarchy of
     depth d takes log2(d) joins; ``most`` bounds the depth against loops."""
-    paths, length = edges.where("id <> parent").select("id", "parent").distinct(), 1
+    paths, length = materialize(edges.where("id <> parent").select("id", "parent").distinct(), "paths"), 1
     while length < most:
-        longer = paths.union(paths.join(paths.toDF("parent", "up"), "parent").select("id", "up")).where("id <> parent").distinct()
+        longer = materialize(paths.union(paths.join(paths.toDF("parent", "up"), "parent").select("id", "up")).where("id <> parent").distinct(), "paths")
         if longer.count() == paths.count():
             break
         paths, length = longer, 2 * length
@@ -92,11 +93,11 @@ def saved_cache(cache: DataFrame, resolved: DataFrame) -> DataFrame:
 
 def canonical(alias: DataFrame, most: int = 40) -> DataFrame:
     """(child, root): pointer chains (child, parent) followed to their ends, by doubling."""
-    hop = alias.select("child", F.col("parent").alias("root")).where("child <> root").dropDuplicates(["child"])
+    hop = materialize(alias.select("child", F.col("parent").alias("root")).where("child <> root").dropDuplicates(["child"]), "hops")
     for _ in range(most):
         nxt = hop.select(F.col("child").alias("root"), F.col("root").alias("far"))
         further = hop.join(nxt, "root", "left").select("child", F.coalesce("far", "root").alias("root"), F.col("far").isNotNull().alias("moved"))
-        further = further.where("child <> root")
+        further = materialize(further.where("child <> root"), "hops")
         if not further.where("moved").limit(1).count():
             return further.drop("moved")
         hop = further.drop("moved")

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,4 +28,42 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/claimloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def mark() -> int:
+    """A point in the list of scratch tables, for ``release``."""
+    return len(_WRITTEN)
+
+
+def release(spark: SparkSession, since: int = 0, keep: Iterable[DataFrame] = ()) -> None:
+    """Delete the scratch tables written since a mark, but for those that the frames in ``keep`` read. For callers who
+    know that nothing lazy still reads them, such as between the stages of a pipeline."""
+    held = {f for df in keep for f in df.inputFiles()}
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    left = []
+    for path in _WRITTEN[since:]:
+        name = path.rsplit("/", 1)[1]
+        if any(f"/{name}/" in f for f in held):
+            left.append(path)
+        else:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+    _WRITTEN[since:] = left
+
+
+def numbered(df: DataFrame, *order: str | Column, name: str = "n", parts: int | None = None) -> DataFrame:
+    """Rows numbered from 0 in an order, without sorting them in one task: ranges are sorted apart, and each range's
+    numbers start after the rows before it. Ties of the order are numbered in no particular order."""
+    spark = df.sparkSession
+    n = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    ranged = materialize(ranged.withColumn("__part", F.shiftright("__id", 33)), "numbered")
+    sizes = sorted((r["__part"], r["count"]) for r in ranged.groupBy("__part").count().collect())  # one row a partition
+    starts, at = [], 0
+    for part, size in sizes:
+        starts.append((part, at))
+        at += size
+    first = spark.createDataFrame(starts, "__part long, __start long")
+    return ranged.join(F.broadcast(first), "__part").withColumn(name, F.col("__start") + F.col("__id").bitwiseAND((1 << 33) - 1)).drop("__part", "__id", "__start")
