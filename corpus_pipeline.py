@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from claimloom.llm import jaccard_join, language_id, packing, queries, secret_scan, suffix_dedup
-from claimloom.sources.scratch import materialize
+from claimloom.sources.scratch import mark, materialize, release
 from claimloom.sources.shipping import ship
 
 
@@ -57,5 +57,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
+        before = mark()
         docs = materialize(stage(spark, docs, sf_dir), "stage")
+        release(spark, before, keep=[docs])  # the stage's scratch tables; its result stays
     return docs
