@@ -17,7 +17,8 @@ sets is at least the threshold.
 5. Groups are the connected components of verified links.
 
 Defined results: null, empty and blank texts have no shingles, no links, and a group of their own each. Rows repeated
-with one doc_id are one document if their texts agree; if they differ each row is kept and counted. Very long texts are
+with one doc_id are one document if their texts agree; if they differ each row is kept and counted. Rows without a doc_id
+have no links (one row tells of them all). Very long texts are
 whole. An empty table gives an empty result; extra columns are not read.
 """
 
@@ -237,6 +238,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
     """One row per document (and per distinct text of a doc_id): doc_id, copy_id (smallest doc_id with the same word
     sequence), class_id (smallest doc_id of the group that links join), n_links (long: other documents whose
     similarity is at least the threshold, copies among them), n_class (documents in the group)."""
+    every, docs = docs, docs.where("doc_id is not null")
     signatures = materialize(docs.select("doc_id", "text").mapInArrow(_signatures(size), "doc_id long, seq long, sig binary"), "signatures")
     members = signatures.select("doc_id", "seq").distinct()
     classes = materialize(members.groupBy("seq").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies")), "classes")
@@ -266,7 +268,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
     linked = linked.join(groups, "component").select("seq", "links", "class_id", "n_class")
     by_class = classes.join(linked, "seq", "left").select("seq", "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("n_class", "copies").alias("n_class"))
     found = members.join(by_class, "seq").select("doc_id", "copy_id", "class_id", "n_links", "n_class")
-    alone = docs.select("doc_id", "text").where(r"text is null or not text rlike '[^ \t-\r]'").select("doc_id").distinct()
+    alone = every.select("doc_id", "text").where("doc_id is null or " r"text is null or not text rlike '[^ \t-\r]'").select("doc_id").distinct()
     alone = alone.select("doc_id", F.col("doc_id").alias("copy_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_class"))
     return found.unionByName(alone)
 

@@ -17,7 +17,7 @@ in aggregations with map-side combine and in equi-joins that adaptive execution
 
 Defined results: null and empty texts, and texts under L words, have no repeats. Words are the runs between spaces and
 \\t..\\r, compared byte by byte; texts keep any length. Rows repeated under one doc_id with the same text count as one
-document. An empty table gives an empty result. Extra columns of the input, whatever their names, are not read.
+document. Rows without a doc_id take no part, and stay as they are where copies are removed. An empty table gives an empty result. Extra columns of the input, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -109,6 +109,7 @@ def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS, k: int = KGRAM
     """(doc_id, pos, until, first_doc, first_pos): words pos..until of the document start L-word windows that occur
     more than once; the run's first window occurs first at word first_pos of document first_doc, and so on along it."""
     k = min(k, min_words)
+    docs = docs.where("doc_id is not null")
     texts = docs.select("doc_id", "text")
     suffixes = materialize(texts.mapInArrow(_suffixes(min_words, k), "doc_id long, pos int, n int, kgram long, context long"), "suffixes")
     shared = suffixes.groupBy("kgram").agg(F.count("*").alias("c")).where("c > 1").select("kgram")
@@ -212,7 +213,7 @@ def _without(text: str, cuts: list[dict]) -> str:
 def remove_copies(docs: DataFrame, min_words: int = MIN_WORDS, k: int = KGRAM) -> DataFrame:
     """The documents with each copied span cut out (first occurrences stay), n_chars counted anew; a document of
     which nothing but white space is left is dropped. Other columns stay as they are."""
-    cuts = repeated_spans(docs, min_words, k).where("is_copy").groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "n_words")).alias("cuts"))
+    cuts = repeated_spans(docs, min_words, k).where("is_copy").groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "n_words")).alias("__claimloom_cuts"))
     names = docs.columns
     rest = [c for c in names if c not in ("doc_id", "text")]
     joined = docs.join(cuts, "doc_id", "left")
@@ -228,4 +229,4 @@ def remove_copies(docs: DataFrame, min_words: int = MIN_WORDS, k: int = KGRAM) -
             out = pa.RecordBatch.from_arrays([by[c] for c in names], names)
             yield out.filter(pa.array([not c or bool(t.strip(" \t\n\v\f\r")) for t, c in zip(texts, batch.column(2).to_pylist(), strict=True)]))
 
-    return joined.select("doc_id", "text", "cuts", *rest).mapInArrow(run, schema)
+    return joined.select("doc_id", "text", "__claimloom_cuts", *rest).mapInArrow(run, schema)

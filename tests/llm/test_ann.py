@@ -44,10 +44,10 @@ def test_driver_table(spark):
 def test_invalid_equal_few_and_clashing(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [1.0, 2.0]) for i in range(100)] + [(i, rng.normal(size=2).tolist()) for i in range(100, 140)]
-    rows += [(200, None), (220, [0.0, 0.0]), (240, [1.0, None]), (260, [1.0, float("nan")]), (280, [1.0, float("inf")]), (300, []), (0, [1.0, 2.0])]
+    rows += [(200, None), (220, [0.0, 0.0]), (240, [1.0, None]), (None, [1.0, 2.0]), (260, [1.0, float("nan")]), (280, [1.0, float("inf")]), (300, []), (0, [1.0, 2.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 AS bucket", "2 AS id", "3 AS vector")
     for block in (4096, 16):
-        have, want = got(nearest(df, QUERY, block=block)), exact(rows[:-7])
+        have, want = got(nearest(df, QUERY, block=block)), exact(rows[:-8])
         assert set(have) == set(want)
         for q in (0, 20, 40, 60, 80):
             assert [i for i, _ in have[q]] == [i for i, _ in want[q]]

@@ -60,8 +60,9 @@ def test_blocks_of_a_large_group(spark, monkeypatch):
 
 def test_keep_one_and_repeats(spark):
     p = " ".join(f"a{i}" for i in range(40))
-    docs = spark.createDataFrame([(5, p, 1), (3, p, 2), (3, p, 2), (9, "other words", 3), (10, None, 4), (11, None, 5)], "doc_id long, text string, cls int")
-    assert sorted((r.doc_id, r.cls) for r in keep_one(docs).collect()) == [(3, 2), (3, 2), (9, 3), (10, 4), (11, 5)]
+    docs = spark.createDataFrame([(5, p, 1), (3, p, 2), (3, p, 2), (9, "other words", 3), (10, None, 4), (11, None, 5), (None, p, 6), (None, p, 7)], "doc_id long, text string, cls int")
+    assert sorted((r.doc_id or 0, r.cls) for r in keep_one(docs).collect()) == [(0, 6), (0, 7), (3, 2), (3, 2), (9, 3), (10, 4), (11, 5)]
+    assert [(r.class_id, r.n_links) for r in near_duplicates(docs).where("doc_id is null").collect()] == [(None, 0)]
     assert keep_one(docs).columns == docs.columns and near_duplicates(docs.limit(0)).count() == 0
 
 

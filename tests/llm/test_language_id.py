@@ -26,6 +26,8 @@ def test_held_out_accuracy_and_defined_cases(spark):
             assert r.lang_pred == ("en" if r.doc_id % 2 else "de")
     by = {r.doc_id: r for r in got}
     assert all(by[i].lang_pred == "und" and by[i].score == 0 for i in (500, 501, 502)) and by[503].lang_pred != "und"
+    nameless = identify(corpus(spark).unionByName(spark.createDataFrame([(None, EN, "en", "x")], "doc_id long, text string, lang string, score string"))).where("doc_id is null").first()
+    assert nameless.lang_pred == "en" and nameless.held_out is False
     assert by[504].lang_pred == by[505].lang_pred == "en"
 
 

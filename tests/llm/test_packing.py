@@ -65,6 +65,8 @@ def test_packs_whole_documents(spark, shard):
 
 def test_repeated_rows(spark):
     p = spark.createDataFrame([(1, 0, 0, 100, 5)] * 3 + [(2, 0, 0, 2048, 6)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    nameless = pack_documents(spark.createDataFrame([(None, "a b"), (None, None)], "doc_id long, text string"), PATH).collect()
+    assert sorted((r.doc_id, r.length) for r in nameless) == [(None, 1), (None, 3)]
     rows = pack(p).collect()
     assert sorted(r.offset for r in rows if r.doc_id == 1) == [0, 100, 200] and len({r.sequence_id for r in rows}) == 2
 

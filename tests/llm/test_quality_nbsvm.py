@@ -30,6 +30,8 @@ def test_held_out_quality_and_defined_cases(spark):
     assert np.mean([r.predicted == (r.doc_id % 4 != 0) for r in held]) > 0.95
     by = {r.doc_id: r.score for r in got}
     assert by[900] == by[901] and by[902] > 0.5
+    odd = spark.createDataFrame([(None, "of the", 1)], "doc_id long, text string, score int")
+    assert judge(docs.unionByName(odd), labels.union(spark.createDataFrame([(None, 0)], "doc_id long, quality int"))).where("doc_id is null").first().held_out is False
     assert judge(docs.limit(0), labels).count() == 0
     assert {r.score for r in judge(docs, labels.limit(0)).collect()} == {0.5}
 

@@ -37,6 +37,7 @@ def test_base_counts_equal_plain_python(spark):
         want = plain(texts[r.doc_id])
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
         assert r.base_failed == (want[0] < 10 or 100 * want[4] > 20 * want[0]) and not (r.base_failed and r.kept)
+    assert judge(spark.createDataFrame([(None, "a b", None)], "doc_id long, text string, lang string")).first().n_words == 2
     assert judge(df.limit(0)).count() == 0
 
 

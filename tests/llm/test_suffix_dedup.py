@@ -1,6 +1,8 @@
 import random
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from claimloom.llm.suffix_dedup import remove_copies, repeated_spans
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -69,3 +71,7 @@ def test_repeated_rows_and_clashing_columns(spark):
     docs = frame(spark, [(1, p), (1, p), (2, "x " + p)]).selectExpr("*", "1 AS pos", "'z' AS context", "2 AS n", "3 AS kgram", "4 AS cuts_")
     assert {(r.doc_id, r.is_copy) for r in repeated_spans(docs).collect()} == {(1, False), (2, True)}
     assert remove_copies(docs).columns == docs.columns
+    anonymous = docs.selectExpr("CAST(NULL AS BIGINT) AS doc_id", "text", "lang", "source", "n_chars", "'c' AS cuts", "1 AS context")
+    both = docs.select("doc_id", "text", "lang", "source", "n_chars", F.lit("c").alias("cuts"), F.lit(1).alias("context")).unionByName(anonymous)
+    assert {r.doc_id for r in repeated_spans(both).collect()} == {1, 2}
+    assert sorted(r.n_chars for r in remove_copies(both).where("doc_id is null").collect()) == sorted(r.n_chars for r in docs.collect())
