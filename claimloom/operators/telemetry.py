@@ -38,6 +38,11 @@ def estimated_cost(tokens_in: Column, tokens_out: Column, price_in: Column, pric
     return F.round((tokens_in * price_in + tokens_out * price_out) / 1e6, 4)
 
 
+def approximate_tokens(prompt_chars: Column, items: Column) -> tuple[Column, Column]:
+    """(tokens in, tokens out) where no counter is at hand: four characters a token, sixty tokens an answer."""
+    return F.floor(prompt_chars / 4), 60 * items
+
+
 def usage(calls: DataFrame, prices: DataFrame) -> DataFrame:
     """Usage for each task and in total (task null): sums, cost, and whether every task has a price. calls: task, model,
     items, failed, tokens_in, tokens_out, tokens_reasoning, seconds; prices: model, price_in, price_out (a fixed, small

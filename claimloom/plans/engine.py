@@ -74,8 +74,11 @@ class Run:
 class Engine:
     """Runs one question over a source with an adjudicator."""
 
-    def __init__(self, spark: SparkSession, source, judge: Adjudicator, settings: S.Settings = S.Settings(), encode=None):
+    def __init__(self, spark: SparkSession, source, judge: Adjudicator, settings: S.Settings = S.Settings(), encode=None, review=None, tokens=None):
+        """encode: texts to unit vectors (hashing vectors without it); review: gets the pathways after the first round and
+        gives back ids to drop; tokens: the number of tokens used so far, for the budget."""
         self.spark, self.source, self.judge, self.settings, self.encode = spark, source, judge, settings, encode
+        self.review, self.tokens = review, tokens or (lambda: 0)
 
     def _table(self, rows: list, schema) -> DataFrame:
         return self.spark.createDataFrame(rows, schema)
@@ -246,12 +249,16 @@ class Engine:
         ranked = st.ranked.orderBy("rank").collect()
         st.hyps = [{k: r[k] for k in ("id", "name", "origin", "links", "rationale")} for r in ranked]
         chosen = materialize(H.allocate(st.ranked, st.links, this, s), "targets").join(st.links, "key").orderBy("slot").collect()
-        decision, st.gate = H.decide(ranked, chosen, this, s)
+        decision, st.gate = H.decide(ranked, chosen, this, s, self.tokens())
         st.targets = chosen if decision == "search_more" else []
         if st.targets:
             hit = self._table([(r.key,) for r in chosen], "key string").withColumn("__t", F.lit(1))
             st.links = materialize(st.links.join(hit, "key", "left").withColumn("times_targeted", (F.col("times_targeted") + F.coalesce("__t", F.lit(0))).cast("int")).drop("__t"), "links")
         st.round = this
+        if self.review and this == 1 and decision == "search_more":
+            drop = set(self.review(st.hyps))
+            st.hyps = [h for h in st.hyps if h["id"] not in drop]
+            st.ranked = st.ranked.where(~F.col("id").isin(*drop)) if drop else st.ranked
         st.history.append({"round": this, "gate": st.gate, "leader": ranked[0].id if ranked else None, "targets": [r.key for r in st.targets]})
         return decision
 
