@@ -83,15 +83,15 @@ def clean(s: Column) -> Column:
         return F.when(uneven | t.rlike(r"^\([^()]*\)$"), F.btrim(t, F.lit(" .,;:()[]{}"))).otherwise(t)
 
     plain = F.btrim(F.regexp_replace(F.regexp_replace(F.coalesce(s, F.lit("")), "[–—]", "-"), r"(?U)\s+", " "), F.lit(" .,;:[]{}"))
-    return let(let(plain, outer), parentheses)
+    return F.when(plain.rlike("[()]"), let(let(plain, outer), parentheses)).otherwise(plain)  # most names have none
 
 
 def ascii_name(s: Column) -> Column:
     """Greek letters spelled out and charges unified."""
-    s = F.regexp_replace(F.replace(s, F.lit("⁺"), F.lit("+")), r"(?U)\(\s*\+\s*\)", "+")
+    full = F.regexp_replace(F.replace(s, F.lit("⁺"), F.lit("+")), r"(?U)\(\s*\+\s*\)", "+")
     for letter, name in GREEK.items():
-        s = F.replace(s, F.lit(letter), F.lit(name))
-    return s
+        full = F.replace(full, F.lit(letter), F.lit(name))
+    return F.when(s.rlike(r"[^\x00-\x7F]|\("), full).otherwise(s)  # plain names need no walk through the letters
 
 
 def lookup_key(s: Column) -> Column:
