@@ -58,4 +58,24 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_jaccard_join, op4_quality_classifier, op5_piece_nbest, op6_secret_scan, op7_quality_rules, op8_nearest_neighbours, op9_best_fit_packing, op10_url_filter)}
-ORACLE_SQL: dict[str, str] = {}
+# The two exact operators in SQL, for small tables: every 50-word window, and every pair of texts that shares a shingle.
+SUFFIX_SQL = r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(any_value(text), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL GROUP BY doc_id),
+win AS (SELECT doc_id, pos, array_to_string(w[pos + 1 : pos + 50], ' ') AS k FROM d, unnest(range(0, len(w) - 49)) t(pos) WHERE len(w) >= 50),
+rep AS (SELECT k, min(struct_pack(doc_id := doc_id, pos := pos)) AS source FROM win GROUP BY k HAVING count(*) > 1),
+hit AS (SELECT win.doc_id, win.pos, rep.source.doc_id AS src, (win.doc_id <> rep.source.doc_id OR win.pos <> rep.source.pos) AS is_copy FROM win JOIN rep ON rep.k = win.k),
+isl AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, is_copy ORDER BY pos) AS g FROM (SELECT *, CASE WHEN pos <= lag(pos) OVER (PARTITION BY doc_id, is_copy ORDER BY pos) + 50 THEN 0 ELSE 1 END AS new FROM hit))
+SELECT doc_id, CAST(min(pos) AS INTEGER) AS start_word, CAST(max(pos) + 50 - min(pos) AS INTEGER) AS n_words, min(src) AS first_doc_id, is_copy FROM isl GROUP BY doc_id, is_copy, g"""
+JACCARD_SQL = r"""WITH RECURSIVE w AS (SELECT DISTINCT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+m AS (SELECT doc_id, array_to_string(w, ' ') AS seq, w FROM w WHERE len(w) > 0),
+c AS (SELECT seq, min(doc_id) AS copy_id, count(*) AS copies, any_value(w) AS w FROM m GROUP BY seq),
+s AS (SELECT DISTINCT copy_id, array_to_string(w[i + 1 : i + 5], ' ') AS g FROM c, unnest(range(0, greatest(len(w) - 4, 1))) t(i)),
+n AS (SELECT copy_id, count(*) AS n FROM s GROUP BY copy_id),
+p AS (SELECT a.copy_id AS a, b.copy_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.copy_id <> b.copy_id GROUP BY 1, 2),
+e AS (SELECT p.a, p.b FROM p JOIN n x ON x.copy_id = p.a JOIN n y ON y.copy_id = p.b WHERE p.k >= 0.8 * (x.n + y.n - p.k) - 1e-9),
+reach AS (SELECT copy_id AS a, copy_id AS b FROM c UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b),
+cls AS (SELECT a AS copy_id, min(b) AS class_id FROM reach GROUP BY a),
+lk AS (SELECT e.a AS copy_id, CAST(sum(c.copies) AS BIGINT) AS links FROM e JOIN c ON c.copy_id = e.b GROUP BY e.a),
+z AS (SELECT class_id, CAST(sum(copies) AS BIGINT) AS n_class FROM cls JOIN c ON c.copy_id = cls.copy_id GROUP BY class_id)
+SELECT m.doc_id, c.copy_id, cls.class_id, c.copies - 1 + coalesce(lk.links, 0) AS n_links, z.n_class FROM m JOIN c ON c.seq = m.seq JOIN cls ON cls.copy_id = c.copy_id LEFT JOIN lk ON lk.copy_id = c.copy_id JOIN z ON z.class_id = cls.class_id
+UNION ALL SELECT DISTINCT doc_id, doc_id, doc_id, 0, 1 FROM documents WHERE doc_id IS NULL OR text IS NULL OR regexp_matches(text, '^[\x20\x09-\x0D]*$')"""
+ORACLE_SQL: dict[str, str] = {"op1_suffix_dedup": SUFFIX_SQL, "op3_jaccard_join": JACCARD_SQL}

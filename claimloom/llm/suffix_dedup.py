@@ -117,7 +117,7 @@ def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS, k: int = KGRAM
     near = materialize(suffixes.join(shared, "kgram"), "shared")  # order by k-gram: those with a neighbour
     merged = near.groupBy("kgram", "context").agg(F.count("*").alias("copies"), F.min("n").alias("n"), F.min(F.struct("doc_id", "pos")).alias("first"))
     merged = materialize(merged, "merged")
-    several = merged.groupBy("kgram").agg(F.count("*").alias("contexts"), F.min("copies").alias("least")).where("contexts > 1 and least = 1").select("kgram")
+    several = merged.groupBy("kgram").agg(F.count("*").alias("contexts")).where("contexts > 1").select("kgram")
     several = materialize(several, "several")
     asked = merged.join(several, "kgram").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("first.pos", "n", "context")).alias("asked"))
     # a document's requests are no more than its own suffixes

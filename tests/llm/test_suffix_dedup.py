@@ -55,6 +55,15 @@ def test_exact_on_random_texts(spark):
         assert {k: v for k, v in got[1].items() if v} == dict(want[1])
 
 
+def test_first_occurrence_across_copied_contexts(spark):
+    p = [f"p{i}" for i in range(16)]
+    around = lambda n: " ".join([*(f"{n}l{i}" for i in range(20)), *p, *(f"{n}r{i}" for i in range(20))])
+    texts = [(1, around("a")), (2, around("a")), (3, around("b")), (4, around("b")), (5, "x y z " * 30), (6, "x y z " * 30)]
+    got = covered(repeated_spans(frame(spark, texts), 12, 4).collect())
+    want = brute(texts, 12)
+    assert got[0] == want[0] and got[1] == want[1]
+
+
 def test_removal(spark):
     p = " ".join(f"q{i}" for i in range(60))
     docs = frame(spark, [(1, f"one {p}\nend"), (2, f"two  {p} tail é"), (3, p), (4, None), (5, ""), (6, "clean text"), (7, p), (8, " \n")])
