@@ -17,7 +17,7 @@ in aggregations with map-side combine and in equi-joins that adaptive execution
 
 Defined results: null and empty texts, and texts under L words, have no repeats. Words are the runs between spaces and
 \\t..\\r, compared byte by byte; texts keep any length. Rows repeated under one doc_id with the same text count as one
-document. Rows without a doc_id take no part, and stay as they are where copies are removed. An empty table gives an empty result. Extra columns of the input, whatever their names, are not read.
+document; if their texts differ, the smallest takes part and the others are left alone. Rows without a doc_id take no part, and stay as they are where copies are removed. An empty table gives an empty result. Extra columns of the input, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -105,12 +105,22 @@ def _windows(min_words: int):
     return run
 
 
+def _one_text_each(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id, text) with one text a doc_id, the smallest where rows differ; and, if any id has several rows, the hash of
+    the text taken for each such id. Ids alone are counted to find them, so texts move only where ids repeat."""
+    texts = docs.where("doc_id is not null").select("doc_id", "text")
+    twins = materialize(texts.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"), "twins")
+    if twins.isEmpty():
+        return texts, None
+    taken = materialize(texts.join(twins, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "taken")
+    return texts.join(twins, "doc_id", "left_anti").unionByName(taken), taken.select("doc_id", F.xxhash64("text").alias("__claimloom_taken"))
+
+
 def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS, k: int = KGRAM) -> DataFrame:
     """(doc_id, pos, until, first_doc, first_pos): words pos..until of the document start L-word windows that occur
     more than once; the run's first window occurs first at word first_pos of document first_doc, and so on along it."""
     k = min(k, min_words)
-    docs = docs.where("doc_id is not null")
-    texts = docs.select("doc_id", "text")
+    texts = _one_text_each(docs)[0]
     suffixes = materialize(texts.mapInArrow(_suffixes(min_words, k), "doc_id long, pos int, n int, kgram long, context long"), "suffixes")
     shared = suffixes.groupBy("kgram").agg(F.count("*").alias("c")).where("c > 1").select("kgram")
     shared = materialize(shared, "kgrams")  # a table, so that the join below has no aggregate beside it and can be split where a k-gram is hot
@@ -121,9 +131,7 @@ def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS, k: int = KGRAM
     several = materialize(several, "several")
     asked = merged.join(several, "kgram").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("first.pos", "n", "context")).alias("asked"))
     # a document's requests are no more than its own suffixes
-    twins = materialize(docs.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"), "twins")
-    once = texts.join(twins, "doc_id", "left_anti").unionByName(texts.join(twins, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    windows = materialize(once.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_windows(min_words), "context long, step int, window long, doc_id long, pos int"), "windows")
+    windows = materialize(texts.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_windows(min_words), "context long, step int, window long, doc_id long, pos int"), "windows")
     twice = windows.groupBy("window").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "pos")).alias("source")).where("c > 1").select("window", "source")
     twice = materialize(twice, "twice")
     extended = windows.join(twice, "window").select("context", "step", "source").groupBy("context").agg(F.sort_array(F.collect_list(F.struct("step", F.col("source.doc_id").alias("first_doc"), F.col("source.pos").alias("first_pos")))).alias("steps"))
@@ -216,7 +224,10 @@ def remove_copies(docs: DataFrame, min_words: int = MIN_WORDS, k: int = KGRAM) -
     cuts = repeated_spans(docs, min_words, k).where("is_copy").groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "n_words")).alias("__claimloom_cuts"))
     names = docs.columns
     rest = [c for c in names if c not in ("doc_id", "text")]
-    joined = docs.join(cuts, "doc_id", "left")
+    joined, taken = docs.join(cuts, "doc_id", "left"), _one_text_each(docs)[1]
+    if taken is not None:  # the spans are those of one text of the id; its other rows are left alone
+        ours = F.coalesce(F.col("__claimloom_taken") == F.xxhash64("text"), F.col("__claimloom_taken").isNull())
+        joined = joined.join(taken, "doc_id", "left").withColumn("__claimloom_cuts", F.when(ours, F.col("__claimloom_cuts")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

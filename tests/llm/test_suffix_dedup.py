@@ -80,6 +80,9 @@ def test_repeated_rows_and_clashing_columns(spark):
     docs = frame(spark, [(1, p), (1, p), (2, "x " + p)]).selectExpr("*", "1 AS pos", "'z' AS context", "2 AS n", "3 AS kgram", "4 AS cuts_")
     assert {(r.doc_id, r.is_copy) for r in repeated_spans(docs).collect()} == {(1, False), (2, True)}
     assert remove_copies(docs).columns == docs.columns
+    differ = frame(spark, [(1, "b " + p), (1, "a"), (2, "x " + p), (2, "y " + p + " longer at the end"), (3, "w " + p)])
+    assert {(r.doc_id, r.is_copy) for r in repeated_spans(differ).collect()} == {(2, False), (3, True)}
+    assert sorted(r.text for r in remove_copies(differ).collect() if r.doc_id < 3) == sorted(["b " + p, "a", "x " + p, "y " + p + " longer at the end"])
     anonymous = docs.selectExpr("CAST(NULL AS BIGINT) AS doc_id", "text", "lang", "source", "n_chars", "'c' AS cuts", "1 AS context")
     both = docs.select("doc_id", "text", "lang", "source", "n_chars", F.lit("c").alias("cuts"), F.lit(1).alias("context")).unionByName(anonymous)
     assert {r.doc_id for r in repeated_spans(both).collect()} == {1, 2}
