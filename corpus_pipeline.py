@@ -55,9 +55,8 @@ ORACLE_SQL = None  # trained and iterative stages are beyond SQL; tests/llm/test
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, began = spark.read.parquet(f"{sf_dir}/documents.parquet"), mark()
     for _, stage in STAGES:
-        before = mark()
         docs = materialize(stage(spark, docs, sf_dir), "stage")
-        release(spark, before, keep=[docs])  # the stage's scratch tables; its result stays
+        release(spark, began, keep=[docs])  # scratch tables and the result of the stage before
     return docs
