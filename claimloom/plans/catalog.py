@@ -383,7 +383,7 @@ def duplicate_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("pmid"), F.lit("").alias("abstract"), F.regexp_replace(F.regexp_replace("html", "<article", "<sec"), "</article>", "</sec>").alias("body"))
-    return C.sectioned_text(pages.select("pmid", "abstract"), C.sections_of(pages), 5000)
+    return C.sectioned_text(pages.select("pmid", "abstract"), C.sections_of(pages))
 
 
 @query()
