@@ -10,7 +10,8 @@ Method (kind guess): wider contexts (``pwd``, ``passphrase``, ``credential``, ``
 ``:``, ``=`` or ``is``) give candidate values. A value's guess cost is the least sum, over all ways to cut it into
 spans, of the logarithms (base 10) of the guesses for each span: words by their rank in a list of common passwords and
 words, dates, repeats of a shorter block, walks on the keyboard (runs of digits and of the alphabet among them), and
-brute force by character class. A value whose cost is at least ``HARD`` is a secret and adds a span where no base span
+brute force by character class. Values are whole, however long; one that
+opens with a double quote ends at the next. A value whose cost is at least ``HARD`` is a secret and adds a span where no base span
 lies. Costs of assigned values are reported too.
 
 Positions are code points, ends exclusive. Defined results: null is the empty text and has no spans; texts are whole,
@@ -34,7 +35,7 @@ from claimloom.llm.textbuf import Block, blocks
 ASSIGN = re.compile(r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
-CONTEXT = re.compile(r"(?i:\b(?:pwd|pass(?:word|wd|phrase|code)|secret|credentials?|auth(?:orization)?|bearer|login|token|(?:api|access|private|secret)[_ -]?key))[\"']?(?:\x20*[:=]\x20*|\x20+is\x20+|\x20+)[\"']?([!-&(-~]{8,200})", re.ASCII)
+CONTEXT = re.compile(r"(?i:\b(?:pwd|pass(?:word|wd|phrase|code)|secret|credentials?|auth(?:orization)?|bearer|login|token|(?:api|access|private|secret)[_ -]?key))[\"']?(?:\x20*[:=]\x20*|\x20+is\x20+|\x20+)(?:\"((?:\\[!-~]|[!#-&(-\[\]-~]){8,})|'?((?!\")[!-&(-~]{8,}))", re.ASCII)
 HINTS = ("passw", "passp", "passc", "secret", "token", "key", "pwd", "credential", "auth", "bearer", "login")
 KINDS = ("assign", "access", "hex", "guess")
 HARD = 10.0  # log10 of guesses
@@ -47,6 +48,7 @@ iloveyou 2000 charlie robert thomas hockey ranger daniel starwars klaster 112233
 love ashley nicole chelsea biteme matthew access yankees 987654321 dallas austin thunder taylor matrix admin root user
 test guest login welcome hello secret token key api example changeme default null none true false your value here""".split()
 RANK = {w: i + 1 for i, w in enumerate(COMMON)}
+LONGEST = max(map(len, RANK))
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "0123456789", "abcdefghijklmnopqrstuvwxyz", "qazwsxedcrfvtgbyhnujmikolp", "1qaz2wsx3edc4rfv5tgb6yhn")
 _NEXT = {p for r in ROWS for p in zip(r, r[1:], strict=False)} | {p for r in ROWS for p in zip(r[1:], r, strict=False)}
 DATE = re.compile(r"(?:(?:19|20)\d\d[-/._]?(?:1[0-2]|0?[1-9])[-/._]?(?:[12]\d|3[01]|0?[1-9])|(?:[12]\d|3[01]|0?[1-9])[-/._]?(?:1[0-2]|0?[1-9])[-/._]?(?:(?:19|20)\d\d|\d\d)|(?:19|20)\d\d)")
@@ -57,60 +59,75 @@ def _class_log(c: str) -> float:
     return math.log10(10 if c.isdigit() else 26 if c.isalpha() else 33)
 
 
-@functools.lru_cache(100_000)
 def guess_cost(value: str) -> float:
-    """log10 of the guesses of the cheapest segmentation; 0 for the empty value."""
+    """log10 of the guesses of the cheapest segmentation; 0 for the empty value. The work grows in proportion to the value."""
+    return _short_cost(value) if len(value) <= 200 else _cost(value)
+
+
+def _cost(value: str) -> float:
     n, low = len(value), value.lower()
+    leet = low.translate(LEET)
     best = [0.0] + [math.inf] * n
-    fit: list[list[tuple[int, float]]] = [[] for _ in range(n)]
+    step = [(low[i], low[i + 1]) in _NEXT for i in range(n - 1)] + [False]
+    ends = list(range(1, n + 1))  # of the walk that goes on from i
+    for i in range(n - 2, -1, -1):
+        if step[i]:
+            ends[i] = ends[i + 1]
+    same = []  # for each size: characters from i on that equal those a block later
+    for size in range(1, min(12, n // 2) + 1):
+        run = [0] * (n + 1)
+        for i in range(n - size - 1, -1, -1):
+            if low[i] == low[i + size]:
+                run[i] = run[i + 1] + 1
+        same.append(run)
+    brute, start = math.inf, 0  # the cheapest brute-force span that is open, with a small charge for being a span
     for i in range(n):
-        for j in range(i + 1, min(n, i + 24) + 1):
+        here = best[i]
+        brute = min(brute, here + 0.3) + _class_log(value[i])
+        best[i + 1] = min(best[i + 1], brute)
+        for j in range(i + 3, min(n, i + LONGEST) + 1):
             w = low[i:j]
             plain = w in RANK
-            rank = RANK.get(w) or RANK.get(w.translate(LEET))
-            if rank and j - i > 2:
+            rank = RANK.get(w) or RANK.get(leet[i:j])
+            if rank:
                 upper = sum(c.isupper() for c in value[i:j])
                 cased = 0 if not upper else math.log10(2) if upper in (1, j - i) else math.log10(math.comb(j - i, min(upper, j - i - upper)) + 1)
-                fit[i].append((j, math.log10(rank + 1) + cased + (0 if plain else math.log10(2))))
+                best[j] = min(best[j], here + math.log10(rank + 1) + cased + (0 if plain else math.log10(2)))
         m = DATE.match(value, i)
         if m and m.end() - i >= 4:
-            fit[i].append((m.end(), math.log10(365.0 * 120 * (4 if m.end() - i > 8 else 1)) if m.end() - i > 4 else math.log10(120)))
-        j = i + 1
-        while j < n and (low[j - 1], low[j]) in _NEXT:
-            j += 1
-        fit[i] += [(k, math.log10(2 * 47.0 * (k - i))) for k in range(i + 3, j + 1)]
-    for i in range(n):
-        brute = 0.0
-        for j in range(i + 1, n + 1):  # one brute-force span, with a small charge for being a span
-            brute += _class_log(value[j - 1])
-            if best[i] + brute + 0.3 < best[j]:
-                best[j] = best[i] + brute + 0.3
-        for j, c in fit[i]:
-            best[j] = min(best[j], best[i] + c)
+            best[m.end()] = min(best[m.end()], here + (math.log10(365.0 * 120 * (4 if m.end() - i > 8 else 1)) if m.end() - i > 4 else math.log10(120)))
+        if not i or not step[i - 1]:
+            start = i
+        # a walk that starts later is never cheaper than the one from ``start`` where the way to it costs that much more
+        if i == start or here < best[start] + math.log10((i - start + 3) / 3):
+            for k in range(i + 3, ends[i] + 1):
+                best[k] = min(best[k], here + math.log10(2 * 47.0 * (k - i)))
         for size in range(1, min(12, (n - i) // 2) + 1):  # repeats of value[i:i+size], after the block itself
-            block, j = low[i : i + size], i + size
-            while low[j : j + size] == block:
-                j += size
-            if j > i + size and j - i >= 3:
-                c = guess_cost(value[i : i + size]) + math.log10((j - i) // size)
-                best[j] = min(best[j], best[i] + c)
+            times = 1 + same[size - 1][i] // size
+            if times > 1 and times * size >= 3:
+                j = i + times * size
+                best[j] = min(best[j], here + guess_cost(value[i : i + size]) + math.log10(times))
     return best[n]
 
 
+_short_cost = functools.lru_cache(100_000)(_cost)
+
+
 def scan(text: str, deep: bool = True) -> tuple[list[tuple[int, int, int]], list[float]]:
     """Spans (start, kind's number, end) in order, and the costs of assigned and guessed values."""
     spans, costs = [], []
     for m in ASSIGN.finditer(text):
         if m.end(2) - m.start(2) >= 6:
             spans.append((m.start(), 0, m.end()))
-            costs.append(guess_cost(m[2][:200]))
+            costs.append(guess_cost(m[2]))
     spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     if deep:
         spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text) if m.end() - m.start() >= 24]
     taken = [(s, e) for s, _, e in spans]
     for m in CONTEXT.finditer(text):
-        value = m[1].rstrip("\"',;.)]}#*$%&")
-        s, e = m.start(1), m.start(1) + len(value)
+        value = (m[1] or m[2]).rstrip("\"',;.)]}#*$%&")
+        s = m.start(m.lastindex)
+        e = s + len(value)
         if len(value) >= 8 and any(not c.isalpha() for c in value) and not any(s < y and x < e for x, y in taken):
             c = guess_cost(value)
             if c >= HARD:

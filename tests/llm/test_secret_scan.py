@@ -54,3 +54,14 @@ def test_masking(spark):
     assert got[1].text == "é secret: [SECRET]!" and got[1].n_chars == 19 and got[2].text is None and got[3].text == "clean token of love" and got[4].text == ""
     assert find_secrets(spark.createDataFrame([(None, "secret: hunter22")], "doc_id long, text string")).first().n_assign == 1
     assert mask_secrets(docs).columns == docs.columns and mask_secrets(docs.limit(0)).count() == 0
+
+
+def test_values_are_whole_however_long(spark):
+    rng = random.Random(4)
+    token = "".join(rng.choice("abcdefXYZ0123456789-_.") for _ in range(702)) + "z"
+    text, assigned = f"Authorization: Bearer {token} then", "api_key = " + token
+    got = {r.doc_id: r for r in find_secrets(spark.createDataFrame([(1, text), (2, assigned)], "doc_id long, text string")).collect()}
+    assert got[1].spans == "guess:22:725" and redact(text) == "Authorization: Bearer [SECRET] then"
+    assert got[1].max_guess_log10 == got[2].max_guess_log10 == guess_cost(token) > 2 * guess_cost(token[:200])
+    assert redact('{"pwd":"x7#Kq9!vTz2mm","note":"plain words"}') == '{"pwd":"[SECRET]","note":"plain words"}'
+    assert guess_cost("ab" * 20_000) < 7 < guess_cost("q7" * 5 + token)  # in proportion to the length
