@@ -11,8 +11,9 @@ Method (kind guess): wider contexts (``pwd``, ``passphrase``, ``credential``, ``
 spans, of the logarithms (base 10) of the guesses for each span: words by their rank in a list of common passwords and
 words, dates, repeats of a shorter block, walks on the keyboard (runs of digits and of the alphabet among them), and
 brute force by character class. Values are whole, however long; one that
-opens with a double quote ends at the next. A value whose cost is at least ``HARD`` is a secret and adds a span where no base span
-lies. Costs of assigned values are reported too.
+opens with a double quote ends at the next. A value whose cost is at least ``HARD`` is a secret and adds a
+span, also over base spans, which stay; the values of assign matches are judged in full in the same way. After a blank
+or ``is`` a value of letters alone is taken for a word. Costs of assigned values are reported too.
 
 Positions are code points, ends exclusive. Defined results: null is the empty text and has no spans; texts are whole,
 however long; equal rows are reported once each; an empty table gives an empty result; extra columns are not read.
@@ -35,7 +36,9 @@ from claimloom.llm.textbuf import Block, blocks
 ASSIGN = re.compile(r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
-CONTEXT = re.compile(r"(?i:\b(?:pwd|pass(?:word|wd|phrase|code)|secret|credentials?|auth(?:orization)?|bearer|login|token|(?:api|access|private|secret)[_ -]?key))[\"']?(?:\x20*[:=]\x20*|\x20+is\x20+|\x20+)(?:\"((?:\\[!-~]|[!#-&(-\[\]-~]){8,})|'?((?!\")[!-&(-~]{8,}))", re.ASCII)
+_VALUE = r"(?:\"((?:\\[!-~]|[!#-&(-\[\]-~]){8,})|'?((?!\")[!-&(-~]{8,}))"
+VALUE = re.compile(_VALUE, re.ASCII)
+CONTEXT = re.compile(r"(?i:\b(?:pwd|pass(?:word|wd|phrase|code)|secret|credentials?|auth(?:orization)?|bearer|login|token|(?:api|access|private|secret)[_ -]?key))[\"']?(?:\x20*[:=]\x20*|\x20+is\x20+|\x20+)" + _VALUE, re.ASCII)
 HINTS = ("passw", "passp", "passc", "secret", "token", "key", "pwd", "credential", "auth", "bearer", "login")
 KINDS = ("assign", "access", "hex", "guess")
 HARD = 10.0  # log10 of guesses
@@ -113,6 +116,12 @@ def _cost(value: str) -> float:
 _short_cost = functools.lru_cache(100_000)(_cost)
 
 
+def _trimmed(m: re.Match) -> tuple[int, int]:
+    """Start and end of a value, without the punctuation after it."""
+    s = m.start(m.lastindex)
+    return s, s + len(m[m.lastindex].rstrip("\"',;.)]}#*$%&"))
+
+
 def scan(text: str, deep: bool = True) -> tuple[list[tuple[int, int, int]], list[float]]:
     """Spans (start, kind's number, end) in order, and the costs of assigned and guessed values."""
     spans, costs = [], []
@@ -123,13 +132,18 @@ def scan(text: str, deep: bool = True) -> tuple[list[tuple[int, int, int]], list
     spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     if deep:
         spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text) if m.end() - m.start() >= 24]
-    taken = [(s, e) for s, _, e in spans]
+    values = {}  # by their start: end, and whether letters alone may be a secret
     for m in CONTEXT.finditer(text):
-        value = (m[1] or m[2]).rstrip("\"',;.)]}#*$%&")
-        s = m.start(m.lastindex)
-        e = s + len(value)
-        if len(value) >= 8 and any(not c.isalpha() for c in value) and not any(s < y and x < e for x, y in taken):
-            c = guess_cost(value)
+        s, e = _trimmed(m)
+        values[s] = (e, any(c in ":=" for c in text[m.start() : s]))
+    for m in ASSIGN.finditer(text):  # the same values in longer names, such as DB_PASSWORD
+        v = VALUE.match(text, m.start(2) - (text[m.start(2) - 1] in "\"'"))
+        if v:
+            s, e = _trimmed(v)
+            values[s] = (e, True)
+    for s, (e, letters) in values.items():
+        if e - s >= 8 and (letters or not text[s:e].isalpha()):
+            c = guess_cost(text[s:e])
             if c >= HARD:
                 spans.append((s, 3, e))
                 costs.append(c)

@@ -65,3 +65,10 @@ def test_values_are_whole_however_long(spark):
     assert got[1].max_guess_log10 == got[2].max_guess_log10 == guess_cost(token) > 2 * guess_cost(token[:200])
     assert redact('{"pwd":"x7#Kq9!vTz2mm","note":"plain words"}') == '{"pwd":"[SECRET]","note":"plain words"}'
     assert guess_cost("ab" * 20_000) < 7 < guess_cost("q7" * 5 + token)  # in proportion to the length
+
+
+def test_whole_values_beside_base_spans_and_values_of_letters(spark):
+    rows = ["password: Tr0ub4dor&3horse!Zq#9", "DB_PASSWORD='Tr0ub4dor&3horse!Zq#9'", "pwd=qXzKvWyTbNmLpRs", "passphrase: kqzvwyxjprmtlbn", "login international friends", "the secret is understanding", "password: hunter22&abc"]
+    got = {r.doc_id: r.spans for r in find_secrets(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(7)] == ["assign:0:19,guess:10:31", "assign:3:22,guess:13:34", "guess:4:19", "guess:12:27", "", "", "assign:0:18"]
+    assert [redact(t) for t in rows[:4]] == ["password: [SECRET]", "DB_PASSWORD='[SECRET]'", "pwd=[SECRET]", "passphrase: [SECRET]"]
