@@ -1,16 +1,19 @@
 """Nearest neighbours by inner product: multiprobe p-stable hashing and exact reranking.
 
-Inner products become distances: a vector x of norm at most M is extended by sqrt(M^2 - |x|^2), a query is scaled to norm
+Inner products become distances in each range of norms apart: range r holds norms from L / ``RATIO``^(r + 1) to
+L / ``RATIO``^r, L being the table's largest, and M is the largest norm in it; so one long vector does not push all others together. A vector x of norm
+at most M is extended by sqrt(M^2 - |x|^2), a query is scaled to norm
 M and extended by 0; the nearest in the Euclidean sense then has the largest inner product. ``TABLES`` tables hash
 extended vectors by ``HASHES`` functions floor((a.x + b) / w) with Gaussian a and w = ``WIDTH`` x M. A query visits
-``PROBES`` buckets of each table: its own, and those that differ by -1 or 1 in some functions, in the order of the sum of
+``PROBES`` buckets of each table of every range that has vectors, but for ranges whose M x |q| is under the score that
+``top`` of the ``LONGEST`` longest vectors reach, as none of its neighbours can lie there. It visits its own, and those that differ by -1 or 1 in some functions, in the order of the sum of
 squared distances to the borders crossed (the estimated order of success). Candidates of all tables are merged and
 ranked by their exact inner product in double precision.
 
 Equal vectors are hashed once, with as many of their smallest ids as a result can hold. A bucket's vectors and the
 queries that visit it meet in blocks of at most about ``BLOCK`` each; a task keeps ``top`` candidates of a query in an
 array, so pairs never become rows. Queries that find fewer than ``top`` (and there are more) are compared with all
-vectors, in the same blocks. The whole table is indexed; nothing is fitted but M and the dimension.
+vectors, in the same blocks. The whole table is indexed; nothing is fitted but the ranges' M and the dimension.
 
 The share of a query's true neighbours that this finds depends on the data; tests and the README give measured figures
 (at least 0.9 on the tables at hand, whose vectors are close to uniform directions, the hardest case).
@@ -35,7 +38,7 @@ from claimloom.llm.groups import whole_groups
 from claimloom.sources.scratch import materialize
 from claimloom.llm.textbuf import U, mix, signed
 
-TABLES, HASHES, WIDTH, PROBES, BLOCK, TOP = 4, 5, 2.0, 28, 4096, 20
+TABLES, HASHES, WIDTH, PROBES, BLOCK, TOP, RATIO, LONGEST = 4, 5, 2.0, 28, 4096, 20, 2**0.125, 1024
 
 
 def hash_functions(dim: int, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -60,8 +63,8 @@ def probe_order(low: np.ndarray, probes: int) -> list[list[tuple[int, int]]]:
     return out
 
 
-def bucket_keys(cells: np.ndarray, table: int) -> np.ndarray:
-    key = np.full(len(cells), table + 1, np.uint64)
+def bucket_keys(cells: np.ndarray, table: int | np.ndarray) -> np.ndarray:
+    key = np.zeros(len(cells), np.uint64) + np.asarray(table + 1).astype(np.uint64)
     for c in range(cells.shape[1]):
         key = mix(key * U(0x9E3779B97F4A7C15) + cells[:, c].astype(np.int64).view(np.uint64))
     return signed(key)
@@ -71,26 +74,31 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dim)
 
 
-def _index(dim: int, norm: float, tables: int, hashes: int, width: float):
-    """(id, vector) to (bucket, id, vector) for every table."""
+def _index(dim: int, norms: np.ndarray, tables: int, hashes: int, width: float):
+    """(id, vector) to (bucket, id, vector) for every table; norms: the largest of each range, rising."""
     a, b = hash_functions(dim, tables, hashes, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch.column(1), dim) / norm
+            x = _matrix(batch.column(1), dim)
+            band = np.minimum(np.searchsorted(norms, np.sqrt((x * x).sum(1)) * (1 - 1e-12)), len(norms) - 1)
+            x = x / norms[band][:, None]
             x = np.concatenate([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(1, keepdims=True)))], 1)
             for t in range(tables):
-                yield pa.RecordBatch.from_arrays([pa.array(bucket_keys(np.floor((x @ a[t] + b[t]) / width), t)), batch.column(0), batch.column(1)], ["bucket", "id", "vector"])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket_keys(np.floor((x @ a[t] + b[t]) / width), t + tables * band)), batch.column(0), batch.column(1)], ["bucket", "id", "vector"])
 
     return run
 
 
-def _probe(dim: int, tables: int, hashes: int, width: float, probes: int):
+def _probe(dim: int, norms: np.ndarray, longest: np.ndarray, top: int, tables: int, hashes: int, width: float, probes: int):
     a, b = hash_functions(dim, tables, hashes, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column(1), dim)
+            least = np.full(len(x), -np.inf)  # of a unit query; one of the longest may be the query itself
+            if len(longest) > top + 1:
+                least = np.partition(x @ longest.T, len(longest) - top - 1, 1)[:, len(longest) - top - 1] / np.sqrt((x * x).sum(1))
             x = np.concatenate([x / np.sqrt((x * x).sum(1, keepdims=True)), np.zeros((len(x), 1))], 1)
             for t in range(tables):
                 place = (x @ a[t] + b[t]) / width
@@ -103,8 +111,11 @@ def _probe(dim: int, tables: int, hashes: int, width: float, probes: int):
                             c[i] += d
                         rows.append(r)
                         cells.append(c)
-                pick = pa.array(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(bucket_keys(np.array(cells).reshape(-1, hashes), t)), batch.column(0).take(pick), batch.column(1).take(pick)], ["bucket", "id", "vector"])
+                of, cell = np.array(rows, np.int64), np.array(cells).reshape(-1, hashes)
+                for band in range(len(norms)):
+                    may = norms[band] * (1 + 1e-9) >= least[of]
+                    pick = pa.array(of[may])
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket_keys(cell[may], t + tables * band)), batch.column(0).take(pick), batch.column(1).take(pick)], ["bucket", "id", "vector"])
 
     return run
 
@@ -186,13 +197,16 @@ def nearest(embeddings: DataFrame, is_query: str, top: int = TOP, tables: int =
     dim = dims.dim
     rows = rows.where(F.size("v") == dim)
     packed = materialize(rows.mapInArrow(_bytes, "vec_id long, vector binary"), "packed")
-    norm = rows.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))).first()[0]
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    longest = np.array([r.v for r in rows.orderBy(length.desc(), "vec_id").limit(LONGEST).select("v").collect()])
+    most_long = rows.agg(F.max(length)).first()[0]
+    norms = np.sort([r.m for r in rows.groupBy(F.floor(F.log(F.lit(most_long) / length) / np.log(RATIO)).alias("band")).agg(F.max(length).alias("m")).collect()])
     place = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
     few = packed.withColumn("n", place).where(F.col("n") <= top + 1)  # of equal vectors no more can be in a result
     distinct = materialize(few.groupBy("vector").agg(F.min("vec_id").alias("id"), F.sort_array(F.collect_list("vec_id")).alias("ids")), "distinct")
     queries = packed.where(is_query).select(F.col("vec_id").alias("id"), "vector")
-    index = materialize(distinct.select("id", "vector").mapInArrow(_index(dim, norm, tables, hashes, width), "bucket long, id long, vector binary").join(distinct.select("id", "ids"), "id"), "index")
-    probed = materialize(queries.mapInArrow(_probe(dim, tables, hashes, width, probes), "bucket long, id long, vector binary").dropDuplicates(["bucket", "id"]), "probes")
+    index = materialize(distinct.select("id", "vector").mapInArrow(_index(dim, norms, tables, hashes, width), "bucket long, id long, vector binary").join(distinct.select("id", "ids"), "id"), "index")
+    probed = materialize(queries.mapInArrow(_probe(dim, norms, longest, top, tables, hashes, width, probes), "bucket long, id long, vector binary").dropDuplicates(["bucket", "id"]), "probes")
     found_schema = "query_id long, found array<struct<less:double,vec_id:bigint>>"
     merge = lambda df: df.groupBy("query_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, top).alias("found"))
     # a query's lists are at most as many as the buckets it visits

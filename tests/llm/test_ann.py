@@ -69,3 +69,15 @@ def test_probes_come_in_order_of_success():
     order = probe_order(low, 27)
     cost = [sum(low[i] ** 2 if d < 0 else (1 - low[i]) ** 2 for i, d in p) for p in order]
     assert cost == sorted(cost) and len({tuple(sorted(p)) for p in order}) == 27
+
+
+def test_recall_with_unequal_norms(spark):
+    rng = np.random.default_rng(6)
+    unit = rng.normal(size=(10_000, 64))
+    unit /= np.sqrt((unit * unit).sum(1, keepdims=True))
+    long = np.where(np.arange(10_000) == 7, 5.0, 1.0)
+    for norms in (long, rng.lognormal(0, 1, 10_000)):
+        rows = [(i, v) for i, v in enumerate((unit * norms[:, None]).tolist())]
+        want, have = exact(rows), got(nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), QUERY))
+        recall = np.mean([len({i for i, _ in have[q]} & {i for i, _ in want[q]}) / 20 for q in want])
+        assert recall >= 0.9, recall
