@@ -11,8 +11,8 @@ squared distances to the borders crossed (the estimated order of success). Candi
 ranked by their exact inner product in double precision.
 
 Equal vectors are hashed once, with as many of their smallest ids as a result can hold. A bucket's vectors and the
-queries that visit it meet in blocks of at most about ``BLOCK`` each; a task keeps ``top`` candidates of a query in an
-array, so pairs never become rows. Queries that find fewer than ``top`` (and there are more) are compared with all
+queries that visit it meet in blocks of at most about ``BLOCK`` each; a task keeps ``top`` candidates of a query (by
+exact score, ties by the smaller id) in an array, so pairs never become rows. Queries that find fewer than ``top`` (and there are more) are compared with all
 vectors, in the same blocks. The whole table is indexed; nothing is fitted but the ranges' M and the dimension.
 
 The share of a query's true neighbours that this finds depends on the data; tests and the README give measured figures
@@ -135,12 +135,15 @@ def _compare(dim: int, top: int):
                 for lo in range(q0, e, 512):
                     q = _matrix(t.column(5).slice(lo, min(512, e - lo)), dim)
                     rough = q @ x.T
-                    m = min(top + 1, x.shape[0])
-                    near = np.argpartition(-rough, m - 1, 1)[:, :m] if m < x.shape[0] else np.broadcast_to(np.arange(m), (len(q), m))
+                    if x.shape[0] > top + 1:  # all that may be among the first, whatever rounding did, so that ties are cut by id
+                        margin = 1e-13 * dim * np.sqrt((q * q).sum(1) * (x * x).sum(1).max())
+                        least = np.partition(rough, x.shape[0] - top - 1, 1)[:, x.shape[0] - top - 1] - margin
+                    else:
+                        least = np.full(len(q), -np.inf)
                     for r in range(len(q)):
-                        query, exact = int(own[lo + r]), (x[near[r]] * q[r]).sum(1)
+                        query, near = int(own[lo + r]), np.flatnonzero(rough[r] >= least[r])
                         found = best.setdefault(query, {})
-                        for j, score in zip(near[r].tolist(), exact.tolist(), strict=True):
+                        for j, score in zip(near.tolist(), (x[near] * q[r]).sum(1).tolist(), strict=True):
                             for i in ids[j]:
                                 if i != query:
                                     found[i] = score
@@ -209,7 +212,7 @@ def nearest(embeddings: DataFrame, is_query: str, top: int = TOP, tables: int =
     probed = materialize(queries.mapInArrow(_probe(dim, norms, longest, top, tables, hashes, width, probes), "bucket long, id long, vector binary").dropDuplicates(["bucket", "id"]), "probes")
     found_schema = "query_id long, found array<struct<less:double,vec_id:bigint>>"
     merge = lambda df: df.groupBy("query_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, top).alias("found"))
-    # a query's lists are at most as many as the buckets it visits
+    # a query has a list for each task that it meets a bucket's blocks in: at most its probes times a bucket's blocks
     found = materialize(merge(_met(index, probed, block).mapInArrow(_compare(dim, top), found_schema)), "found")
     most = min(top, packed.count() - 1)
     enough = found.where(F.size("found") >= most)

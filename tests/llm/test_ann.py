@@ -81,3 +81,13 @@ def test_recall_with_unequal_norms(spark):
         want, have = exact(rows), got(nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), QUERY))
         recall = np.mean([len({i for i, _ in have[q]} & {i for i, _ in want[q]}) / 20 for q in want])
         assert recall >= 0.9, recall
+
+
+def test_ties_of_different_vectors_go_by_id(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [1.0, *rng.integers(-4, 5, 3).tolist()]) for i in range(1, 400)]  # all at inner product 1 of the query
+    rows += [(0, [1.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>").where("vec_id = 0 or vec_id % 20 <> 0")
+    for block in (4096, 32):
+        have = got(nearest(df, QUERY, tables=1, hashes=1, width=50.0, block=block))
+        assert have[0] == [(i, 1.0) for i in sorted(i for i, _ in rows if i % 20)[:20]]

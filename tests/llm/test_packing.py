@@ -5,20 +5,21 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
 from claimloom.llm.packing import Bins, crossover, decode_bins, encode_bins, evolve, pack, pack_documents
 from claimloom.llm.textbuf import blocks
 from claimloom.llm.word_bpe import WordBPE
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-ODD = ["It's I'm we're they'LL 'sam !'s 's's don't ''t 'x '", "", None, "naïve ÀÉ ×÷ x", "日本 <|endoftext|> a", "tab\x01x", "a1b22 3.5€", "ÿß'd 'D", "O'", "'s", "é İ ſ ª", "\u0085x", "a\n\nb\t c"]
+ODD = ["It's I'm we're they'LL 'sam !'s 's's don't ''t 'x '", "", None, "naïve ÀÉ ×÷ x", "日本 <|endoftext|> a", "<|endoftext|> a", "a<|startoftext|><|ENDOFTEXT|>b", "<|", "tab\x01x", "a1b22 3.5€", "ÿß'd 'D", "O'", "'s", "é İ ſ ª", "\u0085x", "a\n\nb\t c"]
 
 
-T = WordBPE(PATH)
+T = Tokenizer.from_file(PATH)
 
 
 def reference(text):
-    return [*T.tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+    return [*T.encode(text or "", add_special_tokens=False).ids, 0]
 
 
 def test_ids_equal_the_library():
