@@ -3,17 +3,22 @@
 Documents are tokenized whole; only those of more than ``CAPACITY`` tokens are cut. Full pieces are bins of their own.
 The other pieces are dealt by hash into shards of about ``SHARD`` pieces, and each shard evolves on ``ISLANDS`` islands:
 
-* an individual is a list of bins (groups of pieces), begun by best-fit decreasing, shuffled a little on each island;
-* crossover injects the best-filled bins of one parent into the other whole, removes the bins that then hold a piece
-  twice, and best-fits the displaced pieces, largest first; mutation dissolves some of the worst-filled bins;
+* an individual is a list of bins (groups of pieces), begun by best-fit decreasing, dealt anew in part for its kin;
+* crossover injects well-filled bins of one parent into the other whole, removes the bins that then hold a piece twice
+  and some of the worst, exchanges displaced pieces for smaller ones of bins that they fill better, and best-fits what
+  is left, largest first;
 * fitness counts bins, then prefers uneven filling (mean square of fill);
 * after each epoch every island sends its elite to the next island of the ring.
 
-An island stops at the shard's lower bound. Shards are bounded, so no task ever gathers more than a shard; sizes,
-shards and random seeds follow from the data alone, so a lost executor recomputes the same result.
+An island stops at the shard's lower bound, or when it no longer gets better. As every shard rounds up for itself, the
+worst-filled bins of all shards (those of at most 1 / ``REST`` of a shard's pieces) are then opened and packed again with
+each other, level by level, until one shard is left. Shards are bounded, so no task ever gathers more than a shard. Seeds
+follow from the shards' numbers, shards from the pieces' table and its files, so a lost executor recomputes the same
+result; packing the same documents from files of another layout may give other, equally valid sequences.
 
-Defined results: a null or empty text is the document of no ids but the end id; equal rows are packed once each; an
-empty table gives an empty result; extra columns are not read.
+Defined results: a null or empty text is the document of no ids but the end id; the strings of special tokens become
+their ids, as the tokenizer file has it; equal rows are packed once each; an empty table gives an empty result; extra
+columns are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +37,9 @@ from claimloom.llm.textbuf import blocks
 from claimloom.llm.word_bpe import word_bpe
 
 CAPACITY, END_ID = 2048, 0
-SHARD, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 4096, 2, 2, 4, 3
+SHARD, ISLANDS, EPOCHS, POPULATION, GENERATIONS, PATIENCE = 4096, 2, 2, 6, 40, 4
+EXCHANGES, MEMBERS, PARTNERS = 256, 8, 8  # of a crossover: bins, pieces of a bin and first partners that are tried
+REST = 8  # a shard's worst bins that are packed again with other shards' hold at most 1 / REST of its pieces
 
 
 def _pieces(path: str, capacity: int, end_id: int):
@@ -92,62 +99,101 @@ def fitness(bins: list[list[int]], size: list[int], capacity: int) -> tuple[int,
 
 
 def crossover(mother: list[list[int]], father: list[list[int]], size: np.ndarray, capacity: int, rng: np.random.Generator) -> list[list[int]]:
-    """Some well-filled bins of the father in the mother; the mother's bins that they meet lose their other pieces."""
-    fill = np.array([sum(size[i] for i in b) for b in father])
-    ranked = np.argsort(-fill, kind="stable")[: max(1, len(father) // 2)]
+    """Some well-filled bins of the father in the mother; the mother's bins that they meet lose their other pieces, as do
+    some of her worst. Loose pieces are first exchanged for smaller ones of bins that they fill better, then best-fitted."""
+    sizes = size.tolist()
+    fill = np.array([sum(sizes[i] for i in b) for b in father])
+    ranked = np.argsort(-fill, kind="stable")[: max(1, (2 * len(father)) // 3)]
     chosen = ranked[rng.random(len(ranked)) < rng.uniform(0.1, 0.6)]
-    taken = np.zeros(len(size), bool)
-    child = Bins(size, capacity)
+    taken = np.zeros(len(sizes), bool)
+    bins: list[list[int]] = []
     for k in chosen.tolist():
         taken[father[k]] = True
-        child.inject(list(father[k]))
+        bins.append(list(father[k]))
     loose: list[int] = []
-    worst = {int(k) for k in rng.integers(0, len(mother), max(1, len(mother) // 50))}
+    poor = sorted(range(len(mother)), key=lambda k: sum(sizes[i] for i in mother[k]))[: max(2, len(mother) // 8)]
+    worst = {poor[k] for k in rng.integers(0, len(poor), max(2, len(mother) // 50)).tolist()}
     for k, b in enumerate(mother):
         hit = [bool(taken[i]) for i in b]
         if any(hit) or k in worst:
             loose += [i for i, h in zip(b, hit, strict=True) if not h]
         else:
-            child.inject(list(b))
+            bins.append(list(b))
+    loose = exchange(bins, loose, sizes, capacity, rng)
+    child = Bins(size, capacity)
+    for b in bins:
+        child.inject(b)
     child.fit(loose)
     return child.bins
 
 
-def evolve(size: np.ndarray, capacity: int, elites: list[list[list[int]]], seed: int, population: int = POPULATION, generations: int = GENERATIONS) -> list[list[int]]:
-    """One island's epoch: from the elites that came in to the best individual."""
-    bound = -(-int(size.sum()) // capacity)
+def exchange(bins: list[list[int]], loose: list[int], sizes: list[int], capacity: int, rng: np.random.Generator) -> list[int]:
+    """Fill bins with room better by loose pieces: one or two of these for one or two smaller ones, which become loose.
+    Every exchange fills its bin more, so the pieces left over get smaller. Changes bins; gives the loose pieces."""
+    free = sorted((sizes[i], i) for i in loose)
+    for k in rng.permutation(len(bins))[:EXCHANGES].tolist():
+        b = bins[k]
+        room = capacity - sum(sizes[i] for i in b)
+        if not room or not free:
+            continue
+        best: tuple = (0, (), ())
+        outs = [((), 0)] + [((i,), sizes[i]) for i in b[:MEMBERS]] + [((i, j), sizes[i] + sizes[j]) for n, i in enumerate(b[:MEMBERS]) for j in b[:n]]
+        for out, gone in outs:
+            most = room + gone
+            at = bisect.bisect_right(free, (most, len(sizes))) - 1
+            if at >= 0 and free[at][0] - gone > best[0]:
+                best = (free[at][0] - gone, out, (free[at],))
+            for x in range(at, max(-1, at - PARTNERS), -1):
+                y = min(bisect.bisect_right(free, (most - free[x][0], len(sizes))) - 1, x - 1)
+                if y >= 0 and free[x][0] + free[y][0] - gone > best[0]:
+                    best = (free[x][0] + free[y][0] - gone, out, (free[x], free[y]))
+            if best[0] == room:
+                break
+        if best[0]:
+            bins[k] = [i for i in b if i not in best[1]] + [i for _, i in best[2]]
+            for f in best[2]:
+                free.pop(bisect.bisect_left(free, f))
+            for i in best[1]:
+                bisect.insort(free, (sizes[i], i))
+    return [i for _, i in free]
+
+
+def evolve(size: np.ndarray, capacity: int, elites: list[list[list[int]]], seed: int, population: int = POPULATION, generations: int = GENERATIONS, patience: int = PATIENCE) -> list[list[int]]:
+    """One island's epoch: from the elites that came in to the best individual. It ends at the lower bound, after
+    ``generations``, or after ``patience`` generations in which neither the bins nor their filling got better."""
+    sizes = size.tolist()
+    bound = -(-sum(sizes) // capacity)
     rng = np.random.default_rng(seed)
     people = list(elites)
     if not people:
         first = Bins(size, capacity)
-        first.fit(list(range(len(size))))
+        first.fit(list(range(len(sizes))))
         people = [first.bins]
-    sizes = size.tolist()
-    best = min(people, key=lambda p: fitness(p, sizes, capacity))
-    if len(best) <= bound:
-        return best
-    while len(people) < population:  # start from shuffled sizes: best fit of slightly misjudged order
-        noisy = Bins(size, capacity)
-        keep = [b for b in best if rng.random() < 0.5]
-        for b in keep:
-            noisy.inject(list(b))
-        inside = {i for b in keep for i in b}
-        rest = [i for i in range(len(size)) if i not in inside]
-        half = rng.random(len(rest)) < 0.5
-        noisy.fit([i for i, h in zip(rest, half, strict=True) if h])
-        noisy.fit([i for i, h in zip(rest, half, strict=True) if not h])
-        people.append(noisy.bins)
+    rank = lambda p: fitness(p, sizes, capacity)
+    people = sorted(((rank(p), p) for p in people), key=lambda x: x[0])
+    while len(people[0][1]) > bound and len(people) < population:  # kin of the best: half of its bins, the rest in another order
+        kin = Bins(size, capacity)
+        loose: list[int] = []
+        for b in people[0][1]:
+            if rng.random() < 0.5:
+                kin.inject(list(b))
+            else:
+                loose += b
+        half = rng.random(len(loose)) < 0.5
+        kin.fit([i for i, h in zip(loose, half, strict=True) if h])
+        kin.fit([i for i, h in zip(loose, half, strict=True) if not h])
+        people.append((rank(kin.bins), kin.bins))
+    idle = 0
     for _ in range(generations):
-        people.sort(key=lambda p: fitness(p, sizes, capacity))
-        people = people[:population]
-        if len(people[0]) <= bound:
+        people = sorted(people, key=lambda x: x[0])[:population]
+        if len(people[0][1]) <= bound or idle >= patience:
             break
-        children = []
         for _ in range(population):
-            a, b = rng.integers(0, len(people), 2)
-            children.append(crossover(people[int(min(a, b))], people[int(max(a, b))], size, capacity, rng))
-        people += children
-    return min(people, key=lambda p: fitness(p, sizes, capacity))
+            x, y = rng.integers(0, len(people), 2).tolist()
+            child = crossover(people[x][1], people[y][1], size, capacity, rng)
+            people.append((rank(child), child))
+        idle = 0 if min(p[0] for p in people[population:]) < people[0][0] else idle + 1
+    return min(people, key=lambda x: x[0])[1]
 
 
 def encode_bins(bins: list[list[int]], n: int) -> bytes:
@@ -178,31 +224,34 @@ def _epoch(capacity: int, epoch: int):
     return run
 
 
-def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(shard, pieces, bins) to rows with sequence and offset."""
-    for batch in batches:
-        for r in range(batch.num_rows):
-            shard, pieces = batch.column(0)[r].as_py(), batch.column(1).slice(r, 1)
-            flat = pieces.flatten()
-            of = np.frombuffer(batch.column(2)[r].as_py(), np.int32).astype(np.int64)
-            length = np.asarray(flat.field("length"))
-            order = np.argsort(of, kind="stable")
-            total = np.cumsum(length[order]) - length[order]
-            first = np.concatenate([[True], np.diff(of[order]) != 0])
-            offset = np.empty(len(of), np.int64)
-            offset[order] = total - np.repeat(total[first], np.diff(np.append(np.flatnonzero(first), len(of))))
-            yield pa.RecordBatch.from_arrays([flat.field("doc_id"), flat.field("piece"), flat.field("start"), flat.field("length"), flat.field("ids_crc32"), pa.array(of * 2 + 1 + (shard << 20)), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+def _place(capacity: int, first_id: int, rest: bool):
+    """(shard, pieces, bins) to rows with sequence and offset; where ``rest``, the pieces of the shard's worst bins (of at
+    most 1 / REST of its pieces) are marked to be packed again."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                shard, flat = batch.column(0)[r].as_py(), batch.column(1).slice(r, 1).flatten()
+                of = np.frombuffer(batch.column(2)[r].as_py(), np.int32).astype(np.int64)
+                length = np.asarray(flat.field("length"))
+                order = np.argsort(of, kind="stable")
+                total = np.cumsum(length[order]) - length[order]
+                first = np.concatenate([[True], np.diff(of[order]) != 0])
+                offset = np.empty(len(of), np.int64)
+                offset[order] = total - np.repeat(total[first], np.diff(np.append(np.flatnonzero(first), len(of))))
+                again = np.zeros(len(of), bool)
+                if rest:
+                    fill, held = np.bincount(of, length), np.bincount(of)
+                    worst = np.argsort(fill, kind="stable")
+                    worst = worst[(np.cumsum(held[worst]) <= len(of) // REST) & (fill[worst] < capacity)]
+                    again = np.isin(of, worst)
+                yield pa.RecordBatch.from_arrays([flat.field("doc_id"), flat.field("piece"), flat.field("start"), flat.field("length"), flat.field("ids_crc32"), pa.array(of * 2 + 1 + (shard + first_id << 20)), pa.array(offset), pa.array(again)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "again"])
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_size: int = SHARD, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
-    """The pieces with sequence_id and offset: gapless sequences of at most ``capacity`` tokens."""
-    pieces = materialize(pieces, "pieces")
-    full = pieces.where(F.col("length") >= capacity)
-    part = pieces.where(F.col("length") < capacity)
-    n_shards = max(1, -(-part.count() // shard_size))
-    row = F.struct("length", "doc_id", "piece", "start", "ids_crc32")
-    shards = part.groupBy(F.expr(f"pmod(xxhash64(doc_id, piece, ids_crc32, monotonically_increasing_id() % 1024), {n_shards})").cast("long").alias("shard")).agg(F.sort_array(F.collect_list(row), asc=False).alias("pieces"))
-    shards = materialize(shards, "shards")
+    return run
+
+
+def _evolved(shards: DataFrame, n_shards: int, capacity: int, islands: int, epochs: int) -> DataFrame:
+    """(shard, bins): the best individual of each shard's islands."""
     lengths = shards.select("shard", F.expr("cast(pieces.length as array<bigint>)").alias("lengths"))
     state = lengths.select("shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "lengths", F.expr("cast(array() as array<binary>)").alias("elites"))
     schema = "shard long, island int, lengths array<bigint>, elites array<binary>"
@@ -215,9 +264,27 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_size: int = SHARD, i
             state = state.join(sent, ["shard", "island"]).select("shard", "island", "lengths", F.array_distinct(F.concat("elites", "sent")).alias("elites"))
     state = materialize(state, "islands")
     count = state.select("shard", "island", F.col("elites")[0].alias("bins"))
-    best = count.mapInArrow(_count, "shard long, island int, bins binary, n int").groupBy("shard").agg(F.min_by("bins", F.struct("n", "island")).alias("bins"))
-    placed = shards.join(best, "shard").select("shard", "pieces", "bins").mapInArrow(_place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
-    return placed.unionByName(full.withColumn("sequence_id", F.monotonically_increasing_id() * 2).withColumn("offset", F.lit(0).cast("long")))
+    return count.mapInArrow(_count, "shard long, island int, bins binary, n int").groupBy("shard").agg(F.min_by("bins", F.struct("n", "island")).alias("bins"))
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_size: int = SHARD, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
+    """The pieces with sequence_id and offset: gapless sequences of at most ``capacity`` tokens."""
+    pieces = materialize(pieces, "pieces")
+    row = ["length", "doc_id", "piece", "start", "ids_crc32"]
+    out = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    done = pieces.where(F.col("length") >= capacity).withColumn("sequence_id", F.monotonically_increasing_id() * 2).withColumn("offset", F.lit(0).cast("long")).select(out)
+    part, first_id = pieces.where(F.col("length") < capacity).select(row), 0
+    while True:  # a level takes at most 1 / REST of the level before, so there are few
+        n_shards = max(1, -(-part.count() // shard_size))
+        at = F.expr(f"pmod(xxhash64(doc_id, piece, ids_crc32, monotonically_increasing_id() % 1024), {n_shards})").cast("long")
+        shards = materialize(part.groupBy(at.alias("shard")).agg(F.sort_array(F.collect_list(F.struct(*row)), asc=False).alias("pieces")), "shards")
+        best = _evolved(shards, n_shards, capacity, islands, epochs)
+        schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, again boolean"
+        placed = shards.join(best, "shard").select("shard", "pieces", "bins").mapInArrow(_place(capacity, first_id, n_shards > 1), schema)
+        if n_shards == 1:
+            return done.unionByName(placed.select(out))
+        placed = materialize(placed, "placed")
+        done, part, first_id = done.unionByName(placed.where("not again").select(out)), placed.where("again").select(row), first_id + n_shards
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
