@@ -78,4 +78,19 @@ lk AS (SELECT e.a AS copy_id, CAST(sum(c.copies) AS BIGINT) AS links FROM e JOIN
 z AS (SELECT class_id, CAST(sum(copies) AS BIGINT) AS n_class FROM cls JOIN c ON c.copy_id = cls.copy_id GROUP BY class_id)
 SELECT m.doc_id, c.copy_id, cls.class_id, c.copies - 1 + coalesce(lk.links, 0) AS n_links, z.n_class FROM m JOIN c ON c.seq = m.seq JOIN cls ON cls.copy_id = c.copy_id LEFT JOIN lk ON lk.copy_id = c.copy_id JOIN z ON z.class_id = cls.class_id
 UNION ALL SELECT DISTINCT doc_id, doc_id, doc_id, 0, 1 FROM documents WHERE doc_id IS NULL OR text IS NULL OR regexp_matches(text, '^[\x20\x09-\x0D]*$')"""
-ORACLE_SQL: dict[str, str] = {"op1_suffix_dedup": SUFFIX_SQL, "op3_jaccard_join": JACCARD_SQL}
+# Every combination of tokens of the decided urls, counted.
+URL_SQL = r"""WITH p AS (SELECT row_number() OVER () AS id, page_id, coalesce(lower(url), '') AS u, coalesce(url LIKE '%://%', false) AS ok, CASE WHEN url LIKE '%://%' THEN url[strpos(url, '://') + 3 :] ELSE '' END AS rest FROM pages),
+q AS (SELECT *, translate(regexp_extract(rest, '(?s)^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path,
+  list_sort(list_distinct(list_filter(regexp_split_to_array(u, '[^\p{L}\p{N}]+'), lambda t: t <> '' AND NOT regexp_full_match(t, '\p{N}+') AND t NOT IN ('http', 'https', 'net', 'example', 'com', 'org', 'en', 'de', 'fr')))) AS t FROM p),
+rules(h, pre, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+e AS (SELECT q.id, max_by(struct_pack(rule := h || pre, v := v), length(h || pre)) AS r FROM q JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre) GROUP BY q.id),
+lab AS (SELECT q.id, q.t, e.r.v AS v FROM q JOIN e ON e.id = q.id),
+tot AS (SELECT count(*) AS n, greatest(5, ceil(0.001 * count(*) - 1e-9)) AS least, count(*) FILTER (v = 'block') AS block, count(*) FILTER (v = 'allow') AS allow FROM lab),
+sub AS (SELECT v, list_filter(t, lambda x, i: (m >> (i - 1)) & 1 = 1) AS c FROM lab, unnest(range(1, 1 << len(t))) AS s(m)),
+cnt AS (SELECT c, count(*) AS n, count(*) FILTER (v = 'block') AS block, count(*) FILTER (v = 'allow') AS allow FROM sub GROUP BY c),
+sides AS (SELECT c, 'block' AS v, block AS k, block / n AS conf, block / n / (SELECT block / n FROM tot) AS lift FROM cnt UNION ALL SELECT c, 'allow', allow, allow / n, allow / n / (SELECT allow / n FROM tot) FROM cnt),
+good AS (SELECT * FROM sides WHERE k >= (SELECT least FROM tot) AND conf >= 0.9 AND lift >= 1.2),
+kept AS (SELECT * FROM good g WHERE NOT EXISTS (SELECT 1 FROM good s WHERE s.v = g.v AND len(s.c) < len(g.c) AND list_has_all(g.c, s.c))),
+hit AS (SELECT q.id, max_by(kept.v, struct_pack(conf := conf, k := k, a := kept.v = 'allow')) AS v FROM q JOIN kept ON list_has_all(q.t, kept.c) WHERE q.id NOT IN (SELECT id FROM e) GROUP BY q.id)
+SELECT q.page_id, q.host, q.path, e.r.rule AS rule, coalesce(e.r.v, hit.v, 'allow') AS verdict, e.r IS NULL AS by_method, hit.v IS NOT NULL AS matched FROM q LEFT JOIN e ON e.id = q.id LEFT JOIN hit ON hit.id = q.id"""
+ORACLE_SQL: dict[str, str] = {"op1_suffix_dedup": SUFFIX_SQL, "op3_jaccard_join": JACCARD_SQL, "op10_url_filter": URL_SQL}

@@ -20,20 +20,26 @@ def ruled(host, path):
     return max(fits)[1:] if fits else (None, None)
 
 
-def brute(urls, support, confidence):
-    """Verdicts by counting every combination of tokens."""
+def brute(urls, support, confidence, count_least=5, lift=1.2):
+    """Verdicts by counting every combination of tokens of the decided urls."""
     named = {t for h, p, _ in RULES for t in [*h.split("."), *p.split("/")] if t} | {"http", "https"}
     toks = [{t for t in re.split(r"[\W_]+", (u or "").lower()) if t and not t.isdigit() and t not in named} for u in urls]
-    verdict = [ruled(*parse(u)) for u in urls]
-    count, blocked = {}, {}
-    for t, (_, v) in zip(toks, verdict):
+    verdict = [ruled(*parse(u))[1] for u in urls]
+    count, decided = {}, [(t, v) for t, v in zip(toks, verdict) if v]
+    for t, v in decided:
         for r in range(1, len(t) + 1):
             for c in itertools.combinations(sorted(t), r):
-                count[c] = count.get(c, 0) + 1
-                blocked[c] = blocked.get(c, 0) + (v == "block")
-    base = sum(v == "block" for _, v in verdict) / len(urls)
-    rules = [set(c) for c, n in blocked.items() if n >= support * len(urls) - 1e-9 and n / count[c] >= confidence and n / count[c] > base]
-    return [v or ("block" if any(r <= t for r in rules) else "allow") for t, (_, v) in zip(toks, verdict)]
+                count.setdefault(c, {"block": 0, "allow": 0})[v] += 1
+    n, rules = len(decided), []
+    for v in ("block", "allow"):
+        base = sum(w == v for _, w in decided) / max(1, n)
+        good = {frozenset(c): k for c, k in count.items() if k[v] >= max(support * n - 1e-9, count_least) and k[v] / sum(k.values()) >= confidence and k[v] / sum(k.values()) / base >= lift}
+        rules += [(c, v, k[v] / sum(k.values()), k[v] / n) for c, k in good.items() if not any(q < c for q in good)]
+    out = []
+    for t, v in zip(toks, verdict):
+        hit = [(conf, sup, w == "allow", w) for c, w, conf, sup in rules if c <= t]
+        out.append(v or (max(hit)[3] if hit else "allow"))
+    return out
 
 
 def test_against_brute_force(spark):
@@ -42,15 +48,15 @@ def test_against_brute_force(spark):
     paths = ["", "/", "/en/", "/en/1", "/de/win", "/fr/7", "/EN/", "/x/spam/casino", "/cheap/win"]
     tails = ["", "?utm=1", "#top", "?a=/en/", "/?x"]
     urls = [f"http{rng.choice(['', 's'])}://{rng.choice(hosts)}{rng.choice(paths)}{rng.choice(tails)}" for _ in range(600)]
-    urls += [None, "", "no scheme/spam", "ftp://u@h.net:80/x", "a://b://c.net/", "http://x.net", "http://\nnet/", "HTTP://ÀB.Org/fr/x"]
+    urls += [None, "", "no scheme/spam", "ftp://u@h.net:80/x", "a://b://c.net/", "http://x.net", "http://\nnet/", "HTTP://ÀB.Org/fr/x", "http://new.io/notexample", "http://new.io/spam"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("row", F.lit(1))
-    got = {r.page_id: r for r in judge_urls(df, least_support=0.01, least_confidence=0.6).collect()}
-    want = brute(urls, 0.01, 0.6)
+    got = {r.page_id: r for r in judge_urls(df, least_support=0.01, least_confidence=0.6, least_lift=1.05).collect()}
+    want = brute(urls, 0.01, 0.6, lift=1.05)
     for i, u in enumerate(urls):
         assert (got[i].host, got[i].path) == parse(u), u
         assert got[i].rule == ruled(*parse(u))[0], u
         assert got[i].verdict == want[i], u
-    assert any(r.by_method and r.verdict == "block" for r in got.values())
+    assert any(r.by_method and r.verdict == "block" and r.matched for r in got.values())
 
 
 def test_repeats_and_empty(spark):
@@ -58,3 +64,17 @@ def test_repeats_and_empty(spark):
     assert [(r.page_id, r.verdict) for r in sorted(judge_urls(df).collect())] == [(1, "block")] * 3 + [(2, "allow")]
     assert judge_urls(spark.createDataFrame([(None, None)], "page_id long, url string")).first().verdict == "allow"
     assert judge_urls(df.limit(0)).count() == 0
+
+
+def test_long_urls_count_whole(spark):
+    fixed = "&".join(f"k{i}=v{i}" for i in range(40))  # eighty tokens that always stand together are one item
+    rows = [f"http://h{i}.net/?{fixed}&zz=bad" for i in range(30)] + [f"http://h{i}.org/fr/?{fixed}&yy=good" for i in range(30)]
+    rows += [f"http://new.io/?{fixed}&zz=1", f"http://new.io/?{fixed}&yy=1", f"http://new.io/?{fixed}", "http://new.io/zz", "http://new.io/?bad"]
+    got = {r.page_id: (r.verdict, r.matched) for r in judge_urls(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")).collect()}
+    assert [got[60 + i] for i in range(5)] == [("block", True), ("allow", True), ("allow", False), ("block", True), ("block", True)]
+
+
+def test_driver_tables_against_brute_force(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url").collect()
+    got = {r.page_id: r.verdict for r in judge_urls(spark.createDataFrame(rows)).collect()}
+    assert [got[r.page_id] for r in rows] == brute([r.url for r in rows], 0.001, 0.9)
