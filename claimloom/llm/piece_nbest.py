@@ -5,14 +5,17 @@ model; its score is the sum of its pieces' scores. Characters that no piece hold
 byte pieces at the cost of an unknown character, 10 under the lowest score; pieces whose score in the file is under -1e8
 (runs of blanks, which have no rank) count as 5 under the lowest. Forward Viterbi scores of all prefixes are
 exact heuristics for a backward A* search from the end of the lattice, which so pops complete segmentations in the order
-of their scores without ever popping a partial one in vain. Of equal scores the segmentation with fewer pieces comes
-first, then the one whose last pieces are longer.
+of their scores without ever popping a partial one in vain. Partial paths in the frontier have no completion in common
+and each is as good as its estimate, so the frontier never needs more than N of them, however long the text. Of equal
+scores the segmentation with fewer pieces comes first; further ties have a fixed order. Scores are whole multiples of
+1 / ``SCALE`` and numbers of pieces are counted apart from them, so sums are exact.
 
 Between two characters that stand side by side in no piece every segmentation has a cut. A text is cut there into
 segments that repeat (mostly words); forward and backward Viterbi scores are computed in numpy once for each distinct
 segment (a process keeps those it has met, up to a fixed number), all of one length together. The loss of a segment's second best way is the best score less the best
 over edges off the best path of forward + edge + backward. A text's N best differ from the best in at most the N - 1
-segments of least loss, so only those are searched by A*, and their results are combined in order of the sum.
+segments of least loss, so only those are searched by A*, and their results are combined in order of the sum. The ids
+of each of the N are those of the best one with the changed segments put in place.
 
 Defined results: null and empty texts have no pieces, score 0 and one segmentation. Decoding joins the pieces' bytes,
 writes U+2581 as blank and drops the first blank; decode(encode(text)) == text for every text. Texts are whole, however
@@ -21,6 +24,7 @@ long. Equal rows are encoded once each; an empty table gives an empty result; ex
 
 from __future__ import annotations
 
+import functools
 import heapq
 import zlib
 from collections.abc import Iterator
@@ -31,14 +35,15 @@ from pyspark.sql import DataFrame
 
 from claimloom.llm.textbuf import U, blocks, mix, powers
 
-N_BEST, SCALE, LESS = 4, 16, 1 << 20
+N_BEST, SCALE = 4, 1 << 20
+WORST = -(1 << 61)
 MOST_SEGMENTS = 1_000_000  # that a process keeps; beyond it starts anew
 BLANK, FOREIGN = 0x2581, 0x10FFFF + 1  # FOREIGN stands for U+2581 of the text itself
 _B = 0xA24BAED4963EE407 | 5
 
 
 class PieceModel:
-    """Pieces, integer edge weights (score x SCALE x LESS, less 1 for each piece) and lookup tables of a model file."""
+    """Pieces, integer edge weights (score x SCALE) and lookup tables of a model file."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -57,8 +62,8 @@ class PieceModel:
         lowest, usable = float(min(score[i] for i in normal if score[i] > -1e8)), normal
         score[usable] = np.maximum(score[usable], lowest - 5)  # pieces without a rank: runs of blanks
         self.score, self.unknown_score = score, lowest - 10
-        self.weight = np.round(score * SCALE).astype(np.int64) * LESS - 1
-        self.unknown = round(self.unknown_score * SCALE) * LESS - 1
+        self.weight = np.round(np.where(np.abs(score) < 1e9, score, 0) * SCALE).astype(np.int64)
+        self.unknown = round(self.unknown_score * SCALE)
         chars = sorted({c for i in usable for c in self.pieces[i]})
         self.number = np.zeros(0x110002, np.int32)  # 0: in no piece
         self.number[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
@@ -83,16 +88,17 @@ class PieceModel:
 
     def forget(self) -> None:
         """Drop what this process has learned of segments."""
-        self.known, self.best, self.loss = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.first, self.count, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.searched: dict[int, list[tuple[int, list[tuple[int, int]]]]] = {}
+        self.known = np.zeros(0, np.uint64)
+        self.facts = np.zeros((0, 6), np.int64)  # score and pieces of the best way, what the second loses of both, place in the pool, ids
+        self.pool = np.zeros(0, np.int64)
+        self.searched: dict[int, list[tuple[int, int, np.ndarray, bool]]] = {}
 
-    def learn(self, keys: np.ndarray, best: np.ndarray, loss: np.ndarray, ids: list[np.ndarray]) -> None:
+    def learn(self, keys: np.ndarray, facts: np.ndarray, ids: list[np.ndarray]) -> None:
         """Keep new segments (keys in order)."""
         at = np.searchsorted(self.known, keys)
-        count = np.array([len(x) for x in ids], np.int64)
-        self.first = np.insert(self.first, at, np.cumsum(count) - count + len(self.pool))
-        self.known, self.best, self.loss, self.count = (np.insert(a, at, b) for a, b in ((self.known, keys), (self.best, best), (self.loss, loss), (self.count, count)))
+        facts[:, 5] = [len(x) for x in ids]
+        facts[:, 4] = np.cumsum(facts[:, 5]) - facts[:, 5] + len(self.pool)
+        self.known, self.facts = np.insert(self.known, at, keys), np.insert(self.facts, at, facts, 0)
         self.pool = np.concatenate([self.pool, *ids])
 
     @staticmethod
@@ -123,79 +129,95 @@ class PieceModel:
         out[:, :, 0][(out[:, :, 0] < 0) | (seg == 0)] = -2
         return out
 
-    def viterbi(self, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Forward scores (m, n + 1), lengths of the best path's pieces that end at each place, edge weights, and the
-        loss of the second best way (a large number without one)."""
+    @staticmethod
+    def _first(score: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Of each row the place of the greatest score, then least count, then the last such place."""
+        tie = score == score.max(1, keepdims=True)
+        less = np.where(tie, count, np.iinfo(np.int64).max)
+        good = less == less.min(1, keepdims=True)
+        return score.shape[1] - 1 - good[:, ::-1].argmax(1)
+
+    def viterbi(self, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Forward scores and pieces of the best paths to each place (m, n + 1), the lengths of these paths' last
+        pieces, edge weights, and what the second best way loses of the score and adds in pieces (a large loss without
+        one)."""
         m, n, most = edge.shape
-        worst = np.iinfo(np.int64).min // 4
-        weight = np.where(edge >= 0, self.weight[edge], np.where(edge == -2, self.unknown, worst))
-        alpha, back = np.full((m, n + 1), worst), np.zeros((m, n + 1), np.int64)
-        beta = np.full((m, n + 1), worst)
-        alpha[:, 0] = beta[:, n] = 0
-        for v in range(1, n + 1):
-            for length in range(1, min(most, v) + 1):
-                c = alpha[:, v - length] + weight[:, v - length, length - 1]
-                better = c >= alpha[:, v]
-                alpha[better, v], back[better, v] = c[better], length
-        for u in range(n - 1, -1, -1):
-            for length in range(1, min(most, n - u) + 1):
-                np.maximum(beta[:, u], weight[:, u, length - 1] + beta[:, u + length], out=beta[:, u])
+        row = np.arange(m)
+        weight = np.where(edge >= 0, self.weight[edge], np.where(edge == -2, self.unknown, WORST))
+
+        def sweep(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """w: weights by (stop, length) of pieces that end at each place."""
+            score, count, back = np.full((m, most + n + 1), WORST), np.zeros((m, most + n + 1), np.int64), np.zeros((m, n + 1), np.int64)
+            score[:, most] = 0
+            for v in range(1, n + 1):
+                s = score[:, v : v + most][:, ::-1] + w[:, v - 1]
+                c = count[:, v : v + most][:, ::-1] + 1
+                at = self._first(s, c)
+                score[:, most + v], count[:, most + v], back[:, v] = np.maximum(s[row, at], WORST), c[row, at], at + 1
+            return score[:, most:], count[:, most:], back
+
+        by_stop = np.full((m, n, most), WORST)
+        for length in range(1, most + 1):
+            by_stop[:, length - 1 :, length - 1] = weight[:, : n - length + 1, length - 1]
+        alpha, pieces, back = sweep(by_stop)
+        beta, rest, _ = sweep(weight[:, ::-1])
+        beta, rest = beta[:, ::-1], rest[:, ::-1]
         on = np.zeros((m, n, most), bool)
         at = np.full(m, n)
-        row = np.arange(m)
         while (live := at > 0).any():
             r, length = row[live], back[row[live], at[live]]
             at[live] -= length
             on[r, at[live], length - 1] = True
-        second = np.full(m, worst)
+        second, more = np.full((m, most), WORST), np.zeros((m, most), np.int64)
         for length in range(1, most + 1):
-            total = alpha[:, : n - length + 1] + weight[:, : n - length + 1, length - 1] + beta[:, length:]
-            total[on[:, : n - length + 1, length - 1]] = worst
-            np.maximum(second, total.max(1), out=second)
-        best = alpha[:, n]
-        loss = np.where(second > worst // 2, best - second, np.iinfo(np.int64).max // 4)
-        return alpha, back, weight, loss
-
-    def search(self, seg: np.ndarray, n_best: int) -> list[tuple[int, list[tuple[int, int]]]]:
-        """Backward A* over one segment: (weight, [(start, stop)]) of its best ways, in order."""
-        edge = self.edges(seg[None])
-        alpha, _, weight, _ = (x[0] for x in self.viterbi(edge))
-        n, most = len(seg), weight.shape[1]
-        heap: list = [(-int(alpha[n]), (), n, 0)]
-        out = []
-        while heap and len(out) < n_best:
-            f, path, at, gone = heapq.heappop(heap)
+            s = alpha[:, : n - length + 1] + weight[:, : n - length + 1, length - 1] + beta[:, length:]
+            s[on[:, : n - length + 1, length - 1]] = WORST
+            c = pieces[:, : n - length + 1] + 1 + rest[:, length:]
+            at = self._first(s, c)
+            second[:, length - 1], more[:, length - 1] = s[row, at], c[row, at]
+        at = self._first(second, more)
+        second, more = second[row, at], more[row, at]
+        some = second > WORST // 2
+        return alpha, pieces, back, weight, np.where(some, alpha[:, n] - second, -WORST), np.where(some, more - pieces[:, n], 0)
+
+    def search(self, seg: np.ndarray, n_best: int) -> list[tuple[int, int, list[tuple[int, int]]]]:
+        """Backward A* over one segment: (score, pieces, [(start, stop)]) of its best ways, in order."""
+        alpha, pieces, _, weight, _, _ = (x[0] for x in self.viterbi(self.edges(seg[None])))
+        n, most, out, step = len(seg), weight.shape[1], [], 0
+        # estimate, pieces, the step that made it (later ones first, so that a way is completed before its equals), length, place, path
+        frontier: list = [(-int(alpha[n]), int(pieces[n]), 0, 0, n, 0, 0, None)]
+        while frontier and len(out) < n_best:
+            _, _, _, _, at, gone, count, path = frontier.pop(0)
             if at == 0:
-                out.append((-f, self._places(path)))
+                places = []
+                while path:
+                    places.append((path[0], path[1]))
+                    path = path[2]
+                out.append((gone, count, places))
                 continue
+            step += 1
             for length in range(min(most, at), 0, -1):
-                w = int(weight[at - length, length - 1])
-                if w > np.iinfo(np.int64).min // 8:
-                    heapq.heappush(heap, (-(gone + w + int(alpha[at - length])), (*path, -length), at - length, gone + w))
+                w, start = int(weight[at - length, length - 1]), at - length
+                if w > WORST // 2 and alpha[start] > WORST // 2:
+                    frontier.append((-(gone + w + int(alpha[start])), count + 1 + int(pieces[start]), -step, -length, start, gone + w, count + 1, (start, at, path)))
+            frontier.sort(key=lambda x: x[:4])
+            del frontier[n_best - len(out) :]
         return out
 
-    @staticmethod
-    def _places(path: tuple[int, ...]) -> list[tuple[int, int]]:
-        out, at = [], 0
-        for length in reversed(path):
-            out.append((at, at - length))
-            at -= length
-        return out
 
-
-def sums_in_order(choices: list[list[int]], n: int) -> list[tuple[int, tuple[int, ...]]]:
-    """The n greatest sums of one value from each list (falling), with the places chosen."""
+def sums_in_order(choices: list[list[tuple[int, int]]], n: int) -> list[tuple[int, int, tuple[int, ...]]]:
+    """The n best sums of one (score, pieces) from each list (best first), with the places chosen."""
     start = tuple([0] * len(choices))
-    heap, seen, out = [(-sum(c[0] for c in choices), start)], {start}, []
+    heap, seen, out = [(-sum(c[0][0] for c in choices), sum(c[0][1] for c in choices), start)], {start}, []
     while heap and len(out) < n:
-        s, at = heapq.heappop(heap)
-        out.append((-s, at))
+        s, p, at = heapq.heappop(heap)
+        out.append((-s, p, at))
         for k, c in enumerate(choices):
             if at[k] + 1 < len(c):
                 nxt = (*at[:k], at[k] + 1, *at[k + 1 :])
                 if nxt not in seen:
                     seen.add(nxt)
-                    heapq.heappush(heap, (-(-s - c[at[k]] + c[at[k] + 1]), nxt))
+                    heapq.heappush(heap, (s + c[at[k]][0] - c[at[k] + 1][0], p - c[at[k]][1] + c[at[k] + 1][1], nxt))
     return out
 
 
@@ -226,24 +248,23 @@ class Encoded:
         near = np.minimum(np.searchsorted(model.known, self.keys), max(0, len(model.known) - 1))
         new = np.flatnonzero(model.known[near] != self.keys) if len(model.known) else np.arange(len(at))
         length = (self.seg_stop - self.seg_start)[new]
-        best, loss = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        facts = np.zeros((len(new), 6), np.int64)
         ids: list = [None] * len(new)
         for n in np.unique(length).tolist():
             rows = np.flatnonzero(length == n)
             for lo in range(0, len(rows), max(1, 100_000 // n)):
                 r = rows[lo : lo + max(1, 100_000 // n)]
                 edge = model.edges(number[self.seg_start[new[r]][:, None] + np.arange(n)])
-                alpha, back, _, lost = model.viterbi(edge)
-                best[r], loss[r] = alpha[:, n], lost
+                alpha, pieces, back, _, lost, more = model.viterbi(edge)
+                facts[r, :4] = np.stack([alpha[:, n], pieces[:, n], lost, more], 1)
                 self._read(r, new[r], edge, back, n, ids)
         if len(new):
-            model.learn(self.keys[new], best, loss, ids)
-        slot = np.searchsorted(model.known, self.keys)
-        self.best, self.loss = model.best[slot], model.loss[slot]
-        n_of = model.count[slot][self.which]
-        total = np.concatenate([[0], np.cumsum(n_of)])
-        self.ids = model.pool[np.repeat(model.first[slot][self.which] - total[:-1], n_of) + np.arange(total[-1])].astype(np.uint32)
-        self.ptr = total[self.first_seg]
+            model.learn(self.keys[new], facts, ids)
+        self.facts = model.facts[np.searchsorted(model.known, self.keys)]
+        n_of = self.facts[:, 5][self.which]
+        self.seg_ptr = np.concatenate([[0], np.cumsum(n_of)])  # of each segment of the texts, its first id
+        self.ids = model.pool[np.repeat(self.facts[:, 4][self.which] - self.seg_ptr[:-1], n_of) + np.arange(self.seg_ptr[-1])].astype(np.uint32)
+        self.ptr = self.seg_ptr[self.first_seg]
 
     def _bytes_of(self, code: int) -> np.ndarray:
         return self.model.byte_id[list(chr(BLANK if code == FOREIGN else code).encode("utf-8", "surrogatepass"))]
@@ -283,39 +304,42 @@ class Encoded:
     def document(self, d: int) -> np.ndarray:
         return self.ids[self.ptr[d] : self.ptr[d + 1]]
 
-    def nbest(self, d: int, with_ids: bool = False) -> list[tuple[float, np.ndarray | None]]:
-        """(score, ids if asked for) of the document's best segmentations in order."""
-        own = self.which[self.first_seg[d] : self.first_seg[d + 1]]
-        total = self.best[own].sum()
+    def _ways(self, seg: int) -> list[tuple[int, int, np.ndarray, bool]]:
+        """(score, pieces, ids, whether they decode to the same bytes as the best way's) of a distinct segment's best ways."""
+        model, key = self.model, int(self.keys[seg]) * 64 + self.n_best
+        if key not in model.searched:
+            found = model.search(model.number[self.code[self.seg_start[seg] : self.seg_stop[seg]]], self.n_best)
+            ids = [np.concatenate([self._ids(seg, a, b) for a, b in places]).astype(np.uint32) for _, _, places in found]
+            raw = [decode_ids(model, x.astype(np.int64)) for x in ids]
+            model.searched[key] = [(s, c, x, r == raw[0]) for (s, c, _), x, r in zip(found, ids, raw, strict=True)]
+        return model.searched[key]
+
+    def nbest(self, d: int) -> list[tuple[float, list[np.ndarray], bool]]:
+        """(score, ids in parts, whether all changed segments decode as the best way's) of the document's best
+        segmentations in order."""
+        first, last = int(self.first_seg[d]), int(self.first_seg[d + 1])
+        own = self.which[first:last]
         if not len(own):
-            return [(0.0, np.zeros(0, np.uint32) if with_ids else None)]
+            return [(0.0, [], True)]
+        score, loss, more = self.facts[own, 0], self.facts[own, 2], self.facts[own, 3]
+        total = (int((score >> 32).sum()) << 32) + int((score & 0xFFFFFFFF).sum())
         k = min(self.n_best - 1, len(own))
-        loss = self.loss[own]
-        near = np.sort(np.argpartition(loss, k - 1)[:k]) if 0 < k < len(own) else np.arange(k)
-        near = near[loss[near] < np.iinfo(np.int64).max // 8]
-        ways = []
-        for j in near.tolist():
-            seg = int(own[j])
-            key = int(self.keys[seg]) * 64 + self.n_best
-            if key not in self.model.searched:
-                number = self.model.number[self.code[self.seg_start[seg] : self.seg_stop[seg]]]
-                self.model.searched[key] = self.model.search(number, self.n_best)
-            ways.append(self.model.searched[key])
-        rest = int(total) - sum(w[0][0] for w in ways)
+        near = np.flatnonzero(loss <= (np.partition(loss, k - 1)[k - 1] if k < len(own) else loss.max())) if k else np.zeros(0, np.int64)
+        near = np.sort(near[np.lexsort((more[near], loss[near]))[:k]])
+        near = near[loss[near] < -WORST]
+        ways = [self._ways(int(own[j])) for j in near.tolist()]
+        rest = total - sum(w[0][0] for w in ways)
+        cuts = [(int(self.seg_ptr[first + j]), int(self.seg_ptr[first + j + 1])) for j in near.tolist()]
         out = []
-        for weight, places in sums_in_order([[x[0] for x in w] for w in ways], self.n_best):
-            value = -((-(weight + rest)) // LESS) / SCALE  # the score, less the charge for pieces
-            out.append((value, self._joined(own, near, ways, places) if with_ids else None))
+        for value, _, places in sums_in_order([[x[:2] for x in w] for w in ways], self.n_best):
+            parts, at, same = [], int(self.ptr[d]), True
+            for (a, b), w, p in zip(cuts, ways, places, strict=True):
+                if p:
+                    parts += [self.ids[at:a], w[p][2]]
+                    at, same = b, same and w[p][3]
+            out.append(((value + rest) / SCALE, [*parts, self.ids[at : int(self.ptr[d + 1])]], same))
         return out
 
-    def _joined(self, own: np.ndarray, near: np.ndarray, ways: list, places: tuple[int, ...]) -> np.ndarray:
-        changed = {int(j): (int(own[j]), w[p][1]) for j, w, p in zip(near, ways, places, strict=True)}
-        parts = []
-        for j, seg in enumerate(own.tolist()):
-            spans = changed[j][1] if j in changed else self.model.search(self.model.number[self.code[self.seg_start[seg] : self.seg_stop[seg]]], 1)[0][1]
-            parts += [self._ids(seg, a, b) for a, b in spans]
-        return np.concatenate(parts).astype(np.uint32)
-
 
 def decode_ids(model: PieceModel, ids: np.ndarray) -> bytes:
     """The bytes of some ids end to end, the first blank included."""
@@ -344,20 +368,18 @@ def _encode(path: str, n_best: int, all_ids: bool):
             for i, j, _ in blocks(batch, size=1 << 20):
                 texts = batch.column(1).slice(i, j - i).to_pylist()
                 e = Encoded(model, texts, n_best)
-                best = [e.nbest(d, all_ids) for d in range(len(texts))]
-                scores = pa.array([[s for s, _ in b] for b in best], pa.list_(pa.float64()))
+                best = [e.nbest(d) for d in range(len(texts))]
+                scores = pa.array([[s for s, _, _ in b] for b in best], pa.list_(pa.float64()))
                 if all_ids:
-                    ids = pa.array([[x.tolist() for _, x in b] for b in best], pa.list_(pa.list_(pa.int32())))
+                    ids = pa.array([[np.concatenate([np.zeros(0, np.uint32), *x]).tolist() for _, x, _ in b] for b in best], pa.list_(pa.list_(pa.int32())))
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), ids, scores], ["doc_id", "nbest_ids", "nbest_scores"])
                     continue
-                n = np.diff(e.ptr)
                 raw = decode_ids(model, e.ids.astype(np.int64))
                 stop = np.concatenate([[0], np.cumsum(model.raw_length[e.ids])])[e.ptr].tolist()
-                same = [raw[stop[d] : stop[d + 1]] == ((" " + t) if t else "").encode() for d, t in enumerate(texts)]
-                view = memoryview(np.ascontiguousarray(e.ids, "<u4"))
-                crc = [zlib.crc32(view[a:b]) for a, b in zip(e.ptr[:-1].tolist(), e.ptr[1:].tolist(), strict=True)]
-                first = [b[0][0] for b in best]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(first), scores, pa.array(crc, pa.int64()), pa.array(same)], ["doc_id", "n_pieces", "score", "nbest_scores", "ids_crc32", "round_trip"])
+                whole = [raw[stop[d] : stop[d + 1]] == ((" " + t) if t else "").encode() for d, t in enumerate(texts)]
+                same = [w and all(x for _, _, x in b) for w, b in zip(whole, best, strict=True)]
+                crc = [[functools.reduce(lambda c, x: zlib.crc32(np.ascontiguousarray(x, "<u4"), c), parts, 0) for _, parts, _ in b] for b in best]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(e.ptr), pa.int64()), pa.array([b[0][0] for b in best]), scores, pa.array(crc, pa.list_(pa.int64())), pa.array(same)], ["doc_id", "n_pieces", "score", "nbest_scores", "nbest_crc32", "round_trip"])
 
     return run
 
@@ -368,9 +390,9 @@ def encode(docs: DataFrame, model: str, n_best: int = N_BEST) -> DataFrame:
 
 
 def digest(docs: DataFrame, model: str, n_best: int = N_BEST) -> DataFrame:
-    """doc_id, n_pieces, score, nbest_scores, ids_crc32 (of the best ids as little-endian unsigned 32-bit values) and
-    round_trip (whether its decoded pieces are the text)."""
-    return docs.select("doc_id", "text").mapInArrow(_encode(model, n_best, False), "doc_id long, n_pieces long, score double, nbest_scores array<double>, ids_crc32 long, round_trip boolean")
+    """doc_id, n_pieces and score of the best segmentation, and of all N in order nbest_scores and nbest_crc32 (of their
+    ids as little-endian unsigned 32-bit values); round_trip: whether the pieces of every one of them decode to the text."""
+    return docs.select("doc_id", "text").mapInArrow(_encode(model, n_best, False), "doc_id long, n_pieces long, score double, nbest_scores array<double>, nbest_crc32 array<bigint>, round_trip boolean")
 
 
 def decode_table(encoded: DataFrame, model: str, column: str = "ids") -> DataFrame:
