@@ -180,12 +180,14 @@ class PieceModel:
         some = second > WORST // 2
         return alpha, pieces, back, weight, np.where(some, alpha[:, n] - second, -WORST), np.where(some, more - pieces[:, n], 0)
 
-    def search(self, seg: np.ndarray, n_best: int) -> list[tuple[int, int, list[tuple[int, int]]]]:
-        """Backward A* over one segment: (score, pieces, [(start, stop)]) of its best ways, in order."""
-        alpha, pieces, _, weight, _, _ = (x[0] for x in self.viterbi(self.edges(seg[None])))
-        n, most, out, step = len(seg), weight.shape[1], [], 0
+    @staticmethod
+    def search(alpha: np.ndarray, pieces: np.ndarray, weight: np.ndarray, n_best: int) -> list[tuple[int, int, list[tuple[int, int]]]]:
+        """Backward A* over one segment, given what ``viterbi`` found: (score, pieces, [(start, stop)]) of its best
+        ways, in order."""
+        n, most, out, step = weight.shape[0], weight.shape[1], [], 0
+        alpha, pieces = alpha.tolist(), pieces.tolist()
         # estimate, pieces, the step that made it (later ones first, so that a way is completed before its equals), length, place, path
-        frontier: list = [(-int(alpha[n]), int(pieces[n]), 0, 0, n, 0, 0, None)]
+        frontier: list = [(-alpha[n], pieces[n], 0, 0, n, 0, 0, None)]
         while frontier and len(out) < n_best:
             _, _, _, _, at, gone, count, path = frontier.pop(0)
             if at == 0:
@@ -199,7 +201,7 @@ class PieceModel:
             for length in range(min(most, at), 0, -1):
                 w, start = int(weight[at - length, length - 1]), at - length
                 if w > WORST // 2 and alpha[start] > WORST // 2:
-                    frontier.append((-(gone + w + int(alpha[start])), count + 1 + int(pieces[start]), -step, -length, start, gone + w, count + 1, (start, at, path)))
+                    frontier.append((-(gone + w + alpha[start]), count + 1 + pieces[start], -step, -length, start, gone + w, count + 1, (start, at, path)))
             frontier.sort(key=lambda x: x[:4])
             del frontier[n_best - len(out) :]
         return out
@@ -285,7 +287,7 @@ class Encoded:
             if plain[i]:
                 ids[rows[i]] = steps[i][keep[i]]
             else:
-                ids[rows[i]] = np.concatenate([self._ids(int(segs[i]), a, b) for a, b in self._path(back[i], n)])
+                ids[rows[i]] = np.concatenate([self._piece_ids(edge[i], int(segs[i]), a, b) for a, b in self._path(back[i], n)])
 
     @staticmethod
     def _path(back: np.ndarray, n: int) -> list[tuple[int, int]]:
@@ -295,39 +297,54 @@ class Encoded:
             at -= int(back[at])
         return out[::-1]
 
-    def _ids(self, seg: int, a: int, b: int) -> np.ndarray:
-        """Ids of the piece over characters a..b of a distinct segment."""
-        code = self.code[self.seg_start[seg] + a : self.seg_start[seg] + b]
-        found = self.model.find(np.array([self.model._key(self.model.number[code].tolist())], np.uint64))[0] if self.model.number[code].all() else -1
-        return np.array([found]) if found >= 0 else self._bytes_of(int(code[0]))
+    def _piece_ids(self, edge: np.ndarray, seg: int, a: int, b: int) -> np.ndarray | list[int]:
+        """Ids of the piece over characters a..b of a distinct segment with these edges."""
+        found = edge[a, b - a - 1]
+        return [found] if found >= 0 else self._bytes_of(int(self.code[self.seg_start[seg] + a]))
 
     def document(self, d: int) -> np.ndarray:
         return self.ids[self.ptr[d] : self.ptr[d + 1]]
 
-    def _ways(self, seg: int) -> list[tuple[int, int, np.ndarray, bool]]:
-        """(score, pieces, ids, whether they decode to the same bytes as the best way's) of a distinct segment's best ways."""
-        model, key = self.model, int(self.keys[seg]) * 64 + self.n_best
-        if key not in model.searched:
-            found = model.search(model.number[self.code[self.seg_start[seg] : self.seg_stop[seg]]], self.n_best)
-            ids = [np.concatenate([self._ids(seg, a, b) for a, b in places]).astype(np.uint32) for _, _, places in found]
-            raw = [decode_ids(model, x.astype(np.int64)) for x in ids]
-            model.searched[key] = [(s, c, x, r == raw[0]) for (s, c, _), x, r in zip(found, ids, raw, strict=True)]
-        return model.searched[key]
+    def _search(self) -> None:
+        """For each document the segments of least loss (``near``); the best ways of those not searched before."""
+        self.near: list[np.ndarray] = []
+        for d in range(len(self.texts)):
+            own = self.which[self.first_seg[d] : self.first_seg[d + 1]]
+            loss, more, k = self.facts[own, 2], self.facts[own, 3], min(self.n_best - 1, len(own))
+            if not k:
+                self.near.append(np.zeros(0, np.int64))
+                continue
+            near = np.flatnonzero(loss <= np.partition(loss, k - 1)[k - 1])
+            near = np.sort(near[np.lexsort((more[near], loss[near]))[:k]])
+            self.near.append(near[loss[near] < -WORST])
+        need = np.unique(np.concatenate([np.zeros(0, np.int64), *(self.which[self.first_seg[d] + x] for d, x in enumerate(self.near))]))
+        keys = [int(k) * 64 + self.n_best for k in self.keys[need].tolist()]
+        need = need[[k not in self.model.searched for k in keys]]
+        length = (self.seg_stop - self.seg_start)[need]
+        for n in np.unique(length).tolist():
+            rows = need[length == n]
+            for lo in range(0, len(rows), max(1, 100_000 // n)):
+                r = rows[lo : lo + max(1, 100_000 // n)]
+                edge = self.model.edges(self.model.number[self.code[self.seg_start[r][:, None] + np.arange(n)]])
+                alpha, pieces, _, weight, _, _ = self.model.viterbi(edge)
+                for i, seg in enumerate(r.tolist()):
+                    found = self.model.search(alpha[i], pieces[i], weight[i], self.n_best)
+                    ids = [np.concatenate([self._piece_ids(edge[i], seg, a, b) for a, b in places]).astype(np.uint32) for _, _, places in found]
+                    raw = [decode_ids(self.model, x.astype(np.int64)) for x in ids]
+                    self.model.searched[int(self.keys[seg]) * 64 + self.n_best] = [(s, c, x, y == raw[0]) for (s, c, _), x, y in zip(found, ids, raw, strict=True)]
 
     def nbest(self, d: int) -> list[tuple[float, list[np.ndarray], bool]]:
         """(score, ids in parts, whether all changed segments decode as the best way's) of the document's best
         segmentations in order."""
+        if not hasattr(self, "near"):
+            self._search()
         first, last = int(self.first_seg[d]), int(self.first_seg[d + 1])
-        own = self.which[first:last]
+        own, near = self.which[first:last], self.near[d]
         if not len(own):
             return [(0.0, [], True)]
-        score, loss, more = self.facts[own, 0], self.facts[own, 2], self.facts[own, 3]
+        score = self.facts[own, 0]
         total = (int((score >> 32).sum()) << 32) + int((score & 0xFFFFFFFF).sum())
-        k = min(self.n_best - 1, len(own))
-        near = np.flatnonzero(loss <= (np.partition(loss, k - 1)[k - 1] if k < len(own) else loss.max())) if k else np.zeros(0, np.int64)
-        near = np.sort(near[np.lexsort((more[near], loss[near]))[:k]])
-        near = near[loss[near] < -WORST]
-        ways = [self._ways(int(own[j])) for j in near.tolist()]
+        ways = [self.model.searched[int(k) * 64 + self.n_best] for k in self.keys[own[near]].tolist()]
         rest = total - sum(w[0][0] for w in ways)
         cuts = [(int(self.seg_ptr[first + j]), int(self.seg_ptr[first + j + 1])) for j in near.tolist()]
         out = []
