@@ -8,8 +8,9 @@ probabilities are the mean of its windows', weighted by their non-blank bytes; a
 Convolution of embedded bytes is linear in each byte, so prediction sums rows of 256-row tables (embedding times
 filter) in place of multiplying matrices.
 
-Training uses at most ``TRAIN_DOCS`` texts of each language (the smallest hashes of doc_id) and ``TRAIN_WINDOWS``
-windows of each, a bounded sample that follows from the ids alone; Adam runs with a fixed seed.
+Training rows are windows: every window of every labelled text may be drawn, by a hash of its doc_id and place, about
+``TRAIN_WINDOWS`` of each language (all, if there are no more), a bounded sample that follows from the table alone.
+Windows are counted, drawn and cut by DataFrame functions, so only the sample leaves its task. Adam runs with a fixed seed.
 
 Defined results: null texts and texts without any letter are ``und`` with score 0; so is everything if there is no
 labelled text. A null doc_id is not held out. Equal rows get equal results, one each. Extra columns are not read.
@@ -25,13 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.prefilter import may_match
-from claimloom.llm.sample import smallest_hashes
-from claimloom.sources.scratch import materialize
+from claimloom.llm.sample import drawn, share_of, shares
 from claimloom.llm.textbuf import Block, blocks
 
 WINDOW, EMBED, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 12
-TRAIN_DOCS, TRAIN_WINDOWS, EPOCHS, BATCH, RATE = 500, 3, 4, 32, 0.01
+TRAIN_WINDOWS, EPOCHS, BATCH, RATE = 1500, 4, 32, 0.01
 UNKNOWN = "und"
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[:128] = 32
@@ -139,29 +138,29 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], epochs: int = EPOC
     return ByteNet(languages, p[0], p[1 : k + 1], p[k + 1 : 2 * k + 1], p[-2], p[-1])
 
 
-def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Up to TRAIN_WINDOWS windows of each text, evenly spread over it."""
-    for batch in batches:
-        for i, j, b in blocks(batch):
-            x, doc = windows(b)
-            first = np.searchsorted(doc, np.arange(b.n + 1))
-            pick = [int(a + q) for a, z in zip(first, first[1:], strict=False) if z > a for q in np.unique(np.linspace(0, z - a - 1, TRAIN_WINDOWS).astype(int))]
-            row = pa.array(i + doc[pick])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array([r.tobytes() for r in x[pick]], pa.binary())], ["doc_id", "lang", "bytes"])
+def drawn_windows(labelled: DataFrame, per_language: int) -> DataFrame:
+    """(lang, doc_id, i, bytes): about ``per_language`` windows of each language's texts, repeats of a row counted once."""
+    n = F.expr(f"cast(ceil(octet_length(text) / {WINDOW}) as int)")
+    share = shares({r.lang: r.n for r in labelled.groupBy("lang").agg(F.sum(n).alias("n")).collect()}, per_language)  # one row a language
+    rows = labelled.select("lang", "doc_id", "text", n.alias("n"), share_of(F.col("lang"), share).alias("share")).where("n > 0")
+    places = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: drawn(F.col("doc_id"), i) <= F.col("share"))
+    picked = rows.select("lang", "doc_id", "text", places.alias("places")).where("size(places) > 0").select("lang", "doc_id", "text", F.explode("places").alias("i"))
+    return picked.select("lang", "doc_id", "i", F.expr(f"substring(cast(text as binary), i * {WINDOW} + 1, {WINDOW})").alias("bytes")).distinct()
 
 
-def fit(docs: DataFrame, usable: Column, per_language: int = TRAIN_DOCS) -> ByteNet | None:
+def fit(docs: DataFrame, usable: Column, per_language: int = TRAIN_WINDOWS) -> ByteNet | None:
     """A network learned from the texts and langs of rows where ``usable`` holds; None without any."""
-    ids = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang")
-    chosen = smallest_hashes(ids, "lang", per_language)
-    chosen = materialize(chosen, "sample")
-    rows = may_match(docs.select("doc_id", "lang", "text"), "doc_id", chosen.select("doc_id")).join(chosen, ["doc_id", "lang"]).select("doc_id", "lang", "text").mapInArrow(_sample, "doc_id long, lang string, bytes binary")
-    got = sorted((r.lang, r.doc_id, bytes(r.bytes)) for r in rows.collect())  # at most languages x per_language x TRAIN_WINDOWS short windows
-    if not got:
+    labelled = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", "text")
+    got = sorted((r.lang, r.doc_id, r.i, bytes(r.bytes)) for r in drawn_windows(labelled, per_language).collect())  # about languages x per_language short windows
+    x = np.full((len(got), WINDOW + max(WIDTHS) - 1), 32, np.uint8)
+    for row, g in zip(x, got, strict=True):
+        row[: len(g[3])] = _FOLD[np.frombuffer(g[3], np.uint8)]
+    some = (x != 32).any(1)
+    if not some.any():
         return None
-    languages = sorted({g[0] for g in got})
-    x = np.frombuffer(b"".join(g[2] for g in got), np.uint8).reshape(len(got), -1)
-    return train(x, np.array([languages.index(g[0]) for g in got]), languages)
+    langs = np.array([g[0] for g in got], object)[some]
+    languages = sorted(set(langs.tolist()))
+    return train(x[some], np.searchsorted(np.array(languages, object), langs), languages)
 
 
 def has_letter(text: str | None) -> bool:

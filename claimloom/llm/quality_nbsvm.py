@@ -6,7 +6,9 @@ class that have it; each text's scaled vector is set to unit length. On these a
 dual coordinate descent, and interpolated with its mean weight. A logistic curve, fitted on training rows that the
 model did not see, turns margins into scores.
 
-Training takes at most ``TRAIN_ROWS`` labelled texts of each class (the smallest hashes of doc_id): a bounded sample.
+Training takes about ``TRAIN_ROWS`` labelled rows of each class (all, if there are no more), drawn by a hash of id and
+text: a bounded sample. Their features, at most 2^``BITS`` numbers each however long the text, are made by executors;
+texts do not go to the driver.
 
 Defined results: null and empty texts have no features and the score of the bias alone. Without labels of both classes
 every score is the share of label 1 (0.5 without any). Equal rows get equal scores, one each; rows whose doc_id has
@@ -24,8 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.llm.language_id import held_out
-from claimloom.llm.prefilter import may_match
-from claimloom.llm.sample import smallest_hashes
+from claimloom.llm.sample import drawn, share_of, shares
 from claimloom.sources.scratch import materialize
 from claimloom.llm.textbuf import U, Block, blocks, mix, sequence_hash, sequence_sums
 
@@ -108,12 +109,17 @@ def platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(a), 1e-3), float(b)
 
 
-def train(texts: list[str], y: np.ndarray) -> NBSVM:
-    """y: 1 or -1."""
-    feats = []
+def features(texts: list[str]) -> list[np.ndarray]:
+    """Feature numbers of each text, in order."""
+    out = []
     for _, _, b in blocks(pa.record_batch([pa.array(texts, pa.string())], ["text"])):
         x = Features(b)
-        feats += [x.of(d) for d in range(b.n)]
+        out += [np.sort(x.of(d)) for d in range(b.n)]
+    return out
+
+
+def train(feats: list[np.ndarray], y: np.ndarray) -> NBSVM:
+    """y: 1 or -1."""
     if len(set(y.tolist())) < 2:
         p = (int((y > 0).sum()) + 0.5) / (len(y) + 1)
         return NBSVM(np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32), 1.0, 0.0, float(np.log(p / (1 - p))))
@@ -139,14 +145,22 @@ def train(texts: list[str], y: np.ndarray) -> NBSVM:
     return model
 
 
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        raw = [f.astype("<i4").tobytes() for f in features(batch.column(1).to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary()), batch.column(2)], ["o", "features", "quality"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = TRAIN_ROWS) -> NBSVM:
     """Learned from the labelled rows of docs where ``usable`` holds."""
     named = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most").select("doc_id", "quality")
-    named = named.where(usable)
-    chosen = materialize(smallest_hashes(named, "quality", per_class), "sample")
-    rows = may_match(docs.where("text is not null").select("doc_id", "text"), "doc_id", chosen.select("doc_id")).join(chosen, "doc_id").select(F.xxhash64("doc_id").alias("o"), "text", "quality")
-    got = sorted({(r.o, r.text, r.quality) for r in rows.collect()})  # at most two classes x per_class texts (and their copies by id)
-    return train([g[1] for g in got], np.array([1 if g[2] else -1 for g in got]))
+    named = materialize(named.where(usable), "labels")
+    share = shares({r.quality: r.n for r in named.groupBy("quality").agg(F.count("*").alias("n")).collect()}, per_class)
+    rows = docs.where("text is not null").select("doc_id", "text", drawn("doc_id", "text").alias("draw"))
+    rows = rows.where(F.col("draw") <= max(share.values(), default=-1))  # before the join, so that few texts move
+    rows = rows.join(named, "doc_id").where(F.col("draw") <= share_of(F.col("quality"), share)).select(F.xxhash64("doc_id").alias("o"), "text", "quality").distinct()
+    got = sorted((r.o, bytes(r.features), r.quality) for r in rows.mapInArrow(_features, "o long, features binary, quality int").collect())  # about two classes x per_class
+    return train([np.frombuffer(g[1], "<i4") for g in got], np.array([1 if g[2] else -1 for g in got]))
 
 
 def _score(model: NBSVM):

@@ -1,19 +1,27 @@
-"""A bounded sample of ids for each group."""
+"""Bounded samples by thresholds on hashes: no ranks, no sorts, no task that holds a group."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SALTS = 1024
+TOP = (1 << 63) - 1
 
 
-def smallest_hashes(ids: DataFrame, group: str, per_group: int) -> DataFrame:
-    """(doc_id, group) of the ``per_group`` smallest hashes of doc_id in each group, repeats of a row counted once.
+def shares(counts: dict[str, int], most: int) -> dict[str, int]:
+    """For each group (with the number of its rows) the hash up to which about ``most`` of its rows lie; all if there are
+    no more."""
+    return {g: TOP if n <= most else TOP * most // n for g, n in counts.items()}
 
-    Ranked in two steps, first within a slice of the group (a salt), then among the slices' winners: no task sorts more
-    than a slice, or SALTS x per_group rows, however many rows and partitions there are."""
-    rows = ids.select("doc_id", group).withColumn("salt", F.expr(f"pmod(hash(doc_id), {SALTS})"))
-    rank = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id"))
-    few = rows.withColumn("n", rank(group, "salt")).where(F.col("n") <= per_group).select("doc_id", group).distinct()
-    return few.withColumn("n", rank(group)).where(F.col("n") <= per_group).select("doc_id", group)
+
+def drawn(*key: Column | str) -> Column:
+    """A hash of a row's key between 0 and ``TOP``."""
+    return F.shiftrightunsigned(F.xxhash64(*key), 1)
+
+
+def share_of(group: Column, share: dict[str, int]) -> Column:
+    """The share of each row's group as a column; -1 for other groups."""
+    out = F.lit(-1).cast("long")
+    for g, s in sorted(share.items(), key=lambda x: str(x[0])):
+        out = F.when(group == F.lit(g), F.lit(s)).otherwise(out)
+    return out

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from claimloom.llm.language_id import FILTERS, WIDTHS, WINDOW, fit, held_out, identify, keep_identified, predict, train, windows
+from claimloom.llm.language_id import FILTERS, WIDTHS, WINDOW, drawn_windows, fit, held_out, identify, keep_identified, predict, train, windows
 from claimloom.llm.textbuf import Block
 
 EN = "the cat and the dog went with their friends to another house where nothing was wrong "
@@ -61,3 +61,33 @@ def test_training_uses_no_held_out_row(spark):
     net = fit(swapped, ~held_out(F.col("doc_id")))
     assert net.languages == ["de", "en"]
     assert sorted(predict(docs, net).collect()) == sorted(r[:1] + r[2:] for r in map(tuple, identify(docs).collect()))
+
+
+def test_predictions_against_plain_convolution(spark):
+    """Label and score of whole texts, window by window and filter by filter, for the query's own network."""
+    docs = corpus(spark)
+    net = fit(docs, ~held_out(F.col("doc_id")))
+    got = {r.doc_id: r for r in identify(docs).where("doc_id < 12").collect()}
+    for r in docs.where("doc_id < 12").collect():
+        raw = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in (r.text or "").encode())
+        total, mass = 0, 0
+        for at in range(0, len(raw), WINDOW):
+            w = np.frombuffer(raw[at : at + WINDOW].ljust(WINDOW + max(WIDTHS) - 1), np.uint8)
+            if (w == 32).all():
+                continue
+            e = net.embed[w]
+            top = [np.max([np.einsum("oe,oef->f", e[p : p + k], f) for p in range(WINDOW)], 0) + b for k, f, b in zip(WIDTHS, net.filters, net.bias, strict=True)]
+            z = np.maximum(np.concatenate(top), 0) @ net.out + net.out_bias
+            z = np.exp(z - z.max())
+            n = int((w[:WINDOW] != 32).sum())
+            total, mass = total + n * z / z.sum(), mass + n
+        assert got[r.doc_id].lang_pred == net.languages[int(np.argmax(total))] and abs(got[r.doc_id].score - (total / mass).max()) < 1e-4
+
+
+def test_windows_are_drawn_from_whole_texts(spark):
+    rows = [(1, "ä" * 128 + "b" * 300, "x"), (1, "ä" * 128 + "b" * 300, "x"), (2, "c" * 256 * 4000, "y"), (3, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = drawn_windows(docs, 1500).collect()
+    assert sorted((r.i, bytes(r.bytes)) for r in got if r.lang == "x") == [(0, "ä".encode() * 128), (1, b"b" * 256), (2, b"b" * 44)]
+    places = [r.i for r in got if r.lang == "y"]
+    assert 1300 < len(places) < 1700 and min(places) < 50 and max(places) > 3950 and len(set(places)) == len(places)

@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from claimloom.llm.language_id import held_out
-from claimloom.llm.quality_nbsvm import Features, descend, fit, judge, train
+from claimloom.llm.quality_nbsvm import Features, descend, features, fit, judge, train
 from claimloom.llm.textbuf import Block
 
 
@@ -54,4 +54,39 @@ def test_descent_separates():
     y = np.array([1 if i % 2 else -1 for i in range(60)])
     w, bias = descend(rows, y, 1.0, 30)
     assert all(np.sign(w[f] @ v + bias) == t for (f, v), t in zip(rows, y, strict=True))
-    assert train(["a", "b"], np.array([1, 1])).score(np.zeros(1))[0] > 0.5
+    assert train(features(["a", "b"]), np.array([1, 1])).score(np.zeros(1))[0] > 0.5
+
+
+def test_descent_reaches_the_optimum():
+    """Against projected gradient steps on the dual, over all rows at once."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(40, 6))
+    y = np.where(x @ rng.normal(size=6) + rng.normal(size=40) > 0, 1, -1)
+    w, bias = descend([(np.arange(6), v) for v in x], y, 1.0, 2000)
+    share = np.array([np.mean(y == c) for c in (-1, 1)])
+    upper = 0.5 / share[(y > 0).astype(int)]
+    z = np.concatenate([x, np.ones((40, 1))], 1) * y[:, None]
+    q, alpha = z @ z.T, np.zeros(40)
+    for _ in range(60_000):
+        alpha = np.clip(alpha - (q @ alpha - 1) / np.linalg.norm(q, 2), 0, upper)
+    best = z.T @ alpha
+    assert np.allclose(np.append(w[:6], bias), best, atol=1e-4)
+
+
+def test_scores_against_plain_python(spark):
+    """The scores of the query's model, feature by feature."""
+    docs, labels = data(spark)
+    model = fit(docs, labels, ~held_out(F.col("doc_id")))
+    got = {r.doc_id: r.score for r in judge(docs, labels).where("doc_id < 40").collect()}
+    for r in docs.where("doc_id < 40").collect():
+        f = set(features([r.text])[0].tolist())
+        norm = sum(float(model.ratio[i]) ** 2 for i in f) ** 0.5
+        margin = model.bias + (sum(float(model.ratio[i]) * float(model.weight[i]) for i in f) / norm if norm else 0)
+        assert abs(got[r.doc_id] - 1 / (1 + np.exp(-(model.slope * margin + model.shift)))) < 1e-5
+
+
+def test_sample_is_bounded_and_repeats_count_once(spark):
+    docs, labels = data(spark)
+    many = docs.unionByName(docs).unionByName(docs)
+    a, b = (fit(d, labels, ~held_out(F.col("doc_id")), 30) for d in (docs, many))
+    assert np.array_equal(a.weight, b.weight) and 0 < (a.ratio != 0).sum() < (fit(docs, labels, F.lit(True)).ratio != 0).sum() + 1
