@@ -8,18 +8,20 @@ sets is at least the threshold.
 2. ``BANDS`` x ``ROWS`` MinHash values give each class a key for each band. A pair is a candidate if a band agrees; at
    similarity 0.8 it agrees in none with probability (1 - 0.8**4)**24 < 4e-6. Keys of one class only are dropped by
    an aggregation with map-side combine, and a bitmap of fixed size keeps them out of later shuffles.
-3. A band's bucket is dealt in blocks of ``SIDE`` classes; a task compares two blocks at most. A pair is looked at in
-   the first band in which it agrees only. Its MinHash values are compared ``STEP`` at a time: with a uniform prior the
-   posterior of its similarity after m agreements of n is Beta(m + 1, n - m + 1), and the pair is dropped as soon as the
-   probability that it reaches the threshold is under ``TOLERANCE``.
+3. Buckets with the same smallest class are one family: near copies that agree in many bands so meet in few families, a
+   class having one row in each, with the set of its bands. A family is dealt in blocks of ``SIDE`` classes; a task
+   compares two blocks at most. A pair is looked at only where the first band in which it agrees is. Its MinHash values
+   are compared ``STEP`` at a time: with a uniform prior the posterior of its similarity after m agreements of n is
+   Beta(m + 1, n - m + 1), and the pair is dropped as soon as the probability that it reaches the threshold is under
+   ``TOLERANCE``.
 4. Survivors are verified exactly from the shingles of their texts, again block against block. Pairs never become
    rows: a task gives each class's number of links and a spanning forest of its links.
 5. Groups are the connected components of verified links.
 
 Defined results: null, empty and blank texts have no shingles, no links, and a group of their own each. Rows repeated
 with one doc_id are one document if their texts agree; if they differ each row is kept and counted. Rows without a doc_id
-have no links (one row tells of them all). Very long texts are
-whole. An empty table gives an empty result; extra columns are not read.
+have no links (one row tells of them all). Very long texts are whole. An empty table gives an empty result; extra columns
+are not read.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 from claimloom.operators.components import components
 from claimloom.llm.groups import whole_groups
-from claimloom.llm.prefilter import may_match
+from claimloom.llm.prefilter import may_match, split_by_match
 from claimloom.sources.scratch import materialize
 from claimloom.llm.textbuf import U, Block, blocks, mix, sequence_hash, sequence_sums, signed
 
@@ -103,34 +105,37 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, N_HASH)
         for i in range(0, len(sig), 2048):
             k = _band_keys(sig[i : i + 2048])
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column(0))[i : i + 2048], BANDS)), pa.array(signed(k.ravel()))], ["seq", "band"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column(0))[i : i + 2048], BANDS)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(k))), pa.array(signed(k.ravel()))], ["seq", "k", "band"])
 
 
 def _candidates(threshold: float):
-    """Rows (band, bi, bj, block, seq, sig) in that order. Gives a row for each class in a surviving pair, the first of
-    a job with all its pairs (places among the job's rows given)."""
+    """Rows (family, bi, bj, block, seq, mask, sig) in that order. Gives a row for each class in a surviving pair, the
+    first of a job with all its pairs (places among the job's rows given)."""
     bounds = least_agreements(threshold)
 
-    def surviving(a: np.ndarray, b: np.ndarray, mine: np.ndarray, keys: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        for earlier in range(BANDS):
-            keep = (mine[a] <= earlier) | (keys[a, earlier] != keys[b, earlier])
-            a, b = a[keep], b[keep]
+    def surviving(a: np.ndarray, b: np.ndarray, mask: np.ndarray, keys: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ours = []
+        for k in range(BANDS):  # pairs whose first common band belongs to this family
+            same = keys[k, a] == keys[k, b]
+            pick = same & ((mask[a] >> k) & 1 == 1)
+            ours.append((a[pick], b[pick]))
+            a, b = a[~same], b[~same]
+        a, b = (np.concatenate(x) for x in zip(*ours, strict=True))
         agree, last = np.zeros(len(a), np.int16), 0
         for n, m in bounds:
             for k in range(last, n):
-                column = np.ascontiguousarray(sig[:, k])
-                agree += column[a] == column[b]
+                agree += sig[k, a] == sig[k, b]
             last, keep = n, agree >= m
             a, b, agree = a[keep], b[keep], agree[keep]
         return a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in whole_groups(batches, 3):
-            band, bi, bj, block, seq = (t.column(c).to_numpy() for c in range(5))
+            family, bi, bj, block, seq, mask = (t.column(c).to_numpy() for c in range(6))
             n, size = t.num_rows, np.diff(starts)
-            sig = np.frombuffer(b"".join(t.column(5).to_pylist()), np.uint32).reshape(n, N_HASH)
-            keys = np.concatenate([_band_keys(sig[i : i + 4096]) for i in range(0, n, 4096)])
-            mine = (keys == band.view(np.uint64)[:, None]).argmax(1)
+            sig = np.frombuffer(b"".join(t.column(6).to_pylist()), np.uint32).reshape(n, N_HASH)
+            keys = np.ascontiguousarray(np.concatenate([_band_keys(sig[i : i + 4096]) for i in range(0, n, 4096)]).T)
+            sig = np.ascontiguousarray(sig.T)
             row, end = np.arange(n), np.repeat(starts[1:], size)
             left = np.add.reduceat((block == bi).astype(np.int64), starts[:-1])
             border = np.repeat(starts[:-1] + left, size)  # the first row of the other block
@@ -142,7 +147,7 @@ def _candidates(threshold: float):
                 j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + PAIRS, "right")))
                 a = np.repeat(row[i:j], count[i:j])
                 b = np.arange(len(a)) - np.repeat(total[i:j] - count[i:j] - (total[i - 1] if i else 0), count[i:j]) + partner[a]
-                found.append(surviving(a, b, mine, keys, sig))
+                found.append(surviving(a, b, mask, keys, sig))
                 i = j
             a, b = (np.concatenate(x) for x in zip(*found, strict=True))
             if not len(a):
@@ -160,7 +165,7 @@ def _candidates(threshold: float):
             for g in np.unique(group).tolist():
                 s, e = np.searchsorted(group, [g, g + 1])
                 pairs[first_used[g]] = np.concatenate([place[a[s:e]], place[b[s:e]]]).astype(np.int32).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(band[used]), pa.array(bi[used]), pa.array(bj[used]), pa.array(at.astype(np.int32)), pa.array(seq[used]), pa.array(pairs, pa.binary())], ["band", "bi", "bj", "at", "seq", "pairs"])
+            yield pa.RecordBatch.from_arrays([pa.array(family[used]), pa.array(bi[used]), pa.array(bj[used]), pa.array(at.astype(np.int32)), pa.array(seq[used]), pa.array(pairs, pa.binary())], ["family", "bi", "bj", "at", "seq", "pairs"])
 
     return run
 
@@ -199,7 +204,7 @@ def overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray
 
 
 def _verify(threshold: float):
-    """Rows (band, bi, bj, at, seq, pairs, copies, shingles) in that order to (seq, root, links)."""
+    """Rows (family, bi, bj, at, seq, pairs, copies, shingles) in that order to (seq, root, links)."""
 
     def job(place: np.ndarray, sets: list[np.ndarray], weight: np.ndarray, seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a, b = place[: len(place) // 2], place[len(place) // 2 :]
@@ -234,26 +239,25 @@ def _verify(threshold: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE) -> DataFrame:
-    """One row per document (and per distinct text of a doc_id): doc_id, copy_id (smallest doc_id with the same word
-    sequence), class_id (smallest doc_id of the group that links join), n_links (long: other documents whose
-    similarity is at least the threshold, copies among them), n_class (documents in the group)."""
-    every, docs = docs, docs.where("doc_id is not null")
+def _members(docs: DataFrame, threshold: float, size: int) -> DataFrame:
+    """(doc_id, seq, copy_id, class_id, n_links, n_class, first) of each document with a doc_id and a word, one row for
+    each of its texts; first: the (doc_id, seq) that stands for the group."""
     signatures = materialize(docs.select("doc_id", "text").mapInArrow(_signatures(size), "doc_id long, seq long, sig binary"), "signatures")
     members = signatures.select("doc_id", "seq").distinct()
     classes = materialize(members.groupBy("seq").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies")), "classes")
-    bands = materialize(signatures.select("seq", "sig").mapInArrow(_bands, "seq long, band long"), "bands")
-    shared = materialize(bands.groupBy("band").agg(F.min("seq").alias("a"), F.max("seq").alias("b")).where("a <> b").select("band"), "shared")
-    met = materialize(may_match(bands, "band", shared).distinct().join(shared, "band"), "met")
-    n_blocks = materialize(met.groupBy("band").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("n_blocks")), "buckets")
-    jobs = met.join(n_blocks, "band").withColumn("block", F.expr("cast(pmod(xxhash64(seq), n_blocks) as int)"))
-    jobs = jobs.select("seq", "band", "block", F.explode(F.expr("sequence(0, n_blocks - 1)")).alias("other"))
-    jobs = jobs.select("band", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "seq")
+    bands = materialize(signatures.select("seq", "sig").mapInArrow(_bands, "seq long, k int, band long"), "bands")
+    shared = materialize(bands.groupBy("band").agg(F.min("seq").alias("family"), F.max("seq").alias("b")).where("family <> b").select("band", "family"), "shared")
+    in_family = may_match(bands, "band", shared.select("band")).join(shared, "band").groupBy("family", "seq").agg(F.bit_or(F.expr("shiftleft(1, k)")).alias("mask"))
+    met = materialize(in_family, "met")
+    n_blocks = materialize(met.groupBy("family").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("n_blocks")), "families")
+    jobs = met.join(n_blocks, "family").withColumn("block", F.expr("cast(pmod(xxhash64(seq), n_blocks) as int)"))
+    jobs = jobs.select("seq", "mask", "family", "block", F.explode(F.expr("sequence(0, n_blocks - 1)")).alias("other"))
+    jobs = jobs.select("family", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "seq", "mask")
     needed = materialize(met.select("seq").distinct(), "needed")
     sigs = may_match(signatures.select("seq", "sig"), "seq", needed).dropDuplicates(["seq"])
-    key = ["band", "bi", "bj"]
-    schema = "band long, bi int, bj int, at int, seq long, pairs binary"
-    dealt = jobs.join(sigs, "seq").select(*key, "block", "seq", "sig").repartition(*key).sortWithinPartitions(*key, "block", "seq")
+    key = ["family", "bi", "bj"]
+    schema = "family long, bi int, bj int, at int, seq long, pairs binary"
+    dealt = jobs.join(sigs, "seq").select(*key, "block", "seq", "mask", "sig").repartition(*key).sortWithinPartitions(*key, "block", "seq")
     survivors = materialize(dealt.mapInArrow(_candidates(threshold), schema), "survivors")
     wanted = materialize(survivors.select("seq").distinct().join(classes, "seq"), "wanted")
     texts = may_match(docs.select("doc_id", "text"), "doc_id", wanted.select("copy_id")).select("text")
@@ -264,17 +268,58 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
     links = verified.groupBy("seq").agg(F.sum("links").alias("links"))
     joined = components(verified.where("seq <> root").select(F.col("seq").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "seq")
     linked = classes.join(links, "seq").join(joined, "seq")
-    groups = linked.groupBy("component").agg(F.min("copy_id").alias("class_id"), F.sum("copies").alias("n_class"))
-    linked = linked.join(groups, "component").select("seq", "links", "class_id", "n_class")
-    by_class = classes.join(linked, "seq", "left").select("seq", "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("n_class", "copies").alias("n_class"))
-    found = members.join(by_class, "seq").select("doc_id", "copy_id", "class_id", "n_links", "n_class")
-    alone = every.select("doc_id", "text").where("doc_id is null or " r"text is null or not text rlike '[^ \t-\r]'").select("doc_id").distinct()
+    groups = linked.groupBy("component").agg(F.min(F.struct(F.col("copy_id").alias("doc_id"), "seq")).alias("first"), F.sum("copies").alias("n_class"))
+    linked = linked.join(groups, "component").select("seq", "links", "first", "n_class")
+    first = F.coalesce("first", F.struct(F.col("copy_id").alias("doc_id"), "seq"))
+    by_class = classes.join(linked, "seq", "left").select("seq", "copy_id", first.alias("first"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("n_class", "copies").alias("n_class"))
+    return members.join(by_class, "seq").select("doc_id", "seq", "copy_id", F.col("first.doc_id").alias("class_id"), "n_links", "n_class", "first")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE) -> DataFrame:
+    """One row per document (and per distinct text of a doc_id): doc_id, copy_id (smallest doc_id with the same word
+    sequence), class_id (smallest doc_id of the group that links join), n_links (long: other documents whose
+    similarity is at least the threshold, copies among them), n_class (documents in the group)."""
+    found = _members(docs.where("doc_id is not null"), threshold, size).drop("seq", "first")
+    alone = docs.select("doc_id", "text").where("doc_id is null or " r"text is null or not text rlike '[^ \t-\r]'").select("doc_id").distinct()
     alone = alone.select("doc_id", F.col("doc_id").alias("copy_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_class"))
     return found.unionByName(alone)
 
 
+def _with_seq(at: int, names: list[str]):
+    """Rows with the hash of their text's word sequence (null without a word) in column __claimloom_seq."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            short = pa.RecordBatch.from_arrays([batch.column(at)], ["text"])
+            for i, j, b in blocks(short, size=1 << 20):
+                h = b.word_hashes(lower=True)
+                seq = sequence_hash(sequence_sums(h), b.wptr[:-1], b.wptr[1:])
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.array(signed(seq), mask=b.wptr[:-1] == b.wptr[1:])], [*names, "__claimloom_seq"])
+
+    return run
+
+
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE) -> DataFrame:
-    """The documents without near duplicates: of each group the one with the smallest doc_id stays. Rows repeated
-    under one doc_id stay or go together."""
-    found = near_duplicates(docs, threshold, size).where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """The documents without near duplicates: of each group one row stays, of the smallest doc_id (of its texts the one
+    of smallest hash). Decided row by row: a row whose text has no near duplicate stays whatever other rows of its
+    doc_id hold. Of rows with one doc_id and one word sequence the one with the smallest values stays. Rows without a
+    doc_id or a word stay as they are."""
+    found = materialize(_members(docs.where("doc_id is not null"), threshold, size), "groups")
+    gone = materialize(found.where("doc_id <> first.doc_id or seq <> first.seq").select("doc_id", "seq"), "gone")
+    names = docs.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", __claimloom_seq long"
+    rows = docs.mapInArrow(_with_seq(names.index("text"), names), schema)
+    hashed = rows.withColumn("__claimloom_key", F.xxhash64("doc_id", "__claimloom_seq"))
+    twins = docs.where("doc_id is not null").select("doc_id").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
+    twins = materialize(twins, "twins")
+    # only rows that may have to go are shuffled
+    doubtful = materialize(gone.select(F.xxhash64("doc_id", "seq").alias("h")), "doubtful")
+    if not twins.isEmpty():
+        doubtful = doubtful.union(found.join(twins, "doc_id", "left_semi").select(F.xxhash64("doc_id", "seq")))
+    sure, may = split_by_match(hashed, "__claimloom_key", doubtful)
+    may = may.join(gone.select("doc_id", F.col("seq").alias("__claimloom_seq")), ["doc_id", "__claimloom_seq"], "left_anti")
+    if not twins.isEmpty():
+        whole = may.where("__claimloom_seq is null or doc_id is null")
+        one = may.where("__claimloom_seq is not null and doc_id is not null").groupBy("doc_id", "__claimloom_seq").agg(F.min(F.struct(*[f"`{c}`" for c in names])).alias("r"))
+        may = whole.select(*[f"`{c}`" for c in names]).unionByName(one.select("r.*"))
+    return sure.select(*[f"`{c}`" for c in names]).unionByName(may.select(*[f"`{c}`" for c in names]))

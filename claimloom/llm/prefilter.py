@@ -8,11 +8,7 @@ from pyspark.sql import functions as F
 BITS = 23
 
 
-def may_match(df: DataFrame, column: str, wanted: DataFrame, bits: int = BITS) -> DataFrame:
-    """The rows of ``df`` whose ``column`` may be among the values of ``wanted``'s only column; none that is gets lost.
-
-    The values are hashed to a bitmap of 2**bits bits, broadcast as at most 2**(bits - 6) rows of two longs whatever the
-    size of ``wanted``; with very many values it lets more rows through, which an exact join afterwards drops."""
+def _marked(df: DataFrame, column: str, wanted: DataFrame, bits: int, how: str) -> DataFrame:
     value = wanted.columns[0]
     place = "pmod(xxhash64(`{}`), %d)" % (1 << bits)
     words = (
@@ -20,4 +16,22 @@ def may_match(df: DataFrame, column: str, wanted: DataFrame, bits: int = BITS) -
         .groupBy("__word").agg(F.bit_or("b").alias("__bits"))
     )
     marked = df.withColumn("__at", F.expr(place.format(column))).withColumn("__word", F.expr("__at div 64"))
-    return marked.join(F.broadcast(words), "__word").where("(__bits & shiftleft(1L, cast(__at % 64 AS int))) <> 0").select(*[f"`{c}`" for c in df.columns])
+    return marked.join(F.broadcast(words), "__word", how)
+
+
+_HIT = "(__bits & shiftleft(1L, cast(__at % 64 AS int))) <> 0"
+
+
+def may_match(df: DataFrame, column: str, wanted: DataFrame, bits: int = BITS) -> DataFrame:
+    """The rows of ``df`` whose ``column`` may be among the values of ``wanted``'s only column; none that is gets lost.
+
+    The values are hashed to a bitmap of 2**bits bits, broadcast as at most 2**(bits - 6) rows of two longs whatever the
+    size of ``wanted``; with very many values it lets more rows through, which an exact join afterwards drops."""
+    return _marked(df, column, wanted, bits, "inner").where(_HIT).select(*[f"`{c}`" for c in df.columns])
+
+
+def split_by_match(df: DataFrame, column: str, wanted: DataFrame, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``df`` whose ``column`` is surely not among ``wanted``'s values, and those where it may be."""
+    marked = _marked(df, column, wanted, bits, "left")
+    rest = [f"`{c}`" for c in df.columns]
+    return marked.where(f"not coalesce({_HIT}, false)").select(*rest), marked.where(_HIT).select(*rest)

@@ -61,7 +61,7 @@ def test_blocks_of_a_large_group(spark, monkeypatch):
 def test_keep_one_and_repeats(spark):
     p = " ".join(f"a{i}" for i in range(40))
     docs = spark.createDataFrame([(5, p, 1), (3, p, 2), (3, p, 2), (9, "other words", 3), (10, None, 4), (11, None, 5), (None, p, 6), (None, p, 7)], "doc_id long, text string, cls int")
-    assert sorted((r.doc_id or 0, r.cls) for r in keep_one(docs).collect()) == [(0, 6), (0, 7), (3, 2), (3, 2), (9, 3), (10, 4), (11, 5)]
+    assert sorted((r.doc_id or 0, r.cls) for r in keep_one(docs).collect()) == [(0, 6), (0, 7), (3, 2), (9, 3), (10, 4), (11, 5)]
     assert [(r.class_id, r.n_links) for r in near_duplicates(docs).where("doc_id is null").collect()] == [(None, 0)]
     assert keep_one(docs).columns == docs.columns and near_duplicates(docs.limit(0)).count() == 0
 
@@ -76,3 +76,27 @@ def test_components(spark):
     got = {r.node: r.component for r in components(e).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
     assert components(e.limit(0)).count() == 0
+
+
+def test_keep_one_decides_by_row(spark):
+    p, q = " ".join(f"a{i}" for i in range(40)), " ".join([*(f"a{i}" for i in range(39)), "z"])
+    rows = [(1, p, "x"), (7, p, "x"), (7, "a text of its own", "y"), (7, "a  Text of its own", "z"), (8, q, "x"), (9, None, "n"), (9, None, "n"), (9, "", "n"), (5, "one", "b"), (5, "one", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, seq string")
+    got = sorted((r.doc_id, r.text or "", r.seq) for r in keep_one(docs).collect())
+    assert got == [(1, p, "x"), (5, "one", "a"), (7, "a  Text of its own", "z"), (9, "", "n"), (9, "", "n"), (9, "", "n")]
+    near = spark.createDataFrame([(1, p, "x"), (1, q, "x")], docs.schema)  # near copies under one id: one stays
+    assert keep_one(near).count() == 1 and keep_one(docs.limit(0)).count() == 0 and keep_one(docs).columns == docs.columns
+
+
+def test_families_find_the_links_of_every_band(spark, monkeypatch):
+    """Pairs that agree in different bands meet once, whatever the families."""
+    monkeypatch.setattr("claimloom.llm.jaccard_join.SIDE", 3)
+    rng, texts = random.Random(9), []
+    for i in range(90):
+        w = [f"w{k}" for k in range(60)]
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(60)
+            w[at : at + rng.randrange(3)] = [f"y{rng.randrange(6)}"]
+        texts.append((i, " ".join(w)))
+    got = {r.doc_id: (r.n_links, r.class_id) for r in near_duplicates(spark.createDataFrame(texts, SCHEMA)).collect()}
+    assert got == brute(texts)
