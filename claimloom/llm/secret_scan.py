@@ -9,8 +9,9 @@ Patterns (kinds assign, access, hex), each leftmost and non-overlapping within i
 Method (kind guess): wider contexts (``pwd``, ``passphrase``, ``credential``, ``auth``, ``bearer``, ``login`` ... with
 ``:``, ``=`` or ``is``) give candidate values. A value's guess cost is the least sum, over all ways to cut it into
 spans, of the logarithms (base 10) of the guesses for each span: words by their rank in a list of common passwords and
-words, dates, repeats of a shorter block, walks on the keyboard (runs of digits and of the alphabet among them), and
-brute force by character class. Values are whole, however long; one that
+words, dates, repeats (twice or more, single characters three times) of a block of up to ``MOST_BLOCK`` characters,
+walks on the keyboard of three characters and more (runs of digits and of the alphabet among them), and brute force by
+character class. The least is taken over all such spans, exactly. Values are whole, however long; one that
 opens with a double quote ends at the next. A value whose cost is at least ``HARD`` is a secret and adds a
 span, also over base spans, which stay; the values of assign matches are judged in full in the same way. After a blank
 or ``is`` a value of letters alone is taken for a word. Costs of assigned values are reported too.
@@ -42,6 +43,7 @@ CONTEXT = re.compile(r"(?i:\b(?:pwd|pass(?:word|wd|phrase|code)|secret|credentia
 HINTS = ("passw", "passp", "passc", "secret", "token", "key", "pwd", "credential", "auth", "bearer", "login")
 KINDS = ("assign", "access", "hex", "guess")
 HARD = 10.0  # log10 of guesses
+MOST_BLOCK = 12  # characters of a block that repeats count
 # Frequent passwords and words of credentials, most frequent first.
 COMMON = """123456 password 12345678 qwerty 123456789 12345 1234 111111 1234567 dragon 123123 baseball abc123 football monkey
 letmein shadow master 666666 qwertyuiop 123321 mustang 1234567890 michael 654321 superman 1qaz2wsx 7777777 121212 000000
@@ -67,49 +69,87 @@ def guess_cost(value: str) -> float:
     return _short_cost(value) if len(value) <= 200 else _cost(value)
 
 
+def word_cost(value: str, low: str, leet: str, i: int, j: int) -> float:
+    """Of value[i:j] as one word; infinite if it is none."""
+    w = low[i:j]
+    rank = RANK.get(w) or RANK.get(leet[i:j])
+    if not rank:
+        return math.inf
+    upper = sum(c.isupper() for c in value[i:j])
+    cased = 0 if not upper else math.log10(2) if upper in (1, j - i) else math.log10(math.comb(j - i, min(upper, j - i - upper)) + 1)
+    return math.log10(rank + 1) + cased + (0 if w in RANK else math.log10(2))
+
+
+def date_cost(length: int) -> float:
+    return math.log10(120) if length == 4 else math.log10(365.0 * 120 * (4 if length > 8 else 1))
+
+
+def walk_cost(length: int) -> float:
+    return math.log10(2 * 47.0 * length)
+
+
 def _cost(value: str) -> float:
+    """The least sum over all segmentations. Spans that begin later lose against earlier ones for good once they cost as
+    much (logarithms of lengths are concave), so few starts of walks and repeats are open at any place."""
     n, low = len(value), value.lower()
+    if len(low) != n:  # characters whose lower case is longer
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
     leet = low.translate(LEET)
     best = [0.0] + [math.inf] * n
     step = [(low[i], low[i + 1]) in _NEXT for i in range(n - 1)] + [False]
-    ends = list(range(1, n + 1))  # of the walk that goes on from i
-    for i in range(n - 2, -1, -1):
-        if step[i]:
-            ends[i] = ends[i + 1]
-    same = []  # for each size: characters from i on that equal those a block later
-    for size in range(1, min(12, n // 2) + 1):
+    sizes = range(1, min(MOST_BLOCK, n // 2) + 1)
+    same = []  # for each block size: characters from i on that equal those a block later
+    for size in sizes:
         run = [0] * (n + 1)
         for i in range(n - size - 1, -1, -1):
             if low[i] == low[i + size]:
                 run[i] = run[i + 1] + 1
         same.append(run)
-    brute, start = math.inf, 0  # the cheapest brute-force span that is open, with a small charge for being a span
-    for i in range(n):
+    repeats: list[list] = [[[] for _ in range(size)] for size in sizes]  # by place in the block: open starts (place, cost before and of the block)
+    walks: list[tuple[int, float]] = []  # open starts of the walk that goes on here
+    brute = math.inf  # the cheapest brute-force span that is open, with a small charge for being a span
+    for i in range(n + 1):
+        for size in sizes:
+            s = i - size * (2 if size > 1 else 3)
+            if s < 0:
+                break
+            if same[size - 1][s] >= i - s - size:
+                starts = repeats[size - 1][s % size]
+                if s < size or same[size - 1][s - size] < size:
+                    starts.clear()  # another run of repeats begins
+                starts.append((s, best[s] + guess_cost(value[s : s + size])))
+                left, least = [], math.inf
+                for x in starts:
+                    c = x[1] + math.log10((i - x[0]) / size)
+                    if c < least:
+                        left.append(x)
+                        least = c
+                repeats[size - 1][s % size] = left
+                best[i] = min(best[i], least)
+        if i >= 3 and step[i - 2] and step[i - 3]:
+            walks.append((i - 3, best[i - 3]))
+            left, least = [], math.inf
+            for x in walks:
+                c = x[1] + walk_cost(i - x[0])
+                if c < least:
+                    left.append(x)
+                    least = c
+            walks = left
+            best[i] = min(best[i], least)
+        else:
+            walks = []
+        if i == n:
+            return best[n]
         here = best[i]
         brute = min(brute, here + 0.3) + _class_log(value[i])
         best[i + 1] = min(best[i + 1], brute)
         for j in range(i + 3, min(n, i + LONGEST) + 1):
-            w = low[i:j]
-            plain = w in RANK
-            rank = RANK.get(w) or RANK.get(leet[i:j])
-            if rank:
-                upper = sum(c.isupper() for c in value[i:j])
-                cased = 0 if not upper else math.log10(2) if upper in (1, j - i) else math.log10(math.comb(j - i, min(upper, j - i - upper)) + 1)
-                best[j] = min(best[j], here + math.log10(rank + 1) + cased + (0 if plain else math.log10(2)))
-        m = DATE.match(value, i)
-        if m and m.end() - i >= 4:
-            best[m.end()] = min(best[m.end()], here + (math.log10(365.0 * 120 * (4 if m.end() - i > 8 else 1)) if m.end() - i > 4 else math.log10(120)))
-        if not i or not step[i - 1]:
-            start = i
-        # a walk that starts later is never cheaper than the one from ``start`` where the way to it costs that much more
-        if i == start or here < best[start] + math.log10((i - start + 3) / 3):
-            for k in range(i + 3, ends[i] + 1):
-                best[k] = min(best[k], here + math.log10(2 * 47.0 * (k - i)))
-        for size in range(1, min(12, (n - i) // 2) + 1):  # repeats of value[i:i+size], after the block itself
-            times = 1 + same[size - 1][i] // size
-            if times > 1 and times * size >= 3:
-                j = i + times * size
-                best[j] = min(best[j], here + guess_cost(value[i : i + size]) + math.log10(times))
+            if low[i:j] in RANK or leet[i:j] in RANK:
+                best[j] = min(best[j], here + word_cost(value, low, leet, i, j))
+        if value[i].isdigit():
+            for j in range(i + 4, min(n, i + 10) + 1):
+                if DATE.fullmatch(value, i, j):
+                    best[j] = min(best[j], here + date_cost(j - i))
     return best[n]
 
 

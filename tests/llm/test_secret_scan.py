@@ -1,9 +1,11 @@
 import hashlib
+import math
 import random
 import re
 
 from pyspark.sql import functions as F
 
+from claimloom.llm import secret_scan as ss
 from claimloom.llm.secret_scan import find_secrets, guess_cost, mask_secrets, redact
 
 
@@ -72,3 +74,40 @@ def test_whole_values_beside_base_spans_and_values_of_letters(spark):
     got = {r.doc_id: r.spans for r in find_secrets(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
     assert [got[i] for i in range(7)] == ["assign:0:19,guess:10:31", "assign:3:22,guess:13:34", "guess:4:19", "guess:12:27", "", "", "assign:0:18"]
     assert [redact(t) for t in rows[:4]] == ["password: [SECRET]", "DB_PASSWORD='[SECRET]'", "pwd=[SECRET]", "passphrase: [SECRET]"]
+
+
+def cheapest(value):
+    """Over all segmentations: every span of every kind."""
+    n, low = len(value), value.lower()
+    leet = low.translate(ss.LEET)
+
+    def span(i, j):
+        out = [0.3 + sum(ss._class_log(c) for c in value[i:j])]
+        if j - i >= 3:
+            out.append(ss.word_cost(value, low, leet, i, j))
+        if ss.DATE.fullmatch(value[i:j]):
+            out.append(ss.date_cost(j - i))
+        if j - i >= 3 and all((a, b) in ss._NEXT for a, b in zip(low[i:j], low[i + 1 : j])):
+            out.append(ss.walk_cost(j - i))
+        for size in range(1, min(12, (j - i) // 2) + 1):
+            times = (j - i) // size
+            if times * size == j - i and j - i >= 3 and low[i : i + size] * times == low[i:j]:
+                out.append(cheapest(value[i : i + size]) + math.log10(times))
+        return min(out)
+
+    best = [0.0]
+    for j in range(1, n + 1):
+        best.append(min(best[i] + span(i, j) for i in range(j)))
+    return best[n]
+
+
+def test_guess_cost_is_the_minimum_over_all_segmentations():
+    rng = random.Random(12)
+    bits = ["pass", "Pass", "w0rd", "dragon", "adm1n", "1987", "19", "3/", "12-", "2001", "a", "aa", "ab", "AB", "x", "7", "qwe", "rty", "zyx", "!", "é", "İ"]
+    values = ["aaaaadmin", "1231231234", "20011202", "31122001x", "abababc", "qwertyytrewq", "1111111", "121212123", "aAaAa", "Tr0ub4dor&3", "2000200120022003"]
+    values += ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 9))) for _ in range(600)]
+    values += ["".join(rng.choice("ab1") for _ in range(rng.randrange(1, 26))) for _ in range(300)]
+    for v in values:
+        if len(v.lower()) == len(v):
+            assert abs(guess_cost(v) - cheapest(v)) < 1e-9, v
+    assert guess_cost("İ" * 9 + "x7") > 0
