@@ -35,6 +35,21 @@ from claimloom.llm.textbuf import Block, U, blocks, sequence_hash, sequence_sums
 MIN_WORDS, KGRAM = 50, 8
 
 
+def leftmost_least(g: np.ndarray, w: int) -> np.ndarray:
+    """For each run of w values the place of the least, the first of equals."""
+    m, at, size = g, np.arange(len(g)), 1
+
+    def joined(shift: int) -> tuple[np.ndarray, np.ndarray]:
+        n = len(m) - shift
+        right = m[shift:] < m[:n]
+        return np.where(right, m[shift:], m[:n]), np.where(right, at[shift:], at[:n])
+
+    while size * 2 <= w:
+        m, at = joined(size)
+        size *= 2
+    return joined(w - size)[1] if w > size else at
+
+
 def super_suffixes(h: np.ndarray, wptr: np.ndarray, min_words: int, k: int) -> tuple[np.ndarray, ...]:
     """Runs of windows with one minimiser: document, first window (word of the block), windows in the run - 1,
     k-gram hash, hash of all words that the run covers."""
@@ -45,13 +60,7 @@ def super_suffixes(h: np.ndarray, wptr: np.ndarray, min_words: int, k: int) -> t
         return empty, empty, empty, empty, empty
     at = np.arange(n - k + 1)
     g = sequence_hash(sums, at, at + k)
-    low = (g & ~U(0xFFFFFF)) | at.astype(np.uint64)  # 40 bits of the hash, then the place: the leftmost of equals
-    size, m = 1, low
-    while size * 2 <= w:
-        m = np.minimum(m[: len(m) - size], m[size:])
-        size *= 2
-    m = np.minimum(m[: len(low) - w + 1], m[w - size : w - size + len(low) - w + 1])
-    anchor = (m & U(0xFFFFFF)).astype(np.int64)
+    anchor = leftmost_least(g, w)
     doc = np.repeat(np.arange(len(wptr) - 1), np.diff(wptr))
     s = np.arange(n - L + 1)
     inside = doc[s] == doc[s + L - 1]

@@ -1,9 +1,10 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from claimloom.llm.suffix_dedup import remove_copies, repeated_spans
+from claimloom.llm.suffix_dedup import leftmost_least, remove_copies, repeated_spans, super_suffixes
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -87,3 +88,22 @@ def test_repeated_rows_and_clashing_columns(spark):
     both = docs.select("doc_id", "text", "lang", "source", "n_chars", F.lit("c").alias("cuts"), F.lit(1).alias("context")).unionByName(anonymous)
     assert {r.doc_id for r in repeated_spans(both).collect()} == {1, 2}
     assert sorted(r.n_chars for r in remove_copies(both).where("doc_id is null").collect()) == sorted(r.n_chars for r in docs.collect())
+
+
+def test_leftmost_least():
+    rng = np.random.default_rng(2)
+    for w in (1, 2, 3, 7, 8, 43):
+        g = rng.integers(0, 9, 200).astype(np.uint64)
+        assert leftmost_least(g, w).tolist() == [i + int(g[i : i + w].argmin()) for i in range(200 - w + 1)]
+
+
+def test_minimisers_of_texts_beyond_2_24_words():
+    """The same passage far behind in a very long text has the same suffixes, whole."""
+    rng = np.random.default_rng(3)
+    passage = rng.integers(0, 2**63, 80, dtype=np.uint64)
+    far = np.concatenate([np.full((1 << 24) + 1000, 7, np.uint64) + np.arange((1 << 24) + 1000, dtype=np.uint64), passage])
+    short = super_suffixes(passage, np.array([0, 80]), 50, 8)
+    long = super_suffixes(far, np.array([0, len(far)]), 50, 8)
+    assert set(short[3].tolist()) <= set(long[3].tolist())
+    inner = {c for c, a, n in zip(short[4].tolist(), short[1].tolist(), short[2].tolist()) if a > 0}
+    assert inner <= set(long[4].tolist()) and len(short[0]) >= 2 and int(long[1].max()) > 1 << 24
