@@ -43,18 +43,20 @@ NOT_AN_ENTITY = ("bone", "weight", "hearing", "muscle", "hair", "fat", "vision",
 PLACEHOLDERS = ("", "not specified", "unspecified", "unknown", "none", "n/a", "na", "not reported", "not applicable", "it", "they", "this", "these", "that", "those")
 NO_SINGULAR = ("diabetes", "herpes", "series", "species", "lupus", "status", "mumps", "measles", "sepsis")
 RELATION_LEXICON = {
-    "increases": ("upregulates", "up-regulates", "induces", "increases", "increased", "elevates", "elevated", "enhances", "enhanced", "promotes", "promoted", "stimulates"),
-    "decreases": ("downregulates", "down-regulates", "suppresses", "suppressed", "inhibits", "inhibited", "reduces", "reduced", "attenuates", "impairs", "impaired", "decreases", "decreased"),
-    "no_effect": ("no effect", "no effect on", "does not affect", "unchanged"),
-    "not_associated": ("not associated", "not associated with"),
-    "modulates": ("modulates", "affects", "regulates"),
-    "required_for": ("required for", "is required for", "necessary for"),
-    "sufficient_for": ("sufficient for",),
-    "associated_with": ("associated with", "correlated with", "correlates with"),
-    "predicts": ("predicts", "predictive of"),
-    "binds": ("binds", "interacts with"),
-    "modifies": ("modifies", "phosphorylates", "lactylates"),
-}
+    "upregulates": "increases", "up-regulates": "increases", "induces": "increases", "increases": "increases", "increased": "increases",
+    "elevates": "increases", "elevated": "increases", "enhances": "increases", "enhanced": "increases", "promotes": "increases",
+    "promoted": "increases", "stimulates": "increases",
+    "downregulates": "decreases", "down-regulates": "decreases", "suppresses": "decreases", "suppressed": "decreases", "inhibits": "decreases",
+    "inhibited": "decreases", "reduces": "decreases", "reduced": "decreases", "attenuates": "decreases", "impairs": "decreases",
+    "impaired": "decreases", "decreases": "decreases", "decreased": "decreases",
+    "no effect": "no_effect", "no effect on": "no_effect", "does not affect": "no_effect", "unchanged": "no_effect",
+    "not associated": "not_associated", "not associated with": "not_associated",
+    "modulates": "modulates", "affects": "modulates", "regulates": "modulates",
+    "required for": "required_for", "is required for": "required_for", "necessary for": "required_for", "sufficient for": "sufficient_for",
+    "associated with": "associated_with", "correlated with": "associated_with", "correlates with": "associated_with",
+    "predicts": "predicts", "predictive of": "predicts", "binds": "binds", "interacts with": "binds",
+    "modifies": "modifies", "phosphorylates": "modifies", "lactylates": "modifies",
+}
 ABBREVIATION_TAIL = r"\s*\((?=[^()]*[A-Z])[^()\s]{2,12}\)?$"
 STEM_STOP = ("cell", "cells", "human", "mouse", "protein", "gene", "level", "levels", "expression", "activity", "function", "signaling", "tumor", "tumour")
 
@@ -193,8 +195,7 @@ def entity_parts(surface: Column) -> Column:
 def lexical_relation(surface: Column) -> Column:
     """A canonical relation from the lexicon or its own name; "" where the wording is open. Hyphens become blanks
     first, so the lexicon's two hyphenated entries are never met."""
-    known = {form: relation for relation, forms in RELATION_LEXICON.items() for form in forms}
-    known |= {r.replace("_", " "): r for r in RELATIONS if r != "unresolved" and r.replace("_", " ") not in known}
+    known = {r.replace("_", " "): r for r in RELATIONS if r != "unresolved"} | RELATION_LEXICON
     table = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
     s = F.btrim(F.regexp_replace(F.replace(F.lower(F.coalesce(surface, F.lit(""))), F.lit("-"), F.lit(" ")), r"(?U)[\s_]+", " "))
     return F.coalesce(F.element_at(table, s), F.lit(""))

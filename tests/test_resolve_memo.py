@@ -131,14 +131,33 @@ def test_quotes(spark):
     df = spark.createDataFrame([("Lactate strongly increased  histone lactylation", src), ("x", src), (None, src)], "a string, b string")
     assert [r[0] for r in df.select(Q.is_anchored(F.col("a"), F.col("b"))).collect()] == [True, False, False]
     span = "Lactate strongly increased histone lactylation in T cells of the colon."
-    assert Q.check("lactate", "increased", "histone lactylation", span, src) == ("", [])
-    assert Q.check("lactate", "no effect", "histone lactylation", span, src)[0] == "null claim but the quote reports an effect"
-    assert Q.check("lactate", "increased", "GPR81", span, src)[0] == "object not named in quote"
-    assert Q.check("lactate", "binds", "histone", span, src) == ("", ["relation wording not in quote"])
     neg = "Lactate did not increase histone lactylation here at all."
-    assert Q.check("lactate", "increases", "histone", neg, neg)[0] == "quote negates the claimed effect"
-    assert [Q.tier_of_sentence(s) for s in ("X does not induce Y", "X induced Y", "X may reduce Y", "more induced regulatory T cells", "We do not establish that X causes Y", "")] == [1, 4, 3, 0, 0, 0]
-    assert Q.sentences_of("# T\n- A b c. Next one\n```\ncode\n```\n|t|\nEnd [L1]. [H1] x.") == ["A b c.", "Next one End [L1].", "[H1] x."]
+    far = "Lactate, which was not among the agents, increased histone lactylation in cells."
+    but = "Butyrate but not lactate increased the histone lactylation of all cells."
+    short = "Sodium butyrate (NaB) was added. We saw that NaB increased histone lactylation (H3K) in cells. It raised H3K much more than before."
+    cases = [
+        ("lactate", "increased", "histone lactylation", span, src, "", []), ("lactate", "no effect", "histone lactylation", span, src, "null claim but the quote reports an effect", []),
+        ("lactate", "increased", "GPR81", span, src, "object not named in quote", []), ("mannose", "increased", "GPR81", span, src, "subject not named in quote", []),
+        ("lactate", "binds", "histone", span, src, "", ["relation wording not in quote"]), ("lactate", "is", "histone", span, src, "", ["relation wording not in quote"]),
+        ("lactate", "increases", "histone", neg, neg, "quote negates the claimed effect", []), ("lactate", "no effect", "histone", neg, neg, "", []), ("lactate", "increases", "histone", far, far, "", []),
+        ("lactate", "increases", "histone", but, but, "", []), (" It.", "increased", "GPR81", span, src, "subject not specified", []), ("lactate", "increased", "n/a", span, src, "object not specified", []),
+        ("sodium butyrate", "increased", "lactylation", "We saw that NaB increased histone lactylation (H3K) in cells.", short, "", []),
+        ("NaB", "raised", "H3K", "It raised H3K much more than before.", short, "", []), ("vorinostat", "raised", "H3K", "It raised H3K much more than before.", short, "subject not named in quote", []),
+        ("mice", "increased", "histone", span, src, "subject not named in quote", []), ("T", "increased", "histone", span, src, "", []), ("q", "increased", "histone", span, src, "subject not named in quote", []),
+        ("lactate", "increased", "histone", "nothing of this stands in the source", src, "quote not found in source", []), ("lactate", "increased", "histone", None, None, "quote not found in source", []),
+    ]
+    df = claims(spark, *({**claim(f"c{i}", f"p{i}", span=s, subject=a, object=o), "relation": r} for i, (a, r, o, s, *_) in enumerate(cases)))
+    got = {r.id: r for r in Q.checked_claims(df, spark.createDataFrame([(f"p{i}", c[4]) for i, c in enumerate(cases)], "pmid string, source_text string")).collect()}
+    for i, (*_, reason, warnings) in enumerate(cases):
+        r = got[f"c{i}"]
+        assert (r.drop_reason, r.method_checks, r.anchored) == (reason, warnings, reason == ""), cases[i]
+    tiers = ["X does not induce Y", "X induced Y", "X may reduce Y", "more induced regulatory T cells", "We do not establish that X causes Y", "", None, "Not so: X, of all of these, induces Y", "no X reduced Y but Z drives Y", "[induces1] X is linked to Y", "needs to suggest", "re-induces"]
+    assert [r[0] for r in spark.createDataFrame(list(enumerate(tiers)), "i int, s string").orderBy("i").select(Q.sentence_tier(F.col("s"))).collect()] == [1, 4, 3, 0, 0, 0, 0, 4, 4, 1, 0, 4]
+    prose = ["# T\n- A b c. Next one\n```\ncode\n```\n|t|\nEnd [L1]. [H1] x.", "a\r\n``` x\nin\n  ```y\n1) B. c! D\n```\nopen", None, "", "e.g. x. [T1] y?  Z"]
+    assert [r[0] for r in spark.createDataFrame(list(enumerate(prose)), "i int, s string").orderBy("i").select(Q.prose_sentences(F.col("s"))).collect()] == [["A b c.", "Next one End [L1].", "[H1] x."], ["a B. c!", "D"], [], [], ["e.g. x.", "[T1] y?", "Z"]]
+    known = spark.createDataFrame([(short,)], "s string").select(Q.abbreviations(F.col("s"))).first()[0]
+    assert [tuple(k) for k in known] == [("nab", "sodium butyrate"), ("h3k", "saw that nab increased histone lactylation")]
+    assert spark.createDataFrame([("B here.", "One. Two more!  B here.")], "a string, b string").select(Q.sentence_before(F.col("a"), F.col("b"))).first()[0] == "two more!"
     c = Q.checked_claims(claims(spark, claim("c1", span=span, subject="lactate", object="GPR81", relation="increased")), spark.createDataFrame([("p1", src)], "pmid string, source_text string")).first()
     assert c.drop_reason == "object not named in quote" and not c.anchored
     c = Q.checked_claims(claims(spark, claim("c1", span=span, subject=" It.", object="GPR81", relation="increased")), spark.createDataFrame([("p1", src)], "pmid string, source_text string")).first()
