@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,28 +12,16 @@ from claimloom.operators import links as L
 from claimloom.operators import memo as M
 from claimloom.operators import pairs as P
 from claimloom.operators import paths as H
-from claimloom.operators import report as R
 from claimloom.operators import resolve as E
 from claimloom.operators import telemetry as T
-from claimloom.plans import derive
+from claimloom.plans import derive, judgements  # noqa: F401 (registers its queries)
 from claimloom.plans.derive import CLAIMS_SQL, LINKS_SQL, table
+from claimloom.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from claimloom.sources import corpus as C
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "build_links"
 
 
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _long(*names: str) -> list:
     return [F.col(n).cast("long").alias(n) for n in names]
 
@@ -118,10 +104,11 @@ def screening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ── keyed state ───────────────────────────────────────────────────────────────────────────────────────────────────
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'NEW' ELSE o_orderstatus END AS o_orderstatus FROM orders")
+@query("SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'NEW' ELSE o_orderstatus END AS o_orderstatus FROM orders")
 def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
-    return M.upsert(old, old.where("o_orderkey % 3 = 0").withColumn("o_orderstatus", F.lit("NEW")), "o_orderkey")
+    orders = table(spark, sf_dir, "orders")
+    urgent = orders.where("o_orderpriority = '1-URGENT'").select("o_orderkey", F.lit("NEW").alias("o_orderstatus"))
+    return M.upsert(orders.select("o_orderkey", "o_orderstatus"), urgent, "o_orderkey")
 
 
 @query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
@@ -129,9 +116,9 @@ def last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.last_wins(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 7 = 0)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def unseen_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.unseen(table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    return M.unseen(table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 @query("SELECT CAST(l_orderkey AS VARCHAR) AS pmid, string_agg(DISTINCT 'S' || l_suppkey, ',' ORDER BY 'S' || l_suppkey) AS retrieved_for FROM lineitem GROUP BY l_orderkey")
@@ -143,11 +130,12 @@ def retrieved_for(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT CAST(row_number() OVER (ORDER BY late, rel DESC, pmid) AS BIGINT) AS place, pmid FROM (
-SELECT CAST(doc_id AS VARCHAR) AS pmid, n_chars % 101 AS rel, CASE WHEN doc_id % 7 = 0 THEN 0 ELSE 1 END AS late FROM documents WHERE doc_id % 7 = 0 OR doc_id % 2 = 1 ORDER BY late, rel DESC, pmid LIMIT 20)""")
+SELECT CAST(d.doc_id AS VARCHAR) AS pmid, n_chars % 101 AS rel, CASE WHEN lang = 'fr' THEN 0 ELSE 1 END AS late FROM documents d WHERE lang = 'fr' OR d.doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY late, rel DESC, pmid LIMIT 20)""")
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    papers = docs.select(F.col("doc_id").cast("string").alias("pmid"), F.lit("included").alias("screen_status"), (F.col("n_chars") % 101).cast("int").alias("relevance_score"), F.when(F.col("doc_id") % 7 == 0, F.array(F.lit("k"))).otherwise(F.expr("cast(array() as array<string>)")).alias("retrieved_for"), F.expr("cast(array() as array<string>)").alias("read_for"))
-    return M.reading_order(papers, docs.where("doc_id % 2 = 0").select(F.col("doc_id").cast("string").alias("pmid"))).select(F.col("place").cast("long").alias("place"), "pmid")
+    wanted = F.when(F.col("lang") == "fr", F.array(F.lit("k"))).otherwise(F.expr("cast(array() as array<string>)"))
+    papers = docs.select(F.col("doc_id").cast("string").alias("pmid"), F.lit("included").alias("screen_status"), (F.col("n_chars") % 101).cast("int").alias("relevance_score"), wanted.alias("retrieved_for"), F.expr("cast(array() as array<string>)").alias("read_for"))
+    return M.reading_order(papers, table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("pmid"))).select(F.col("place").cast("long").alias("place"), "pmid")
 
 
 @query("""WITH r AS (SELECT CAST(l_orderkey AS VARCHAR) AS pmid, l_suppkey, l_partkey % 4 AS p, min(l_linenumber * 1000000 + l_partkey) AS n FROM lineitem WHERE l_linenumber > 1 GROUP BY l_orderkey, l_suppkey, l_partkey % 4),
@@ -159,13 +147,11 @@ def fresh_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.fresh_claims(li.where("l_linenumber > 1"), li.where("l_linenumber = 1")).select("id", "subject", "object")
 
 
-@query("""WITH p AS (SELECT DISTINCT least(l_suppkey, l_partkey) AS lo, greatest(l_suppkey, l_partkey) AS hi FROM lineitem WHERE l_linenumber = 1), j AS (SELECT DISTINCT least(l_suppkey, l_partkey) AS lo, greatest(l_suppkey, l_partkey) AS hi FROM lineitem WHERE l_linenumber = 2),
-t AS (SELECT p.lo, p.hi FROM p LEFT JOIN j ON j.lo = p.lo AND j.hi = p.hi WHERE j.lo IS NULL)
-SELECT CAST((row_number() OVER (ORDER BY lo, hi) - 1) // 30 AS BIGINT) AS batch, CAST((row_number() OVER (ORDER BY lo, hi) - 1) % 30 + 1 AS BIGINT) AS pair, lo, hi FROM t""")
+@query("""WITH p AS (SELECT least(l_suppkey, l_partkey) AS lo, greatest(l_suppkey, l_partkey) AS hi, bool_or(l_returnflag = 'R') AS judged FROM lineitem GROUP BY 1, 2)
+SELECT CAST((row_number() OVER (ORDER BY lo, hi) - 1) // 30 AS BIGINT) AS batch, CAST((row_number() OVER (ORDER BY lo, hi) - 1) % 30 + 1 AS BIGINT) AS pair, lo, hi FROM p WHERE NOT judged""")
 def pair_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
-    of = lambda n: li.where(f"l_linenumber = {n}").select(*M.unordered("l_suppkey", "l_partkey")).distinct()
-    return M.pair_batches(of(1), of(2)).select(*_long("batch", "pair"), "lo", "hi")
+    li = table(spark, sf_dir, "lineitem").select(*M.unordered("l_suppkey", "l_partkey"), "l_returnflag")
+    return M.pair_batches(li, li.where("l_returnflag = 'R'")).select(*_long("batch", "pair"), "lo", "hi")
 
 
 # ── pairs, aliases, hierarchies ───────────────────────────────────────────────────────────────────────────────────
@@ -222,14 +208,7 @@ def ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.ancestors_of(edges).select("id", F.array_join(F.transform("ancestors", lambda x: x.cast("string")), ",").alias("ancestors"))
 
 
-@query()
-def alias_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nations = table(spark, sf_dir, "nation").select(F.concat(F.lit("N"), "n_nationkey").alias("id"), F.col("n_name").alias("label"), F.lit("place").alias("category"))
-    regions = table(spark, sf_dir, "region").select(F.concat(F.lit("R"), "r_regionkey").alias("id"), F.col("r_name").alias("label"), F.lit("unknown").alias("category"))
-    return E.alias_candidates(nations.union(regions))
-
-
-@query("""WITH v AS (SELECT l_orderkey, 'V' || l_suppkey AS id FROM lineitem WHERE l_linenumber <= 3 AND l_orderkey % 10 = 0), a AS (SELECT DISTINCT l_orderkey, id FROM v)
+@query("""WITH a AS (SELECT DISTINCT l_orderkey, 'V' || l_suppkey AS id FROM lineitem)
 SELECT DISTINCT x.id AS lo, y.id AS hi FROM a x JOIN a y ON x.l_orderkey = y.l_orderkey AND x.id < y.id""")
 def discounted_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.concat(F.lit("V"), "l_suppkey")).alias("claim_ids"))
@@ -274,7 +253,12 @@ def ranked_pathways(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.evaluate(hyps, links, cats, "up").select("id", "score", "status", F.col("rank").cast("long").alias("rank"))
 
 
-@query()
+@query(_SCORED + """, top AS (SELECT * FROM r WHERE status = 'supported' OR n <= 6), st2 AS (SELECT s.path, l.key, l.c, CASE WHEN l.c >= 0.7 THEN 'supported' WHEN l.c < 0.1 THEN 'contradicted' ELSE 'insufficient' END AS status, l.c = 0.2 AS exhausted FROM steps s JOIN links l ON l.key = s.key),
+op AS (SELECT t.path AS id, t.score FROM top t WHERE t.status = 'insufficient' AND NOT EXISTS (SELECT 1 FROM st2 x WHERE x.path = t.path AND x.status = 'insufficient' AND x.exhausted)),
+w AS (SELECT id, exp(score / 0.2) / (SELECT sum(exp(score / 0.2)) FROM op) AS w, id = (SELECT id FROM op ORDER BY score DESC, id DESC LIMIT 1) AS leader FROM op),
+e AS (SELECT x.key, sum(w.w * (1 - x.c)) AS priority, bool_or(NOT w.leader) AS beside FROM w JOIN (SELECT DISTINCT path, key, c, status, exhausted FROM st2) x ON x.path = w.id WHERE x.status <> 'supported' AND NOT x.exhausted GROUP BY x.key),
+v1 AS (SELECT *, row_number() OVER (ORDER BY priority DESC, key) AS vr FROM e), v2 AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN vr > 2 AND beside THEN 0 ELSE 1 END, priority DESC, key) <= 1 AND vr > 2 AND beside AS explored FROM v1),
+v3 AS (SELECT key, CAST(row_number() OVER (ORDER BY CASE WHEN vr <= 2 THEN 0 WHEN explored THEN 1 ELSE 2 END, vr) AS INTEGER) AS slot FROM v2) SELECT slot, key FROM v3 WHERE slot <= 3""")
 def search_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     links, paths = _paths(spark, sf_dir)
     hyps = paths.select(F.array_join("links", " ").alias("id"), F.lit("n").alias("name"), F.lit("ledger_path").alias("origin"), "links", F.lit("").alias("rationale"))
@@ -310,9 +294,15 @@ def lexical_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_type").alias("surface"), X.lexical_relation(words).alias("relation")).groupBy("surface", "relation").agg(F.count("*").alias("n"))
 
 
-@query()
+# surface forms of parts, by size: the text around the name, and what it says of attribute and tissue
+_FORMS = (("colonic ", " expression", "expression", "colon"), ("splenic and hepatic ", " levels", "amount", "spleen, liver"), ("", " signalling in the gut", "activity", "intestine"), ("differentiation of the ", "", "differentiation", ""), ("de novo ", "", "none", ""), ("loss of ", "", "none", ""))
+_FORM_SQL = lambda i: "CASE p_size % 6 " + " ".join(f"WHEN {n} THEN '{f[i]}'" for n, f in enumerate(_FORMS)) + " END"
+
+
+@query(f"SELECT p_partkey, p_name AS entity, {_FORM_SQL(2)} AS attribute, {_FORM_SQL(3)} AS tissue FROM part")
 def entity_parses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("colonic "), "p_name", F.lit(" expression")).alias("s"))
+    around = lambda i: F.element_at(F.array(*[F.lit(f[i]) for f in _FORMS]), F.col("p_size") % 6 + 1)
+    c = table(spark, sf_dir, "part").select("p_partkey", F.concat(around(0), "p_name", around(1)).alias("s"))
     return c.select("p_partkey", X.entity_of(F.col("s")).alias("e")).select("p_partkey", "e.entity", "e.attribute", "e.tissue")
 
 
@@ -380,14 +370,11 @@ def duplicate_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ── texts ─────────────────────────────────────────────────────────────────────────────────────────────────────────
-@query()
+_FLAT = r"""trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(x, '(?s)<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g'))"""
+
+
+@query(rf"""WITH s AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<article\b[^>]*>.*?</article\s*>')) AS x FROM pages), t AS (SELECT page_id, string_agg({_FLAT}, ' ') AS chunk FROM s GROUP BY page_id)
+SELECT p.page_id AS pmid, 'ABSTRACT: ' || coalesce(chr(10) || chr(10) || 'OTHER: ' || left(nullif(t.chunk, ''), 60000), '') AS text FROM pages p LEFT JOIN t ON t.page_id = p.page_id""")
 def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("pmid"), F.lit("").alias("abstract"), F.regexp_replace(F.regexp_replace("html", "<article", "<sec"), "</article>", "</sec>").alias("body"))
     return C.sectioned_text(pages.select("pmid", "abstract"), C.sections_of(pages))
-
-
-@query()
-def verified_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("doc"), "text")
-    claims = derive.claims(spark, sf_dir).select("id", "grade", "relation_norm")
-    return R.verify_text(texts, claims).select("doc", "n_sentences", F.size("uncited").alias("n_uncited"), F.size("overclaims").alias("n_overclaims"), "passed")

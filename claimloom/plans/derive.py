@@ -30,7 +30,7 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
         "comparator_present": F.col("l_linestatus") == "O", "study_type": F.when(ln == 7, "review").otherwise(pick(S.STUDY_TYPES[:-1], pp)), "grade": S.grade_of(tier),
         "claim_type": pick(S.CLAIM_TYPES, ln), "perturbation_class": pick(S.PERTURBATIONS, sp), "system": pick(S.SYSTEMS, pp + sp), "rescue_arm": F.col("l_quantity") % 7 == 0,
         "orthogonal_validation": F.col("l_quantity") % 5 == 0, "readout_is_inferred": F.col("l_quantity") % 3 == 0, "text_access": F.when(F.col("l_tax") < 0.04, "abstract_only").otherwise("full_text"),
-        "context_cell_type": F.lit(""), "context_tissue": F.lit(""), "context_concept": F.lit(""), "method_checks": F.expr("cast(array() as array<string>)"), "round": F.lit(1),
+        "context_cell_type": pick((" CD8 T", "b cell", ""), pp + ln), "context_tissue": pick(("Colon", ""), sp), "context_concept": F.lit(""), "method_checks": F.expr("cast(array() as array<string>)"), "round": F.lit(1),
         "subject_category": F.lit("chemical"), "object_category": F.lit("phenotype"),
     }
     return li.select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in S.CLAIM.fields])
@@ -48,6 +48,7 @@ CLAIMS_SQL = f"""claims AS (
     l_linestatus = 'O' AS control, CASE WHEN l_linenumber = 7 THEN 'review' ELSE {_pick(S.STUDY_TYPES[:-1], 'l_partkey')} END AS study,
     CASE WHEN l_discount < 0.03 THEN 1 WHEN l_discount < 0.08 THEN 2 ELSE 3 END AS tier,
     {_pick(S.CLAIM_TYPES, 'l_linenumber')} AS claim_type, {_pick(S.PERTURBATIONS, 'l_suppkey')} AS perturbation, {_pick(S.SYSTEMS, 'l_partkey + l_suppkey')} AS system,
+    {_pick(('cd8 t', 'b cell', 'unspecified'), 'l_partkey + l_linenumber')} AS cell, {_pick(('Colon', ''), 'l_suppkey')} AS tissue, CAST(round(l_extendedprice * 100) AS BIGINT) % 6 AS l_tail,
     l_quantity % 7 = 0 AS rescue, l_quantity % 5 = 0 AS orthogonal, l_quantity % 3 = 0 AS inferred, CASE WHEN l_tax < 0.04 THEN 'abstract_only' ELSE 'full_text' END AS access
   FROM lineitem)"""
 
