@@ -110,7 +110,7 @@ def singular(name: Column) -> Column:
     """The last word made singular where it looks like a common plural."""
 
     def word(w: Column) -> Column:
-        low, rest = F.lower(w), F.substring(w, 2, 10_000)
+        low, rest = F.lower(w), w.substr(F.lit(2), F.length(w))
         usual = ~low.isin(*NO_SINGULAR) & (F.length(w) >= 5) & w.rlike(r"^\p{L}") & rest.rlike(r"\p{Ll}") & ~rest.rlike(r"[\p{Lu}\p{Lt}]")
         return (
             F.when(usual & w.endswith("ies"), F.concat(F.regexp_replace(w, "ies$", ""), F.lit("y")))
@@ -158,7 +158,7 @@ def split_location(surface: Column) -> Column:
 
     def parts(s: Column) -> Column:
         def with_lead(head: Column) -> Column:
-            body = s.substr(F.length(head) + 1, F.lit(1_000_000))
+            body = s.substr(F.length(head) + 1, F.length(s))
             found = F.regexp_extract_all(head, F.lit(rf"{_I}({_TISSUE}){_SEPARATOR}"), F.lit(1))
             last = let(F.regexp_extract(body, tail, 1), lambda t: F.when(t != "", F.array(t)).otherwise(F.array().cast("array<string>")))
             rest = clean(F.regexp_replace(body, tail, ""))

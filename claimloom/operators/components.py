@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from claimloom.sources.scratch import materialize
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): edges has longs a, b; component is the smallest node that edges connect to node.
 
     Alternates two steps that keep the components until nothing changes (a logarithm of the longest chain, about):
@@ -18,7 +18,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = materialize(e, "edges")
-    for _ in range(most_rounds):
+    while True:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -7,12 +7,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.functions.grading import stance
 from claimloom.functions.text import block_keys, claim_text
 from claimloom.operators.components import components
+from claimloom.sources.scratch import materialize
 
 POLAR = ("up", "down", "null")
 DIM = 512
@@ -48,21 +49,6 @@ def similar_pairs(pairs: DataFrame, vectors: DataFrame, threshold: float) -> Dat
     return pairs.join(v("lo"), "lo").join(v("hi"), "hi").select("lo", "hi", dot(F.col("v_lo"), F.col("v_hi")).alias("sim")).where(F.col("sim") >= threshold)
 
 
-def _greedy(k: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["sim", "lo", "hi"], ascending=[False, True, True])
-        left: dict[str, int] = {}
-        keep = []
-        for lo, hi in zip(pdf["lo"], pdf["hi"], strict=True):
-            ok = left.get(lo, k) > 0 and left.get(hi, k) > 0
-            keep.append(ok)
-            if ok:
-                left[lo], left[hi] = left.get(lo, k) - 1, left.get(hi, k) - 1
-        return pdf[keep][["lo", "hi", "sim"]]
-
-    return run
-
-
 def by_component(edges: DataFrame) -> DataFrame:
     """Edges (lo, hi, ...) with the component they belong to; text ids are compared by 64-bit hashes."""
     e = edges.withColumn("a", F.xxhash64("lo")).withColumn("b", F.xxhash64("hi"))
@@ -72,8 +58,27 @@ def by_component(edges: DataFrame) -> DataFrame:
 def mutual_top_k(pairs: DataFrame, k: int) -> DataFrame:
     """Greedy in order of (similarity falling, lo, hi): a pair is taken if neither end has k pairs yet.
 
-    Pairs interact through shared ends only, so each connected component is solved for itself, which is exact."""
-    return by_component(pairs).groupBy("component").applyInPandas(_greedy(k), "lo string, hi string, sim double")
+    In rounds, without gathering a component: of the pairs still open, one that is among the best (k less those taken) of
+    both its ends is taken, as no pair before it can take their room; then pairs with a full end go. What this gives
+    is the sequential result, and each round takes at least the best pair of every component."""
+    todo = materialize(pairs.select("lo", "hi", "sim"), "open")
+    taken, room = None, None
+    while not todo.isEmpty():
+        ends = todo.select(F.col("lo").alias("end"), "lo", "hi", "sim").union(todo.select("hi", "lo", "hi", "sim"))
+        have = ends if room is None else ends.join(room, "end", "left")
+        rank = F.row_number().over(Window.partitionBy("end").orderBy(F.desc("sim"), "lo", "hi"))
+        left = F.lit(k) if room is None else F.lit(k) - F.coalesce("used", F.lit(0))
+        near = have.withColumn("r", rank).where(F.col("r") <= left)
+        now = near.groupBy("lo", "hi", "sim").agg(F.count("*").alias("n")).where("n = 2 or lo = hi").select("lo", "hi", "sim")
+        taken = materialize(now if taken is None else taken.unionByName(now), "taken")
+        used = taken.select(F.explode(F.array("lo", "hi")).alias("end")).groupBy("end").agg(F.count("*").cast("int").alias("used"))
+        room = materialize(used, "room")
+        full = room.where(F.col("used") >= k)
+        open_ = todo.join(taken.select("lo", "hi"), ["lo", "hi"], "left_anti")
+        for end in ("lo", "hi"):
+            open_ = open_.join(full.select(F.col("end").alias(end)), end, "left_anti")
+        todo = materialize(open_.select("lo", "hi", "sim"), "open")
+    return taken if taken is not None else todo
 
 
 def _linkage(pdf: pd.DataFrame) -> pd.DataFrame:

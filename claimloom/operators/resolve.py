@@ -25,15 +25,16 @@ def keyed(surfaces: DataFrame, column: str = "surface") -> DataFrame:
     return surfaces.select(F.col(column).alias("surface")).distinct().withColumn("name", singular(F.col("surface"))).withColumn("key", lookup_key(F.col("name")))
 
 
-def ancestors_of(edges: DataFrame, most: int = 64) -> DataFrame:
+def ancestors_of(edges: DataFrame) -> DataFrame:
     """(id, ancestors): all that parent edges (id, parent) lead to. Paths double in length each round, so a hierarchy of
-    depth d takes log2(d) joins; ``most`` bounds the depth against loops."""
-    paths, length = materialize(edges.where("id <> parent").select("id", "parent").distinct(), "paths"), 1
-    while length < most:
-        longer = materialize(paths.union(paths.join(paths.toDF("parent", "up"), "parent").select("id", "up")).where("id <> parent").distinct(), "paths")
-        if longer.count() == paths.count():
+    depth d takes log2(d) joins; it ends when no path is new, as it must, loops or not."""
+    paths = materialize(edges.where("id <> parent").select("id", "parent").distinct(), "paths")
+    n = paths.count()
+    while True:
+        paths = materialize(paths.union(paths.join(paths.toDF("parent", "up"), "parent").select("id", "up")).where("id <> parent").distinct(), "paths")
+        n, before = paths.count(), n
+        if n == before:
             break
-        paths, length = longer, 2 * length
     return paths.groupBy("id").agg(F.array_sort(F.collect_set("parent")).alias("ancestors"))
 
 
@@ -59,19 +60,19 @@ def resolve(surfaces: DataFrame, cache: DataFrame, terms: DataFrame | None = Non
     """(surface, key, concept columns): identifiers first after the cache, then exact ontology terms, then judged labels
     (verdicts: surface, normalized_label, category, confidence), which are looked up in cache and ontology themselves
     before they become local, and last a local id. cache: key and concept columns."""
-    asked = keyed(surfaces, column)
+    asked = materialize(keyed(surfaces, column), "asked")  # tables between the steps, as each is read by several that follow
     cached = lambda keys: keys.join(cache.select("key", *CONCEPT), "key")
     known = cached(asked.select("key").distinct())
-    todo = asked.join(known.select("key"), "key", "left_anti").groupBy("key").agg(F.min("name").alias("name"))
+    todo = materialize(asked.join(known.select("key"), "key", "left_anti").groupBy("key").agg(F.min("name").alias("name")), "todo")
     ident = todo.where(F.col("name").rlike(r"^[A-Za-z][A-Za-z0-9_.-]*:\S+$")).select("key", F.col("name").alias("id"), F.col("name").alias("label"), F.lit("identifier").alias("category"), F.lit("identifier").alias("source"), F.lit(1.0).alias("confidence"), F.expr(_NONE).alias("ancestors"), F.expr(_NONE).alias("parents"))
     found = known.unionByName(ident)
     left = todo.join(ident.select("key"), "key", "left_anti")
     if terms is not None:
-        exact = ontology_matches(left, terms, hierarchy)
+        exact = materialize(ontology_matches(left, terms, hierarchy), "exact")
         found, left = found.unionByName(exact), left.join(exact.select("key"), "key", "left_anti")
     if verdicts is not None:
         v = verdicts.select(lookup_key(singular(F.col("surface"))).alias("key"), singular(F.col("normalized_label")).alias("name"), "category", "confidence").withColumn("lkey", lookup_key(F.col("name")))
-        v = left.select("key").join(v.dropDuplicates(["key"]), "key")
+        v = materialize(left.select("key").join(v.dropDuplicates(["key"]), "key"), "judged")
         again = v.select(F.col("lkey").alias("key"), "name").distinct()
         by_label = cached(again.select("key").distinct())
         if terms is not None:
@@ -91,8 +92,9 @@ def saved_cache(cache: DataFrame, resolved: DataFrame) -> DataFrame:
     return cache.select("key", *CONCEPT).join(new.select("key"), "key", "left_anti").unionByName(new)
 
 
-def canonical(alias: DataFrame, most: int = 40) -> DataFrame:
-    """(child, root): pointer chains (child, parent) followed to their ends, by doubling."""
+def canonical(alias: DataFrame, most: int = 64) -> DataFrame:
+    """(child, root): pointer chains (child, parent) followed to their ends, by doubling; chains of up to 2^``most``
+    pointers. An error tells of a loop, whose pointers have no end."""
     hop = materialize(alias.select("child", F.col("parent").alias("root")).where("child <> root").dropDuplicates(["child"]), "hops")
     for _ in range(most):
         nxt = hop.select(F.col("child").alias("root"), F.col("root").alias("far"))
@@ -101,7 +103,7 @@ def canonical(alias: DataFrame, most: int = 40) -> DataFrame:
         if not further.where("moved").limit(1).count():
             return further.drop("moved")
         hop = further.drop("moved")
-    return hop
+    raise ValueError("aliases point at each other in a loop")
 
 
 def canonicalized(df: DataFrame, column: str, roots: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.functions.text import lookup_key
+from claimloom.sources.scratch import materialize
 
 
 def histogram(df: DataFrame, value: str | Column, name: str = "value") -> DataFrame:
@@ -91,9 +92,28 @@ def last_messages(messages: DataFrame, conversation: str = "conv_id", turn: str
 
 
 def within_budget(rows: DataFrame, partition: list[str], order: list[str], size: str, budget: int) -> DataFrame:
-    """Adds used_before (sum of sizes before the row) and fits (whether the budget was not used up before it)."""
-    w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("used_before", F.coalesce(F.sum(size).over(w), F.lit(0))).withColumn("fits", F.col("used_before") < budget)
+    """Adds used_before (sum of sizes before the row) and fits (whether the budget was not used up before it).
+
+    A hot partition is no task of its own: rows are sorted in ranges of (partition, order), summed within each range, and
+    each range adds what its first partition's rows in the ranges before it sum up to (one row a range)."""
+    spark, keys = rows.sparkSession, [*partition, *order]
+    ranged = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__part", F.spark_partition_id())
+    ranged = materialize(ranged, "budget")
+    sums = ranged.groupBy("__part", *partition).agg(F.sum(size).alias("__sum"))
+    ends = sums.groupBy("__part").agg(F.count("*").alias("n"), F.max_by(F.struct(*partition, "__sum"), F.struct(*partition)).alias("last"), F.min(F.struct(*partition)).alias("first")).orderBy("__part").collect()
+    starts, carried, before = [], None, 0
+    for e in ends:  # what the range's first partition has used in earlier ranges
+        first, last = tuple(e.first), tuple(e.last)[:-1]
+        before = before if carried == first else 0
+        starts.append((e["__part"], before))
+        before = (before if e.n == 1 else 0) + (e.last["__sum"] or 0)
+        carried = last
+    start = spark.createDataFrame(starts, "__part int, __start bigint")
+    w = Window.partitionBy("__part", *partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    least = ranged.groupBy("__part").agg(F.min(F.struct(*partition)).alias("__first"))
+    used = F.coalesce(F.sum(size).over(w), F.lit(0)) + F.when(F.struct(*partition).eqNullSafe(F.col("__first")), F.col("__start")).otherwise(F.lit(0))
+    out = ranged.join(F.broadcast(start.join(least, "__part")), "__part").withColumn("used_before", used)
+    return out.select(*rows.columns, "used_before", (F.col("used_before") < budget).alias("fits"))
 
 
 def problem_lines(log: DataFrame, most: int = 30, tail: int = 40) -> tuple[DataFrame, DataFrame]:

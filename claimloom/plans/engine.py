@@ -67,6 +67,7 @@ class Run:
     targets: list[Row] = field(default_factory=list)
     round: int = 0
     gate: str = ""
+    search_status: str = ""
     semantic_status: str = ""
     seeded: bool = False
 
@@ -126,17 +127,21 @@ class Engine:
             rows = t([(k.key, k.subject, k.object, k.subject_label, k.object_label) for k in st.targets], "key string, subject string, object string, subject_label string, object_label string")
             surfaces = st.cache.select("id", F.col("key").alias("name"))
             queries = M.kept_queries(queries, rows, M.synonym_queries(rows, surfaces))
-        got = queries.collect()
+        got = sorted(queries.collect(), key=lambda q: (q.target or "", q.intent or "", q.query))  # a round's few, in an order that does not change
         numbered = t([(f"{st.round}:{n}", q.query, q.target or "", s.retmax_targeted if q.target else s.retmax_first) for n, q in enumerate(got)], "query_id string, query string, target string, retmax int")
         results = materialize(self.source.search(numbered), "results")
         log = materialize(M.search_log(numbered, results), "log")
         st.log += [tuple(r) for r in log.collect()]
         hits = numbered.join(results, "query_id").select("target", F.explode("pmids").alias("pmid"))
-        new = M.unseen(hits.select("pmid").distinct(), st.papers, "pmid")
-        papers = st.papers.unionByName(self.source.fetch(new))
-        st.papers = materialize(M.retrieved_for(papers, hits), "papers")
-        n_new = st.papers.count()
-        return M.target_searches(log), M.search_status(log, n_new).first().status == "SEARCH_FAILED"
+        new, fetched = M.unseen(hits.select("pmid").distinct(), st.papers, "pmid"), True
+        try:
+            came = materialize(self.source.fetch(new), "fetched")
+        except Exception as e:  # a source may be down: the round goes on, but does not count as a search
+            print(f"fetch failed: {type(e).__name__}")
+            came, fetched = t([], S.PAPER), False
+        st.papers = materialize(M.retrieved_for(st.papers.unionByName(came), hits), "papers")
+        st.search_status = M.search_status(log, came.count(), fetched).first().status
+        return M.target_searches(log), st.search_status == "SEARCH_FAILED"
 
     def screen(self, st: Run) -> None:
         fresh = st.papers.where("screen_status = 'unscreened' and not retracted")
@@ -200,9 +205,14 @@ class Engine:
         s, r, o = key.split("|")
         return f"{roots.get(s, s)}|{r}|{roots.get(o, o)}"
 
+    def _roots_of(self, ids) -> dict[str, str]:
+        """Roots of a few concepts, those of pathways' steps or of the question."""
+        few = self._table([(i,) for i in sorted(set(ids))], "child string")
+        return {r.child: r.root for r in self.roots.join(F.broadcast(few), "child", "left_semi").collect()}
+
     def _proposed(self, st: Run, pathway: dict) -> list[str]:
         ids = self.resolve_names(st, [x[e] for x in pathway["links"] for e in ("source", "target")])
-        roots = {r.child: r.root for r in self.roots.collect()}
+        roots = self._roots_of(ids.values())
         return [self._key(f"{ids[x['source']]}|{x['relation']}|{ids[x['target']]}", roots) for x in pathway["links"] if x["relation"] in S.RELATIONS[:-1]]
 
     def _build(self, st: Run, prior: DataFrame | None) -> DataFrame:
@@ -213,7 +223,7 @@ class Engine:
 
     def weigh(self, st: Run, stats: DataFrame, search_failed: bool) -> str:
         s, p, this = self.settings, self.parsed, st.round + 1
-        roots = {r.child: r.root for r in self.roots.collect()}  # aliases of the concepts in use
+        roots = self._roots_of([*p["ids"], *(e for h in st.hyps for k in h["links"] for e in (k.split("|")[0], k.split("|")[2]))])
         for h in st.hyps:
             h["links"] = [self._key(k, roots) for k in h["links"]]
         prior = None
@@ -231,8 +241,10 @@ class Engine:
         exposure, *named = [roots.get(i, i) for i in p["ids"]]
         outcomes = materialize(H.outcome_set(named, st.concepts), "outcomes")
         links = self._build(st, prior)
-        label = {r.key: r.object_label for r in links.select("key", "object_label").collect()} if len(st.hyps) < s.max_hypotheses else {}
-        for r in H.ledger_paths(links, exposure, outcomes, s.max_path_len).orderBy(F.desc("least"), "links").limit(s.max_hypotheses * 4).collect() if len(st.hyps) < s.max_hypotheses else []:
+        routes = H.ledger_paths(links, exposure, outcomes, s.max_path_len).orderBy(F.desc("least"), "links").limit(s.max_hypotheses * 4).collect() if len(st.hyps) < s.max_hypotheses else []
+        steps = self._table(sorted({(k,) for r in routes for k in r.links}), "key string")
+        label = {r.key: r.object_label for r in links.select("key", "object_label").join(F.broadcast(steps), "key", "left_semi").collect()} if routes else {}
+        for r in routes:
             if len(st.hyps) >= s.max_hypotheses:
                 break
             via = [label[k] for k in r.links[:-1]]
