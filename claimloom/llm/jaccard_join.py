@@ -243,7 +243,7 @@ def _members(docs: DataFrame, threshold: float, size: int) -> DataFrame:
     """(doc_id, seq, copy_id, class_id, n_links, n_class, first) of each document with a doc_id and a word, one row for
     each of its texts; first: the (doc_id, seq) that stands for the group."""
     signatures = materialize(docs.select("doc_id", "text").mapInArrow(_signatures(size), "doc_id long, seq long, sig binary"), "signatures")
-    members = signatures.select("doc_id", "seq").distinct()
+    members = materialize(signatures.select("doc_id", "seq").distinct(), "members")
     classes = materialize(members.groupBy("seq").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies")), "classes")
     bands = materialize(signatures.select("seq", "sig").mapInArrow(_bands, "seq long, k int, band long"), "bands")
     shared = materialize(bands.groupBy("band").agg(F.min("seq").alias("family"), F.max("seq").alias("b")).where("family <> b").select("band", "family"), "shared")
@@ -272,6 +272,7 @@ def _members(docs: DataFrame, threshold: float, size: int) -> DataFrame:
     linked = linked.join(groups, "component").select("seq", "links", "first", "n_class")
     first = F.coalesce("first", F.struct(F.col("copy_id").alias("doc_id"), "seq"))
     by_class = classes.join(linked, "seq", "left").select("seq", "copy_id", first.alias("first"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("n_class", "copies").alias("n_class"))
+    by_class = materialize(by_class, "by-class")  # so that the join below is of two tables, and can be split where a text has many copies
     return members.join(by_class, "seq").select("doc_id", "seq", "copy_id", F.col("first.doc_id").alias("class_id"), "n_links", "n_class", "first")
 
 

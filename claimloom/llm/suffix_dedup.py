@@ -3,17 +3,19 @@
 Method. A passage of ``min_words`` (L) words holds L - k + 1 k-grams; the one with the smallest hash is its minimiser,
 chosen by content alone, so equal passages choose equal positions. Only suffixes at minimisers are retained (about one
 in (L-k+2)/2 words), each with the context that passages anchored at it can reach: the bounded suffix to its right and
-the bounded extension to its left. Sorting and comparing neighbours is done on fingerprints of that content:
+the bounded extension to its left. Orders are global: ranges of the sorted rows go to tasks, and every row is compared
+with its neighbours there (ranges end within a group, so no group is one task's; what stands at a border is settled by a
+table of two rows a task).
 
-1. suffixes are ordered by the k-gram they begin with; a k-gram seen once has no neighbour and is dropped;
-2. suffixes of one k-gram whose whole context is equal are merged, with their count and first occurrence, before any
-   row moves (map-side aggregation), so thousands of copies cost one row;
-3. where different contexts remain under one k-gram, each is extended left and right word by word: every L-word window
-   anchored at the suffix is compared with its neighbours in the order of window fingerprints.
+1. Suffixes are sorted by the k-gram they begin with, then by their whole context. One whose neighbours begin with other
+   k-grams matches nothing and is dropped; neighbours of equal context are merged with their count and first occurrence,
+   so thousands of copies cost one row.
+2. Where different contexts remain under one k-gram, each is extended left and right word by word: the L-word windows
+   anchored at the suffix, one for each number of words to its left, are sorted by their fingerprints, and each is
+   compared with its neighbours; equal ones are matches, the first in the order being the source.
 
 Each L-word window has exactly one minimiser, so the result is exact (up to 64-bit hash collisions): a word belongs to
-a repeat if and only if some L-word window over it occurs twice. No group is gathered into one task: groups meet only
-in aggregations with map-side combine and in equi-joins that adaptive execution can split.
+a repeat if and only if some L-word window over it occurs twice. No group is gathered into one task.
 
 Defined results: null and empty texts, and texts under L words, have no repeats. Words are the runs between spaces and
 \\t..\\r, compared byte by byte; texts keep any length. Rows repeated under one doc_id with the same text count as one
@@ -114,6 +116,69 @@ def _windows(min_words: int):
     return run
 
 
+def _neighboured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by their first column those that have it in common with a neighbour; at the borders of a task, where
+    the neighbour is in another, all of the first value and the last row."""
+    held, known, first = None, False, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        t = t if held is None else pa.concat_tables([held, t])
+        k = t.column(0).to_numpy()
+        first = k[0] if first is None else first
+        keep, same = k == first, k[1:] == k[:-1]
+        keep[0] |= known
+        keep[1:] |= same
+        keep[:-1] |= same
+        yield from t.slice(0, len(k) - 1).filter(pa.array(keep[:-1])).to_batches()
+        held, known = t.slice(len(k) - 1).combine_chunks(), bool(keep[-1])
+    if held is not None:
+        yield from held.to_batches()
+
+
+def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (window, doc_id, pos, context, step) in that order to (window, context, step, first_doc, first_pos, border)
+    of those that equal a neighbour; first: the first of the equal ones here. border: whether other tasks may know more,
+    which is so for the first window of a task and for its last row."""
+    held, source, first = None, None, None  # source: of the run that the held row belongs to, if it has an earlier row
+    names = ["window", "context", "step", "first_doc", "first_pos", "border"]
+
+    def rows(t: pa.Table, pick: np.ndarray, doc: np.ndarray, pos: np.ndarray, border: np.ndarray) -> Iterator[pa.RecordBatch]:
+        some = t.filter(pa.array(pick)).combine_chunks()
+        out = pa.table([some.column(0), some.column(3), some.column(4), pa.array(doc[pick]), pa.array(pos[pick]), pa.array(border[pick])], names)
+        yield from out.to_batches()
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        t = t if held is None else pa.concat_tables([held, t])
+        w, d, p = (t.column(c).to_numpy() for c in range(3))
+        n = len(w)
+        first = w[0] if first is None else first
+        same = w[1:] == w[:-1]
+        starts = np.concatenate([[True], ~same])
+        at = np.maximum.accumulate(np.where(starts, np.arange(n), 0))
+        doc, pos = d[at], p[at]
+        if source is not None:
+            run = at == 0
+            doc[run], pos[run] = source
+        border = w == first
+        pick = border.copy()
+        pick[0] |= source is not None
+        pick[1:] |= same
+        pick[:-1] |= same
+        last = np.arange(n) == n - 1
+        yield from rows(t, pick & ~last, doc, pos, border)
+        source = (doc[-1], pos[-1]) if pick[-1] else None
+        held = t.slice(n - 1).combine_chunks()
+    if held is not None:
+        doc, pos = (held.column(c).to_numpy() for c in (1, 2))
+        doc, pos = (doc, pos) if source is None else (np.array([source[0]]), np.array([source[1]]))
+        yield from rows(held, np.ones(1, bool), doc, pos, np.ones(1, bool))
+
+
 def _one_text_each(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """(doc_id, text) with one text a doc_id, the smallest where rows differ; and, if any id has several rows, the hash of
     the text taken for each such id. Ids alone are counted to find them, so texts move only where ids repeat."""
@@ -131,9 +196,9 @@ def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS, k: int = KGRAM
     k = min(k, min_words)
     texts = _one_text_each(docs)[0]
     suffixes = materialize(texts.mapInArrow(_suffixes(min_words, k), "doc_id long, pos int, n int, kgram long, context long"), "suffixes")
-    shared = suffixes.groupBy("kgram").agg(F.count("*").alias("c")).where("c > 1").select("kgram")
-    shared = materialize(shared, "kgrams")  # a table, so that the join below has no aggregate beside it and can be split where a k-gram is hot
-    near = materialize(suffixes.join(shared, "kgram"), "shared")  # order by k-gram: those with a neighbour
+    order = ["kgram", "context", "doc_id", "pos"]
+    ranged = suffixes.select(*order, "n").repartitionByRange(*order).sortWithinPartitions(*order)
+    near = materialize(ranged.mapInArrow(_neighboured, "kgram long, context long, doc_id long, pos int, n int"), "shared")
     merged = near.groupBy("kgram", "context").agg(F.count("*").alias("copies"), F.min("n").alias("n"), F.min(F.struct("doc_id", "pos")).alias("first"))
     merged = materialize(merged, "merged")
     several = merged.groupBy("kgram").agg(F.count("*").alias("contexts")).where("contexts > 1").select("kgram")
@@ -141,9 +206,17 @@ def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS, k: int = KGRAM
     asked = merged.join(several, "kgram").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("first.pos", "n", "context")).alias("asked"))
     # a document's requests are no more than its own suffixes
     windows = materialize(texts.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_windows(min_words), "context long, step int, window long, doc_id long, pos int"), "windows")
-    twice = windows.groupBy("window").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "pos")).alias("source")).where("c > 1").select("window", "source")
-    twice = materialize(twice, "twice")
-    extended = windows.join(twice, "window").select("context", "step", "source").groupBy("context").agg(F.sort_array(F.collect_list(F.struct("step", F.col("source.doc_id").alias("first_doc"), F.col("source.pos").alias("first_pos")))).alias("steps"))
+    order = ["window", "doc_id", "pos"]
+    ranged = windows.select(*order, "context", "step").repartitionByRange(*order).sortWithinPartitions(*order)
+    matches = materialize(ranged.mapInArrow(_matches, "window long, context long, step int, first_doc long, first_pos int, border boolean"), "matches")
+    open_ = matches.where("border").select("window").distinct()  # at most two windows a task
+    settled = matches.join(F.broadcast(open_), "window").groupBy("window").agg(F.count("*").alias("c"), F.min(F.struct("first_doc", "first_pos")).alias("first")).where("c > 1")
+    border = matches.where("border").drop("first_doc", "first_pos").join(F.broadcast(settled), "window").select("context", "step", "first.first_doc", "first.first_pos")
+    # a run that goes on behind a border has its first place before it, and rows on both sides
+    inner = matches.where("not border").join(F.broadcast(settled.select("window", "first")), "window", "left")
+    inner = inner.select("context", "step", F.coalesce("first.first_doc", "first_doc").alias("first_doc"), F.coalesce("first.first_pos", "first_pos").alias("first_pos"))
+    matched = inner.unionByName(border)
+    extended = matched.groupBy("context").agg(F.sort_array(F.collect_list(F.struct("step", "first_doc", "first_pos"))).alias("steps"))
     found = (
         merged.join(extended, "context", "left")
         .where("copies > 1 or steps is not null")

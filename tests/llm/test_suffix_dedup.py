@@ -2,9 +2,10 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from claimloom.llm.suffix_dedup import leftmost_least, remove_copies, repeated_spans, super_suffixes
+from claimloom.llm.suffix_dedup import _matches, _neighboured, leftmost_least, remove_copies, repeated_spans, super_suffixes
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -107,3 +108,45 @@ def test_minimisers_of_texts_beyond_2_24_words():
     assert set(short[3].tolist()) <= set(long[3].tolist())
     inner = {c for c, a, n in zip(short[4].tolist(), short[1].tolist(), short[2].tolist()) if a > 0}
     assert inner <= set(long[4].tolist()) and len(short[0]) >= 2 and int(long[1].max()) > 1 << 24
+
+
+def pieces(rows, names, sizes):
+    """Record batches of these sizes (and the rest)."""
+    at = 0
+    for n in [*sizes, len(rows)]:
+        part = rows[at : at + n]
+        at += n
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in part], pa.int64()) for c in range(len(names))], names)
+
+
+def test_neighbours_in_batches_and_at_borders():
+    rng = random.Random(7)
+    for _ in range(300):
+        keys = sorted(rng.randrange(9) for _ in range(rng.randrange(1, 30)))
+        rows = [(k, i) for i, k in enumerate(keys)]
+        got = [r["i"] for b in _neighboured(pieces(rows, ["k", "i"], [rng.randrange(6) for _ in range(5)])) for r in b.to_pylist()]
+        want = [i for i, k in enumerate(keys) if keys.count(k) > 1 or k == keys[0] or i == len(keys) - 1]
+        assert got == want
+        rows = [(k, 5 + i, 3 * i, 70 + i, i) for i, k in enumerate(keys)]
+        got = [r for b in _matches(pieces(rows, ["window", "doc_id", "pos", "context", "step"], [rng.randrange(6) for _ in range(5)])) for r in b.to_pylist()]
+        assert [r["step"] for r in got] == want
+        for r in got:
+            at = keys.index(r["window"])
+            assert (r["first_doc"], r["first_pos"], r["context"]) == (5 + at, 3 * at, 70 + r["step"])
+            assert r["border"] == (r["window"] == keys[0] or r["step"] == len(keys) - 1)
+
+
+def test_runs_across_many_ranges(spark):
+    """One passage in most documents, over more ranges than it has windows."""
+    rng = random.Random(8)
+    p = [f"p{i}" for i in range(14)]
+    texts = [(i, " ".join([*(f"l{rng.randrange(10**6)}" for _ in range(rng.randrange(9))), *p, *(f"r{rng.randrange(10**6)}" for _ in range(rng.randrange(9)))])) for i in range(300)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got, want = covered(repeated_spans(frame(spark, texts), 12, 4).collect()), brute(texts, 12)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got[0] == want[0] and got[1] == want[1]
