@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from claimloom.llm import ann, jaccard_join, language_id, packing, piece_nbest, quality_nbsvm, quality_rules, secret_scan, suffix_dedup, url_filter
 
@@ -42,7 +43,8 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(table(spark, sf_dir, "documents"))
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"))
+    return judged.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})  # sums in any order agree so far
 
 
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,4 +95,25 @@ good AS (SELECT * FROM sides WHERE k >= (SELECT least FROM tot) AND conf >= 0.9
 kept AS (SELECT * FROM good g WHERE NOT EXISTS (SELECT 1 FROM good s WHERE s.v = g.v AND len(s.c) < len(g.c) AND list_has_all(g.c, s.c))),
 hit AS (SELECT q.id, max_by(kept.v, struct_pack(conf := conf, k := k, a := kept.v = 'allow')) AS v FROM q JOIN kept ON list_has_all(q.t, kept.c) WHERE q.id NOT IN (SELECT id FROM e) GROUP BY q.id)
 SELECT q.page_id, q.host, q.path, e.r.rule AS rule, coalesce(e.r.v, hit.v, 'allow') AS verdict, e.r IS NULL AS by_method, hit.v IS NOT NULL AS matched FROM q LEFT JOIN e ON e.id = q.id LEFT JOIN hit ON hit.id = q.id"""
-ORACLE_SQL: dict[str, str] = {"op1_suffix_dedup": SUFFIX_SQL, "op3_jaccard_join": JACCARD_SQL, "op10_url_filter": URL_SQL}
+# Histograms by counting, distances from their common places: places that a text lacks add the reference's share.
+_COUNT = lambda c: f"length(regexp_replace(x, '[^{c}]', '', 'g'))"
+_KINDS = ("a-z", "A-Z", "0-9", r" \t\x0B\f\r", r"\n", ".,;:", r"''\"()\-?!", "#*$%&|<>", r"\x{80}-\x{10FFFF}", r"\x00-\x08\x0E-\x1F+/=@\[\\\]\x5E_`{}~\x7F")
+_SIDE = lambda p, q: f"sum({p} * log2({p} / (({p} + {q}) / 2)) + CASE WHEN {q} > 0 THEN {q} * log2({q} / (({p} + {q}) / 2)) ELSE 0 END) + 1 - sum({q})"
+QUALITY_SQL = f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, lang, coalesce(text, '') AS x FROM documents),
+w AS MATERIALIZED (SELECT id, lang, list_filter(regexp_split_to_array(x, '[\\x20\\x09-\\x0D]+'), lambda v: v <> '') AS w FROM d),
+g AS (SELECT id, pos, array_to_string(w[pos : pos + 4], ' ') AS k FROM w, unnest(range(1, len(w) - 3)) t(pos) WHERE len(w) >= 5),
+r AS (SELECT id, count(DISTINCT pos + o) AS n FROM (SELECT id, pos, count(*) OVER (PARTITION BY id, k) AS c FROM g), unnest(range(0, 5)) t(o) WHERE c > 1 GROUP BY id),
+l AS (SELECT id, count(*) - count(DISTINCT line) AS n FROM (SELECT id, unnest(string_split(x, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY id),
+b AS (SELECT d.id, doc_id, len(w) AS n_words, length(regexp_replace(x, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars, {_COUNT('#*$%&|<>')} AS n_symbols, coalesce(l.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
+  FROM d JOIN w ON w.id = d.id LEFT JOIN l ON l.id = d.id LEFT JOIN r ON r.id = d.id),
+h AS MATERIALIZED (SELECT id, lang, 'c' AS kind, k AS place, c AS n FROM (SELECT id, lang, unnest([{', '.join(_COUNT(c) for c in _KINDS)}]) AS c, unnest(range(0, 10)) AS k FROM d) WHERE c > 0
+  UNION ALL SELECT id, lang, 'w', coalesce(list_position([{', '.join(repr(v) for v in quality_rules.WORDS)}], v), 0), count(*) FROM (SELECT id, lang, translate(unnest(w), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS v FROM w) GROUP BY 1, 2, 3, 4),
+q AS (SELECT lang, kind, place, sum(n) / sum(sum(n)) OVER (PARTITION BY lang, kind) AS q FROM h WHERE lang IS NOT NULL GROUP BY lang, kind, place), langs AS (SELECT DISTINCT lang AS ref FROM documents WHERE lang IS NOT NULL),
+p AS (SELECT id, kind, place, n / sum(n) OVER (PARTITION BY id, kind) AS p FROM h),
+j AS (SELECT p.id, p.kind, langs.ref, sqrt(greatest(0, least(1, ({_SIDE('p.p', 'coalesce(q.q, 0)')}) / 2))) AS js FROM p CROSS JOIN langs LEFT JOIN q ON q.lang = langs.ref AND q.kind = p.kind AND q.place = p.place GROUP BY p.id, p.kind, langs.ref),
+e AS (SELECT b.id, langs.ref, coalesce(c.js, 1) AS c, coalesce(v.js, 1) AS w FROM b CROSS JOIN langs LEFT JOIN j c ON c.id = b.id AND c.ref = langs.ref AND c.kind = 'c' LEFT JOIN j v ON v.id = b.id AND v.ref = langs.ref AND v.kind = 'w'),
+f AS (SELECT id, arg_min(struct_pack(ref := ref, c := c, w := w), struct_pack(s := round(c + w, 12), ref := ref)) AS n FROM e GROUP BY id),
+z AS (SELECT b.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, f.n FROM b LEFT JOIN f ON f.id = b.id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(n_words >= {quality_rules.LEAST_WORDS} AND n.c > {quality_rules.MOST_CLASS} OR n_words >= {quality_rules.LEAST_FOR_WORDS} AND n.w > {quality_rules.MOST_WORD}, false) AS kept,
+  n.ref AS nearest_lang, round(coalesce(n.c, 0)::DOUBLE, 6) AS class_distance, round(coalesce(n.w, 0)::DOUBLE, 6) AS word_distance FROM z"""
+ORACLE_SQL: dict[str, str] = {"op7_quality_rules": QUALITY_SQL, "op1_suffix_dedup": SUFFIX_SQL, "op3_jaccard_join": JACCARD_SQL, "op10_url_filter": URL_SQL}
