@@ -6,8 +6,8 @@ class that have it; each text's scaled vector is set to unit length. On these a
 dual coordinate descent, and interpolated with its mean weight. A logistic curve, fitted on training rows that the
 model did not see, turns margins into scores.
 
-Training takes about ``TRAIN_ROWS`` labelled rows of each class (all, if there are no more), drawn by a hash of id and
-text: a bounded sample. Their features, at most 2^``BITS`` numbers each however long the text, are made by executors;
+Training takes about ``TRAIN_ROWS`` labelled rows of each class (all, if there are no more), drawn by a hash of the id, and
+of the text where an id has several: a bounded sample. Their features, at most 2^``BITS`` numbers each however long the text, are made by executors;
 texts do not go to the driver.
 
 Defined results: null and empty texts have no features and the score of the bias alone. Without labels of both classes
@@ -26,7 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.llm.language_id import held_out
-from claimloom.llm.sample import drawn, share_of, shares
+from claimloom.llm.prefilter import may_match
+from claimloom.llm.sample import TOP, drawn, share_of, shares
 from claimloom.sources.scratch import materialize
 from claimloom.llm.textbuf import U, Block, blocks, mix, sequence_hash, sequence_sums
 
@@ -156,9 +157,12 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = TRA
     named = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most").select("doc_id", "quality")
     named = materialize(named.where(usable), "labels")
     share = shares({r.quality: r.n for r in named.groupBy("quality").agg(F.count("*").alias("n")).collect()}, per_class)
-    rows = docs.where("text is not null").select("doc_id", "text", drawn("doc_id", "text").alias("draw"))
-    rows = rows.where(F.col("draw") <= max(share.values(), default=-1))  # before the join, so that few texts move
-    rows = rows.join(named, "doc_id").where(F.col("draw") <= share_of(F.col("quality"), share)).select(F.xxhash64("doc_id").alias("o"), "text", "quality").distinct()
+    chosen = materialize(named.where(drawn("doc_id") <= share_of(F.col("quality"), share)), "chosen")
+    texts = may_match(docs.where("text is not null").select("doc_id", "text"), "doc_id", chosen.select("doc_id"))
+    texts = texts.join(chosen, "doc_id").select("doc_id", "text", "quality", drawn("doc_id", "text").alias("draw"))
+    # an id with n different texts gives about one of them, so that one with very many does not fill the sample
+    several = materialize(texts.select("doc_id", "draw").distinct().groupBy("doc_id").agg(F.count("*").alias("n")), "texts")
+    rows = texts.join(several, "doc_id").where((F.col("n") == 1) | (F.col("draw") <= F.lit(TOP) / F.col("n"))).select(F.xxhash64("doc_id").alias("o"), "text", "quality").distinct()
     got = sorted((r.o, bytes(r.features), r.quality) for r in rows.mapInArrow(_features, "o long, features binary, quality int").collect())  # about two classes x per_class
     return train([np.frombuffer(g[1], "<i4") for g in got], np.array([1 if g[2] else -1 for g in got]))
 
