@@ -308,19 +308,19 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE)
     found = materialize(_members(docs.where("doc_id is not null"), threshold, size), "groups")
     gone = materialize(found.where("doc_id <> first.doc_id or seq <> first.seq").select("doc_id", "seq"), "gone")
     names = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", __claimloom_seq long"
-    rows = docs.mapInArrow(_with_seq(names.index("text"), names), schema)
-    hashed = rows.withColumn("__claimloom_key", F.xxhash64("doc_id", "__claimloom_seq"))
+    own = [f"`{c}`" for c in names]
     twins = docs.where("doc_id is not null").select("doc_id").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
     twins = materialize(twins, "twins")
-    # only rows that may have to go are shuffled
-    doubtful = materialize(gone.select(F.xxhash64("doc_id", "seq").alias("h")), "doubtful")
-    if not twins.isEmpty():
-        doubtful = doubtful.union(found.join(twins, "doc_id", "left_semi").select(F.xxhash64("doc_id", "seq")))
-    sure, may = split_by_match(hashed, "__claimloom_key", doubtful)
-    may = may.join(gone.select("doc_id", F.col("seq").alias("__claimloom_seq")), ["doc_id", "__claimloom_seq"], "left_anti")
-    if not twins.isEmpty():
+    repeats = not twins.isEmpty()
+    # only rows whose doc_id may be among those that lose a row are read again and shuffled
+    sure, may = split_by_match(docs, "doc_id", gone.select("doc_id").union(twins))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", __claimloom_seq long"
+    may = may.select(*own).mapInArrow(_with_seq(names.index("text"), names), schema)
+    # an outer join, as an anti-join would be moved below the split, and shuffle all texts
+    out = gone.select("doc_id", F.col("seq").alias("__claimloom_seq"), F.lit(True).alias("__claimloom_gone"))
+    may = may.join(out, ["doc_id", "__claimloom_seq"], "left").where("__claimloom_gone is null")
+    if repeats:
         whole = may.where("__claimloom_seq is null or doc_id is null")
-        one = may.where("__claimloom_seq is not null and doc_id is not null").groupBy("doc_id", "__claimloom_seq").agg(F.min(F.struct(*[f"`{c}`" for c in names])).alias("r"))
-        may = whole.select(*[f"`{c}`" for c in names]).unionByName(one.select("r.*"))
-    return sure.select(*[f"`{c}`" for c in names]).unionByName(may.select(*[f"`{c}`" for c in names]))
+        one = may.where("__claimloom_seq is not null and doc_id is not null").groupBy("doc_id", "__claimloom_seq").agg(F.min(F.struct(*own)).alias("r"))
+        may = whole.select(*own).unionByName(one.select("r.*"))
+    return sure.select(*own).unionByName(may.select(*own))
