@@ -63,3 +63,39 @@ def test_registered(spark):
 def test_every_query_runs_on_the_smallest_tables(spark, name):
     df = QUERIES[name](spark, "/root/testdata/sf0.001")
     assert df.count() > 0
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, seq string, pos int, context string, piece int"
+
+
+def odd_rows():
+    long = " ".join(f"{w}{i}" if i % 5 else w for i, w in enumerate(FILLER.split() * 3000))
+    rows = [(None, A), (None, A), (None, None), (1, f"{A} {P}"), (1, f"{A} {P}"), (1, f"{B} and quite other words"), (2, None), (3, ""), (4, f"  {B} {P}\n"), (5, long), (6, f"the pwd: x7#Kq9!vTz2mm is in the {FILLER}"), (7, " \t\n")]
+    return [(i, t, None, None, None, "s", 1, "c", 2) for i, t in rows]
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_every_stage_on_odd_rows(spark, tmp_path, empty):
+    """Null and repeated ids, null, empty and long texts, null columns, clashing names; and the empty table."""
+    docs = spark.createDataFrame([] if empty else odd_rows(), ODD)
+    spark.createDataFrame([(i, FILLER + f" {i}", "en", "s", 9) for i in range(0 if empty else 60, 0 if empty else 120)], "doc_id long, text string, lang string, source string, n_chars long").unionByName(docs, allowMissingColumns=True).write.parquet(f"file://{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"file://{tmp_path}/documents.parquet")
+    for n, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, f"file://{tmp_path}")
+        assert n == 4 or out.columns == docs.columns, name
+        out.write.parquet(f"file://{tmp_path}/{n}")
+        docs = spark.read.parquet(f"file://{tmp_path}/{n}")
+        rows = docs.collect()
+        if empty:
+            assert not rows, name
+            continue
+        texts = [(r.doc_id, r.text) for r in rows] if n < 4 else []
+        if n == 0:  # rows without a letter go, whatever their id
+            assert sorted(i for i, _ in texts if i is not None and i < 60) == [1, 1, 1, 4, 5, 6] and [t for i, t in texts if i is None] == [A, A]
+        if n == 1:  # rows without an id stay; of equal rows one; the other text of id 1 stays
+            assert len([t for i, t in texts if i is None]) == 2 and sorted(t[:3] for i, t in texts if i == 1) == sorted([A[:3], B[:3]])
+            assert len([1 for i, _ in texts if i is not None and i >= 60]) < 60
+        if n == 3:
+            assert [t for i, t in texts if i == 6] == [f"the pwd: [SECRET] is in the {FILLER}"] and len([t for i, t in texts if i == 5][0].split()) > 40_000
+        if n == 4:
+            assert {r.doc_id for r in rows if r.doc_id is None or r.doc_id < 60} == {None, 1, 4, 5, 6}
