@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet and hands it, read again,
 to the next. All stages but the last return the columns of documents.
+
+Defined results of the chain: rows whose text is null, empty or without a letter go in the first stage; rows without a
+doc_id stay as they are in the second and third; of rows with one doc_id and one word sequence one stays, rows of one
+doc_id with other texts are judged for themselves (and left alone by the third stage, but for the smallest text); texts
+are whole, however long; extra columns, whatever their names, go through; an empty table gives an empty result.
 """
 
 from __future__ import annotations
