@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from claimloom import schemas as S
 from claimloom.functions.text import key_part, let
+from claimloom.sources.scratch import materialize
 
 
 def ledger_paths(links: DataFrame, exposure: str, outcomes: DataFrame, max_len: int = S.Settings.max_path_len) -> DataFrame:
@@ -106,6 +107,7 @@ def ranked(hyps: DataFrame, most: int) -> DataFrame:
     """Supported pathways first, each part by score (falling) and id (as text); others only up to ``most`` in all."""
     good = F.col("status") == "supported"
     order = [F.when(good, 0).otherwise(1), F.desc("score"), "id"]
+    hyps = materialize(hyps, "hypotheses")  # read twice below
     n_good = hyps.where(good).count()
     few = hyps.orderBy(*order).limit(max(most, n_good))  # the best of each task, merged: no task sorts all paths
     return few.withColumn("rank", F.row_number().over(Window.orderBy(*order))).where(good | (F.col("rank") <= most))
