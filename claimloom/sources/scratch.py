@@ -13,10 +13,13 @@ _WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset (tests) one of this machine is set."""
+    """The folder in ``spark.checkpoint.dir``; only where that is unset and Spark runs on this machine alone
+    (tests) one of this machine is set."""
     conf = spark.sparkContext.getConf()
     where = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="claimloom-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
