@@ -25,12 +25,13 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str = "t") -> DataFrame:
+def materialize(df: DataFrame, name: str = "t", by: str | None = None) -> DataFrame:
     """Write ``df`` once as Parquet to the shared folder and read it again: lineage ends here, and a lost executor
-    costs no more than a re-read."""
+    costs no more than a re-read. by: a column of which each value has a folder of its own, so that readers who want
+    some values leave the others' files alone."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/claimloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
