@@ -7,9 +7,9 @@ f = floor((p - q)^2 / (p + q)). All arithmetic is on integers.
 
 Method.
 
-1. Each task counts the terms of its texts in SQL (a row for each language, source and term of a task, not of a text).
-2. Shards by hash of (lang, term) sum these rows in SQL as they stream in, and keep the terms with enough documents; they
-   hold one row for each source of a term at most, whatever the number of tasks.
+1. Each task counts the terms of its texts in SQL; common ones are added up over the task.
+2. Shards by hash of (lang, term) sum these rows in SQL as they stream in, and keep the terms with enough documents; a
+   term's rows are added up again and again, so many tasks don't make a shard grow.
 3. N and V are summed by Spark and joined to the kept counts. Shards of the same kind give, in SQL, partial pair sums
    and their best terms of each source. Terms that a source lacks have one and the same share, so pairs are summed over the terms
    that both sources hold, as differences from those shares; the rest follows from the number of terms for each count.
@@ -35,7 +35,7 @@ from claimloom.llm.textbuf import tidy
 from claimloom.sources.scratch import materialize
 
 LEAST_DOCS, BEST_TERMS, SCALE = 10, 10, 1_000_000_000
-FULL = 1_000_000  # rows of partial counts that a task holds before it passes them on
+FULL, COMMON = 1_000_000, 3  # rows of partial counts that a task holds before it adds them up; texts of a batch from which a term is held
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[:128] = 32
 _FOLD[97:123] = np.arange(97, 123)
@@ -52,37 +52,48 @@ def folded(texts: pa.Array) -> pa.Array:
 
 def _database() -> duckdb.DuckDBPyConnection:
     con = duckdb.connect(":memory:")
-    con.execute("SET threads = 1; SET memory_limit = '500MB'; SET preserve_insertion_order = false")
+    _run(con, "SET threads = 1; SET memory_limit = '500MB'; SET preserve_insertion_order = false")
     return con
 
 
+def _run(con: duckdb.DuckDBPyConnection, sql: str) -> int:
+    """Run to the end; the first number that comes back, such as the rows of an insertion."""
+    rows = con.execute(sql).fetchall()
+    return rows[0][0] if rows else 0
+
+
 def _batches(con: duckdb.DuckDBPyConnection, sql: str) -> Iterator[pa.RecordBatch]:
     yield from con.sql(sql).to_arrow_reader(50_000)
 
 
-_SUMMED = "SELECT lang, term, source, sum(n)::BIGINT AS n, sum(docs)::BIGINT AS docs FROM part GROUP BY ALL"
+_COUNTS = "lang VARCHAR, term VARCHAR, source VARCHAR, n BIGINT, docs BIGINT"
+_SUMMED = "SELECT lang, term, source, sum(n)::BIGINT AS n, sum(docs)::BIGINT AS docs FROM part GROUP BY lang, term, source"
+
+
+def _shorten(con: duckdb.DuckDBPyConnection) -> int:
+    """Add up the rows of part; how many are left."""
+    _run(con, f"CREATE TABLE short AS {_SUMMED}; DROP TABLE part; ALTER TABLE short RENAME TO part")
+    return _run(con, "SELECT count(*) FROM part")
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, source, text) to the counts of terms and of texts that hold them, summed over the task."""
+    """(lang, source, text) to the counts of terms and of texts that hold them. Terms that several texts of a batch hold are
+    added up over the task, so that common ones make a row for each source of it; the others, mostly rare, go on as they are."""
     con = _database()
-    con.execute("CREATE TABLE part (lang VARCHAR, term VARCHAR, source VARCHAR, n BIGINT, docs BIGINT)")
+    _run(con, f"CREATE TABLE part ({_COUNTS})")
     rows = 0
     for batch in batches:
         seen = pa.table([pa.array(np.arange(batch.num_rows)), batch.column(0), batch.column(1), folded(batch.column(2))], ["row", "lang", "source", "text"])
         con.register("seen", seen)
-        rows += con.execute(
-            "INSERT INTO part SELECT lang, term, source, sum(n), count(*) FROM (SELECT row, lang, source, term, count(*) AS n FROM"
-            " (SELECT row, lang, source, unnest(string_split(text, ' ')) AS term FROM seen) WHERE term <> '' GROUP BY ALL) GROUP BY lang, term, source"
-        ).fetchone()[0]
+        _run(con, """CREATE TABLE own AS SELECT lang, term, source, sum(n)::BIGINT AS n, count(*) AS docs FROM
+            (SELECT row, term, count(*) AS n FROM (SELECT row, unnest(string_split(text, ' ')) AS term FROM seen) WHERE term <> '' GROUP BY row, term) JOIN seen USING (row) GROUP BY lang, term, source""")
         con.unregister("seen")
-        if rows > FULL:
-            con.execute(f"CREATE TABLE short AS {_SUMMED}; DROP TABLE part; ALTER TABLE short RENAME TO part")
-            rows = con.execute("SELECT count(*) FROM part").fetchone()[0]
-            if rows > FULL // 2:
-                yield from _batches(con, "FROM part")
-                con.execute("DELETE FROM part")
-                rows = 0
+        yield from _batches(con, f"FROM own WHERE docs < {COMMON}")
+        rows += _run(con, f"INSERT INTO part FROM own WHERE docs >= {COMMON}")
+        _run(con, "DROP TABLE own")
+        if rows > FULL and (rows := _shorten(con)) > FULL // 2:
+            yield from _batches(con, "FROM part")
+            rows = _run(con, "DELETE FROM part") * 0
         tidy()
     yield from _batches(con, _SUMMED)
     con.close()
@@ -93,19 +104,20 @@ def _keep(least: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         con = _database()
-        con.execute("CREATE TABLE part (lang VARCHAR, term VARCHAR, source VARCHAR, n BIGINT, docs BIGINT)")
-        rows = 0
+        _run(con, f"CREATE TABLE part ({_COUNTS})")
+        rows, limit = 0, FULL
         for batch in batches:
             con.register("more", pa.Table.from_batches([batch]))
-            rows += con.execute("INSERT INTO part FROM more").fetchone()[0]
+            rows += _run(con, "INSERT INTO part FROM more")
             con.unregister("more")
-            if rows > FULL:
-                con.execute(f"CREATE TABLE short AS {_SUMMED}; DROP TABLE part; ALTER TABLE short RENAME TO part")
-                rows = 0
-        yield from _batches(con, f"""WITH s AS ({_SUMMED}), k AS (SELECT lang, term, sum(n)::BIGINT AS n FROM s GROUP BY ALL HAVING sum(docs) >= {least})
-            SELECT s.lang, s.term, false AS whole, s.source, s.n FROM s JOIN k ON k.lang = s.lang AND k.term = s.term
+            if rows > limit:
+                rows = _shorten(con)
+                limit = max(FULL, 2 * rows)
+        _run(con, f"CREATE TABLE k AS SELECT lang, term, sum(n)::BIGINT AS n FROM part GROUP BY lang, term HAVING sum(docs) >= {least}")
+        yield from _batches(con, """SELECT part.lang, part.term, false AS whole, part.source, sum(part.n)::BIGINT AS n FROM part JOIN k ON k.lang = part.lang AND k.term = part.term GROUP BY part.lang, part.term, part.source
             UNION ALL SELECT lang, term, true, '', n FROM k""")
         con.close()
+        tidy()
 
     return run
 
@@ -116,13 +128,13 @@ def _sum_shard(best: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         con = _database()
-        con.execute("CREATE TABLE r (lang VARCHAR, term VARCHAR, whole BOOLEAN, source VARCHAR, n BIGINT, total BIGINT, terms BIGINT)")
+        _run(con, "CREATE TABLE r (lang VARCHAR, term VARCHAR, whole BOOLEAN, source VARCHAR, n BIGINT, total BIGINT, terms BIGINT)")
         for batch in batches:
             con.register("more", pa.Table.from_batches([batch]))
-            con.execute("INSERT INTO r FROM more")
+            _run(con, "INSERT INTO r FROM more")
             con.unregister("more")
-        con.execute("CREATE MACRO f(p, q) AS ((p - q) * (p - q)) // (p + q)")
-        con.execute(f"CREATE TABLE p AS SELECT lang, term, whole, source, (1 + ({SCALE}::HUGEINT * (n + 2)) // (total + 2 * terms))::BIGINT AS p, (1 + {2 * SCALE}::HUGEINT // (total + 2 * terms))::BIGINT AS p0 FROM r")
+        _run(con, "CREATE MACRO f(p, q) AS ((p - q) * (p - q)) // (p + q)")
+        _run(con, f"CREATE TABLE p AS SELECT lang, term, whole, source, (1 + ({SCALE}::HUGEINT * (n + 2)) // (total + 2 * terms))::BIGINT AS p, (1 + {2 * SCALE}::HUGEINT // (total + 2 * terms))::BIGINT AS p0 FROM r")
         yield from _batches(con, """SELECT 'pair' AS part, x.lang, x.source, y.source AS item, sum(f(x.p, y.p) - f(x.p, y.p0) - f(x.p0, y.p) + f(x.p0, y.p0))::BIGINT AS value
             FROM p x JOIN p y ON y.lang = x.lang AND y.term = x.term AND x.source < y.source WHERE NOT x.whole AND NOT y.whole GROUP BY ALL""")
         yield from _batches(con, f"""SELECT 'term' AS part, g.lang, g.source, g.term AS item, f(g.p, l.p) AS value FROM p g JOIN p l ON l.lang = g.lang AND l.term = g.term
@@ -147,7 +159,8 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, best: int = BEST_TERMS)
     terms by which it stands out most from its language."""
     rows = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")))
     counts = rows.mapInArrow(_count, "lang string, term string, source string, n long, docs long")
-    kept = materialize(counts.repartition("lang", "term").mapInArrow(_keep(least_docs), "lang string, term string, whole boolean, source string, n long"), "kept")
+    shards = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept = materialize(counts.repartition(shards, "lang", "term").mapInArrow(_keep(least_docs), "lang string, term string, whole boolean, source string, n long"), "kept")
     sums = kept.groupBy("lang", "whole", "source").agg(F.sum("n").alias("total"), F.count("*").alias("held"))
     known = rows.select("lang", F.lit(False).alias("whole"), "source").distinct().unionByName(sums.where("whole").select("lang", "whole", "source"))
     terms = sums.where("whole").select("lang", F.col("held").alias("terms"))

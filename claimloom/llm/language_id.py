@@ -205,7 +205,9 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least_score: float = 0.3) -> DataFrame:
-    """The documents whose language is known with at least ``least_score``; null texts and texts without letters go.
+    """The documents of a learned language: those whose score is at least ``least_score`` (0.3, little over what four
+    languages that look equally likely would get). Null texts and texts without letters go. If nothing was learned, as no row
+    has a lang, no text can be told to be foreign, and all documents with a letter stay.
 
     The decision is taken row by row beside the text, without a join."""
     net = fit(docs, ~held_out(F.col("doc_id")))
@@ -215,6 +217,9 @@ def keep_identified(docs: DataFrame, least_score: float = 0.3) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if net is None:
+                yield batch.filter(pa.array([has_letter(t) for t in batch.column(at).to_pylist()], pa.bool_()))
+                continue
             short = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(at)], ["doc_id", "text"])
             keep = [np.asarray(r.column(2)) >= least_score for r in judge(iter([short]))]
             if keep:

@@ -8,18 +8,24 @@ from pyspark.sql import functions as F
 BITS = 23
 
 
-def _marked(df: DataFrame, column: str, wanted: DataFrame, bits: int, how: str) -> DataFrame:
-    value = wanted.columns[0]
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, whatever the case of its names."""
+    taken, name = {c.lower() for c in df.columns}, f"__claimloom_{name}"
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _marked(df: DataFrame, column: str, wanted: DataFrame, bits: int, how: str) -> tuple[DataFrame, str]:
+    """The rows with three more columns of unused names, and the condition that a row's bit is set."""
+    value, at, word, held = wanted.columns[0], free_name(df, "at"), free_name(df, "word"), free_name(df, "bits")
     place = "pmod(xxhash64(`{}`), %d)" % (1 << bits)
     words = (
-        wanted.selectExpr(f"{place.format(value)} AS h").selectExpr("h div 64 AS __word", "shiftleft(1L, cast(h % 64 AS int)) AS b")
-        .groupBy("__word").agg(F.bit_or("b").alias("__bits"))
+        wanted.selectExpr(f"{place.format(value)} AS h").selectExpr(f"h div 64 AS {word}", "shiftleft(1L, cast(h % 64 AS int)) AS b")
+        .groupBy(word).agg(F.bit_or("b").alias(held))
     )
-    marked = df.withColumn("__at", F.expr(place.format(column))).withColumn("__word", F.expr("__at div 64"))
-    return marked.join(F.broadcast(words), "__word", how)
-
-
-_HIT = "(__bits & shiftleft(1L, cast(__at % 64 AS int))) <> 0"
+    marked = df.withColumn(at, F.expr(place.format(column))).withColumn(word, F.expr(f"{at} div 64"))
+    return marked.join(F.broadcast(words), word, how), f"({held} & shiftleft(1L, cast({at} % 64 AS int))) <> 0"
 
 
 def may_match(df: DataFrame, column: str, wanted: DataFrame, bits: int = BITS) -> DataFrame:
@@ -27,11 +33,12 @@ def may_match(df: DataFrame, column: str, wanted: DataFrame, bits: int = BITS) -
 
     The values are hashed to a bitmap of 2**bits bits, broadcast as at most 2**(bits - 6) rows of two longs whatever the
     size of ``wanted``; with very many values it lets more rows through, which an exact join afterwards drops."""
-    return _marked(df, column, wanted, bits, "inner").where(_HIT).select(*[f"`{c}`" for c in df.columns])
+    marked, hit = _marked(df, column, wanted, bits, "inner")
+    return marked.where(hit).select(*[f"`{c}`" for c in df.columns])
 
 
 def split_by_match(df: DataFrame, column: str, wanted: DataFrame, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
     """The rows of ``df`` whose ``column`` is surely not among ``wanted``'s values, and those where it may be."""
-    marked = _marked(df, column, wanted, bits, "left")
+    marked, hit = _marked(df, column, wanted, bits, "left")
     rest = [f"`{c}`" for c in df.columns]
-    return marked.where(f"not coalesce({_HIT}, false)").select(*rest), marked.where(_HIT).select(*rest)
+    return marked.where(f"not coalesce({hit}, false)").select(*rest), marked.where(hit).select(*rest)
