@@ -5,14 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.functions.grading import stance
 from claimloom.functions.text import block_keys, claim_text
-from claimloom.operators.components import components
 from claimloom.sources.scratch import materialize
 
 POLAR = ("up", "down", "null")
@@ -49,70 +47,143 @@ def similar_pairs(pairs: DataFrame, vectors: DataFrame, threshold: float) -> Dat
     return pairs.join(v("lo"), "lo").join(v("hi"), "hi").select("lo", "hi", dot(F.col("v_lo"), F.col("v_hi")).alias("sim")).where(F.col("sim") >= threshold)
 
 
-def by_component(edges: DataFrame) -> DataFrame:
-    """Edges (lo, hi, ...) with the component they belong to; text ids are compared by 64-bit hashes."""
-    e = edges.withColumn("a", F.xxhash64("lo")).withColumn("b", F.xxhash64("hi"))
-    return e.join(components(e.select("a", "b")).withColumnRenamed("node", "a"), "a").drop("a", "b")
+def _resolved(links: DataFrame) -> DataFrame:
+    """(lo, hi, fate) of pairs that are taken if and only if the one they point to is not: links has lo, hi, and either the
+    fate that follows from a decided pair, or to_lo, to_hi. Pointers are doubled, so a chain takes a logarithm of its length."""
+    nodes = materialize(links.select("lo", "hi", "to_lo", "to_hi", "fate", F.lit(True).alias("flip")), "links")
+    while not nodes.where("fate is null and to_lo is not null").isEmpty():
+        ahead = nodes.select(*(F.col(c).alias(f"a_{c}") for c in nodes.columns))
+        n = nodes.join(ahead, (F.col("to_lo") == F.col("a_lo")) & (F.col("to_hi") == F.col("a_hi")), "left")
+        moved = F.col("fate").isNull()
+        nodes = materialize(n.select(
+            "lo", "hi", F.when(moved, F.col("a_to_lo")).alias("to_lo"), F.when(moved, F.col("a_to_hi")).alias("to_hi"),
+            F.coalesce("fate", F.col("a_fate") != F.col("flip")).alias("fate"), F.when(moved, F.col("flip") != F.coalesce("a_flip", F.lit(False))).otherwise(F.col("flip")).alias("flip"),
+        ), "links")
+    return nodes.where("fate is not null").select("lo", "hi", "fate")
 
 
-def mutual_top_k(pairs: DataFrame, k: int) -> DataFrame:
+def mutual_top_k(pairs: DataFrame, k: int, told: list | None = None) -> DataFrame:
     """Greedy in order of (similarity falling, lo, hi): a pair is taken if neither end has k pairs yet.
 
-    In rounds, without gathering a component: of the pairs still open, one that is among the best (k less those taken) of
-    both its ends is taken, as no pair before it can take their room; then pairs with a full end go. What this gives
-    is the sequential result, and each round takes at least the best pair of every component."""
-    todo = materialize(pairs.select("lo", "hi", "sim"), "open")
+    Pairs are unordered (lo is the smaller end) and count once, at their greatest similarity; pairs with a null and pairs of
+    one end are left out. In rounds, over all components at once:
+
+    * a pair that is, at both ends, among the best as many open pairs as there is room for is taken: none before it can take its room;
+    * a pair that is safe at one end, and at the other second where there is room for one, is taken if and only if the first
+      there is not. Such pairs point at each other in chains, whose fates follow from their beginning by doubling pointers;
+    * pairs with a full end go.
+
+    What this gives is the sequential result. A round ranks k + 1 pairs of an end at most. told gets each round's number of open pairs."""
+    clean = pairs.where("lo is not null and hi is not null and sim is not null and lo <> hi").select(F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi"), "sim")
+    todo = materialize(clean.groupBy("lo", "hi").agg(F.max("sim").alias("sim")), "open")
     taken, room = None, None
-    while not todo.isEmpty():
+    while open_pairs := todo.count():
+        if told is not None:
+            told.append(open_pairs)
         ends = todo.select(F.col("lo").alias("end"), "lo", "hi", "sim").union(todo.select("hi", "lo", "hi", "sim"))
-        have = ends if room is None else ends.join(room, "end", "left")
         rank = F.row_number().over(Window.partitionBy("end").orderBy(F.desc("sim"), "lo", "hi"))
-        left = F.lit(k) if room is None else F.lit(k) - F.coalesce("used", F.lit(0))
-        near = have.withColumn("r", rank).where(F.col("r") <= left)
-        now = near.groupBy("lo", "hi", "sim").agg(F.count("*").alias("n")).where("n = 2 or lo = hi").select("lo", "hi", "sim")
-        taken = materialize(now if taken is None else taken.unionByName(now), "taken")
+        near = ends.withColumn("r", rank).where(F.col("r") <= k + 1)
+        left = F.lit(k)
+        if room is not None:
+            near, left = near.join(room, "end", "left"), F.lit(k) - F.coalesce("used", F.lit(0))
+        near = materialize(near.select("end", "lo", "hi", "r", left.alias("left")).where("r <= left + 1"), "near")
+        by_pair = near.groupBy("lo", "hi").agg(F.count_if(F.col("r") <= F.col("left")).alias("safe"), F.max(F.when((F.col("r") == 2) & (F.col("left") == 1), F.col("end"))).alias("behind"))
+        by_pair = materialize(by_pair.where("safe = 2 or safe = 1 and behind is not null"), "ranked")
+        now = by_pair.where("safe = 2").select("lo", "hi")
+        fates = now.withColumn("fate", F.lit(True))
+        chained = by_pair.where("safe = 1")
+        if not chained.isEmpty():
+            ahead = near.where("r = 1").select(F.col("end").alias("behind"), F.col("lo").alias("to_lo"), F.col("hi").alias("to_hi"))
+            begun = now.select(F.col("lo").alias("to_lo"), F.col("hi").alias("to_hi"), F.lit(False).alias("fate"))
+            links = chained.join(ahead, "behind").join(begun, ["to_lo", "to_hi"], "left")
+            fates = fates.unionByName(_resolved(links.select("lo", "hi", "to_lo", "to_hi", "fate")))
+        fates = materialize(fates, "fates")
+        done = todo.join(fates, ["lo", "hi"]).where("fate").select("lo", "hi", "sim")
+        taken = materialize(done if taken is None else taken.unionByName(done), "taken")
         used = taken.select(F.explode(F.array("lo", "hi")).alias("end")).groupBy("end").agg(F.count("*").cast("int").alias("used"))
         room = materialize(used, "room")
         full = room.where(F.col("used") >= k)
-        open_ = todo.join(taken.select("lo", "hi"), ["lo", "hi"], "left_anti")
+        open_ = todo.join(fates, ["lo", "hi"], "left_anti")
         for end in ("lo", "hi"):
             open_ = open_.join(full.select(F.col("end").alias(end)), end, "left_anti")
         todo = materialize(open_.select("lo", "hi", "sim"), "open")
     return taken if taken is not None else todo
 
 
-def _linkage(pdf: pd.DataFrame) -> pd.DataFrame:
-    fits: dict[str, set] = {}
-    for lo, hi in zip(pdf["lo"], pdf["hi"], strict=True):
-        fits.setdefault(lo, set()).add(hi)
-        fits.setdefault(hi, set()).add(lo)
-    groups: list[set] = []
-    where: dict[str, list[int]] = {}
-    rows = []
-    for i in sorted(fits):
-        seen: dict[int, int] = {}
-        for other in fits[i]:  # groups of which every member is compatible with i
-            for g in where.get(other, ()):
-                seen[g] = seen.get(g, 0) + 1
-        fit = min((g for g, n in seen.items() if n == len(groups[g])), default=len(groups))
-        if fit == len(groups):
-            groups.append(set())
-        groups[fit].add(i)
-        where.setdefault(i, []).append(fit)
-        rows.append((i, fit))
-    first = {}
-    for i, g in rows:
-        first.setdefault(g, i)
-    return pd.DataFrame([(i, first[g]) for i, g in rows], columns=["id", "family"])
-
-
-def complete_linkage(ids: DataFrame, compatible: DataFrame) -> DataFrame:
+FEW_EDGES = 200_000  # what is left of a linkage below this number of edges is settled by one task
+AT_ONCE = 1_000  # ids of one group that a round looks at
+
+
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Undecided ids x with their neighbours y (family and its size, if y is settled) to (id, family), one after the other."""
+    near: dict[str, list] = {}
+    size: dict[str, int] = {}
+    for batch in batches:
+        for x, y, family, n in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            near.setdefault(x, []).append(y if family is None else (family,))
+            if family is not None:
+                size[family] = n
+    family_of: dict[str, str] = {}
+    for x in sorted(near):
+        met: dict[str, int] = {}
+        for y in near[x]:
+            g = y[0] if isinstance(y, tuple) else family_of.get(y)
+            if g is not None:
+                met[g] = met.get(g, 0) + 1
+        family_of[x] = g = min((g for g, n in met.items() if n == size[g]), default=x)
+        size[g] = size.get(g, 0) + 1
+    yield pa.RecordBatch.from_arrays([pa.array(list(v), pa.string()) for v in (family_of.keys(), family_of.values())], ["id", "family"])
+
+
+def complete_linkage(ids: DataFrame, compatible: DataFrame, few: int = FEW_EDGES, told: list | None = None) -> DataFrame:
     """(id, family): ids in order join the first group all of whose members they are compatible with; family is the
-    group's first id. compatible: lo, hi. Groups never cross components, so components are solved apart."""
-    wanted = ids.select("id").distinct()
-    inner = compatible.select("lo", "hi").join(wanted.withColumnRenamed("id", "lo"), "lo", "left_semi").join(wanted.withColumnRenamed("id", "hi"), "hi", "left_semi").where("lo <> hi").distinct()
-    grouped = by_component(inner).groupBy("component").applyInPandas(_linkage, "id string, family string")
-    return wanted.join(grouped, "id", "left").select("id", F.coalesce("family", "id").alias("family"))
+    group's first id. compatible: lo, hi.
+
+    In rounds, over all components at once. A group fits an id if the id is compatible with all its members so far; one that does
+    not fit never will. In each round an undecided id
+
+    * joins the first group that fits, if no smaller undecided id that the group fits as well is incompatible with it, and no
+      undecided id that it is compatible with is smaller than the group's first (and could open an earlier one);
+    * opens a group, if none fits and no smaller id that it is compatible with is undecided.
+
+    So the smallest undecided id of every neighbourhood is settled in each round, and what comes out is the sequential result. Once no
+    more than ``few`` edges touch undecided ids, one task settles these in order. told gets each round's number of undecided ids."""
+    wanted = ids.select("id").where("id is not null").distinct()
+    inner = compatible.select("lo", "hi").join(wanted.withColumnRenamed("id", "lo"), "lo", "left_semi").join(wanted.withColumnRenamed("id", "hi"), "hi", "left_semi").where("lo <> hi")
+    near = materialize(inner.select(F.col("lo").alias("x"), F.col("hi").alias("y")).union(inner.select("hi", "lo")).distinct(), "near")
+    open_ = near.select(F.col("x").alias("id")).distinct()
+    settled, sizes = None, None
+    edges, n_edges = near, near.count()  # edges: x is undecided
+    while n_edges:
+        if told is not None:
+            told.append(open_.count())
+        with_groups = edges.withColumns({"family": F.lit(None).cast("string"), "size": F.lit(0).cast("long")}) if settled is None else edges.join(settled.withColumnRenamed("id", "y"), "y", "left").join(sizes, "family", "left").select("x", "y", "family", "size")
+        if n_edges <= few:
+            found = with_groups.repartition(1).mapInArrow(_in_order, "id string, family string")
+            settled = found if settled is None else settled.unionByName(found)
+            break
+        with_groups = materialize(with_groups, "groups")
+        # x is undecided; fits: the groups that fit it; ahead: the least smaller undecided neighbour
+        fits = materialize(with_groups.where("family is not null").groupBy("x", "family").agg(F.count("*").alias("n"), F.first("size").alias("size")).where("n = size").select("x", "family"), "fits")
+        ahead = with_groups.where("family is null and y < x").groupBy("x").agg(F.min("y").alias("ahead"))
+        first = fits.groupBy("x").agg(F.min("family").alias("family"))
+        state = materialize(open_.withColumnRenamed("id", "x").join(first, "x", "left").join(ahead, "x", "left"), "state")
+        opens = state.where("family is null and ahead is null").select(F.col("x").alias("id"), F.col("x").alias("family"))
+        # of the ids that a group fits, those that are neighbours of all smaller ones among them
+        place = F.row_number().over(Window.partitionBy("family").orderBy("x"))
+        line = materialize(fits.withColumn("place", place).where(F.col("place") <= AT_ONCE), "line")
+        ready = state.where("family is not null and (ahead is null or ahead > family)").select("x", "family").join(line, ["x", "family"])
+        known = ready.join(with_groups.where("family is null and y < x").select("x", "y"), "x").join(line.select(F.col("x").alias("y"), "family", F.lit(1).alias("one")), ["y", "family"]).groupBy("x").agg(F.sum("one").alias("known"))
+        joins = ready.join(known, "x", "left").where("coalesce(known, 0) = place - 1").select(F.col("x").alias("id"), "family")
+        found = materialize(opens.unionByName(joins), "found")
+        settled = found if settled is None else materialize(settled.unionByName(found), "settled")
+        sizes = settled.groupBy("family").agg(F.count("*").alias("size"))
+        open_ = materialize(state.select(F.col("x").alias("id")).join(found, "id", "left_anti"), "open")
+        edges = materialize(edges.join(found.select(F.col("id").alias("x")), "x", "left_anti"), "edges")
+        n_edges = edges.count()
+    if settled is None:
+        return wanted.select("id", F.col("id").alias("family"))
+    return wanted.join(settled, "id", "left").select("id", F.coalesce("family", "id").alias("family"))
 
 
 def families(claims: DataFrame, verdicts: DataFrame) -> DataFrame:

@@ -170,17 +170,37 @@ def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.similar_pairs(pairs, e.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("vector")), 0.3).select("lo", "hi")
 
 
-@query()
+# pairs of customers and months, as similar as the largest order between them is dear; a month is full after k customers
+_TOP_K, _PRICE = 8, "CAST(round(o_totalprice * 100) AS BIGINT)"
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT 'C' || o_custkey AS hi_, 'M' || strftime(o_orderdate, '%Y-%m') AS lo_, max({_PRICE}) AS sim FROM orders GROUP BY 1, 2),
+o AS (SELECT least(lo_, hi_) AS lo, greatest(lo_, hi_) AS hi, sim, row_number() OVER (ORDER BY sim DESC, least(lo_, hi_), greatest(lo_, hi_)) AS n FROM p),
+e AS (SELECT x, row_number() OVER (ORDER BY x) AS k FROM (SELECT lo AS x FROM o UNION SELECT hi FROM o)),
+q AS MATERIALIZED (SELECT o.n, a.k AS a, b.k AS b FROM o JOIN e a ON a.x = o.lo JOIN e b ON b.x = o.hi),
+r AS (SELECT CAST(0 AS BIGINT) AS n, list_resize([0], (SELECT count(*) FROM e), 0) AS used, false AS taken
+  UNION ALL SELECT q.n, CASE WHEN f THEN used[: least(a, b) - 1] || [used[least(a, b)] + 1] || used[least(a, b) + 1 : greatest(a, b) - 1] || [used[greatest(a, b)] + 1] || used[greatest(a, b) + 1 :] ELSE used END, f
+    FROM (SELECT q.*, r.used, r.used[q.a] < {_TOP_K} AND r.used[q.b] < {_TOP_K} AS f FROM r JOIN q ON q.n = r.n + 1) q)
+SELECT o.lo, o.hi, o.sim FROM o JOIN (SELECT n FROM r WHERE taken) t ON t.n = o.n""")
 def mutual_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
-    pairs = e.select(F.col("vec_id").cast("string").alias("lo"), "label").join(e.select(F.col("vec_id").cast("string").alias("hi"), "label"), "label").where("lo < hi").select("lo", "hi")
-    return P.mutual_top_k(P.similar_pairs(pairs, e.select(F.col("vec_id").cast("string").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("vector")), 0.3), 8)
-
-
-@query()
+    o = table(spark, sf_dir, "orders")
+    pairs = o.select(F.concat(F.lit("C"), "o_custkey").alias("lo"), F.concat(F.lit("M"), F.date_format("o_orderdate", "yyyy-MM")).alias("hi"), F.round(F.col("o_totalprice") * 100).cast("long").alias("sim"))
+    return P.mutual_top_k(pairs, _TOP_K)
+
+
+# claims of one paper are compatible if the first digits of their objects differ by one at most, which is not transitive
+@query(f"""WITH RECURSIVE {CLAIMS_SQL}, c AS (SELECT DISTINCT pmid, id, CAST(substr(o, 2, 1) AS INTEGER) AS x, CASE r WHEN 'no_effect' THEN 'null' WHEN 'increases' THEN 'up' WHEN 'decreases' THEN 'down' ELSE 'effect' END AS st FROM claims),
+m AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY pmid ORDER BY id) AS n FROM c),
+g AS (SELECT pmid, n, [struct_pack(f := id, lo := x, hi := x)] AS groups, id AS family, id, st FROM m WHERE n = 1
+  UNION ALL SELECT pmid, n, CASE WHEN k IS NULL THEN list_append(groups, struct_pack(f := id, lo := x, hi := x)) ELSE list_transform(groups, lambda y, i: CASE WHEN i = k THEN struct_pack(f := y.f, lo := least(y.lo, x), hi := greatest(y.hi, x)) ELSE y END) END,
+    CASE WHEN k IS NULL THEN id ELSE groups[k].f END, id, st
+    FROM (SELECT m.*, g.groups, list_position(list_transform(g.groups, lambda y: greatest(y.hi, m.x) - least(y.lo, m.x) <= 1), true) AS k FROM g JOIN m ON m.pmid = g.pmid AND m.n = g.n + 1)),
+p AS (SELECT family, sum(k) - max(k) AS discordant FROM (SELECT family, st, count(*) AS k FROM g WHERE st IN ('up', 'down', 'null') GROUP BY family, st) GROUP BY family)
+SELECT 'SEM::' || g.family AS key, count(*) AS n_claims, CAST(coalesce(any_value(p.discordant), 0) AS BIGINT) AS discordant FROM g LEFT JOIN p ON p.family = g.family GROUP BY g.family""")
 def claim_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = derive.claims(spark, sf_dir)
-    v = c.select("pmid", "id", "object_concept").join(c.select("pmid", F.col("id").alias("hi"), F.col("object_concept").alias("o2")), "pmid").where("id < hi").select(F.col("id").alias("lo"), "hi", F.lit(True).alias("same_finding"), (F.substring("object_concept", 2, 1) == F.substring("o2", 2, 1)).alias("same_context")).distinct()
+    digit = F.substring("object_concept", 2, 1).cast("int")
+    v = c.select("pmid", "id", digit.alias("x")).join(c.select("pmid", F.col("id").alias("hi"), digit.alias("y")), "pmid").where("id < hi").select(F.col("id").alias("lo"), "hi", F.lit(True).alias("same_finding"), (F.abs(F.col("x") - F.col("y")) <= 1).alias("same_context")).distinct()
     return P.families(c, v).select("key", F.size("claim_ids").cast("long").alias("n_claims"), F.col("discordant").cast("long").alias("discordant"))
 
 
@@ -377,4 +397,29 @@ _FLAT = r"""trim(regexp_replace(replace(replace(replace(replace(replace(regexp_r
 SELECT p.page_id AS pmid, 'ABSTRACT: ' || coalesce(chr(10) || chr(10) || 'OTHER: ' || left(nullif(t.chunk, ''), 60000), '') AS text FROM pages p LEFT JOIN t ON t.page_id = p.page_id""")
 def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("pmid"), F.lit("").alias("abstract"), F.regexp_replace(F.regexp_replace("html", "<article", "<sec"), "</article>", "</sec>").alias("body"))
-    return C.sectioned_text(pages.select("pmid", "abstract"), C.sections_of(pages))
+    return C.sectioned_text(pages.select("pmid", "abstract"), C.sections_of(pages, trim=False))
+
+
+# an article for each order: its lines are sections inside the first one, with figures and deeper sections of their own
+_TITLES = {"1-URGENT": ("Results", "RESULTS"), "2-HIGH": ("Main <b>findings</b>", "RESULTS"), "3-MEDIUM": ("Discussion", "DISCUSSION")}
+_TITLE_OTHER = ("Aims &amp; &#x3b1;", "OTHER")
+_plain_title = lambda t: t.replace("<b>", "").replace("</b>", "").replace("&amp;", "&").replace("&#x3b1;", "α")
+_BY_PRIORITY = lambda f: "CASE o_orderpriority " + " ".join(f"WHEN '{k}' THEN '{f(v)}'" for k, v in _TITLES.items()) + f" ELSE '{f(_TITLE_OTHER)}' END"
+
+
+@query(rf"""WITH l AS (SELECT l_orderkey, string_agg('Discussion ' || l_linenumber || ' Part ' || l_partkey || l_suppkey || 'Methodsdeep', '' ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) AS body,
+  string_agg('Flag ' || l_returnflag, ' ' ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) AS legends FROM lineitem GROUP BY l_orderkey),
+o AS (SELECT o_orderkey, o_orderpriority, {_BY_PRIORITY(lambda v: v[1])} AS name, {_BY_PRIORITY(lambda v: _plain_title(v[0]))} || 'Before' || coalesce(l.body, '') || 'After ' || o_orderstatus AS main, coalesce(chr(10) || chr(10) || 'FIGURE LEGENDS: ' || l.legends, '') AS legends FROM orders LEFT JOIN l ON l_orderkey = o_orderkey)
+SELECT o_orderkey AS pmid, 'ABSTRACT: a' || CASE WHEN name = 'RESULTS' THEN chr(10) || chr(10) || 'RESULTS: ' || main ELSE '' END || legends || chr(10) || chr(10) || 'METHODS: Experimental part ' || o_orderpriority
+  || CASE WHEN name <> 'RESULTS' THEN chr(10) || chr(10) || name || ': ' || main ELSE '' END AS text FROM o""")
+def nested_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.concat(F.lit("<sec><title>Discussion "), "l_linenumber", F.lit("</title> <p>Part&#32;"), "l_partkey", F.lit("<xref>"), "l_suppkey", F.lit("</xref></p><fig-group><fig id='1'><title>Results</title><caption><title>Flag</title> <p>"), "l_returnflag", F.lit("</p></caption></fig></fig-group><!-- <sec> --><sec sec-type='methods'><title>Methods</title><p>deep</p></sec></sec>"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", line.alias("x")))).alias("lines"))
+    orders = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    inner = F.coalesce(F.array_join(F.transform("lines", lambda r: r.x), ""), F.lit(""))
+    body = F.concat(
+        F.lit("<body>\n<sec id='a'><title>"), F.expr(_BY_PRIORITY(lambda v: v[0])), F.lit("</title><p>Before</p>"), inner, F.lit("<p> After "), "o_orderstatus",
+        F.lit(" </p></sec>\n<sec-meta>x</sec-meta><sec><title>Experimental <i>part</i></title>\n<p>"), "o_orderpriority", F.lit("</p><table-wrap><p>t</p></table-wrap></sec></body>"),
+    )
+    articles = orders.select(F.col("o_orderkey").alias("pmid"), F.lit("a").alias("abstract"), body.alias("body"))
+    return C.sectioned_text(articles.select("pmid", "abstract"), C.sections_of(articles))

@@ -54,13 +54,73 @@ def with_publication(papers: DataFrame) -> DataFrame:
     return papers.withColumn("pubtype_study_type", study_type_of_publication(F.col("publication_types"))).withColumn("retracted", is_retracted(F.col("publication_types")))
 
 
-def flat_text(xml: Column) -> Column:
-    """Text of markup without figures, tables and reference lists, white space collapsed."""
-    bare = F.regexp_replace(xml, r"(?is)<(fig|table-wrap|ref-list)\b[^>]*>.*?</\1\s*>", "")
-    plain = F.regexp_replace(F.regexp_replace(bare, r"(?s)<!--.*?-->", ""), r"<[^>]*>", "")
+def scanned(markup: Column, *names: str) -> Column:
+    """An array of (depth, n, tag, text): the markup cut at the opening and closing tags of these elements. depth: how many
+    of them are open after the tag; n: how many outermost ones have begun. A stack as running sums over the tags."""
+    pattern = r"(?is)</?(?:" + "|".join(names) + r")(?=[\s/>])[^>]*>"
+    piece = lambda depth, n, e: F.struct(depth.alias("depth"), n.alias("n"), e["tag"].alias("tag"), e["text"].alias("text"))
+    zero = F.lit(0)
+    begin = F.struct(zero.alias("depth"), zero.alias("n"), F.expr("cast(array() as array<struct<depth:int,n:int,tag:string,text:string>>)").alias("out"))
+
+    def step(acc: Column, e: Column) -> Column:
+        opens = ~e.tag.startswith("</") & ~e.tag.endswith("/>") & (e.tag != "")
+        depth = F.when(opens, acc.depth + 1).when(e.tag.startswith("</"), F.greatest(acc.depth - 1, zero)).otherwise(acc.depth)
+        n = acc.n + (opens & (acc.depth == 0)).cast("int")
+        return F.struct(depth.alias("depth"), n.alias("n"), F.concat(acc.out, F.array(piece(depth, n, e))).alias("out"))
+
+    def cut(m: Column) -> Column:
+        tags = F.concat(F.array(F.lit("")), F.regexp_extract_all(m, F.lit(pattern), F.lit(0)))  # the text before the first tag has none
+        events = F.zip_with(tags, F.split(m, pattern, -1), lambda g, x: F.struct(g.alias("tag"), x.alias("text")))
+        return F.aggregate(events, begin, step, lambda acc: acc.out)
+
+    return let(markup, cut)
+
+
+def outermost(markup: Column, name: str) -> Column:
+    """The markup of each outermost element of a name, its own opening tag and all that it holds."""
+    held = lambda all_, k: F.filter(all_, lambda p: (p.depth > 0) & (p.n == k))
+    joined = lambda pieces: F.array_join(F.transform(pieces, lambda p: F.concat(p.tag, p.text)), "")
+    return let(scanned(markup, name), lambda all_: F.transform(F.sequence(F.lit(1), F.array_max(F.transform(all_, lambda p: p.n)) + 1), lambda k: joined(held(all_, k))))
+
+
+def outside(markup: Column, *names: str) -> Column:
+    """The markup without these elements and all that they hold."""
+    return F.array_join(F.transform(F.filter(scanned(markup, *names), lambda p: p.depth == 0), lambda p: p.text), "")
+
+
+def without_comments(markup: Column) -> Column:
+    return F.regexp_replace(markup, r"(?s)<!--.*?-->", "")
+
+
+def decoded(text: Column) -> Column:
+    """Character references of XML as characters."""
+    def number(x: Column) -> Column:
+        ref = F.regexp_extract(x, r"^(x[0-9A-Fa-f]{1,6}|[0-9]{1,7});", 1)
+        code = F.when(ref.startswith("x"), F.conv(F.substring(ref, 2, 9), 16, 16)).otherwise(F.conv(ref, 10, 16))
+        return F.when(ref == "", F.concat(F.lit("&#"), x)).otherwise(F.concat(F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32"), x.substr(F.length(ref) + 2, F.length(x))))
+
+    def numbers(t: Column) -> Column:
+        refs = let(F.split(t, "&#", -1), lambda parts: F.array_join(F.concat(F.slice(parts, 1, 1), F.transform(F.slice(parts, F.lit(2), F.size(parts)), number)), ""))
+        return F.when(F.contains(t, F.lit("&#")), refs).otherwise(t)
+
+    text = let(text, numbers)
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        plain = F.replace(plain, F.lit(entity), F.lit(char))
-    return F.btrim(F.regexp_replace(plain, r"(?U)\s+", " "))
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return text
+
+
+def plain_text(markup: Column) -> Column:
+    """All text of markup, white space at its ends removed."""
+    return F.regexp_replace(decoded(F.regexp_replace(without_comments(markup), r"<[^>]*>", "")), r"(?U)^\s+|\s+$", "")
+
+
+def flat_text(xml: Column, trim: bool = True) -> Column:
+    """Text of markup without figures, tables and reference lists, white space collapsed; with trim, none is kept at the
+    ends of an element's text."""
+    bare = outside(without_comments(xml), "fig", "table-wrap", "ref-list")
+    if trim:
+        bare = F.regexp_replace(F.regexp_replace(bare, r"(?U)(<[^/!>](?:[^>]*[^/>])?>)\s+", "$1"), r"(?U)\s+(?=</)", "")
+    return F.btrim(F.regexp_replace(decoded(F.regexp_replace(bare, r"<[^>]*>", "")), r"(?U)\s+", " "))
 
 
 def section_name(title: Column) -> Column:
@@ -68,11 +128,16 @@ def section_name(title: Column) -> Column:
     return F.coalesce(*[F.when(low.rlike(p), F.lit(n)) for n, p in SECTIONS if p], F.lit("OTHER"))
 
 
-def sections_of(bodies: DataFrame, key: str = "pmid") -> DataFrame:
-    """(key, name, pos, text): top-level sections of a body (key, body: XML as text), and all captions."""
-    secs = bodies.select(key, F.posexplode(F.regexp_extract_all("body", F.lit(r"(?is)<sec\b[^>]*>(?:(?!<sec\b).)*</sec\s*>"), F.lit(0))).alias("pos", "x"))
-    secs = secs.select(key, section_name(flat_text(F.regexp_extract("x", r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1))).alias("name"), "pos", flat_text(F.col("x")).alias("text"))
-    caps = bodies.select(key, F.posexplode(F.regexp_extract_all("body", F.lit(r"(?is)<caption\b[^>]*>(.*?)</caption\s*>"), F.lit(1))).alias("pos", "x")).select(key, F.lit("FIGURE LEGENDS").alias("name"), "pos", flat_text(F.col("x")).alias("text"))
+def sections_of(bodies: DataFrame, key: str = "pmid", trim: bool = True) -> DataFrame:
+    """(key, name, pos, text): the top-level sections of a body (key, body: XML as text) with all that they hold, sections inside
+    them included, and all captions. A section counts as top-level if no other section holds it; its name follows from its own title, not from
+    those of sections, figures or tables inside it. trim: see ``flat_text``. Each body is cut by columns, row by row; nothing is shuffled."""
+    bare = bodies.select(key, without_comments(F.col("body")).alias("body"))
+    secs = bare.select(key, F.posexplode(outermost(F.col("body"), "sec")).alias("pos", "x")).where("x <> ''")
+    own = let(scanned(F.col("x"), "sec"), lambda all_: F.array_join(F.transform(F.filter(all_, lambda p: p.depth == 1), lambda p: p.text), ""))
+    title = plain_text(F.regexp_extract(outside(own, "fig", "table-wrap", "ref-list", "caption"), r"(?is)<title(?=[\s>])[^>]*>(.*?)</title\s*>", 1))
+    secs = secs.select(key, let(title, section_name).alias("name"), "pos", flat_text(F.col("x"), trim).alias("text"))
+    caps = bare.select(key, F.posexplode(outermost(F.col("body"), "caption")).alias("pos", "x")).select(key, F.lit("FIGURE LEGENDS").alias("name"), "pos", plain_text(F.col("x")).alias("text"))
     return secs.unionByName(caps)
 
 
@@ -109,7 +174,7 @@ def parse_records(records: DataFrame) -> DataFrame:
         flat_text(tag(x, "PMID")).alias("pmid"), flat_text(tag(x, "ArticleTitle")).alias("title"), F.concat_ws(" ", F.transform(every(x, "AbstractText"), part)).alias("abstract"),
         flat_text(F.regexp_extract(x, r"(?is)<Journal>(?:(?!</Journal>).)*?<Title>(.*?)</Title>", 1)).alias("journal"),
         F.when(year != "", year).otherwise(F.regexp_extract(tag(x, "MedlineDate"), r"\d{4}", 0)).alias("year"),
-        F.filter(F.transform(every(x, "PublicationType"), flat_text), lambda p: p != "").alias("publication_types"),
+        F.filter(F.transform(every(x, "PublicationType"), lambda t: flat_text(t)), lambda p: p != "").alias("publication_types"),
     )
     return with_publication(out.withColumn("source_text", F.col("abstract")).withColumn("text_access", F.lit("abstract_only")))
 

@@ -111,8 +111,61 @@ def test_complete_linkage_equals_sequential(spark):
         g = next((g for g in groups if all((m, i) in ok for m in g)), None)
         groups.append([i]) if g is None else g.append(i)
     want = {i: g[0] for g in groups for i in g}
-    got = P.complete_linkage(spark.createDataFrame([(i,) for i in ids], "id string"), spark.createDataFrame(sorted(ok), "lo string, hi string"))
-    assert {r.id: r.family for r in got.collect()} == want
+    for few in (0, 10_000):  # by rounds alone, and by a task
+        got = P.complete_linkage(spark.createDataFrame([(i,) for i in ids], "id string"), spark.createDataFrame(sorted(ok), "lo string, hi string"), few)
+        assert {r.id: r.family for r in got.collect()} == want
+
+
+def sequential_top_k(rows, k):
+    best, have, out = {}, {}, []
+    for lo, hi, s in rows:
+        if None not in (lo, hi, s) and lo != hi:
+            best[min(lo, hi), max(lo, hi)] = max(s, best.get((min(lo, hi), max(lo, hi)), s))
+    for (lo, hi), s in sorted(best.items(), key=lambda r: (-r[1], *r[0])):
+        if have.get(lo, 0) < k and have.get(hi, 0) < k:
+            have[lo], have[hi] = have.get(lo, 0) + 1, have.get(hi, 0) + 1
+            out.append((lo, hi))
+    return sorted(out)
+
+
+def test_greedy_cap_of_repeated_null_and_turned_pairs_ends(spark):
+    schema = "lo string, hi string, sim double"
+    rows = [("a", "b", 0.9), ("a", "b", 0.9), ("b", "a", 0.95), (None, "b", 0.5), ("a", None, 0.5), ("c", "d", None), ("c", "c", 0.7), ("b", "c", 0.8), ("c", "d", 0.1)]
+    got = P.mutual_top_k(spark.createDataFrame(rows, schema), 1).collect()
+    assert sorted((r.lo, r.hi) for r in got) == sequential_top_k(rows, 1) == [("a", "b"), ("c", "d")] and {r.sim for r in got} == {0.95, 0.1}
+    assert P.mutual_top_k(spark.createDataFrame(rows[:0], schema), 2).count() == 0
+    rng = random.Random(7)
+    for k in (1, 2):  # chains, hubs and ties
+        rows = [(f"v{i:03}", f"v{i + 1:03}", 1 - i / 400) for i in range(120)] + [("v000", f"v{rng.randrange(120):03}", rng.randrange(4) / 3) for _ in range(60)] + [(f"v{rng.randrange(120):03}", f"v{rng.randrange(120):03}", rng.randrange(6) / 5) for _ in range(200)]
+        assert sorted((r.lo, r.hi) for r in P.mutual_top_k(spark.createDataFrame(rows, schema), k).collect()) == sequential_top_k(rows, k)
+
+
+def test_greedy_cap_of_a_long_chain_takes_few_rounds(spark):
+    rows = [(f"v{i:05}", f"v{i + 1:05}", 1 - i / 20_000) for i in range(10_000)]
+    told = []
+    got = P.mutual_top_k(spark.createDataFrame(rows, "lo string, hi string, sim double"), 1, told).collect()
+    assert sorted((r.lo, r.hi) for r in got) == sequential_top_k(rows, 1) and len(told) <= 3
+
+
+def test_complete_linkage_of_one_large_component(spark):
+    rng = random.Random(11)
+    ids = [f"i{n:05}" for n in range(4000)]
+    ok = {(ids[i], ids[i + 1]) for i in range(0, 3999, 9)} | {tuple(sorted(rng.sample(ids, 2))) for _ in range(9000)}
+    ok |= {(ids[a], ids[b]) for i in rng.sample(range(3990), 300) for a, b in itertools.combinations(range(i, i + 6), 2) if rng.random() < 0.9}
+    near = {}
+    for a, b in ok:
+        near.setdefault(b, set()).add(a)
+    groups, of = {}, {}
+    for i in ids:
+        fits = [g for g in {of[m] for m in near.get(i, ())} if groups[g] <= near[i]]
+        of[i] = min(fits, default=i)
+        groups.setdefault(of[i], set()).add(i)
+    told = []
+    frame = spark.createDataFrame([(i,) for i in ids] + [(None,), ("i00000",)], "id string")
+    got = P.complete_linkage(frame, spark.createDataFrame([*sorted(ok), (None, "i00001"), ("i00002", "elsewhere"), ("i00003", "i00003"), *list(ok)[:50]], "lo string, hi string"), 9000, told)
+    assert {r.id: r.family for r in got.collect()} == of
+    assert max(map(len, groups.values())) > 2 and 2 < len(told) < 20
+    assert P.complete_linkage(frame.limit(3), spark.createDataFrame([], "lo string, hi string")).count() == frame.limit(3).where("id is not null").distinct().count()
 
 
 def test_hashing_vectors(spark):

@@ -18,6 +18,18 @@ def test_sections_in_priority_and_budget(spark):
     assert short["p1"] == "ABSTRACT: abs\n\nRESULTS: Results"
 
 
+def test_sections_hold_the_sections_inside_them(spark):
+    inner = "<sec><title>Outer results</title><p>Outer text.</p><sec><title>Methods</title><p>In <b>ner</b></p><sec><p>Deep</p></sec></sec><p> After. </p></sec>"
+    odd = "<body><sec-meta>no</sec-meta><sec/><sec id='2'><fig-group><fig><title>Results</title><caption> <title>Leg</title>\n <p>end &#945;&#x3b2;&amp;#x41; &#99999999;</p></caption></fig></fig-group><title>Procedures</title><!-- <sec> </sec> --> <p>M <xref>1</xref> x</p><table-wrap><caption>Tab</caption><p>t</p></table-wrap></sec></sec><p>loose</p></body>"
+    rows = [("p1", "", f"<body>{inner}</body>"), ("p2", "a", odd), ("p3", None, None), ("p4", "", "<body><SEC><p>open</p>"), ("p5", "", ""), ("p6", "", "<body>" + "".join(f"<sec><title>t{i}</title></sec>" for i in range(300)) + "</body>")]
+    b = spark.createDataFrame(rows, "pmid string, abstract string, body string")
+    got = {r.pmid: r.text for r in C.sectioned_text(b, C.sections_of(b)).collect()}
+    assert got["p1"] == "ABSTRACT: \n\nRESULTS: Outer resultsOuter text.MethodsIn nerDeepAfter."
+    assert got["p2"] == "ABSTRACT: a\n\nFIGURE LEGENDS: Leg\n end αβ&#x41; &#99999999; Tab\n\nMETHODS: Procedures M 1 x"
+    assert (got["p3"], got["p4"], got["p5"]) == ("ABSTRACT: ", "ABSTRACT: \n\nOTHER: open", "ABSTRACT: ")
+    assert got["p6"] == "ABSTRACT: \n\nOTHER: " + " ".join(f"t{i}" for i in range(300))
+
+
 def test_fulltext_records_and_search(spark):
     papers = spark.createDataFrame([("p1", "a" * 10, "a" * 10, "abstract_only"), ("p2", "b", "b", "abstract_only")], "pmid string, abstract string, source_text string, text_access string")
     got = {r.pmid: r for r in C.adopt_fulltext(papers, spark.createDataFrame([("p1", "x" * 600), ("p2", "y" * 100)], "pmid string, text string")).collect()}
