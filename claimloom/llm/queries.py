@@ -39,7 +39,7 @@ def op5_piece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    return secret_scan.find_secrets(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

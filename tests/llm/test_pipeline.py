@@ -55,7 +55,7 @@ def test_registered(spark):
     import __spark_entry__ as e
 
     names = [n for n in e.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11)) and "pipeline" in e.queries()
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 14)) and "pipeline" in e.queries()
     assert set(QUERIES) <= set(e.queries()) and [n for n, _ in corpus_pipeline.STAGES][0] == "language ID"
 
 
@@ -99,3 +99,19 @@ def test_every_stage_on_odd_rows(spark, tmp_path, empty):
             assert [t for i, t in texts if i == 6] == [f"the pwd: [SECRET] is in the {FILLER}"] and len([t for i, t in texts if i == 5][0].split()) > 40_000
         if n == 4:
             assert {r.doc_id for r in rows if r.doc_id is None or r.doc_id < 60} == {None, 1, 4, 5, 6}
+
+
+def test_unlabelled_corpora_and_clashing_columns_pass_the_stages(spark, tmp_path):
+    """Without a lang nothing can be foreign; columns with names that stages use themselves keep their values."""
+    rows = [(i, " ".join(f"{w}{i}" if k % 3 == 0 else w for k, w in enumerate(FILLER.split() * 4)), None, i + 5, i + 7, i + 9, "x") for i in range(30)] + [(90, None, None, 1, 2, 3, "y"), (91, "12 34", None, 1, 2, 3, "y")]
+    rows += [(50, rows[0][1], None, 1, 2, 3, "z"), (51, f"{A} {P} end", None, 1, 2, 3, "z"), (52, f"{B} {P} fin", None, 4, 5, 6, "z")]
+    names = "doc_id long, text string, lang string, __at long, __word long, __bits long, __claimloom_at string"
+    docs = spark.createDataFrame(rows, names)
+    for n, (name, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        out.write.parquet(f"file://{tmp_path}/{n}")
+        docs = spark.read.parquet(f"file://{tmp_path}/{n}")
+    got = {r.doc_id: r for r in docs.collect()}
+    assert set(got) == {*range(30), 51, 52} and all(tuple(got[i])[3:] == rows[i][3:] for i in range(30)) and tuple(got[52])[3:] == (4, 5, 6, "z")
+    assert P in got[51].text and P not in got[52].text

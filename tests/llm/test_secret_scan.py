@@ -3,6 +3,7 @@ import math
 import random
 import re
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from claimloom.llm import secret_scan as ss
@@ -111,3 +112,24 @@ def test_guess_cost_is_the_minimum_over_all_segmentations():
         if len(v.lower()) == len(v):
             assert abs(guess_cost(v) - cheapest(v)) < 1e-9, v
     assert guess_cost("İ" * 9 + "x7") > 0
+
+
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+
+
+def test_ordinary_words_stay_and_passwords_go(spark):
+    """With the words of a public vocabulary, as in the registered query and the pipeline."""
+    plain_ = ["private key: documentation", "auth=interactive_login", "Authorization: application/json", "login: firstname.lastname", "token authentication-server", "login is straightforward-ish", "secret ingredient: cinnamon-sugar", "the (secret) is understanding", "login: https://www.example.com/index.html", "key: [documentation]", "pwd: password123", "credentials: \"international-understanding\""]
+    secret = {"pwd=Summer2019!": "pwd=[SECRET]", "pwd: correcthorsebatterystaple": "pwd: [SECRET]", "bearer: (qXzKvWyTbNmLpRs)": "bearer: ([SECRET])", "login: x7#Kq9!vTz2mm.": "login: [SECRET].", "auth: zk4qv9w2-xj7tp3m8": "auth: [SECRET]"}
+    rows = [(i, t) for i, t in enumerate([*plain_, *secret])]
+    got = {r.doc_id: r.text for r in mask_secrets(spark.createDataFrame(rows, "doc_id long, text string"), words=WORDS).collect()}
+    assert [got[i] for i in range(len(plain_))] == plain_
+    assert [got[len(plain_) + i] for i in range(len(secret))] == list(secret.values())
+    found = {r.doc_id: r.spans for r in find_secrets(spark.createDataFrame(rows, "doc_id long, text string"), WORDS).collect()}
+    assert all(found[i] == "" for i in range(len(plain_))) and all("guess" in found[i] for i in range(len(plain_), len(rows)))
+
+
+def test_word_ranks_are_bounded_and_ordered():
+    r = ss.word_ranks(WORDS)
+    assert r.rank["123456"] == 1 and len(ss.COMMON) < r.rank["the"] < r.rank["documentation"] <= len(r.rank) < 50_000 + len(ss.COMMON)
+    assert ss.guess_cost("documentation", r) < 5 < ss.guess_cost("documentation")
