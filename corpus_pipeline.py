@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet and hands it, read again,
 to the next. All stages but the last return the columns of documents.
 
-Defined results of the chain: rows whose text is null, empty or without a letter go in the first stage; rows without a
+Defined results of the chain: rows whose text is null, empty or without a letter go in the first stage, and those of no learned
+language (a score under 0.3), unless no row has a lang; rows without a
 doc_id stay as they are in the second and third; of rows with one doc_id and one word sequence one stays, rows of one
 doc_id with other texts are judged for themselves (and left alone by the third stage, but for the smallest text); texts
 are whole, however long; extra columns, whatever their names, go through; an empty table gives an empty result.
@@ -19,7 +20,8 @@ from claimloom.sources.shipping import ship
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or in none of the learned languages, go (operator 2)."""
+    """Documents without a letter, or in none of the learned languages (a score under 0.3), go; where no row has a lang, nothing
+    can be learned and all documents with a letter stay (operator 2)."""
     ship(spark)
     return language_id.keep_identified(docs)
 
@@ -39,7 +41,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def masked_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked in the texts (operator 6)."""
     ship(spark)
-    return secret_scan.mask_secrets(docs)
+    return secret_scan.mask_secrets(docs, words=queries.WORD_BPE)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
