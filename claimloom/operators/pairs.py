@@ -6,22 +6,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.functions.grading import stance
 from claimloom.functions.text import block_keys, claim_text
+from claimloom.operators.grouped import whole_groups
 from claimloom.sources.scratch import materialize
 
 POLAR = ("up", "down", "null")
 DIM = 512
+SIDE = 1024  # ids of a block that are compared with as many others at a time
 
 
 def blocked_pairs(claims: DataFrame) -> DataFrame:
     """(lo, hi): pairs of claims that share a block of their subjects and one of their objects."""
-    keys = lambda side: block_keys(F.col(f"{side}_concept"), F.col(f"{side}_parents"), F.col(f"{side}_label"))
-    b = claims.select("id", F.explode(keys("subject")).alias("sk"), keys("object").alias("ok")).select("id", "sk", F.explode("ok").alias("ok"))
-    return b.select(F.col("id").alias("lo"), "sk", "ok").join(b.select(F.col("id").alias("hi"), "sk", "ok"), ["sk", "ok"]).where("lo < hi").select("lo", "hi").distinct()
+    b = claim_blocks(claims)
+    return b.select(F.col("id").alias("lo"), "block").join(b.select(F.col("id").alias("hi"), "block"), "block").where("lo < hi").select("lo", "hi").distinct()
 
 
 def hashing_vectors(texts: DataFrame, dim: int = DIM) -> DataFrame:
@@ -37,14 +39,54 @@ def hashing_vectors(texts: DataFrame, dim: int = DIM) -> DataFrame:
     return norm.select("id", vector.alias("vector"))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+def claim_blocks(claims: DataFrame) -> DataFrame:
+    """(block, id): a claim's blocks, one for each block of its subject together with each of its object."""
+    keys = lambda side: block_keys(F.col(f"{side}_concept"), F.col(f"{side}_parents"), F.col(f"{side}_label"))
+    b = claims.select("id", F.explode(keys("subject")).alias("sk"), keys("object").alias("ok")).select("id", "sk", F.explode("ok").alias("ok"))
+    return b.select(F.struct("sk", "ok").alias("block"), "id")
+
 
+def _near(threshold: float):
+    """Rows (block, bi, bj, part, id, vector) of whole jobs to (lo, hi, sim); a job compares two parts of a block."""
 
-def similar_pairs(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
-    """(lo, hi, sim) of the pairs whose vectors' inner product reaches the threshold; vectors: id, vector."""
-    v = lambda side: vectors.select(F.col("id").alias(side), F.col("vector").alias(f"v_{side}"))
-    return pairs.join(v("lo"), "lo").join(v("hi"), "hi").select("lo", "hi", dot(F.col("v_lo"), F.col("v_hi")).alias("sim")).where(F.col("sim") >= threshold)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts in whole_groups(batches, 3):
+            bi, bj, part = (t.column(c).to_numpy() for c in (1, 2, 3))
+            lists = t.column(5).combine_chunks()
+            v = lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(t.num_rows, -1)
+            a, b, sims = [], [], []
+            for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                border = e if bi[s] == bj[s] else s + int(np.searchsorted(part[s:e], bj[s]))
+                sim = v[s:border] @ v[(s if border == e else border) : e].T
+                hit = sim >= threshold
+                x, y = np.nonzero(np.triu(hit, 1) if border == e else hit)
+                a.append(x + s)
+                b.append(y + (s if border == e else border))
+                sims.append(sim[x, y])
+            if any(map(len, a)):
+                x, y = (t.column(4).combine_chunks().take(pa.array(np.concatenate(k))) for k in (a, b))
+                turned = pc.greater(x, y)
+                yield pa.RecordBatch.from_arrays([pc.if_else(turned, y, x), pc.if_else(turned, x, y), pa.array(np.concatenate(sims))], ["lo", "hi", "sim"])
+
+    return run
+
+
+def similar_within(blocks: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+    """(lo, hi, sim): the pairs of ids that share a block and whose vectors' inner product reaches the threshold.
+    blocks: block, id (an id may be in many); vectors: id, vector (of one length).
+
+    A block is dealt in parts of about ``SIDE`` ids; a task compares two parts as one matrix product, so a hot block is
+    many tasks, a vector travels once for each part of its block and never with a pair, and only similar pairs become rows. Blocks are told
+    apart by 64-bit hashes."""
+    members = materialize(blocks.where("id is not null").select(F.xxhash64("block").alias("block"), "id").distinct(), "members")
+    sizes = members.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block", F.ceil(F.col("n") / SIDE).cast("int").alias("parts"))
+    dealt = members.join(sizes, "block").withColumn("part", F.expr("cast(pmod(xxhash64(id), parts) as int)"))
+    dealt = dealt.select("block", "part", "id", F.explode(F.expr("sequence(0, parts - 1)")).alias("other"))
+    jobs = dealt.select("block", F.least("part", "other").alias("bi"), F.greatest("part", "other").alias("bj"), "part", "id").join(vectors.select("id", "vector").where("vector is not null"), "id")
+    kind = blocks.schema["id"].dataType.simpleString()
+    key = ["block", "bi", "bj"]
+    jobs = jobs.select(*key, "part", "id", "vector").repartition(*key).sortWithinPartitions(*key, "part")
+    return jobs.mapInArrow(_near(threshold), f"lo {kind}, hi {kind}, sim double").groupBy("lo", "hi").agg(F.max("sim").alias("sim"))
 
 
 def _resolved(links: DataFrame) -> DataFrame:
@@ -223,4 +265,4 @@ def claim_vectors(claims: DataFrame, encode=None) -> DataFrame:
 
 def candidate_pairs(claims: DataFrame, threshold: float, k: int, encode=None) -> DataFrame:
     """(lo, hi, sim): blocked, similar enough, and at most k for each claim."""
-    return mutual_top_k(similar_pairs(blocked_pairs(claims), claim_vectors(claims, encode), threshold), k)
+    return mutual_top_k(similar_within(claim_blocks(claims), claim_vectors(claims, encode), threshold), k)

@@ -37,6 +37,103 @@ def ledger_paths(links: DataFrame, exposure: str, outcomes: DataFrame, max_len:
     return out
 
 
+def _distances(edges: DataFrame, most: int) -> DataFrame:
+    """(node, far): the fewest edges from a node to a goal, up to ``most``; edges: node, nxt, goal."""
+    found = edges.where("goal").select("node").distinct().withColumn("far", F.lit(1))
+    for far in range(2, most + 1):
+        more = edges.where("not goal").join(found.select(F.col("node").alias("nxt")), "nxt").select("node").distinct().withColumn("far", F.lit(far))
+        found = materialize(found.unionByName(more.join(found.select("node"), "node", "left_anti")), "far")
+    return found
+
+
+def first_paths(edges: DataFrame, exposure: str, most: int, max_len: int, width: int | None = None, told: list | None = None) -> DataFrame:
+    """(links, least): the first ``most`` simple paths in the order of their keys, without listing all. edges: node, nxt, key,
+    completeness, goal (whether nxt is an outcome).
+
+    Partial paths grow by an edge at a time; only those from which an outcome is near enough go on, and of those that end in one
+    node only the first ``width``. One that is left out comes after ``width`` others at its node, and can be missed only if the rest
+    of its path meets so many of them that fewer than ``most`` remain. That can't be if no node is on more than
+    (width - most) / (edges left) of them; otherwise the width is raised and the search begins again, so the result is exact. told gets each width."""
+    far, width = _distances(edges, max_len), width or max(64, 4 * most)
+    spark = edges.sparkSession
+    while True:
+        if told is not None:
+            told.append(width)
+        front = spark.createDataFrame([(exposure, [], [exposure], float("inf"))], "node string, links array<string>, seen array<string>, least double")
+        found, sure = [], True
+        for k in range(1, max_len + 1):
+            grown = front.join(edges, "node").where(~F.array_contains("seen", F.col("nxt")))
+            grown = grown.select(F.col("nxt").alias("node"), F.concat("links", F.array("key")).alias("links"), F.concat("seen", F.array("nxt")).alias("seen"), F.least("least", "completeness").alias("least"), "goal")
+            found.append(grown.where("goal").orderBy("links").limit(most).select("links", "least"))
+            if k == max_len:
+                break
+            near = grown.where("not goal").join(far.where(F.col("far") <= max_len - k).select("node"), "node")
+            place = F.row_number().over(Window.partitionBy("node").orderBy("links"))
+            kept = materialize(near.withColumn("place", place).where(F.col("place") <= width + 1).drop("goal"), "front")
+            cut = kept.where(F.col("place") > width).select("node")
+            crowd = kept.where(F.col("place") <= width).join(cut, "node").select("node", F.explode("seen").alias("via")).where(F.col("via") != F.col("node")).where(F.col("via") != exposure)
+            sure = sure and crowd.groupBy("node", "via").agg(F.count("*").alias("n")).where(F.col("n") * (max_len - k) > width - most).isEmpty()
+            front = kept.where(F.col("place") <= width).drop("place")
+        if sure:
+            out = found[0]
+            for f in found[1:]:
+                out = out.unionByName(f)
+            return materialize(out.orderBy("links").limit(most), "first")
+        width *= 4
+
+
+def best_paths(links: DataFrame, exposure: str, outcomes: DataFrame, most: int, max_len: int = S.Settings.max_path_len, width: int | None = None) -> DataFrame:
+    """(links, least): the first ``most`` of ``ledger_paths`` in the order of least (falling), links, without listing the others.
+
+    Edges below a threshold are left out. Walks are counted by their least completeness, one aggregation a step, and tell
+    where to begin; the threshold falls until ``most`` simple paths are found, and is then the greatest one for which there are as many.
+    Completeness has three places, so there are 1,001 thresholds at most."""
+    usable = links.where((F.size("support_ids") > 0) & ~F.col("relation").isin(*S.NULL_RELATIONS)).where((F.col("object") != exposure) & (F.col("subject") != F.col("object")))
+    goal = outcomes.select(F.col("id").alias("nxt")).distinct().withColumn("goal", F.lit(True))
+    steps = usable.select(F.col("subject").alias("node"), F.col("object").alias("nxt"), "key", F.coalesce("completeness", F.lit(0.0)).alias("completeness"))
+    steps = steps.join(goal, "nxt", "left").na.fill(False, ["goal"]).join(goal.select(F.col("nxt").alias("node"), F.lit(1).alias("end")), "node", "left").where((F.col("end").isNull()) | (F.col("node") == exposure))
+    steps = materialize(steps.select("node", "nxt", "key", "completeness", "goal"), "steps")
+    level = F.floor(F.col("completeness") * 1000 + 1e-6).cast("int")
+    by_node = steps.groupBy("node", "nxt", "goal", level.alias("level")).agg(F.count("*").cast("double").alias("n"))
+    walks, ends = by_node.where(F.col("node") == exposure), []
+    for k in range(max_len):
+        if k:
+            walks = materialize(walks.where("not goal").groupBy(F.col("nxt").alias("node"), F.col("level").alias("low")).agg(F.sum("n").alias("w")), "walks").join(by_node, "node")
+            walks = walks.select("nxt", "goal", F.least("low", "level").alias("level"), (F.col("w") * F.col("n")).alias("n"))
+        ends.append(walks.where("goal").select("level", "n"))
+    counted = ends[0]
+    for e in ends[1:]:
+        counted = counted.unionByName(e)
+    levels = sorted(((r.level, r.n) for r in counted.groupBy("level").agg(F.sum("n").alias("n")).collect()), reverse=True)  # 1,001 at most
+    above = lambda v: steps.where(level >= v)
+    full, some, total, found = -1, None, 0.0, {}
+
+    def at(i: int) -> int:
+        if i not in found:
+            found[i] = first_paths(above(levels[i][0]), exposure, most, max_len, width)
+        return found[i].count()
+
+    want = float(most)
+    for i, (_, n) in enumerate(levels):  # first levels at which there are enough walks, then four times as many ...
+        total += n
+        if total >= want or i == len(levels) - 1:
+            if at(i) >= most or i == len(levels) - 1:
+                some = i
+                break
+            full, want = i, want * 4
+    if some is None:
+        return steps.select(F.array("key").alias("links"), "completeness").toDF("links", "least").limit(0)
+    while some - full > 1:
+        mid = (some + full) // 2
+        some, full = (mid, full) if at(mid) >= most else (some, mid)
+    if full < 0:
+        return first_paths(above(levels[some][0]), exposure, most, max_len, width)
+    sure = found[full]  # fewer than asked for, and all there are
+    n = sure.count()
+    rest = first_paths(above(levels[some][0]), exposure, most + n, max_len, width).join(sure.select("links"), "links", "left_anti")
+    return sure.unionByName(rest.orderBy("links").limit(most - n))
+
+
 def nodes(links: Column) -> Column:
     """The nodes along a path, neighbours that are equal once."""
     ends = F.flatten(F.transform(links, lambda k: F.array(key_part(k, "subject"), key_part(k, "object"))))

@@ -112,16 +112,43 @@ def canonicalized(df: DataFrame, column: str, roots: DataFrame) -> DataFrame:
     return df.join(r, column, "left").withColumn(column, F.coalesce("__root", column)).select(*df.columns)
 
 
+SIMILAR = 0.2  # Jaccard similarity of trigrams from which labels may be aliases
+
+
+def _met(keyed: DataFrame) -> DataFrame:
+    """(lo, hi): ids that share a value; keyed: value, id."""
+    return keyed.select("value", F.col("id").alias("lo")).join(keyed.select("value", F.col("id").alias("hi")), "value").where("lo < hi").select("lo", "hi")
+
+
+def trigram_pairs(keys: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """(lo, hi): ids whose keys' trigrams may have a Jaccard similarity of ``least``; none that has is lost. keys: id, k.
+
+    Trigrams are put in order, rare ones first. Two sets of n and m that share at least c = least (n + m) / (1 + least) of them share
+    one among the first n - ceil(least n) + 1 of the one and the first m - ceil(least m) + 1 of the other, so only
+    these are met, and the most frequent ones of a key are not among them. A pair is dropped at a meeting if its sizes differ too much, or if what follows
+    the shared trigram in both orders is too short for c."""
+    grams = materialize(keys.select("id", F.explode(trigrams(F.col("k"))).alias("g")), "trigrams")
+    often = grams.groupBy("g").agg(F.count("*").alias("n"))
+    sets = grams.join(often, "g").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "g"))).alias("s")).withColumn("size", F.size("s"))
+    prefix = sets.select("id", "size", F.posexplode(F.slice("s", F.lit(1), F.col("size") - F.ceil(F.col("size") * least - 1e-9).cast("int") + 1)).alias("pos", "x"))
+    prefix = materialize(prefix.select(F.col("x.g").alias("g"), "id", "size", (F.col("size") - F.col("pos")).alias("rest")), "prefixes")
+    a, b = (prefix.select("g", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "size", "rest"))) for s in ("lo", "hi"))
+    needed = F.ceil(least / (1 + least) * (F.col("size_lo") + F.col("size_hi")) - 1e-9)
+    met = a.join(b, "g").where("id_lo < id_hi").where((F.least("size_lo", "size_hi") >= least * F.greatest("size_lo", "size_hi") - 1e-9))
+    # a shared trigram that is not their first has others before it, so the bound by what follows holds for the first one only
+    first = met.groupBy(F.col("id_lo").alias("lo"), F.col("id_hi").alias("hi")).agg(F.max(F.least("rest_lo", "rest_hi")).alias("rest"), F.first(needed).alias("needed"))
+    return first.where("rest >= needed").select("lo", "hi")
+
+
 def alias_candidates(concepts: DataFrame, judged: DataFrame | None = None) -> DataFrame:
     """(lo, hi): unjudged pairs of concepts (id, label, category) of fitting category with lexically similar labels.
 
-    Blocked by shared words, first four characters and trigrams; each way to be similar shares one of them, so nothing
-    is lost against comparing all pairs."""
-    k = concepts.select("id", "category", lookup_key(F.col("label")).alias("k"))
+    Pairs that share a word or their first four characters are similar by that alone; similar trigrams are found by
+    ``trigram_pairs``. Nothing is lost against comparing all pairs."""
+    k = materialize(concepts.select("id", "category", lookup_key(F.col("label")).alias("k")), "keys")
     words = F.transform(F.filter(F.split("k", " "), lambda t: F.length(t) > 2), lambda t: F.concat(F.lit("w:"), t))
-    blocks = F.array_distinct(F.concat(words, F.array(F.concat(F.lit("p:"), F.substring("k", 1, 4))), F.transform(trigrams(F.col("k")), lambda t: F.concat(F.lit("t:"), t))))
-    b = k.select("id", "category", "k", F.explode(blocks).alias("block"))
-    pairs = b.select("block", F.col("id").alias("lo")).join(b.select("block", F.col("id").alias("hi")), "block").where("lo < hi").select("lo", "hi").distinct()
+    blocks = F.array_distinct(F.concat(words, F.array(F.concat(F.lit("p:"), F.substring("k", 1, 4)))))
+    pairs = _met(k.select("id", F.explode(blocks).alias("value"))).unionByName(trigram_pairs(k)).distinct()
     if judged is not None:
         pairs = pairs.join(judged.select("lo", "hi"), ["lo", "hi"], "left_anti")
     side = lambda n: k.select(F.col("id").alias(n), F.col("category").alias(f"c_{n}"), F.col("k").alias(f"k_{n}"))

@@ -166,8 +166,7 @@ def blocked_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 WHERE list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.3""")
 def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    pairs = e.select(F.col("vec_id").alias("lo"), "label").join(e.select(F.col("vec_id").alias("hi"), "label"), "label").where("lo < hi").select("lo", "hi")
-    return P.similar_pairs(pairs, e.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("vector")), 0.3).select("lo", "hi")
+    return P.similar_within(e.select(F.col("label").alias("block"), F.col("vec_id").alias("id")), e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 0.3).select("lo", "hi")
 
 
 # pairs of customers and months, as similar as the largest order between them is dear; a month is full after k customers

@@ -116,6 +116,20 @@ def test_complete_linkage_equals_sequential(spark):
         assert {r.id: r.family for r in got.collect()} == want
 
 
+def test_best_paths_equal_the_first_of_all(spark):
+    rng = random.Random(5)
+    for n, degree, levels in ((14, 5, 4), (10, 7, 1), (12, 3, 9)):
+        edges = {(f"n{a:02}", r, f"n{b:02}"): rng.randrange(levels + 1) / max(levels, 1) for a in range(n) for b in rng.sample(range(n), degree) for r in rng.sample(["increases", "decreases", "no_effect", "binds"], 2)}
+        rows = [("|".join(k), *k, c, ["c"] if rng.random() < 0.95 else []) for k, c in edges.items()]
+        ls = spark.createDataFrame(rows, "key string, subject string, relation string, object string, completeness double, support_ids array<string>")
+        goals = spark.createDataFrame([("n03",), ("n07",)], "id string")
+        want = sorted(((-r.least, r.links) for r in H.ledger_paths(ls, "n00", goals).collect()))
+        for most, width in ((3, 8), (40, None)):
+            got = H.best_paths(ls, "n00", goals, most, width=width).collect()
+            assert sorted((-r.least, r.links) for r in got) == want[:most]
+    assert H.best_paths(ls.limit(0), "n00", goals, 5).count() == 0 and H.best_paths(ls, "elsewhere", goals, 5).count() == 0
+
+
 def sequential_top_k(rows, k):
     best, have, out = {}, {}, []
     for lo, hi, s in rows:
