@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.llm.prefilter import may_match, split_by_match
 from claimloom.sources.scratch import materialize
 from claimloom.llm.textbuf import Block, U, blocks, sequence_hash, sequence_sums, signed
 
@@ -204,8 +205,9 @@ def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS, k: int = KGRAM
     several = merged.groupBy("kgram").agg(F.count("*").alias("contexts")).where("contexts > 1").select("kgram")
     several = materialize(several, "several")
     asked = merged.join(several, "kgram").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("first.pos", "n", "context")).alias("asked"))
-    # a document's requests are no more than its own suffixes
-    windows = materialize(texts.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_windows(min_words), "context long, step int, window long, doc_id long, pos int"), "windows")
+    asked = materialize(asked, "asked")  # a document's requests are no more than its own suffixes
+    wanted = may_match(texts, "doc_id", asked.select("doc_id"))  # only texts of which something is asked are shuffled
+    windows = materialize(wanted.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_windows(min_words), "context long, step int, window long, doc_id long, pos int"), "windows")
     order = ["window", "doc_id", "pos"]
     ranged = windows.select(*order, "context", "step").repartitionByRange(*order).sortWithinPartitions(*order)
     matches = materialize(ranged.mapInArrow(_matches, "window long, context long, step int, first_doc long, first_pos int, border boolean"), "matches")
@@ -304,9 +306,11 @@ def remove_copies(docs: DataFrame, min_words: int = MIN_WORDS, k: int = KGRAM) -
     """The documents with each copied span cut out (first occurrences stay), n_chars counted anew; a document of
     which nothing but white space is left is dropped. Other columns stay as they are."""
     cuts = repeated_spans(docs, min_words, k).where("is_copy").groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "n_words")).alias("__claimloom_cuts"))
+    cuts = materialize(cuts, "cuts")
     names = docs.columns
     rest = [c for c in names if c not in ("doc_id", "text")]
-    joined, taken = docs.join(cuts, "doc_id", "left"), _one_text_each(docs)[1]
+    sure, may = split_by_match(docs, "doc_id", cuts.select("doc_id"))  # only rows that may lose a span are shuffled
+    joined, taken = may.join(cuts, "doc_id", "left"), _one_text_each(docs)[1]
     if taken is not None:  # the spans are those of one text of the id; its other rows are left alone
         ours = F.coalesce(F.col("__claimloom_taken") == F.xxhash64("text"), F.col("__claimloom_taken").isNull())
         joined = joined.join(taken, "doc_id", "left").withColumn("__claimloom_cuts", F.when(ours, F.col("__claimloom_cuts")))
@@ -322,4 +326,5 @@ def remove_copies(docs: DataFrame, min_words: int = MIN_WORDS, k: int = KGRAM) -
             out = pa.RecordBatch.from_arrays([by[c] for c in names], names)
             yield out.filter(pa.array([not c or bool(t.strip(" \t\n\v\f\r")) for t, c in zip(texts, batch.column(2).to_pylist(), strict=True)]))
 
-    return joined.select("doc_id", "text", "__claimloom_cuts", *rest).mapInArrow(run, schema)
+    own = [f"`{c}`" for c in names]
+    return sure.select(*own).unionByName(joined.select("doc_id", "text", "__claimloom_cuts", *[f"`{c}`" for c in rest]).mapInArrow(run, schema))

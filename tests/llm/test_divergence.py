@@ -64,7 +64,7 @@ def test_equal_to_brute_force(spark):
 def test_shards_add_up_again_and_again(spark, monkeypatch):
     rows = corpus(120, 9)
     monkeypatch.setattr(divergence, "FULL", 50)  # also in the tasks: the counts of a batch are written out many times
-    batches = [pa.RecordBatch.from_pydict({"lang": [r[2] or ""], "source": [r[3] or ""], "text": [r[1]]}) for r in rows]
+    batches = [pa.RecordBatch.from_pydict({"lang": [r[2] or ""], "source": [r[3] or ""], "text": [r[1] or ""]}) for r in rows]
     parts = [b for b in divergence._count(iter(batches)) if b.num_rows]
     kept = pa.Table.from_batches(list(divergence._keep(10)(iter(parts)))).to_pylist()
     whole = {(r["lang"], r["term"]): r["n"] for r in kept if r["whole"]}
