@@ -88,7 +88,8 @@ def best_paths(links: DataFrame, exposure: str, outcomes: DataFrame, most: int,
     Edges below a threshold are left out. Walks are counted by their least completeness, one aggregation a step, and tell
     where to begin; the threshold falls until ``most`` simple paths are found, and is then the greatest one for which there are as many.
     Completeness has three places, so there are 1,001 thresholds at most."""
-    usable = links.where((F.size("support_ids") > 0) & ~F.col("relation").isin(*S.NULL_RELATIONS)).where((F.col("object") != exposure) & (F.col("subject") != F.col("object")))
+    backed = F.size("support_ids") > 0 if "support_ids" in links.columns else F.col("n_support") > 0
+    usable = links.where(backed & ~F.col("relation").isin(*S.NULL_RELATIONS)).where((F.col("object") != exposure) & (F.col("subject") != F.col("object")))
     goal = outcomes.select(F.col("id").alias("nxt")).distinct().withColumn("goal", F.lit(True))
     steps = usable.select(F.col("subject").alias("node"), F.col("object").alias("nxt"), "key", F.coalesce("completeness", F.lit(0.0)).alias("completeness"))
     steps = steps.join(goal, "nxt", "left").na.fill(False, ["goal"]).join(goal.select(F.col("nxt").alias("node"), F.lit(1).alias("end")), "node", "left").where((F.col("end").isNull()) | (F.col("node") == exposure))

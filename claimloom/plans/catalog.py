@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimloom import schemas as S
@@ -292,6 +292,51 @@ def novel_intermediates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.novel_intermediates(derive.links(spark, sf_dir), used)
 
 
+# the graph that the claims give: its best paths of two and of four edges, and the flags of the chains of each paper's claims
+_GRAPH = _LINKS[: _LINKS.rindex("SELECT s || '|'")].replace(CLAIMS_SQL, derive.GRAPH_SQL)
+_BEST, _START, _GOALS = 24, "N0", ("N150", "N160", "N170")
+_GOAL_SQL = ", ".join(f"'{g}'" for g in _GOALS)
+
+
+@query(f"""{_GRAPH.replace('WITH ', 'WITH RECURSIVE ', 1)},
+e AS MATERIALIZED (SELECT s, o, s || '|' || r || '|' || o AS key, CASE WHEN n = 0 THEN 0 ELSE round(least(1, n / 2.0) * list_extract([0.0, 0.4, 0.7, 1.0], best + 1) * (1 - share), 3) END AS c FROM g WHERE r <> 'no_effect' AND s <> o),
+walk AS (SELECT m, low, o AS node, [key] AS path, [s, o] AS seen, c AS least FROM e, (VALUES (2, 0.0), (4, 0.9)) t(m, low) WHERE s = '{_START}' AND c >= low
+  UNION ALL SELECT m, low, e.o, list_append(w.path, e.key), list_append(w.seen, e.o), least(w.least, e.c) FROM walk w JOIN e ON e.s = w.node WHERE e.c >= low AND w.node NOT IN ({_GOAL_SQL}) AND len(w.path) < m AND NOT list_contains(w.seen, e.o))
+SELECT CAST(m AS INTEGER) AS most_edges, array_to_string(path, ' ') AS path, CAST(least AS DOUBLE) AS least FROM walk WHERE node IN ({_GOAL_SQL}) QUALIFY row_number() OVER (PARTITION BY m ORDER BY least DESC, path) <= {_BEST}""")
+def best_pathways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = L.build_links(derive.graph_claims(spark, sf_dir), with_ids=False)
+    goals = table(spark, sf_dir, "nation").limit(1).select(F.explode(F.array(*map(F.lit, _GOALS))).alias("id"))
+    found = [H.best_paths(links, _START, goals, _BEST, m).select(F.lit(m).alias("most_edges"), F.array_join("links", " ").alias("path"), "least") for m in (2, 4)]
+    return found[0].unionByName(found[1])
+
+
+_CATEGORY = ("gene_or_protein", "phenotype", "chemical", "disease", "process")
+
+
+@query(f"""WITH {derive.GRAPH_SQL},
+c AS (SELECT s || '|' || r || '|' || o AS key, list(DISTINCT cell) FILTER (study <> 'review' AND cell <> 'unspecified') AS cells FROM claims GROUP BY s, r, o),
+k AS (SELECT pmid, s, r, o, key, min(id) AS begun FROM (SELECT pmid, id, s, r, o, s || '|' || r || '|' || o AS key FROM claims) GROUP BY pmid, s, r, o, key),
+q AS (SELECT *, row_number() OVER (PARTITION BY pmid ORDER BY begun) AS n FROM k QUALIFY n <= 4),
+z AS (SELECT q.*, coalesce(c.cells, []) AS cells, lead(q.s) OVER w AS s2, lead(coalesce(c.cells, [])) OVER w AS cells2, lag(q.o) OVER w AS o0 FROM q LEFT JOIN c ON c.key = q.key WINDOW w AS (PARTITION BY pmid ORDER BY n)),
+t AS (SELECT pmid, array_to_string(list(key ORDER BY n), ' ') AS path, bool_or(s2 IS NOT NULL AND s2 <> o) AS apart,
+  flatten(list(CASE WHEN o0 = s AND s = o THEN [] WHEN o0 = s OR s = o THEN [o] ELSE [s, o] END ORDER BY n)) AS nodes, bool_or(r IN ('no_effect', 'associated_with')) AS unknown, count(*) FILTER (r = 'decreases') % 2 = 1 AS odd,
+  bool_or(CAST(substr(s, 2) AS INTEGER) % 5 IN (1, 3) AND CAST(substr(o, 2) AS INTEGER) % 5 IN (0, 2)) AS back, bool_or(s2 IS NOT NULL AND len(cells) > 0 AND len(cells2) > 0 AND NOT list_has_any(cells, cells2)) AS crossed FROM z GROUP BY pmid)
+SELECT pmid, path, concat_ws(',', CASE WHEN apart THEN 'disconnected' END, CASE WHEN len(nodes) <> len(list_distinct(nodes)) THEN 'cycle' END, CASE WHEN unknown THEN 'sign_unknown' WHEN odd THEN 'sign_mismatch' END, CASE WHEN back THEN 'reverse_order' END, CASE WHEN crossed THEN 'cross_context' END) AS flags FROM t""")
+def chain_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = derive.graph_claims(spark, sf_dir)
+    key = X.link_key(F.col("subject_concept"), F.col("relation_norm"), F.col("object_concept"))
+    own = F.when(F.col("study_type") != "review", L.raw_context(F.col("context_cell_type")))
+    cells = c.groupBy(key.alias("key")).agg(F.collect_set(own).alias("cells"))
+    first = c.groupBy("pmid", key.alias("key")).agg(F.min("id").alias("at"))
+    few = first.withColumn("n", F.row_number().over(Window.partitionBy("pmid").orderBy("at"))).where(F.col("n") <= 4).join(cells, "key")
+    chains = few.groupBy("pmid").agg(F.array_sort(F.collect_list(F.struct("n", "key", "cells"))).alias("x"))
+    chains = chains.select("pmid", F.transform("x", lambda r: r.key).alias("links"), F.transform("x", lambda r: r.cells).alias("contexts"))
+    kind = lambda n: F.element_at(F.array(*map(F.lit, _CATEGORY)), F.substring(n, 2, 9).cast("int") % 5 + 1)
+    categories = F.map_from_entries(F.transform(F.array_distinct(H.nodes(F.col("links"))), lambda n: F.struct(n, kind(n))))
+    flags = H.logic_flags(F.col("links"), F.col("contexts"), categories, F.lit("up"))
+    return chains.select("pmid", F.array_join("links", " ").alias("path"), F.array_join(flags, ",").alias("flags"))
+
+
 # ── names ─────────────────────────────────────────────────────────────────────────────────────────────────────────
 @query(r"""SELECT DISTINCT name, trim(regexp_replace(lower(trim(regexp_replace(name, '\s+', ' ', 'g'), ' .,;:[]{}')), '[^a-z0-9+]+', ' ', 'g')) AS key FROM (SELECT p_name AS name FROM part UNION ALL SELECT n_name FROM nation UNION ALL SELECT c_name FROM customer)""")
 def lookup_keys(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,3 +72,13 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINKS_SQL = """raw AS (SELECT CAST(n_nationkey AS BIGINT) AS n, k FROM nation, (VALUES (0), (1), (2)) t(k)),
 edges0 AS (SELECT n, k, (n * (3 + 2 * k) + 1 + k) % 25 AS o, ((n * 13 + k * 7) % 10) / 10.0 AS c, CASE WHEN (n + k) % 2 = 0 THEN 'increases' ELSE 'decreases' END AS r FROM raw),
 links AS (SELECT 'N' || n AS s, r, 'N' || o AS o, CAST(max(c) AS DOUBLE) AS c, 'N' || n || '|' || r || '|' || 'N' || o AS key FROM edges0 WHERE n <> o GROUP BY n, r, o)"""
+
+
+def graph_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same claims over one set of nodes, so that objects can be subjects of others."""
+    node = lambda c: F.concat(F.lit("N"), F.substring(c, 2, 9))
+    c = claims(spark, sf_dir)
+    return c.withColumns({k: node(k) for k in ("subject_concept", "object_concept", "subject_label", "object_label")})
+
+
+GRAPH_SQL = CLAIMS_SQL.replace("'S' || (l_suppkey % 100) AS s, 'P' || (l_partkey % 200) AS o", "'N' || (l_suppkey % 100) AS s, 'N' || (l_partkey % 200) AS o")
