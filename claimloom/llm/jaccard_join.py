@@ -9,8 +9,8 @@ sets is at least the threshold.
    similarity 0.8 it agrees in none with probability (1 - 0.8**4)**24 < 4e-6. Keys of one class only are dropped by
    an aggregation with map-side combine, and a bitmap of fixed size keeps them out of later shuffles.
 3. Buckets with the same smallest class are one family: near copies that agree in many bands so meet in few families, a
-   class having one row in each, with the set of its bands. A family is dealt in blocks of ``SIDE`` classes; a task
-   compares two blocks at most. A pair is looked at only where the first band in which it agrees is. Its MinHash values
+   class having one row in each, with the set of its bands. A family is dealt in blocks of ``SIDE`` classes and ``SIDE_BYTES`` of
+   shingles at most, about; a task compares two blocks at a time. A pair is looked at only where the first band in which it agrees is. Its MinHash values
    are compared ``STEP`` at a time: with a uniform prior the posterior of its similarity after m agreements of n is
    Beta(m + 1, n - m + 1), and the pair is dropped as soon as the probability that it reaches the threshold is under
    ``TOLERANCE``.
@@ -42,6 +42,7 @@ from claimloom.llm.textbuf import U, Block, blocks, mix, sequence_hash, sequence
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS, STEP, TOLERANCE, SIDE = 24, 4, 16, 1e-6, 512
+SIDE_BYTES = 64 << 20  # of shingles in a block, about
 N_HASH = BANDS * ROWS
 PAIRS = 300_000  # pairs at a time in a task
 _MULTIPLY = np.random.default_rng(7).integers(1, 2**63, N_HASH, dtype=np.uint64) * U(2) + U(1)
@@ -77,7 +78,7 @@ def _signatures(size: int):
                 h = b.word_hashes(lower=True)
                 seq = sequence_hash(sequence_sums(h), b.wptr[:-1][full], b.wptr[1:][full])
                 data = pa.Array.from_buffers(pa.binary(), len(full), [None, pa.py_buffer((np.arange(len(full) + 1) * (4 * N_HASH)).astype(np.int32)), pa.py_buffer(sig.tobytes())])
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i).take(pa.array(full)), pa.array(signed(seq)), data], ["doc_id", "seq", "sig"])
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i).take(pa.array(full)), pa.array(signed(seq)), data, pa.array(np.diff(ptr)[full])], ["doc_id", "seq", "sig", "size"])
 
     return run
 
@@ -242,18 +243,21 @@ def _verify(threshold: float):
 def _members(docs: DataFrame, threshold: float, size: int) -> DataFrame:
     """(doc_id, seq, copy_id, class_id, n_links, n_class, first) of each document with a doc_id and a word, one row for
     each of its texts; first: the (doc_id, seq) that stands for the group."""
-    signatures = materialize(docs.select("doc_id", "text").mapInArrow(_signatures(size), "doc_id long, seq long, sig binary"), "signatures")
+    signatures = materialize(docs.select("doc_id", "text").mapInArrow(_signatures(size), "doc_id long, seq long, sig binary, size long"), "signatures")
     members = materialize(signatures.select("doc_id", "seq").distinct(), "members")
     classes = materialize(members.groupBy("seq").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies")), "classes")
     bands = materialize(signatures.select("seq", "sig").mapInArrow(_bands, "seq long, k int, band long"), "bands")
     shared = materialize(bands.groupBy("band").agg(F.min("seq").alias("family"), F.max("seq").alias("b")).where("family <> b").select("band", "family"), "shared")
     in_family = may_match(bands, "band", shared.select("band")).join(shared, "band").groupBy("family", "seq").agg(F.bit_or(F.expr("shiftleft(1, k)")).alias("mask"))
     met = materialize(in_family, "met")
-    n_blocks = materialize(met.groupBy("family").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("n_blocks")), "families")
+    needed = materialize(met.select("seq").distinct(), "needed")
+    # blocks are bounded in classes and in the bytes of their shingles, as a task holds those of two blocks
+    sizes = may_match(signatures.select("seq", "size"), "seq", needed).groupBy("seq").agg(F.max("size").alias("size"))
+    many = F.greatest(F.count("*") / SIDE, F.sum("size") * 8 / SIDE_BYTES)
+    n_blocks = materialize(met.join(sizes, "seq").groupBy("family").agg(F.ceil(many).cast("int").alias("n_blocks")), "families")
     jobs = met.join(n_blocks, "family").withColumn("block", F.expr("cast(pmod(xxhash64(seq), n_blocks) as int)"))
     jobs = jobs.select("seq", "mask", "family", "block", F.explode(F.expr("sequence(0, n_blocks - 1)")).alias("other"))
     jobs = jobs.select("family", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "seq", "mask")
-    needed = materialize(met.select("seq").distinct(), "needed")
     sigs = may_match(signatures.select("seq", "sig"), "seq", needed).dropDuplicates(["seq"])
     key = ["family", "bi", "bj"]
     schema = "family long, bi int, bj int, at int, seq long, pairs binary"

@@ -8,7 +8,7 @@ model did not see, turns margins into scores.
 
 Training takes about ``TRAIN_ROWS`` labelled rows of each class (all, if there are no more), drawn by a hash of the id, and
 of the text where an id has several: a bounded sample. Their features, at most 2^``BITS`` numbers each however long the text, are made by executors;
-texts do not go to the driver.
+texts do not go to the driver, and features only up to about ``TRAIN_BYTES`` (long texts leave fewer rows, by a hash again).
 
 Defined results: null and empty texts have no features and the score of the bias alone. Without labels of both classes
 every score is the share of label 1 (0.5 without any). Equal rows get equal scores, one each; rows whose doc_id has
@@ -31,6 +31,7 @@ from claimloom.llm.sample import TOP, drawn, share_of, shares
 from claimloom.sources.scratch import materialize
 from claimloom.llm.textbuf import U, Block, blocks, mix, sequence_hash, sequence_sums
 
+TRAIN_BYTES = 200 << 20
 BITS, TRAIN_ROWS, BETA, COST, EPOCHS, SMOOTH = 18, 3000, 0.25, 1.0, 8, 1.0
 
 
@@ -152,7 +153,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary()), batch.column(2)], ["o", "features", "quality"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = TRAIN_ROWS) -> NBSVM:
+def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> NBSVM:
     """Learned from the labelled rows of docs where ``usable`` holds."""
     named = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most").select("doc_id", "quality")
     named = materialize(named.where(usable), "labels")
@@ -163,7 +164,11 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = TRA
     # an id with n different texts gives about one of them, so that one with very many does not fill the sample
     several = materialize(texts.select("doc_id", "draw").distinct().groupBy("doc_id").agg(F.count("*").alias("n")), "texts")
     rows = texts.join(several, "doc_id").where((F.col("n") == 1) | (F.col("draw") <= F.lit(TOP) / F.col("n"))).select(F.xxhash64("doc_id").alias("o"), "text", "quality").distinct()
-    got = sorted((r.o, bytes(r.features), r.quality) for r in rows.mapInArrow(_features, "o long, features binary, quality int").collect())  # about two classes x per_class
+    made = materialize(rows.mapInArrow(_features, "o long, features binary, quality int"), "features")
+    total = made.agg(F.sum(F.octet_length("features"))).first()[0] or 0
+    if total > most_bytes:
+        made = made.where(drawn("o") <= F.lit(TOP * most_bytes // total))
+    got = sorted((r.o, bytes(r.features), r.quality) for r in made.collect())  # about two classes x per_class, and most_bytes
     return train([np.frombuffer(g[1], "<i4") for g in got], np.array([1 if g[2] else -1 for g in got]))
 
 

@@ -100,3 +100,12 @@ def test_families_find_the_links_of_every_band(spark, monkeypatch):
         texts.append((i, " ".join(w)))
     got = {r.doc_id: (r.n_links, r.class_id) for r in near_duplicates(spark.createDataFrame(texts, SCHEMA)).collect()}
     assert got == brute(texts)
+
+
+def test_near_copies_of_long_texts_are_dealt_by_bytes(spark, monkeypatch):
+    """Blocks of few bytes: many jobs for one family, the same links."""
+    monkeypatch.setattr("claimloom.llm.jaccard_join.SIDE_BYTES", 20_000)
+    base = [f"w{k % 3000}" for k in range(4000)]
+    texts = [(i, " ".join([*base[: 100 * i], f"x{i}", *base[100 * i + 1 :]])) for i in range(24)] + [(100, "quite other words than those of the rest here")]
+    got = {r.doc_id: (r.n_links, r.class_id) for r in near_duplicates(spark.createDataFrame(texts, SCHEMA)).collect()}
+    assert got == {**{i: (23, 0) for i in range(24)}, 100: (0, 100)}

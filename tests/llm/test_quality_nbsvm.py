@@ -43,6 +43,16 @@ def test_training_uses_no_held_out_label(spark):
     assert np.array_equal(a.weight, b.weight) and a.slope == b.slope
 
 
+def test_features_that_reach_the_driver_are_bounded(spark):
+    docs, labels = data(spark)
+    usable = ~held_out(F.col("doc_id"))
+    whole, some = fit(docs, labels, usable), fit(docs, labels, usable, most_bytes=20_000)
+    assert 0 < (some.ratio != 0).sum() < (whole.ratio != 0).sum() or not np.array_equal(some.ratio, whole.ratio)
+    long = spark.createDataFrame([(i, " ".join(f"{'bad' if i % 2 else 'fine'}{i}x{k}" for k in range(20_000))) for i in range(40)], "doc_id long, text string")
+    model = fit(long, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int"), F.lit(True), most_bytes=1_000_000)
+    assert np.isfinite(model.weight).all()
+
+
 def test_features_are_distinct_indicators():
     x = Features(Block(pa.array(["a b a b", "", None, "é"])))
     assert len(x.of(0)) == 2 + 2 + 4 and len(set(x.of(0).tolist())) == len(x.of(0)) and len(x.of(1)) == len(x.of(2)) == 0 and len(x.of(3)) == 1
