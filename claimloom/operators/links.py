@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from claimloom import schemas as S
 from claimloom.functions.grading import stance, system_rank
 from claimloom.functions.text import key_part, link_key
+from claimloom.operators.hierarchy import above as up_the_hierarchy
 from claimloom.sources.scratch import materialize
 
 REVIEW = "secondary source (review)"
@@ -82,12 +83,12 @@ def _grade_of(tier: Column) -> Column:
 
 def build_links(
     claims: DataFrame, prior: DataFrame | None = None, verdicts: DataFrame | None = None, discounted: DataFrame | None = None, ancestors: DataFrame | None = None,
-    labels: DataFrame | None = None, extra: DataFrame | None = None, settings: S.Settings = S.Settings(), with_ids: bool = True,
+    labels: DataFrame | None = None, extra: DataFrame | None = None, settings: S.Settings = S.Settings(), with_ids: bool = True, hierarchy: DataFrame | None = None,
 ) -> DataFrame:
     """One row of ``schemas.LINK`` for each key that a claim, ``prior`` (LINK_STATE columns) or ``extra`` (key) names.
 
     claims: schemas.CLAIM columns; verdicts: lo, hi, same_finding; discounted: lo, hi; ancestors: concept, ancestors;
-    labels: id, label. Ties between claims never matter: ids are sets, grades maxima, papers distinct counts.
+    labels: id, label; hierarchy: parent edges id, parent, in place of ancestors. Ties between claims never matter: ids are sets, grades maxima, papers distinct counts.
 
     with_ids false: n_support, n_opposing and n_uncounted in place of the lists of ids, contexts and reasons, so that the
     size of a row does not grow with the claims of an edge."""
@@ -103,9 +104,9 @@ def build_links(
     keys = keys.distinct().withColumn("key", link_key(F.col("s"), F.col("r"), F.col("o")))
     edge = keys.select("key", "s", "o", F.col("r").alias("lr"))
     pair = c.withColumn("exact", F.lit(True))
-    if ancestors is not None:  # a finding on a subtype supports the edge to its ancestor, where that is a node of an edge
+    if ancestors is not None or hierarchy is not None:  # a finding on a subtype supports the edge to its ancestor, where that is a node of an edge
         nodes = keys.select(F.col("s").alias("up")).union(keys.select("o")).distinct()
-        above = ancestors.select(F.col("concept").alias("o"), F.explode("ancestors").alias("up")).where("up <> o").distinct().join(nodes, "up", "left_semi")
+        above = up_the_hierarchy(hierarchy, c.select("o"), nodes) if hierarchy is not None else ancestors.select(F.col("concept").alias("o"), F.explode("ancestors").alias("up")).where("up <> o").distinct().join(nodes, "up", "left_semi")
         rolled = c.where(F.col("r").isin(*S.DIRECTION)).join(above, "o").withColumn("o", F.col("up")).drop("up").withColumn("exact", F.lit(False))
         pair = pair.unionByName(rolled)
     role = F.when(F.col("r") == F.col("lr"), "support").when(corroborates(F.col("lr"), F.col("r")), "corro")

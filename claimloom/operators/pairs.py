@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Iterator
 
 import numpy as np
@@ -249,11 +250,14 @@ def conflict_candidates(claims: DataFrame, fams: DataFrame, verdicts: DataFrame)
 
 
 def claim_vectors(claims: DataFrame, encode=None) -> DataFrame:
-    """(id, vector) of claims: hashing vectors, or those of ``encode`` (list of texts to a matrix of unit rows)."""
+    """(id, vector) of claims: hashing vectors, or those of ``encode``, a function of a DataFrame (id, text) such as
+    ``encoder.semantic_vectors``, or of a list of texts to a matrix of unit rows."""
     relation = F.when(F.coalesce("relation_norm", F.lit("")) != "", F.col("relation_norm")).otherwise(F.coalesce("relation_raw", F.lit("")))
     texts = claims.select("id", claim_text(F.col("subject_label"), relation, F.col("object_label"), F.col("context_cell_type"), F.col("context_model")).alias("text"))
     if encode is None:
         return hashing_vectors(texts)
+    if inspect.signature(encode).return_annotation in (DataFrame, "DataFrame"):
+        return encode(texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

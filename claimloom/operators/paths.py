@@ -22,15 +22,19 @@ def ledger_paths(links: DataFrame, exposure: str, outcomes: DataFrame, max_len:
     Ties of least are ordered by the path itself where an order is asked for (``orderBy(desc least, links)``)."""
     usable = links.where((F.size("support_ids") > 0) & ~F.col("relation").isin(*S.NULL_RELATIONS))
     goal = outcomes.select(F.col("id").alias("nxt")).distinct().withColumn("goal", F.lit(True))
-    step = usable.select(F.col("subject").alias("node"), F.col("object").alias("nxt"), "key", "completeness").join(goal, "nxt", "left")
-    spark = links.sparkSession
+    return _listed(usable.select(F.col("subject").alias("node"), F.col("object").alias("nxt"), "key", "completeness").join(goal, "nxt", "left").na.fill(False, ["goal"]), exposure, max_len)
+
+
+def _listed(step: DataFrame, exposure: str, max_len: int) -> DataFrame:
+    """(links, least) of all simple paths over edges (node, nxt, key, completeness, goal)."""
+    spark = step.sparkSession
     front = spark.createDataFrame([(exposure, [], [exposure], float("inf"))], "node string, links array<string>, seen array<string>, least double")
     found = []
     for _ in range(max_len):
         grown = front.join(step, "node").where(~F.array_contains("seen", F.col("nxt")))
         grown = grown.select(F.col("nxt").alias("node"), F.concat("links", F.array("key")).alias("links"), F.concat("seen", F.array("nxt")).alias("seen"), F.least("least", "completeness").alias("least"), "goal")
         found.append(grown.where("goal").select("links", "least"))
-        front = grown.where("goal is null").drop("goal")
+        front = grown.where("not goal").drop("goal")
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
@@ -82,18 +86,23 @@ def first_paths(edges: DataFrame, exposure: str, most: int, max_len: int, width:
         width *= 4
 
 
-def best_paths(links: DataFrame, exposure: str, outcomes: DataFrame, most: int, max_len: int = S.Settings.max_path_len, width: int | None = None) -> DataFrame:
+FEW_EDGES = 500
+
+
+def best_paths(links: DataFrame, exposure: str, outcomes: DataFrame, most: int, max_len: int = S.Settings.max_path_len, width: int | None = None, few: int = FEW_EDGES) -> DataFrame:
     """(links, least): the first ``most`` of ``ledger_paths`` in the order of least (falling), links, without listing the others.
 
     Edges below a threshold are left out. Walks are counted by their least completeness, one aggregation a step, and tell
     where to begin; the threshold falls until ``most`` simple paths are found, and is then the greatest one for which there are as many.
-    Completeness has three places, so there are 1,001 thresholds at most."""
+    Completeness has three places, so there are 1,001 thresholds at most. A graph of at most ``few`` edges is listed whole."""
     backed = F.size("support_ids") > 0 if "support_ids" in links.columns else F.col("n_support") > 0
     usable = links.where(backed & ~F.col("relation").isin(*S.NULL_RELATIONS)).where((F.col("object") != exposure) & (F.col("subject") != F.col("object")))
     goal = outcomes.select(F.col("id").alias("nxt")).distinct().withColumn("goal", F.lit(True))
     steps = usable.select(F.col("subject").alias("node"), F.col("object").alias("nxt"), "key", F.coalesce("completeness", F.lit(0.0)).alias("completeness"))
     steps = steps.join(goal, "nxt", "left").na.fill(False, ["goal"]).join(goal.select(F.col("nxt").alias("node"), F.lit(1).alias("end")), "node", "left").where((F.col("end").isNull()) | (F.col("node") == exposure))
     steps = materialize(steps.select("node", "nxt", "key", "completeness", "goal"), "steps")
+    if steps.count() <= few:
+        return _listed(steps, exposure, max_len).orderBy(F.desc("least"), "links").limit(most)
     level = F.floor(F.col("completeness") * 1000 + 1e-6).cast("int")
     by_node = steps.groupBy("node", "nxt", "goal", level.alias("level")).agg(F.count("*").cast("double").alias("n"))
     walks, ends = by_node.where(F.col("node") == exposure), []

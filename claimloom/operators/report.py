@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from claimloom import schemas as S
 from claimloom.functions.grading import claim_cap
 from claimloom.functions.quotes import STRUCTURE_TAG, TAG, prose_sentences, sentence_tier
+from claimloom.sources.corpus import Unavailable, is_unavailable
+from claimloom.sources.scratch import materialize
 
 
 def sentences(texts: DataFrame, key: str = "doc") -> DataFrame:
@@ -57,6 +59,24 @@ def entailment(texts: DataFrame, claims: DataFrame, verdicts: DataFrame, key: st
     return v.join(known, [key, "n"], "left_semi").join(s.select(key, "n", "sentence"), [key, "n"]).select(key, "sentence", "verdict", F.col("rationale").alias("why"))
 
 
+def checked_entailment(texts: DataFrame, claims: DataFrame, judge, key: str = "doc") -> DataFrame:
+    """``entailment`` of what a judge says of the sentences (key, n, sentence, ids) that cite known claims; where the judge is unavailable, one
+    row with the verdict check_unavailable and the error's name as its sentence. Without such a sentence nobody is asked."""
+    asked = sentences(texts, key)
+    known = asked.select(key, "n", F.explode("ids").alias("id")).join(claims.select("id"), "id", "left_semi").select(key, "n").distinct()
+    asked = materialize(asked.join(known, [key, "n"], "left_semi").select(key, "n", "sentence", "ids"), "asked")
+    schema = f"{key} string, sentence string, verdict string, why string"
+    if asked.isEmpty():
+        return texts.sparkSession.createDataFrame([], schema)
+    try:
+        verdicts = materialize(judge(asked, claims), "entailed")
+    except Exception as e:
+        if not is_unavailable(e):
+            raise
+        return texts.sparkSession.createDataFrame([(None, Unavailable.__name__, "check_unavailable", None)], schema)
+    return entailment(texts, claims, verdicts, key).select(F.col(key).cast("string").alias(key), "sentence", "verdict", "why")
+
+
 def used_claims(hyps: DataFrame, links: DataFrame, claims: DataFrame, corroborating: bool = True, most: int | None = None) -> DataFrame:
     """Claims that an edge of a pathway counts, opposes, sets aside or (for a synthesis, not for a chat) is corroborated by."""
     steps = hyps.select(F.explode("links").alias("key")).distinct().join(links, "key")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimloom import schemas as S
 from claimloom.functions import grading as G
 from claimloom.functions import text as X
+from claimloom.operators import hierarchy as Y
 from claimloom.operators import links as L
 from claimloom.operators import memo as M
 from claimloom.operators import pairs as P
@@ -18,6 +21,7 @@ from claimloom.plans import derive, judgements  # noqa: F401 (registers its quer
 from claimloom.plans.derive import CLAIMS_SQL, LINKS_SQL, table
 from claimloom.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from claimloom.sources import corpus as C
+from claimloom.streaming.counters import follow, latest, link_counters
 
 FLAGSHIP = "build_links"
 
@@ -227,6 +231,17 @@ def ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.ancestors_of(edges).select("id", F.array_join(F.transform("ancestors", lambda x: x.cast("string")), ",").alias("ancestors"))
 
 
+# customers under c / 3 and, every fifth of them, under c / 7 as well; those of every second number are asked for
+_UNDER = "(SELECT c_custkey AS c, c_custkey // 3 AS p FROM customer UNION SELECT c_custkey, c_custkey // 7 FROM customer WHERE c_custkey % 5 = 0)"
+
+
+@query(f"WITH RECURSIVE e AS (SELECT * FROM {_UNDER} WHERE c <> p), up AS (SELECT c, p FROM e UNION SELECT up.c, e.p FROM up JOIN e ON e.c = up.p) SELECT c AS o, p AS up FROM up WHERE p % 2 = 0")
+def hierarchy_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select("c_custkey")
+    edges = c.select(F.col("c_custkey").alias("id"), F.expr("c_custkey div 3").alias("parent")).union(c.where("c_custkey % 5 = 0").selectExpr("c_custkey", "c_custkey div 7"))
+    return Y.above(edges, c.select(F.col("c_custkey").alias("o")), edges.select(F.col("parent").alias("up")).where("up % 2 = 0"))
+
+
 @query("""WITH a AS (SELECT DISTINCT l_orderkey, 'V' || l_suppkey AS id FROM lineitem)
 SELECT DISTINCT x.id AS lo, y.id AS hi FROM a x JOIN a y ON x.l_orderkey = y.l_orderkey AND x.id < y.id""")
 def discounted_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -467,3 +482,35 @@ def nested_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     articles = orders.select(F.col("o_orderkey").alias("pmid"), F.lit("a").alias("abstract"), body.alias("body"))
     return C.sectioned_text(articles.select("pmid", "abstract"), C.sections_of(articles))
+
+
+@query("""WITH k AS (SELECT p_partkey AS pmid, unnest([lower(p_type), p_name, substring(p_name, 2, 3)]) AS phrase FROM part), q AS (SELECT p_partkey AS query_id, lower('Effect of ' || upper(p_name) || ' on a ' || p_type || '?') AS low FROM part),
+h AS (SELECT DISTINCT query_id, pmid FROM q JOIN k ON contains(low, phrase)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pmid) AS n FROM h QUALIFY n <= 5)
+SELECT query_id, string_agg(CAST(pmid AS VARCHAR), ',' ORDER BY n) AS pmids FROM r GROUP BY query_id""")
+def corpus_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    papers = part.select(F.col("p_partkey").alias("pmid"), F.col("p_partkey").alias("place"), F.array(F.lower("p_type"), "p_name", F.substring("p_name", 2, 3)).alias("keywords"))
+    asked = part.select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("Effect of "), F.upper("p_name"), F.lit(" on a "), "p_type", F.lit("?")).alias("query"), F.lit(5).alias("retmax"))
+    found = C.CorpusTable(papers).search(asked)
+    return found.where(F.size("pmids") > 0).select("query_id", F.array_join(F.transform("pmids", lambda x: x.cast("string")), ",").alias("pmids"))
+
+
+@query("""SELECT p_partkey AS pmid, CASE p_size % 4 WHEN 0 THEN 'meta_analysis' WHEN 1 THEN 'human_rct' END AS pubtype_study_type, p_size % 4 = 2 AS retracted FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')""")
+def corpus_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.element_at(F.array(*(F.array(*map(F.lit, k)) for k in (("Journal Article", "Meta-Analysis"), ("Randomized Controlled Trial",), ("Retracted Publication", "Review of things"), ()))), F.col("p_size") % 4 + 1)
+    papers = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("pmid"), F.col("p_name").alias("title"), F.col("p_type").alias("abstract"), kinds.cast("array<string>").alias("publication_types"), F.lit("1999").alias("year"))
+    ids = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").cast("string").alias("pmid"))
+    return C.CorpusTable(papers).fetch(ids).select(F.col("pmid").cast("long").alias("pmid"), "pubtype_study_type", "retracted")
+
+
+# what events tell of keys under search, followed as a stream of files and read from what it wrote
+@query("""WITH e AS (SELECT 'U' || user_id AS key, event_id % 5 AS round, bool_or(event_type = 'click') AS t, bool_or(event_type = 'error') AS r, bool_or(event_type IN ('view', 'purchase', 'signup') AND value < 30) AS e FROM events GROUP BY 1, 2),
+c AS (SELECT key, count(*) FILTER (t AND NOT r) AS t, count(*) FILTER (e) AS z FROM e GROUP BY key) SELECT key, CAST(t AS INTEGER) AS times_targeted, CAST(z AS INTEGER) AS zero_yield_count, z >= 4 AS exhausted FROM c""")
+def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = f"{sf_dir}/events.parque[t]"  # a pattern, as a stream's plain path must be a folder
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(source)
+    kind = F.when(F.col("event_type") == "click", "targeted").when(F.col("event_type") == "error", "rolled_back").otherwise("searched")
+    events = events.select(F.concat(F.lit("U"), "user_id").alias("key"), (F.col("event_id") % 5).cast("int").alias("round"), kind.alias("kind"), (F.col("value") < 30).alias("empty"), F.col("ts").alias("at"))
+    running, folder = follow(link_counters(events, exhaust_after=4), f"counters-{uuid.uuid4().hex}")
+    running.awaitTermination()
+    return latest(spark, folder).drop("expired")

@@ -24,6 +24,7 @@ from claimloom.operators import pairs as P
 from claimloom.operators import paths as H
 from claimloom.operators import report as R
 from claimloom.operators import resolve as E
+from claimloom.sources.corpus import Unavailable, is_unavailable
 from claimloom.sources.scratch import materialize
 
 CACHE = "key string, id string, label string, category string, source string, confidence double, ancestors array<string>, parents array<string>"
@@ -70,6 +71,8 @@ class Run:
     search_status: str = ""
     semantic_status: str = ""
     seeded: bool = False
+    pairs_asked: int = 0
+    unanswered: dict[str, int] = field(default_factory=dict)  # rows by judgement that came back without a verdict
 
 
 class Engine:
@@ -137,14 +140,16 @@ class Engine:
         try:
             came = materialize(self.source.fetch(new), "fetched")
         except Exception as e:  # a source may be down: the round goes on, but does not count as a search
-            print(f"fetch failed: {type(e).__name__}")
+            if not is_unavailable(e):
+                raise
+            print(f"fetch failed: {Unavailable.__name__}")
             came, fetched = t([], S.PAPER), False
         st.papers = materialize(M.retrieved_for(st.papers.unionByName(came), hits), "papers")
         st.search_status = M.search_status(log, came.count(), fetched).first().status
         return M.target_searches(log), st.search_status == "SEARCH_FAILED"
 
     def screen(self, st: Run) -> None:
-        fresh = st.papers.where("screen_status = 'unscreened' and not retracted")
+        fresh = st.papers.where("screen_status = 'unscreened' and not retracted").withColumn("abstract", F.substring("abstract", 1, self.settings.abstract_chars))
         st.papers = materialize(screened(st.papers, self.judge.screen(fresh), self.settings.min_relevance), "papers")
 
     def read(self, st: Run) -> None:
@@ -169,7 +174,7 @@ class Engine:
         st.papers = materialize(st.papers.join(seen, "pmid", "left").withColumn("read_for", F.array_sort(F.array_union(F.coalesce("read_for", none), F.coalesce("__p", none)))).drop("__p").join(chosen.select("pmid", F.col("text_access").alias("__a"), F.col("source_text").alias("__s")), "pmid", "left").withColumn("text_access", F.coalesce("__a", "text_access")).withColumn("source_text", F.coalesce("__s", "source_text")).select(*S.PAPER.fieldNames()), "papers")
 
     def normalize(self, st: Run) -> None:
-        pending = st.claims.where("relation_norm = ''")
+        pending = st.claims.where("relation_norm = ''").withColumn("span", F.substring("span", 1, self.settings.span_chars))
         typed = M.typed_relations(st.claims, self.judge.relations(pending))
         ends = typed.select(F.explode(F.array(entity_of(F.col("subject"))["entity"], entity_of(F.col("object"))["entity"], F.coalesce("context_cell_type", F.lit("")))).alias("surface")).where("surface <> ''").distinct()
         typed = materialize(typed, "typed")
@@ -178,7 +183,7 @@ class Engine:
         used = resolved.select("id").union(pathway_nodes).distinct()
         roots = materialize(E.canonical(st.alias), "roots")
         concepts = E.canonicalized(used, "id", roots).distinct().join(st.concepts, "id").select("id", "label", "category", "confidence")
-        asked = materialize(E.alias_candidates(concepts, st.alias_verdicts), "alias-candidates")
+        asked = materialize(E.alias_candidates(concepts, st.alias_verdicts).orderBy("lo", "hi").limit(self.settings.alias_pairs), "alias-candidates")
         side = lambda n: concepts.select(F.col("id").alias(n), F.col("label").alias(f"label_{n}"))
         asked = materialize(asked.join(side("lo"), "lo").join(side("hi"), "hi"), "asked")
         answers = E.alias_verdicts(asked, self.judge.aliases(asked.select(F.col("label_lo").alias("label_a"), F.col("label_hi").alias("label_b"))))
@@ -193,13 +198,22 @@ class Engine:
         asked = materialize(M.pair_batches(pairs, st.pair_verdicts), "asked")
         ok, failed = M.positional_verdicts(asked, self.judge.pairs(asked, st.claims))
         st.pair_verdicts = materialize(st.pair_verdicts.unionByName(ok), "pair-verdicts")
-        st.semantic_status = M.semantic_status(pairs.count(), asked.count(), failed.count())
+        n_asked, n_failed = asked.count(), failed.count()
+        st.pairs_asked += n_asked
+        self._missed(st, "pair", n_failed)
+        st.semantic_status = M.semantic_status(pairs.count(), n_asked, n_failed)
         fams = P.families(st.claims, st.pair_verdicts)
         cands = materialize(P.conflict_candidates(st.claims, fams, st.pair_verdicts), "candidates")
         ids = lambda df: df.withColumn("__ids", F.array_sort("claim_ids"))
-        fresh = ids(cands).join(ids(st.conflicts).select("__ids").distinct(), "__ids", "left_anti").orderBy("key").limit(20)
+        fresh = ids(cands).join(ids(st.conflicts).select("__ids").distinct(), "__ids", "left_anti").orderBy("key").limit(s.conflicts_asked)
         verdicts = self.judge.conflicts(fresh.drop("__ids"), st.claims).drop("claim_ids").join(fresh.select(F.col("key").alias("cluster_key"), "claim_ids"), "cluster_key")
-        st.conflicts = materialize(st.conflicts.unionByName(verdicts.select(*S.CONFLICT.fieldNames())), "conflicts")
+        verdicts = materialize(verdicts.select(*S.CONFLICT.fieldNames()), "judged")
+        self._missed(st, "conflict", fresh.count() - verdicts.select("cluster_key").distinct().count())
+        st.conflicts = materialize(st.conflicts.unionByName(verdicts), "conflicts")
+
+    def _missed(self, st: Run, task: str, n: int) -> None:
+        if n:
+            st.unanswered[task] = st.unanswered.get(task, 0) + n
 
     def _key(self, key: str, roots: dict[str, str]) -> str:
         s, r, o = key.split("|")
@@ -241,7 +255,7 @@ class Engine:
         exposure, *named = [roots.get(i, i) for i in p["ids"]]
         outcomes = materialize(H.outcome_set(named, st.concepts), "outcomes")
         links = self._build(st, prior)
-        routes = H.ledger_paths(links, exposure, outcomes, s.max_path_len).orderBy(F.desc("least"), "links").limit(s.max_hypotheses * 4).collect() if len(st.hyps) < s.max_hypotheses else []
+        routes = H.best_paths(links, exposure, outcomes, s.max_hypotheses * 4, s.max_path_len).orderBy(F.desc("least"), "links").collect() if len(st.hyps) < s.max_hypotheses else []
         steps = self._table(sorted({(k,) for r in routes for k in r.links}), "key string")
         label = {r.key: r.object_label for r in links.select("key", "object_label").join(F.broadcast(steps), "key", "left_semi").collect()} if routes else {}
         for r in routes:
@@ -251,7 +265,7 @@ class Engine:
             H.insert(st.hyps, list(r.links), "ledger_path", "Literature-graph route" + (f" via {', '.join(via)}" if via else f": direct to {label[r.links[-1]]}"), "found by graph search over supported steps", False)
         hyps = lambda: self._table([(h["id"], h["name"], h["origin"], h["links"], h["rationale"]) for h in st.hyps], "id string, name string, origin string, links array<string>, rationale string")
         if len(st.hyps) < s.max_hypotheses:
-            novel = [r.label for r in H.novel_intermediates(links, H.used_nodes(hyps(), exposure, outcomes)).join(st.concepts, "id").select("label").orderBy("label").collect()]
+            novel = [r.label for r in H.novel_intermediates(links, H.used_nodes(hyps(), exposure, outcomes)).join(st.concepts, "id").select("label").orderBy("label").limit(s.novel_labels).collect()]
             for pw in self.judge.expansions(novel) if novel else []:
                 if H.insert(st.hyps, self._proposed(st, pw), "llm_expansion", pw["name"], pw.get("rationale", ""), True):
                     break

@@ -85,13 +85,13 @@ def build_links_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     prior = prior.union(n.select(key(F.col("n"), "required_for", F.col("n") + 20), F.lit(1), F.lit(1), F.lit(False)))
     extra = region.select(key(F.col("r_regionkey"), "modulates", F.col("r_regionkey") + 1))
     part = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 200).alias("p")).distinct().where("p >= 20")
-    up = part.select(F.concat(F.lit("P"), "p").alias("concept"), F.array(F.concat(F.lit("P"), F.col("p") % 20)).alias("ancestors"))
+    up = part.select(F.concat(F.lit("P"), "p").alias("id"), F.concat(F.lit("P"), F.col("p") % 20).alias("parent"))
     side = lambda x: c.select("pmid", F.col("id").alias(x), F.col("subject_concept").alias(f"s_{x}"), F.col("object_concept").alias(f"o_{x}"), F.col("relation_norm").alias(f"r_{x}"), F.col("comparator_present").alias(f"c_{x}"), F.col("text_access").alias(f"a_{x}"))
     verdicts = side("lo").join(side("hi"), "pmid").where("s_lo < s_hi and r_lo = r_hi").select("lo", "hi", F.col("c_lo").alias("same_finding"))
     lo, hi = side("lo").drop("pmid"), side("hi").drop("pmid")
     aside = lo.join(hi, (F.col("s_lo") == F.col("s_hi")) & (F.col("o_lo") == F.col("o_hi"))).where("r_lo = 'increases' and r_hi in ('decreases', 'no_effect') and a_lo = a_hi").select("lo", "hi")
     labels = n.select(F.concat(F.lit("S"), "n").alias("id"), F.col("n_name").alias("label"))
-    out = L.build_links(c, prior, verdicts, aside, up, labels, extra)
+    out = L.build_links(c, prior, verdicts, aside, None, labels, extra, hierarchy=up)
     listed = [F.array_join(x, ",").alias(x) for x in ("support_ids", "corroborating_ids", "contradicting_ids", "contexts")]
     uncounted = F.array_join(F.transform(F.array_sort(F.map_entries("uncounted")), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), ";").alias("uncounted")
     longs = [F.col(x).cast("long").alias(x) for x in ("n_studies", "n_contra_studies", "times_targeted", "zero_yield_count")]

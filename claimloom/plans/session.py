@@ -72,13 +72,25 @@ def save_json(spark: SparkSession, path: str) -> Callable[[dict], None]:
     return save
 
 
-def measures(spark: SparkSession, st, log: DataFrame) -> dict:
-    """The row that the signals read, and the signals that fire, of a finished run."""
+def measures(spark: SparkSession, st, log: DataFrame, verification: dict | None = None, status: str = "completed") -> dict:
+    """The row that the signals read, and the signals that fire, of a run. verification: what ``report.verify_text`` says of its report,
+    if there is one; status: how the run ended (``run_questions`` tells a failed or aborted one)."""
     row = T.summary(st.papers, st.claims, st.dropped, st.links, st.ranked, log, st.extracted)
     leaders = spark.createDataFrame([(h["round"], h["leader"]) for h in st.history], "round int, leader string")
     changed = T.leader_changes(leaders).select(F.col("last_changed").alias("leader_last_changed"), F.col("changes").alias("leader_changes"))
-    more = {"alias_merges": F.lit(st.alias.count()), "semantic_status": F.lit(st.semantic_status), "stop_reason": F.lit(S.STOP_LABEL.get(st.gate, st.gate)), "status": F.lit("completed")}
-    one = row.withColumns(more).withColumn("__k", F.lit(1)).join(changed.withColumn("__k", F.lit(1)), "__k").drop("__k")
+    ends = st.claims.select(F.explode(F.array("subject_concept", "object_concept")).alias("id")).distinct()
+    concepts = ends.join(st.concepts, "id")
+    named = concepts.agg(F.count("*").alias("concepts"), F.count_if(F.col("source") == "local").alias("local"))
+    named = named.withColumn("local_share", T.share(F.col("local"), F.col("concepts")))
+    more = {
+        "alias_merges": F.lit(st.alias.count()), "semantic_status": F.lit(st.semantic_status), "stop_reason": F.lit(S.STOP_LABEL.get(st.gate, st.gate)), "status": F.lit(status),
+        "pairs_asked": F.lit(st.pairs_asked), "pairs_judged": F.lit(st.pair_verdicts.count()), "llm_failures": F.lit(sum(st.unanswered.values())),
+        "duplicate_labels": F.lit(T.duplicate_labels(concepts.select("id", "label")).count()), "verified": F.lit(None if verification is None else bool(verification["passed"])).cast("boolean"),
+    }
+    one = row.withColumns(more).withColumn("__k", F.lit(1))
+    for part in (changed, named):
+        one = one.join(part.withColumn("__k", F.lit(1)), "__k")
+    one = one.drop("__k")
     return one.first().asDict() | {"signals": [r.signal for r in T.signals(one).collect()]}
 
 

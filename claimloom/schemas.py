@@ -63,6 +63,11 @@ class Settings:
     threshold_hashing: float = 0.30
     threshold_default: float = 0.6
     token_budget: int | None = None
+    abstract_chars: int = 3_000  # of a paper, when it is screened
+    span_chars: int = 600  # of a claim, when its relation is judged
+    alias_pairs: int = 200  # asked in a round; the others wait
+    conflicts_asked: int = 20
+    novel_labels: int = 500  # named when an expansion is asked for
 
 
 def mapped(values: dict, key: Column, default=None) -> Column:

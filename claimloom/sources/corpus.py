@@ -18,6 +18,7 @@ from claimloom.functions.text import let
 # Sections in order of priority, and words of their titles.
 SECTIONS = (("RESULTS", r"result|finding"), ("FIGURE LEGENDS", None), ("METHODS", r"method|material|experimental|procedure"), ("DISCUSSION", r"discussion|conclusion"), ("OTHER", None))
 LONGER_BY = 500
+ANCHOR = 16  # characters of a phrase under which it stands in the index, at most
 CLAIM_FIELDS = "claim_type string, subject string, relation string, object string, system string, context_cell_type string, context_model string, context_tissue string, context_dose string, context_timepoint string, perturbation_class string, subject_attribute string, object_attribute string, span string, methods_span string, comparator_present boolean, rescue_arm boolean, orthogonal_validation boolean, readout_is_inferred boolean"
 SCENARIO = (
     "description string, question string, parsed struct<population_model:string,exposure:string,comparator:string,outcome:string,mechanism_hypothesis:string,outcome_readouts:array<string>,target_system:string,exposure_change:string,expected_direction:string>,"
@@ -27,6 +28,15 @@ SCENARIO = (
 )
 
 
+class Unavailable(Exception):
+    """A source or a judge did not answer: the round goes on without it. Other errors are errors."""
+
+
+def is_unavailable(e: Exception) -> bool:
+    """Whether an error, also one that comes from a task, is ``Unavailable``."""
+    return isinstance(e, Unavailable) or f"{Unavailable.__module__}.{Unavailable.__name__}" in str(e)
+
+
 def read_scenario(spark: SparkSession, path: str) -> DataFrame:
     """One row of a scenario document; maps are read as maps, whatever their keys."""
     return spark.read.schema(SCENARIO).option("multiLine", True).json(path)
@@ -189,9 +199,19 @@ class CorpusTable:
 
     def search(self, queries: DataFrame) -> DataFrame:
         """(query_id, ok, pmids, ignored_terms): the first ``retmax`` papers with a keyword phrase in the lower-cased
-        query. queries: query_id, query, retmax - a round's few, so they are the side that is sent around."""
-        phrases = self.papers.select("pmid", "place", F.explode("keywords").alias("phrase"))
-        hit = phrases.join(F.broadcast(queries), F.contains(F.lower("query"), F.col("phrase"))).select("query_id", "retmax", "pmid", "place").distinct()
+        query. queries: query_id, query, retmax.
+
+        Phrases stand in an index under their beginning: its first 2^n characters, for the greatest such length up to ``ANCHOR``. A query
+        looks up the pieces of these lengths at each of its places, and the phrases found are then compared whole."""
+        lengths = [0, *(1 << n for n in range(ANCHOR.bit_length()))]
+        size = F.coalesce(*[F.when(F.length("phrase") >= n, F.lit(n)) for n in reversed(lengths)])
+        index = self.papers.select("pmid", "place", F.explode("keywords").alias("phrase")).where("phrase is not null").distinct()
+        index = index.withColumn("size", size).withColumn("start", F.expr("substring(phrase, 1, size)"))
+        low = queries.select("query_id", "retmax", F.lower("query").alias("low")).where("low is not null")
+        place = F.explode(F.sequence(F.lit(1), F.greatest(F.length("low"), F.lit(1))))
+        asked = low.select("query_id", "retmax", "low", place.alias("at")).select("query_id", "retmax", "low", "at", F.explode(F.array(*map(F.lit, lengths))).alias("size"))
+        asked = asked.select("query_id", "retmax", "low", "size", F.expr("substring(low, at, size)").alias("start")).where("length(start) = size").distinct()
+        hit = asked.join(index, ["size", "start"]).where(F.contains("low", F.col("phrase"))).select("query_id", "retmax", "pmid", "place").distinct()
         few = hit.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("place", "pmid"))).where("n <= retmax")
         got = few.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "pmid"))), lambda x: x["pmid"]).alias("pmids"))
         none = F.array().cast("array<string>")

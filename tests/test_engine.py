@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from claimloom import schemas as S
 from claimloom.operators import report as R
-from claimloom.plans.engine import Engine, finish
+from claimloom.plans.engine import Engine, Run, finish
 from claimloom.plans.scripted import Scripted, synthesis
 from claimloom.sources import corpus as C
 
@@ -79,3 +79,37 @@ def test_chat_context_and_rows(finished):
     assert {"Cp1_0", "Cp2_0", "Cp3_0", "Cp4_0"} <= {r.id for r in used.collect()}
     rows = R.portfolio_rows(st.ranked, st.links).orderBy("rank").collect()
     assert rows[0].pathway.startswith("shade → ") and rows[0].verdict == "Supported" and rows[0].source == "Found in literature graph"
+
+
+def test_measures_and_signals_of_the_run(spark, finished):
+    from claimloom.plans.session import measures
+
+    engine, st = finished
+    log = spark.createDataFrame(st.log, "query_id string, query string, target string, ok boolean, hits int, ignored_terms array<string>")
+    m = measures(spark, st, log, {"passed": False})
+    assert m["pairs_asked"] >= m["pairs_judged"] > 0 and m["llm_failures"] == 0 and m["concepts"] > 0 and 0 <= m["local_share"] <= 1 and m["duplicate_labels"] == 0
+    assert "verification failed" in m["signals"] and "run did not finish" not in m["signals"]
+    assert "run did not finish" in measures(spark, st, log, None, "failed")["signals"]
+
+
+def test_a_source_that_is_down_is_not_a_mistake_in_code(spark, finished):
+    engine, st = finished
+
+    class Down:
+        def __init__(self, error):
+            self.error = error
+
+        def search(self, queries):
+            return queries.select("query_id", F.lit(True).alias("ok"), F.array(F.lit("p99")).alias("pmids"), F.expr("cast(array() as array<string>)").alias("ignored_terms"))
+
+        def fetch(self, ids):
+            raise self.error
+
+    def searched(error):
+        other = Engine(spark, Down(error), engine.judge, engine.settings)
+        run = Run(**{**st.__dict__, "targets": [], "log": []})
+        return other.search(run)[1]
+
+    assert searched(C.Unavailable("no answer")) is True
+    with pytest.raises(KeyError):
+        searched(KeyError("a mistake"))

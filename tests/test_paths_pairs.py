@@ -125,8 +125,9 @@ def test_best_paths_equal_the_first_of_all(spark):
         goals = spark.createDataFrame([("n03",), ("n07",)], "id string")
         want = sorted(((-r.least, r.links) for r in H.ledger_paths(ls, "n00", goals).collect()))
         for most, width in ((3, 8), (40, None)):
-            got = H.best_paths(ls, "n00", goals, most, width=width).collect()
+            got = H.best_paths(ls, "n00", goals, most, width=width, few=0).collect()
             assert sorted((-r.least, r.links) for r in got) == want[:most]
+        assert sorted((-r.least, r.links) for r in H.best_paths(ls, "n00", goals, 9).collect()) == want[:9]  # few edges: listed whole
     assert H.best_paths(ls.limit(0), "n00", goals, 5).count() == 0 and H.best_paths(ls, "elsewhere", goals, 5).count() == 0
 
 

@@ -76,6 +76,35 @@ def test_signals(spark):
     assert len(w) == 4 and w[-1].startswith("2 claim relations")
 
 
+def test_every_signal_can_fire(spark):
+    bad = {
+        "drop_rate": 0.5, "relation_unverified": 20, "claims_kept": 40, "method_fields_uncredited": 30, "local_share": 0.9, "fragmentation": 0.9, "alias_merges": 0, "never_extracted": 5, "included": 10, "full_text_share": 0.1, "queries_ignored": 4, "queries": 8,
+        "queries_zero_hits": 5, "inclusion_rate": 0.1, "pending_relations": 1, "unresolved_relations": 20, "pathways_supported": 0, "steps_unfound": 9, "steps": 10, "leader_last_changed": True, "verified": False, "llm_failures": 2, "status": "failed",
+        "stop_reason": "token budget reached", "semantic_status": "PARTIAL", "pairs_asked": 10, "pairs_judged": 2, "duplicate_labels": 1,
+    }
+    row = spark.range(1).select(*[F.lit(v).alias(k) for k, v in bad.items()])
+    assert [r.signal for r in T.signals(row).collect()] == [name for name, _ in T.SIGNALS] and len(T.SIGNALS) == 23
+
+
+def test_entailment_without_a_judge(spark):
+    c, texts = claims(spark, claim("C1_0")), spark.createDataFrame([("d", "Lactate increases IFNG [C1_0]. No one cites this sentence here.")], "doc string, text string")
+
+    def down(asked, claims):
+        raise C.Unavailable("no answer")
+
+    def wrong(asked, claims):
+        raise KeyError("a mistake")
+
+    def strict(asked, claims):
+        return asked.select("doc", F.col("n").alias("sentence_index"), F.lit("unsupported").alias("verdict"), F.lit("w").alias("rationale"))
+
+    assert [(r.sentence, r.verdict) for r in R.checked_entailment(texts, c, down).collect()] == [("Unavailable", "check_unavailable")]
+    assert [(r.sentence, r.verdict) for r in R.checked_entailment(texts, c, strict).collect()] == [("Lactate increases IFNG [C1_0].", "unsupported")]
+    assert R.checked_entailment(texts.withColumn("text", F.lit("Nothing cited at all.")), c, down).count() == 0
+    with pytest.raises(KeyError):
+        R.checked_entailment(texts, c, wrong)
+
+
 def test_summary_row(spark):
     papers = spark.createDataFrame([("p1", "included", False, "full_text"), ("p2", "included", False, "abstract_only"), ("p3", "excluded", True, "abstract_only")], "pmid string, screen_status string, retracted boolean, text_access string")
     links = spark.createDataFrame([("k", "no study found in 2 targeted searches", True)], "key string, reason string, exhausted boolean")

@@ -1,6 +1,10 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from claimloom.functions import quotes
 from claimloom.functions import text as X
 
 CASES = [
@@ -47,3 +51,40 @@ def test_alias_prefilter_and_blocks(spark):
     assert [r[0] for r in df.select(X.maybe_alias(F.col("a"), F.col("b"))).collect()] == [True, True, False, False]
     got = spark.range(1).select(X.block_keys(F.lit("C1"), F.array(F.lit("P1")), F.lit("Sodium lactate cells"))).first()[0]
     assert got == ["C1", "P1", "stem:sodiu", "stem:lacta"]
+
+
+def test_quotes_with_words_left_out_equal_a_plain_scan():
+    """Sentence by sentence and stretch by stretch, word after word."""
+    rng, words = random.Random(8), ["lactate", "raises", "cells", "not", "no", "in", "the", "marked", "never", "ifng", "strongly", "trial"]
+
+    def scan(quote, have):
+        if not quotes.NEGATION_TOKENS & set(quote) <= set(have):
+            return False
+        at = hits = 0
+        for w in quote:
+            if w in have[at:]:
+                at, hits = have.index(w, at) + 1, hits + 1
+        return hits / len(quote) >= quotes.LEAST_SHARE
+
+    def plain(span, source):
+        s, text = quotes.unified(span), quotes.unified(source)
+        if len(s) < 20 or s in text:
+            return len(s) >= 20
+        quote, have = quotes.content_words(s), quotes.content_words(text)
+        wide = max(2 * len(quote), len(quote) + 10)
+        parts = [quotes.content_words(x) for x in re.split(r"(?<=[.!?])\s+", text)] + [have[i : i + wide] for i in range(max(1, len(have) - wide + 1))]
+        return any(scan(quote, p) for p in parts) if quote else False
+
+    seen = set()
+    for _ in range(1500):
+        source = " ".join(rng.choice(words) + rng.choice(["", "", "", "."]) for _ in range(rng.randrange(60)))
+        cut = source.replace(".", "").split()
+        i = rng.randrange(len(cut) + 1)
+        span = " ".join(w for w in cut[i : i + rng.randrange(4, 16)] if rng.random() < 0.9)
+        if rng.random() < 0.3:
+            span = " ".join(rng.choice(words) for _ in range(rng.randrange(3, 12)))
+        got = quotes.anchored(span, source)
+        assert got == (plain(span, source) if span and source else False), (span, source)
+        seen.add((got, quotes.unified(span) in quotes.unified(source)))
+    assert {(True, False), (True, True), (False, False)} <= seen
+    assert quotes.anchored("lactate strongly raises ifng in cells", ("the trial marked cells. " * 20_000) + "lactate strongly then raises ifng in the cells")
