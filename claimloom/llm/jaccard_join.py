@@ -63,7 +63,7 @@ def _signatures(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
-            for i, j, b in blocks(batch, size=1 << 20):
+            for i, j, b in blocks(batch):
                 x, ptr = shingle_hashes(b, size)
                 full = np.flatnonzero(np.diff(ptr))
                 sig = np.empty((len(full), N_HASH), np.uint32)
@@ -296,7 +296,7 @@ def _with_seq(at: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             short = pa.RecordBatch.from_arrays([batch.column(at)], ["text"])
-            for i, j, b in blocks(short, size=1 << 20):
+            for i, j, b in blocks(short):
                 h = b.word_hashes(lower=True)
                 seq = sequence_hash(sequence_sums(h), b.wptr[:-1], b.wptr[1:])
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.array(signed(seq), mask=b.wptr[:-1] == b.wptr[1:])], [*names, "__claimloom_seq"])

@@ -76,6 +76,12 @@ class Ranks:
 
 
 PASSWORDS = Ranks("passwords", RANK, max(map(len, RANK)))
+_KEPT: dict[str, Ranks] = {}
+
+
+def kept(ranks: Ranks) -> Ranks:
+    """The list of that name that this process has: each task brings its own copy, and remembered costs would keep all of them."""
+    return _KEPT.setdefault(ranks.name, ranks)
 
 
 @functools.cache
@@ -262,6 +268,7 @@ def _digest(ranks: Ranks):
     none = hashlib.sha256(b"").hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = kept(ranks)
         for batch in batches:
             for i, j, b in blocks(batch):
                 hexes = long_hex(b)
@@ -269,7 +276,7 @@ def _digest(ranks: Ranks):
                 n = np.zeros((3, b.n), np.int64)
                 sha, spans, cost = [none] * b.n, [""] * b.n, [None] * b.n
                 for d, t in enumerate(texts):
-                    found, costs = _found(t, bool(hexes[d]), ranks)
+                    found, costs = _found(t, bool(hexes[d]), own)
                     if found:
                         base = [x for x in found if x[1] < 3]
                         for _, k, _ in base:
@@ -313,10 +320,11 @@ def mask_secrets(docs: DataFrame, mask: str = "[SECRET]", words: str | None = No
     chars = names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = kept(ranks)
         for batch in batches:
             hexes = np.concatenate([long_hex(b) for _, _, b in blocks(batch)] or [np.zeros(0, bool)])
             texts, columns = batch.column(at).to_pylist(), list(batch.columns)
-            new = [redact(t, mask, ranks) if _found(t, bool(h), ranks)[0] else t for t, h in zip(texts, hexes, strict=True)]
+            new = [redact(t, mask, own) if _found(t, bool(h), own)[0] else t for t, h in zip(texts, hexes, strict=True)]
             columns[at] = pa.array(new, pa.string())
             if chars is not None:
                 columns[chars] = pa.array([len(x) if x != t else n for x, t, n in zip(new, texts, batch.column(chars).to_pylist(), strict=True)], batch.column(chars).type)

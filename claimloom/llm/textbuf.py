@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 U = np.uint64
 _BASE, _BASE2 = 0x9E3779B97F4A7C15 | 5, 0xD1342543DE82EF95 | 5
 _rng = np.random.default_rng(20240229)
