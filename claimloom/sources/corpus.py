@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from claimloom import schemas as S
 from claimloom.functions.grading import is_retracted, study_type_of_publication
 from claimloom.functions.text import let
+from claimloom.sources.scratch import materialize
 
 # Sections in order of priority, and words of their titles.
 SECTIONS = (("RESULTS", r"result|finding"), ("FIGURE LEGENDS", None), ("METHODS", r"method|material|experimental|procedure"), ("DISCUSSION", r"discussion|conclusion"), ("OTHER", None))
@@ -202,18 +203,27 @@ class CorpusTable:
         query. queries: query_id, query, retmax.
 
         Phrases stand in an index under their beginning: its first 2^n characters, for the greatest such length up to ``ANCHOR``. A query
-        looks up the pieces of these lengths at each of its places, and the phrases found are then compared whole."""
+        looks up the pieces of these lengths at each of its places, and the phrases found are then compared whole. Equal phrases and equal
+        queries are looked up once, and a phrase keeps its first papers only, as many as any query may have: a query's first papers are
+        among the first ones of its phrases."""
+        most = max(queries.agg(F.max("retmax")).first()[0] or 0, 0)
         lengths = [0, *(1 << n for n in range(ANCHOR.bit_length()))]
         size = F.coalesce(*[F.when(F.length("phrase") >= n, F.lit(n)) for n in reversed(lengths)])
-        index = self.papers.select("pmid", "place", F.explode("keywords").alias("phrase")).where("phrase is not null").distinct()
-        index = index.withColumn("size", size).withColumn("start", F.expr("substring(phrase, 1, size)"))
+        listed = self.papers.select("pmid", "place", F.explode("keywords").alias("phrase")).where("phrase is not null")
+        listed = listed.groupBy("phrase", "place", "pmid").agg(F.lit(1).alias("one"))
+        first = materialize(listed.withColumn("n", F.row_number().over(Window.partitionBy("phrase").orderBy("place", "pmid"))).where(F.col("n") <= most).select("phrase", "place", "pmid"), "phrases")
+        index = first.select("phrase").distinct().withColumn("size", size).withColumn("start", F.expr("substring(phrase, 1, size)"))
         low = queries.select("query_id", "retmax", F.lower("query").alias("low")).where("low is not null")
         place = F.explode(F.sequence(F.lit(1), F.greatest(F.length("low"), F.lit(1))))
-        asked = low.select("query_id", "retmax", "low", place.alias("at")).select("query_id", "retmax", "low", "at", F.explode(F.array(*map(F.lit, lengths))).alias("size"))
-        asked = asked.select("query_id", "retmax", "low", "size", F.expr("substring(low, at, size)").alias("start")).where("length(start) = size").distinct()
-        hit = asked.join(index, ["size", "start"]).where(F.contains("low", F.col("phrase"))).select("query_id", "retmax", "pmid", "place").distinct()
-        few = hit.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("place", "pmid"))).where("n <= retmax")
-        got = few.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "pmid"))), lambda x: x["pmid"]).alias("pmids"))
+        asked = low.select("low").distinct().select("low", place.alias("at")).select("low", "at", F.explode(F.array(*map(F.lit, lengths))).alias("size"))
+        asked = asked.select("low", "size", F.expr("substring(low, at, size)").alias("start")).where("length(start) = size").distinct()
+        named = materialize(asked.join(index, ["size", "start"]).where(F.contains("low", F.col("phrase"))).select("low", "phrase").distinct(), "named")
+        hit = named.join(first, "phrase").groupBy("low", "place", "pmid").agg(F.lit(1).alias("one"))
+        best = hit.withColumn("n", F.row_number().over(Window.partitionBy("low").orderBy("place", "pmid"))).where(F.col("n") <= most)
+        lists = materialize(best.groupBy("low").agg(F.sort_array(F.collect_list(F.struct("place", "pmid"))).alias("best")), "lists")
+        # the papers of a query; those of several queries with one number together
+        one = low.join(lists, "low").groupBy("query_id").agg(F.max("retmax").alias("retmax"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))).alias("best"))
+        got = one.select("query_id", F.transform(F.slice("best", F.lit(1), F.greatest("retmax", F.lit(0))), lambda x: x["pmid"]).alias("pmids"))
         none = F.array().cast("array<string>")
         return queries.join(got, "query_id", "left").select("query_id", F.lit(True).alias("ok"), F.coalesce("pmids", none).alias("pmids"), none.alias("ignored_terms"))
 
