@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from claimloom.operators import links as L
 from claimloom.operators import pairs as P
 from claimloom.sources import corpus as C
 
@@ -39,3 +40,17 @@ def test_search_of_common_phrases(spark):
     got = C.CorpusTable(papers).search(asked)  # 3.6 * 10^9 hits
     first = {i: list(range(n - 1, n - 1 - i, -1)) for i in range(4)}
     assert {(r.k, tuple(r.pmids)): r.n for r in got.groupBy((F.col("query_id") % 4).alias("k"), "pmids").agg(F.count("*").alias("n")).collect()} == {(i, tuple(first[i])): n // 4 for i in range(4)}
+
+
+def test_edges_of_reviews_and_pairs_of_conflicts(spark):
+    rows = [claim("c0", "p0", "associated_with", study_type="review")]  # its grade stays open
+    rows += [claim(f"u{i}", f"p{i}", "increases", context_cell_type="xy"[i % 2], system="human_in_vivo" if i % 3 else "in_vitro", text_access="ab"[i % 2]) for i in range(1, 9)]
+    rows += [claim(f"d{i}", f"q{i}", "decreases", context_cell_type="xyz"[i % 3], system="animal_in_vivo" if i % 2 else "in_vitro", text_access="ab"[i % 2]) for i in range(1, 9)]
+    c = claims(spark, *rows).withColumn("conflict", F.concat("text_access", F.when(F.col("relation_norm") == "increases", "+").otherwise("-")))
+    classes = spark.createDataFrame([("a+", "a-"), ("b+", "b-")], "lo string, hi string")
+    of = lambda access, r: [x["id"] for x in rows if x["text_access"] == access and x["relation_norm"] == r]
+    listed = spark.createDataFrame([(x, y) for a in "ab" for x in of(a, "increases") for y in of(a, "decreases")], "lo string, hi string")
+    got = {r.key: r for r in L.build_links(c, discounted=classes).collect()}
+    want = {r.key: r for r in L.build_links(c.drop("conflict"), discounted=listed).collect()}
+    assert got == want and any(L.OTHER_CONTEXT in r.uncounted.values() for r in got.values()) and any(r.contradicting_ids for r in got.values())
+    assert got["LOCAL:a|associated_with|LOCAL:b"].grade == "ungraded" and got["LOCAL:a|associated_with|LOCAL:b"].reason == "only secondary sources (reviews)"
