@@ -4,7 +4,7 @@ and found nothing.
 Events are rows (key, round, kind, empty, at): ``targeted`` counts a round's choice of the step, ``rolled_back`` takes it back where
 the round turned out to be the last, ``searched`` with empty true tells of a clean search without yield. State holds one entry for each round of a
 key, so an event that comes again, late, or in another order changes nothing: the counters are those of the batch aggregation
-``counted``.
+``counted``. Where keys never expire, the entries are a streaming aggregation; a processor of the same entries is kept for timers.
 """
 
 from __future__ import annotations
@@ -50,16 +50,21 @@ class LinkCounters(StatefulProcessor):
         return pd.DataFrame([(key, sum(e[0] and not e[1] for e in entries), zero, zero >= self.exhaust_after, expired)], columns=["key", "times_targeted", "zero_yield_count", "exhausted", "expired"])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        told, last = {}, None
         for pdf in rows:
             for n, kind, empty in zip(pdf["round"], pdf["kind"], pdf["empty"], strict=True):
-                at = (int(n),)
-                old = self.rounds.getValue(at) if self.rounds.containsKey(at) else (False, False, False)
                 new = (kind == "targeted", kind == "rolled_back", kind == "searched" and empty is not None and bool(empty))
-                self.rounds.updateValue(at, tuple(bool(a or b) for a, b in zip(old, new, strict=True)))
-            if self.idle is not None:
-                for timer in list(self.handle.listTimers()):
-                    self.handle.deleteTimer(timer)
-                self.handle.registerTimer(int(max(pdf["at"]).timestamp() * 1000) + self.idle)
+                told[int(n)] = tuple(a or b for a, b in zip(told.get(int(n), (False, False, False)), new, strict=True))
+            last = max(pdf["at"]) if last is None else max(last, max(pdf["at"]))
+        for n, new in told.items():  # state is met once a round, however many events tell of it
+            old = self.rounds.getValue((n,)) if self.rounds.containsKey((n,)) else None
+            both = new if old is None else tuple(bool(a or b) for a, b in zip(old, new, strict=True))
+            if old is None or both != tuple(old):
+                self.rounds.updateValue((n,), both)
+        if self.idle is not None and last is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(int(last.timestamp() * 1000) + self.idle)
         yield self._row(key[0], False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -70,13 +75,23 @@ class LinkCounters(StatefulProcessor):
         pass
 
 
+def _aggregated(events: DataFrame, exhaust_after: int) -> DataFrame:
+    """The counters as an aggregation: of each key the set of its entries, a number of round and kind each."""
+    nth = F.coalesce(F.col("round").cast("long"), F.lit(1 << 31))  # no round's number
+    told = F.when(F.col("kind") == "targeted", 0).when(F.col("kind") == "rolled_back", 1).when((F.col("kind") == "searched") & F.col("empty"), 2)
+    sets = events.select("key", (nth * 4 + told).alias("entry")).groupBy("key").agg(F.collect_set("entry").alias("x"))
+    rounds = lambda k: F.transform(F.filter("x", lambda e: F.pmod(e, F.lit(4)) == k), lambda e: e - k)
+    out = sets.select("key", F.size(F.array_except(rounds(0), rounds(1))).alias("times_targeted"), F.size(rounds(2)).alias("zero_yield_count"))
+    return out.select("*", (F.col("zero_yield_count") >= exhaust_after).alias("exhausted"), F.lit(False).alias("expired"))
+
+
 def link_counters(events: DataFrame, exhaust_after: int = 2, idle_ms: int | None = None, late: str = "1 hour") -> DataFrame:
     """A stream of the counters (``COUNTERS``) of the keys that a batch of events touches. State lives in RocksDB, on
-    the executors and in the query's checkpoint."""
+    the executors and in the query's checkpoint; only where keys expire does it pass through Python."""
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
-    rows = events if idle_ms is None else events.withWatermark("at", late)
-    mode = "None" if idle_ms is None else "EventTime"
-    return rows.groupBy("key").transformWithStateInPandas(LinkCounters(exhaust_after, idle_ms), outputStructType=COUNTERS, outputMode="Update", timeMode=mode)
+    if idle_ms is None:
+        return _aggregated(events, exhaust_after)
+    return events.withWatermark("at", late).groupBy("key").transformWithStateInPandas(LinkCounters(exhaust_after, idle_ms), outputStructType=COUNTERS, outputMode="Update", timeMode="EventTime")
 
 
 def follow(counters: DataFrame, name: str, **trigger) -> tuple[StreamingQuery, str]:
