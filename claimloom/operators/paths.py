@@ -144,10 +144,15 @@ def best_paths(links: DataFrame, exposure: str, outcomes: DataFrame, most: int,
     return sure.unionByName(rest.orderBy("links").limit(most - n))
 
 
+def _along(triples: Column) -> Column:
+    """Subjects and objects of steps in their order, neighbours that are equal once."""
+    ends = F.flatten(F.transform(triples, lambda t: F.array(t["s"], t["o"])))
+    return F.aggregate(ends, F.array().cast("array<string>"), lambda acc, n: F.when((F.size(acc) > 0) & (F.element_at(acc, -1) == n), acc).otherwise(F.concat(acc, F.array(n))))
+
+
 def nodes(links: Column) -> Column:
     """The nodes along a path, neighbours that are equal once."""
-    ends = F.flatten(F.transform(links, lambda k: F.array(key_part(k, "subject"), key_part(k, "object"))))
-    return F.aggregate(ends, F.array().cast("array<string>"), lambda acc, n: F.when((F.size(acc) > 0) & (F.element_at(acc, -1) == n), acc).otherwise(F.concat(acc, F.array(n))))
+    return _along(F.transform(links, lambda k: F.struct(key_part(k, "subject").alias("s"), key_part(k, "object").alias("o"))))
 
 
 def pathway_sign(expected: Column, change: Column) -> Column:
@@ -157,21 +162,28 @@ def pathway_sign(expected: Column, change: Column) -> Column:
 
 
 def logic_flags(links: Column, contexts: Column, categories: Column, expected: Column) -> Column:
-    """Flags in fixed order. contexts: array of each known step's contexts; categories: map of node to category."""
-    triples = F.transform(links, lambda k: F.struct(key_part(k, "subject").alias("s"), key_part(k, "relation").alias("r"), key_part(k, "object").alias("o")))
+    """Flags in fixed order. contexts: array of each known step's contexts; categories: map of node to category. Parts of keys, nodes and
+    categories are worked out once for each path."""
+    triples = F.transform(links, lambda k: let(F.split(k, r"\|"), lambda p: F.struct(*(F.element_at(p, i + 1).alias(n) for i, n in enumerate("sro")))))
     adjacent = lambda xs, f: F.exists(F.zip_with(F.slice(xs, F.lit(1), F.greatest(F.size(xs) - 1, F.lit(0))), F.slice(xs, 2, F.greatest(F.size(xs) - 1, F.lit(0))), f), lambda b: b)
-    sign = F.transform(triples, lambda t: S.mapped(S.SIGN, t["r"]))
-    unknown = F.exists(sign, lambda x: x.isNull())
-    product = F.aggregate(sign, F.lit(1), lambda acc, x: acc * F.coalesce(x, F.lit(1)))
-    wrong = expected.isin("up", "down") & (product != F.when(expected == "up", 1).otherwise(-1))
-    apart = adjacent(triples, lambda a, b: a["o"] != b["s"])
-    loop = let(nodes(links), lambda n: F.size(n) != F.size(F.array_distinct(n)))
-    cat = lambda n: F.element_at(categories, n)
-    backwards = F.exists(triples, lambda t: F.coalesce(cat(t["s"]).isin("phenotype", "disease") & cat(t["o"]).isin("gene_or_protein", "chemical"), F.lit(False)))
-    known = F.transform(contexts, lambda c: F.array_remove(c, "unspecified"))
-    cross = adjacent(known, lambda a, b: (F.size(a) > 0) & (F.size(b) > 0) & ~F.arrays_overlap(a, b))
-    named = [(apart, "disconnected"), (loop, "cycle"), (unknown, "sign_unknown"), (~unknown & wrong, "sign_mismatch"), (backwards, "reverse_order"), (cross, "cross_context")]
-    return F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for c, n in named]), lambda x: x.isNotNull())
+    once = F.struct(triples.alias("triples"), F.transform(contexts, lambda c: F.array_remove(c, "unspecified")).alias("known"), categories.alias("categories"), expected.alias("expected"))
+
+    def signed(x: Column) -> Column:
+        return F.struct(x["triples"].alias("triples"), x["known"].alias("known"), x["categories"].alias("categories"), x["expected"].alias("expected"), F.transform(x["triples"], lambda t: S.mapped(S.SIGN, t["r"])).alias("sign"), _along(x["triples"]).alias("nodes"))
+
+    def flags(x: Column) -> Column:
+        triples, cat = x["triples"], lambda n: F.element_at(x["categories"], n)
+        unknown = F.exists(x["sign"], lambda v: v.isNull())
+        product = F.aggregate(x["sign"], F.lit(1), lambda acc, v: acc * F.coalesce(v, F.lit(1)))
+        wrong = x["expected"].isin("up", "down") & (product != F.when(x["expected"] == "up", 1).otherwise(-1))
+        apart = adjacent(triples, lambda a, b: a["o"] != b["s"])
+        loop = F.size(x["nodes"]) != F.size(F.array_distinct(x["nodes"]))
+        backwards = F.exists(triples, lambda t: F.coalesce(cat(t["s"]).isin("phenotype", "disease") & cat(t["o"]).isin("gene_or_protein", "chemical"), F.lit(False)))
+        cross = adjacent(x["known"], lambda a, b: (F.size(a) > 0) & (F.size(b) > 0) & ~F.arrays_overlap(a, b))
+        named = [(apart, "disconnected"), (loop, "cycle"), (unknown, "sign_unknown"), (~unknown & wrong, "sign_mismatch"), (backwards, "reverse_order"), (cross, "cross_context")]
+        return F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for c, n in named]), lambda v: v.isNotNull())
+
+    return let(let(once, signed), flags)
 
 
 def logic_factor(flags: Column) -> Column:
