@@ -6,8 +6,12 @@ is one over a table of papers, ``scenario`` reads one from JSON.
 
 from __future__ import annotations
 
+import itertools
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +22,7 @@ from claimloom.sources.scratch import materialize
 
 # Sections in order of priority, and words of their titles.
 SECTIONS = (("RESULTS", r"result|finding"), ("FIGURE LEGENDS", None), ("METHODS", r"method|material|experimental|procedure"), ("DISCUSSION", r"discussion|conclusion"), ("OTHER", None))
+ASIDE = ("fig", "table-wrap", "ref-list")
 LONGER_BY = 500
 ANCHOR = 16  # characters of a phrase under which it stands in the index, at most
 CLAIM_FIELDS = "claim_type string, subject string, relation string, object string, system string, context_cell_type string, context_model string, context_tissue string, context_dose string, context_timepoint string, perturbation_class string, subject_attribute string, object_attribute string, span string, methods_span string, comparator_present boolean, rescue_arm boolean, orthogonal_validation boolean, readout_is_inferred boolean"
@@ -65,38 +70,35 @@ def with_publication(papers: DataFrame) -> DataFrame:
     return papers.withColumn("pubtype_study_type", study_type_of_publication(F.col("publication_types"))).withColumn("retracted", is_retracted(F.col("publication_types")))
 
 
+def _tags(names: tuple[str, ...]) -> str:
+    return r"(?is)</?(?:" + "|".join(names) + r")(?=[\s/>])[^>]*>"
+
+
 def scanned(markup: Column, *names: str) -> Column:
     """An array of (depth, n, tag, text): the markup cut at the opening and closing tags of these elements. depth: how many
     of them are open after the tag; n: how many outermost ones have begun. A stack as running sums over the tags."""
-    pattern = r"(?is)</?(?:" + "|".join(names) + r")(?=[\s/>])[^>]*>"
-    piece = lambda depth, n, e: F.struct(depth.alias("depth"), n.alias("n"), e["tag"].alias("tag"), e["text"].alias("text"))
+    pattern = _tags(names)
     zero = F.lit(0)
     begin = F.struct(zero.alias("depth"), zero.alias("n"), F.expr("cast(array() as array<struct<depth:int,n:int,tag:string,text:string>>)").alias("out"))
 
+    def event(tag: Column, text: Column) -> Column:
+        return F.struct(tag.alias("tag"), text.alias("text"), F.when(tag.startswith("</"), -1).when((tag == "") | tag.endswith("/>"), 0).otherwise(1).alias("by"))
+
     def step(acc: Column, e: Column) -> Column:
-        opens = ~e.tag.startswith("</") & ~e.tag.endswith("/>") & (e.tag != "")
-        depth = F.when(opens, acc.depth + 1).when(e.tag.startswith("</"), F.greatest(acc.depth - 1, zero)).otherwise(acc.depth)
-        n = acc.n + (opens & (acc.depth == 0)).cast("int")
-        return F.struct(depth.alias("depth"), n.alias("n"), F.concat(acc.out, F.array(piece(depth, n, e))).alias("out"))
+        at = F.struct(F.greatest(acc.depth + e.by, zero).alias("depth"), (acc.n + ((e.by == 1) & (acc.depth == 0)).cast("int")).alias("n"))
+        return let(at, lambda p: F.struct(p.depth.alias("depth"), p.n.alias("n"), F.concat(acc.out, F.array(F.struct(p.depth.alias("depth"), p.n.alias("n"), e.tag.alias("tag"), e.text.alias("text")))).alias("out")))
 
     def cut(m: Column) -> Column:
         tags = F.concat(F.array(F.lit("")), F.regexp_extract_all(m, F.lit(pattern), F.lit(0)))  # the text before the first tag has none
-        events = F.zip_with(tags, F.split(m, pattern, -1), lambda g, x: F.struct(g.alias("tag"), x.alias("text")))
-        return F.aggregate(events, begin, step, lambda acc: acc.out)
+        return F.aggregate(F.zip_with(tags, F.split(m, pattern, -1), event), begin, step, lambda acc: acc.out)
 
     return let(markup, cut)
 
 
-def outermost(markup: Column, name: str) -> Column:
-    """The markup of each outermost element of a name, its own opening tag and all that it holds."""
-    held = lambda all_, k: F.filter(all_, lambda p: (p.depth > 0) & (p.n == k))
-    joined = lambda pieces: F.array_join(F.transform(pieces, lambda p: F.concat(p.tag, p.text)), "")
-    return let(scanned(markup, name), lambda all_: F.transform(F.sequence(F.lit(1), F.array_max(F.transform(all_, lambda p: p.n)) + 1), lambda k: joined(held(all_, k))))
-
-
 def outside(markup: Column, *names: str) -> Column:
     """The markup without these elements and all that they hold."""
-    return F.array_join(F.transform(F.filter(scanned(markup, *names), lambda p: p.depth == 0), lambda p: p.text), "")
+    bare = F.array_join(F.transform(F.filter(scanned(markup, *names), lambda p: p.depth == 0), lambda p: p.text), "")
+    return F.when(markup.rlike(_tags(names)), bare).otherwise(markup)  # most have none
 
 
 def without_comments(markup: Column) -> Column:
@@ -128,10 +130,13 @@ def plain_text(markup: Column) -> Column:
 def flat_text(xml: Column, trim: bool = True) -> Column:
     """Text of markup without figures, tables and reference lists, white space collapsed; with trim, none is kept at the
     ends of an element's text."""
-    bare = outside(without_comments(xml), "fig", "table-wrap", "ref-list")
+    return _flat(outside(without_comments(xml), *ASIDE), trim)
+
+
+def _flat(bare: Column, trim: bool) -> Column:
     if trim:
         bare = F.regexp_replace(F.regexp_replace(bare, r"(?U)(<[^/!>](?:[^>]*[^/>])?>)\s+", "$1"), r"(?U)\s+(?=</)", "")
-    return F.btrim(F.regexp_replace(decoded(F.regexp_replace(bare, r"<[^>]*>", "")), r"(?U)\s+", " "))
+    return F.btrim(F.regexp_replace(decoded(F.regexp_replace(bare, r"<[^>]*>", "")), r"(?U) \s+|[^\S ]\s*", " "))  # single blanks stay as they are
 
 
 def section_name(title: Column) -> Column:
@@ -139,29 +144,68 @@ def section_name(title: Column) -> Column:
     return F.coalesce(*[F.when(low.rlike(p), F.lit(n)) for n, p in SECTIONS if p], F.lit("OTHER"))
 
 
+def _pieces(markup: str, tags: re.Pattern) -> list[tuple[int, int, str, str]]:
+    """As ``scanned``, of one text."""
+    out, depth, n, at, tag = [], 0, 0, 0, ""
+    for t in tags.finditer(markup):
+        out.append((depth, n, tag, markup[at : t.start()]))
+        tag, at = t.group(), t.end()
+        if tag.startswith("</"):
+            depth = max(depth - 1, 0)
+        elif not tag.endswith("/>"):
+            n, depth = n + (depth == 0), depth + 1
+    return [*out, (depth, n, tag, markup[at:])]
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, caption, pos, x, own) of rows (key, body): the outermost sections and captions. x: a caption's markup, a section's without
+    figures, tables and lists; own: a section's outside sections, figures, tables and lists in it."""
+    sec, caption, aside, untitled = (re.compile(_tags(n), re.A) for n in (("sec",), ("caption",), ASIDE, (*ASIDE, "caption")))
+    bare = lambda m, tags: "".join(text for depth, _, _, text in _pieces(m, tags) if not depth)
+    for batch in batches:
+        rows = []
+        for i, body in enumerate(batch.column(1).to_pylist()):
+            for is_caption, tags in ((False, sec), (True, caption)):
+                held = (p for p in _pieces(body or "", tags) if p[0])
+                for n, group in itertools.groupby(held, lambda p: p[1]):
+                    pieces = list(group)
+                    x = "".join(tag + text for _, _, tag, text in pieces)
+                    own = None if is_caption else bare("".join(text for depth, _, _, text in pieces if depth == 1), untitled)
+                    rows.append((i, is_caption, n - 1, x if is_caption else bare(re.sub(r"(?s)<!--.*?-->", "", x), aside), own))
+        at, *others = zip(*rows, strict=True) if rows else ((),) * 5
+        arrays = [pa.array(c, t) for c, t in zip(others, (pa.bool_(), pa.int32(), pa.string(), pa.string()), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *arrays], names=[batch.schema.names[0], "caption", "pos", "x", "own"])
+
+
 def sections_of(bodies: DataFrame, key: str = "pmid", trim: bool = True) -> DataFrame:
     """(key, name, pos, text): the top-level sections of a body (key, body: XML as text) with all that they hold, sections inside
     them included, and all captions. A section counts as top-level if no other section holds it; its name follows from its own title, not from
-    those of sections, figures or tables inside it. trim: see ``flat_text``. Each body is cut by columns, row by row; nothing is shuffled."""
+    those of sections, figures or tables inside it. trim: see ``flat_text``. Each body is cut where it is, in one walk over its tags; nothing is shuffled."""
     bare = bodies.select(key, without_comments(F.col("body")).alias("body"))
-    secs = bare.select(key, F.posexplode(outermost(F.col("body"), "sec")).alias("pos", "x")).where("x <> ''")
-    own = let(scanned(F.col("x"), "sec"), lambda all_: F.array_join(F.transform(F.filter(all_, lambda p: p.depth == 1), lambda p: p.text), ""))
-    title = plain_text(F.regexp_extract(outside(own, "fig", "table-wrap", "ref-list", "caption"), r"(?is)<title(?=[\s>])[^>]*>(.*?)</title\s*>", 1))
-    secs = secs.select(key, let(title, section_name).alias("name"), "pos", flat_text(F.col("x"), trim).alias("text"))
-    caps = bare.select(key, F.posexplode(outermost(F.col("body"), "caption")).alias("pos", "x")).select(key, F.lit("FIGURE LEGENDS").alias("name"), "pos", plain_text(F.col("x")).alias("text"))
-    return secs.unionByName(caps)
+    both = bare.mapInArrow(_cut, f"`{key}` {bare.schema[key].dataType.simpleString()}, caption boolean, pos int, x string, own string")
+    title = plain_text(F.regexp_extract("own", r"(?is)<title(?=[\s>])[^>]*>(.*?)</title\s*>", 1))
+    name = F.when(F.col("caption"), "FIGURE LEGENDS").otherwise(let(title, section_name))
+    return both.select(key, name.alias("name"), "pos", F.when(F.col("caption"), plain_text(F.col("x"))).otherwise(_flat(F.col("x"), trim)).alias("text"))
 
 
 def sectioned_text(abstracts: DataFrame, sections: DataFrame, limit: int = S.Settings.fulltext_chars, key: str = "pmid") -> DataFrame:
     """(key, text): the abstract, then sections by priority within ``limit`` characters; labels are not counted, the
     abstract is. abstracts: key, abstract; sections: key, name, pos, text."""
     rank = F.array_position(F.array(*[F.lit(n) for n, _ in SECTIONS]), F.col("name"))
-    chunk = sections.where("text <> ''").groupBy(key, "name").agg(F.concat_ws(" ", F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"])).alias("chunk")).withColumn("rank", rank)
-    df = chunk.join(abstracts.select(key, F.length(F.coalesce("abstract", F.lit(""))).alias("base")), key)
-    before = F.coalesce(F.sum(F.length("chunk")).over(Window.partitionBy(key).orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("base")
-    kept = df.withColumn("before", before).where(F.col("before") < limit).withColumn("part", F.concat("name", F.lit(": "), F.col("chunk").substr(F.lit(1), F.lit(limit) - F.col("before").cast("int"))))
-    parts = kept.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "part"))), lambda x: x["part"]).alias("parts"))
-    return abstracts.join(parts, key, "left").select(key, F.concat_ws("\n\n", F.concat(F.array(F.concat(F.lit("ABSTRACT: "), F.coalesce("abstract", F.lit("")))), F.coalesce("parts", F.array().cast("array<string>")))).alias("text"))
+    # empty texts are left out of the list, as a filter of the rows would work out their texts twice
+    some = F.filter(F.collect_list(F.struct(rank.alias("rank"), "name", "pos", "text")), lambda s: s.text != "")
+    df = abstracts.select(key, F.coalesce("abstract", F.lit("")).alias("abstract")).join(sections.groupBy(key).agg(F.sort_array(some).alias("all")), key, "left")
+
+    def chunks(all_: Column) -> Column:
+        names = F.array_distinct(F.transform(all_, lambda s: s["name"]))
+        return F.transform(names, lambda n: F.struct(n.alias("name"), F.array_join(F.transform(F.filter(all_, lambda s: s["name"] == n), lambda s: s.text), " ").alias("chunk")))
+
+    def step(acc: Column, c: Column) -> Column:
+        part = F.concat(c["name"], F.lit(": "), c.chunk.substr(F.lit(1), (F.lit(limit) - acc.before).cast("int")))
+        return F.struct((acc.before + F.length(c.chunk)).alias("before"), F.when(acc.before < limit, F.concat(acc.parts, F.array(part))).otherwise(acc.parts).alias("parts"))
+
+    begin = F.struct(F.length("abstract").cast("long").alias("before"), F.array(F.concat(F.lit("ABSTRACT: "), "abstract")).alias("parts"))
+    return df.select(key, F.when(F.col("all").isNull(), F.concat(F.lit("ABSTRACT: "), "abstract")).otherwise(F.array_join(F.aggregate(let(F.col("all"), chunks), begin, step, lambda acc: acc.parts), "\n\n")).alias("text"))
 
 
 def adopt_fulltext(papers: DataFrame, texts: DataFrame) -> DataFrame:

@@ -89,3 +89,13 @@ def test_flags_of_chains_take_one_shuffle_of_the_claims(spark):
     assert str(flags).count("map_from_entries") == 1  # not once more for each step
     plan = catalog.chain_flags(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_sections_of_a_long_body_in_one_walk(spark):
+    n = 20_000  # cut by columns, 8 * 10^8 pieces were met
+    body = "<body>" + "".join(f"<sec><title>t{i} \n</title> <p>a  b\tc</p></sec>" for i in range(n)) + "</body>"
+    b = spark.createDataFrame([(1, "", body), (2, None, "")], "pmid long, abstract string, body string")
+    out = C.sectioned_text(b, C.sections_of(b), 10**7)
+    assert "zip_with" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.pmid: r.text for r in out.collect()}
+    assert got == {1: "ABSTRACT: \n\nOTHER: " + " ".join(f"t{i} a b c" for i in range(n)), 2: "ABSTRACT: "}
