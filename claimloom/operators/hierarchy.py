@@ -68,9 +68,36 @@ def labels(edges: DataFrame) -> tuple[DataFrame, DataFrame, int] | None:
     return spans.select("id", "lo", "hi"), materialize(jumps, "jumps"), (2 * n).bit_length()
 
 
-def above(edges: DataFrame, below: DataFrame, wanted: DataFrame) -> DataFrame:
+STEPS, WIDTH = 24, 64  # a hierarchy that is walked has at most so many steps, and pairs for each edge
+
+
+def _walked(edges: DataFrame, below: DataFrame, wanted: DataFrame, steps: int, width: int) -> DataFrame | None:
+    """``above`` of a shallow hierarchy: the nodes at one, two, ... steps, a join each. None if some are more than ``steps`` away (so in any loop)
+    or the pairs are more than ``width`` times the edges; nothing is left out then, as labels do the whole."""
+    e = materialize(edges.where("id is not null and parent is not null and id <> parent").select(F.col("id").alias("at"), "parent").distinct(), "edges")
+    left, found = width * e.count(), []
+    front = below.select("o", F.col("o").alias("at")).distinct()
+    for _ in range(steps + 1):
+        front = materialize(front.join(e, "at").select("o", F.col("parent").alias("at")).distinct(), "steps")
+        n = front.count()
+        if not n:
+            pairs = front
+            for f in found:
+                pairs = pairs.union(f)
+            return pairs.where("o <> at").join(wanted.select(F.col("up").alias("at")).distinct(), "at", "left_semi").select("o", F.col("at").alias("up")).distinct()
+        left -= n
+        if left < 0:
+            return None
+        found.append(front)
+    return None
+
+
+def above(edges: DataFrame, below: DataFrame, wanted: DataFrame, steps: int = STEPS, width: int = WIDTH) -> DataFrame:
     """(o, up): the nodes of ``wanted`` (up) that parent edges (id, parent) lead to from those of ``below`` (o), themselves left out.
-    A hierarchy with a loop is closed step by step instead."""
+    A shallow hierarchy is walked step by step, which takes fewer and smaller joins than labels do; one with a loop is closed instead."""
+    near = _walked(edges, below, wanted, steps, width)
+    if near is not None:
+        return near
     made = labels(edges)
     if made is None:
         from claimloom.operators.resolve import ancestors_of

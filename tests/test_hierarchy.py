@@ -54,3 +54,16 @@ def test_links_by_labels_equal_those_by_ancestors(spark):
     listed = E.ancestors_of(frame).selectExpr("id AS concept", "ancestors")
     key = lambda df: sorted((r.key, r.n_studies, r.grade, tuple(r.support_ids), r.status) for r in df.collect())
     assert key(build_links(c, hierarchy=frame)) == key(build_links(c, ancestors=listed)) and any(len(r[3]) > 2 for r in key(build_links(c, hierarchy=frame)))
+
+
+def test_shallow_hierarchies_are_walked(spark):
+    from claimloom.sources import scratch
+
+    edges = [(i, i // 5) for i in range(1, 2000)] + [(i, i // 7) for i in range(0, 2000, 5)]
+    frame, ids = spark.createDataFrame(edges, "id long, parent long"), spark.range(0, 2000, 3)
+    since = scratch.mark()
+    got = [tuple(r) for r in Y.above(frame, ids.toDF("o"), spark.range(0, 2000, 2).toDF("up")).collect()]
+    assert scratch.mark() - since <= 8  # the edges and a table for each step; labels write over twenty
+    assert len(got) == len(set(got)) and set(got) == {(o, u) for o, u in closed(edges) if o % 3 == 0 and u % 2 == 0}
+    few = ids.toDF("o"), spark.range(0, 2000, 2).toDF("up")
+    assert Y._walked(frame, *few, 2, 64) is None and Y._walked(frame, *few, 24, 1) is None  # too deep or too wide: left to labels
