@@ -36,6 +36,31 @@ def materialize(df: DataFrame, name: str = "t", by: str | None = None) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, n: int, *by: str, name: str = "t", to: str | None = None) -> str:
+    """Write ``df`` as a table of ``n`` buckets by some columns, in the shared folder, and return its name: groupings and joins on those columns read
+    it without a shuffle, and rows rest on disk as compressed columns. to: a table of the same buckets, to which the rows are added."""
+    spark, writers = df.sparkSession, "spark.sql.maxConcurrentOutputFileWriters"
+    at = to or f"claimloom_{name}_{uuid.uuid4().hex}"
+    path, before = f"{shared_dir(spark)}/{at}", spark.conf.get(writers)
+    spark.conf.set(writers, str(n))  # a file open for each bucket, so that rows are not sorted (and spilled) first
+    try:
+        df.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(n, *by).mode("append").saveAsTable(at)
+    finally:
+        spark.conf.set(writers, before)
+    if to is None:
+        _WRITTEN.append(path)
+    return at
+
+
+def drop(spark: SparkSession, name: str) -> None:
+    """Delete a table of ``bucketed`` that nothing reads any more."""
+    path = next(p for p in _WRITTEN if p.endswith(f"/{name}"))
+    spark.sql(f"DROP TABLE {name}")
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _WRITTEN.remove(path)
+
+
 def mark() -> int:
     """A point in the list of scratch tables, for ``release``."""
     return len(_WRITTEN)
